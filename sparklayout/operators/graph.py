@@ -11,16 +11,15 @@ from sparklayout.sources.work import materialize
 def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     """One star step. ``edges`` holds (keys, u, v) with u > v, each once.
 
-    Large: every neighbour above u is linked to the least of u and its neighbours. Small: u and its
-    neighbours below are linked to the least of those. The least comes from a partial aggregate and is
+    Large: each edge's upper end is linked to the least of the lower end and its neighbours. Small: u and
+    its neighbours below are linked to the least of those. The least comes from a partial aggregate and is
     joined back, so that no vertex's neighbours are gathered in one row.
     """
     if large:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        low = edges.join(least, [*keys, "u"]).where("v = m").select(*keys, "u", "v")
-        out = out.unionByName(low)
+        least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        least = least.withColumnRenamed("u", "v")
+        out = edges.join(least, [*keys, "v"]).select(*keys, "u", F.col("m").alias("v"))
     else:
         least = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         below = edges.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
