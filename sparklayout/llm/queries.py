@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklayout.llm import chat_format, exact_dedup, url_filter
+from sparklayout.llm import byte_bpe, chat_format, exact_dedup, language_id, token_files, url_filter
 from sparklayout.llm.common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,43 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+@_query
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again by the public rank file."""
+    import public_tokenizers
+
+    encoded = byte_bpe.encode_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        ids=False,
+    )
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact")
+
+
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    marked = docs.withColumn("_held_out", F.coalesce(held_out, F.lit(False)))
+    trained = language_id.train_profiles(marked.where("not _held_out"))
+    found = language_id.predict_languages(docs, trained)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to record files and read back."""
+    import public_tokenizers
+
+    index = token_files.write_token_files(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
+    return token_files.read_token_files(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @_query
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that quotes control strings, digested after reading the output back."""
