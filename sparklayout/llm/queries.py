@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklayout.llm import byte_bpe, chat_format, exact_dedup, language_id, token_files, url_filter
+from sparklayout.llm import byte_bpe, chat_format, exact_dedup, language_id, ngram_join, token_files, url_filter
 from sparklayout.llm.common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,24 @@ with n as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
   doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n"""
+
+
+@_query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of 5-word shingles and its component of links."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_SQL["op9_ngram_join"] = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (
+  select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+r(doc_id, seen) as (select doc_id, doc_id from n union select r.doc_id, l.b from r join l on l.a = r.seen)
+select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, coalesce(min(r.seen), w.doc_id) as component_id
+from w left join n on n.doc_id = w.doc_id left join r on r.doc_id = w.doc_id group by w.doc_id"""
