@@ -33,3 +33,17 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
 def lower_ascii(text: Column) -> Column:
     """A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Ids that may be sent to every task, 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is among ``ids`` (one column of that name).
+
+    The ids are counted first: up to BROADCAST_IDS they are broadcast, so that long texts stay where they
+    are; beyond that both sides are shuffled. Pass a table that is cheap to read twice.
+    """
+    distinct = ids.select(id_col).distinct()
+    return rows.join(F.broadcast(distinct) if distinct.count() <= BROADCAST_IDS else distinct, id_col, "left_semi")

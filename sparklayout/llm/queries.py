@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklayout.llm import byte_bpe, chat_format, exact_dedup, language_id, ngram_join, token_files, url_filter
+from sparklayout.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    ngram_join,
+    quality_model,
+    token_files,
+    url_filter,
+)
 from sparklayout.llm.common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +178,16 @@ l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where
 r(doc_id, seen) as (select doc_id, doc_id from n union select r.doc_id, l.b from r join l on l.a = r.seen)
 select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, coalesce(min(r.seen), w.doc_id) as component_id
 from w left join n on n.doc_id = w.doc_id left join r on r.doc_id = w.doc_id group by w.doc_id"""
+
+
+@_query
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity, judged by a model of the documents labelled as good."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_model.judge_quality(table(spark, sf_dir, "documents"), trusted)
+
+
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds within the edit budget."""
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
