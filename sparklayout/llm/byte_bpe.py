@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparklayout.llm.common import slices
+from sparklayout.llm.common import Memo, slices
 
 #: Where the 256 bytes go: one assigned character each, none of them white space.
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
-#: Distinct pre-tokens that a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+#: Distinct pre-tokens in each of the two generations that a worker remembers.
+MEMO = 250_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -58,20 +58,6 @@ def serialise_model(tokens: list[bytes]) -> bytes:
     return model.SerializeToString()
 
 
-class _Memo(dict):
-    """pre-token -> its ids as decimal text."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, token: str) -> str:
-        if len(self) >= MEMO:
-            self.clear()
-        found = self[token] = ",".join(map(str, self.codec.encode_pretoken(token)))
-        return found
-
-
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -86,7 +72,7 @@ class Codec:
         # a pre-token that is itself in the vocabulary is one id, even where the merges don't lead to it
         known = self.model.encode([self._mapped(t) for t in self.tokens], num_threads=1)
         self.whole = {t: i for i, (t, ids) in enumerate(zip(self.tokens, known, strict=True)) if ids != [i]}
-        self.memo = _Memo(self)
+        self.memo = Memo(lambda token: ",".join(map(str, self.encode_pretoken(token))), MEMO)
         self.by_text = {str(i): t for i, t in enumerate(self.tokens)}
 
     def _mapped(self, data: bytes) -> str:

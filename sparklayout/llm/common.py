@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -47,3 +47,22 @@ def with_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     """
     distinct = ids.select(id_col).distinct()
     return rows.join(F.broadcast(distinct) if distinct.count() <= BROADCAST_IDS else distinct, id_col, "left_semi")
+
+
+class Memo(dict):
+    """A bounded memo of ``make``: when ``most`` entries are full they become the old generation, and what
+    is asked for again comes back from there. So frequent keys stay and memory is at most 2 * ``most``."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found

@@ -1,14 +1,15 @@
 """Token ids in length-delimited binary files with a separate offset index.
 
 A file is a run of records. A record is: payload length (8 bytes), masked checksum of those 8 bytes
-(4 bytes), payload, masked checksum of the payload (4 bytes); all little-endian. The payload is the
-document's ids as unsigned 32-bit integers. The checksum is CRC-32, rotated right by 15 bits and shifted
+(4 bytes), payload, masked checksum of the payload (4 bytes); all little-endian. The payload is one byte,
+2 or 4, and the document's ids as unsigned integers of so many bytes. The checksum is CRC-32, rotated right by 15 bits and shifted
 by a constant, so that checksums of data that hold checksums stay apart. The index has one row per record
 with file, offset and length: any record can be read alone, in any order.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -16,17 +17,18 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklayout.llm.common import slices
+from sparklayout.llm.common import Memo, slices
 from sparklayout.sources.work import materialize, new_path
 
-#: Distinct words that a worker remembers; beyond that it starts anew.
-MEMO = 400_000
+#: Distinct words in each of the two generations that a worker remembers; twice as many pieces of words.
+MEMO = 200_000
 MASK_DELTA = 0xA282EAD8
 
 
@@ -52,6 +54,17 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+def pack(ids: bytes) -> bytes:
+    """32-bit ids as a payload: 16 bits each if they all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\x04" + ids if len(wide) and wide.max() > 0xFFFF else b"\x02" + wide.astype("<u2").tobytes()
+
+
+def unpack(payload: bytes) -> bytes:
+    """32-bit ids of a payload."""
+    return payload[1:] if payload[:1] == b"\x04" else np.frombuffer(payload, "<u2", offset=1).astype("<u4").tobytes()
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """Whatever store the shared folder is in: a local or mounted path, file:, hdfs:, s3:, gs: ..."""
     if uri.startswith("file:"):
@@ -59,40 +72,57 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-class _Words(dict):
-    """word between white space -> its ids as little-endian bytes."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
-
-@lru_cache(maxsize=2)
-def _words(config: str) -> _Words:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(config)
-    tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-    return _Words(tokenizer)
-
-
 #: White space to str.split(), but not to the tokenizer's pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: What the tokenizer's pre-tokeniser keeps apart (a fixed value of the tokenizer file).
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Encoder:
+    """Whole texts by words: the tokenizer drops white space and never merges across it or across the
+    pieces of a word, so words, and in plain Latin words their pieces, are encoded once and remembered."""
+
+    def __init__(self, config: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(config)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.find = regex.compile(_PIECES).findall
+        bare = json.loads(config)
+        steps = (bare.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = any(x.get("pattern", {}).get("Regex") == _PIECES for x in steps)
+        if known:  # pieces are normalised and split already
+            rest = [x for x in steps if x["type"] != "Split"]
+            bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": rest}, "added_tokens": []}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.pieces = Memo(self.encode_piece, 2 * MEMO)
+        self.words = Memo(self.encode_word if known else self.encode_whole, MEMO)
+
+    def encode_whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_piece(self, piece: str) -> bytes:
+        ids = self.bare.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_word(self, word: str) -> bytes:
+        if max(word) >= "\u0250":  # beyond, normalisation may join characters
+            return self.encode_whole(word)
+        return b"".join(map(self.pieces.__getitem__, self.find(word.lower())))
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if _SEPARATORS.search(text):
+            return self.encode_whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
-def encode_ids(text: str, words: _Words) -> bytes:
-    """Ids of a whole text. The tokenizer drops white space and never merges across it, so words between
-    white space can be encoded apart; a text with characters on which the two disagree goes in whole."""
-    if _SEPARATORS.search(text):
-        return words[text]
-    return b"".join(map(words.__getitem__, text.split()))
+@lru_cache(maxsize=2)
+def encoder(config: str) -> Encoder:
+    """One encoder per worker process."""
+    return Encoder(config)
 
 
 _INDEX = "doc_id {id}, file_no int, file string, row_no long, offset long, length long, n_tokens long, start_in_file long"
@@ -120,7 +150,7 @@ def write_token_files(
     schema = _INDEX.format(id=rows.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(config)
+        encode = encoder(config).encode
         number = TaskContext.get().partitionId()
         store, root = file_system(folder)
         name = f"part-{number:06d}-{uuid.uuid4().hex}.bin"
@@ -130,8 +160,8 @@ def write_token_files(
                 for part in slices(batch, "text", 4 << 20):
                     index: list[tuple[int, int, int, int]] = []
                     for text in part.column("text").to_pylist():
-                        ids = encode_ids(text, words) + end if text else end
-                        record = frame(ids)
+                        ids = encode(text) + end if text else end
+                        record = frame(pack(ids))
                         if out is None:
                             store.create_dir(root, recursive=True)
                             out = store.open_output_stream(f"{root}/{name}")
@@ -164,8 +194,8 @@ def write_token_files(
 
 
 def read_token_files(index: DataFrame) -> DataFrame:
-    """Read the records that ``index`` names, check them, and return doc_id, start, n_tokens, ids (the
-    payload) and ids_crc32. Each index row is read alone by its offset, so rows may come in any order."""
+    """Read the records that ``index`` names, check them, and return doc_id, start, n_tokens, ids (32 bits
+    each) and ids_crc32. Each index row is read alone by its offset, so rows may come in any order."""
     rows = index.select("doc_id", "start", "file", "offset", "length")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids binary, ids_crc32 long"
 
@@ -182,7 +212,7 @@ def read_token_files(index: DataFrame) -> DataFrame:
                         store, path = file_system(file)
                         name, source = file, store.open_input_file(path)
                     source.seek(offset)
-                    payloads.append(unframe(source.read(length)))
+                    payloads.append(unpack(unframe(source.read(length))))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
