@@ -39,14 +39,21 @@ def lower_ascii(text: Column) -> Column:
 BROADCAST_IDS = 4_000_000
 
 
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcast if a count finds at most BROADCAST_IDS rows, else as it is, for a join
+    by shuffle. So long texts stay where they are while the other side is known to be small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
 def with_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id is among ``ids`` (one column of that name).
+    """The rows whose id is among ``ids``, a table (cheap to read twice) with a column of that name."""
+    return rows.join(sized(ids.select(id_col).distinct()), id_col, "left_semi").select(*rows.columns)
+
 
-    The ids are counted first: up to BROADCAST_IDS they are broadcast, so that long texts stay where they
-    are; beyond that both sides are shuffled. Pass a table that is cheap to read twice.
-    """
-    distinct = ids.select(id_col).distinct()
-    return rows.join(F.broadcast(distinct) if distinct.count() <= BROADCAST_IDS else distinct, id_col, "left_semi")
+def without_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ``ids``; rows with a null id stay."""
+    gone = sized(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct())
+    return rows.join(gone, id_col, "left_anti").select(*rows.columns)
 
 
 class Memo(dict):

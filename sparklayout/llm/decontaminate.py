@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklayout.llm.common import slices
+from sparklayout.llm.common import slices, without_ids
+from sparklayout.sources.work import materialize
 
 #: q-gram length; edits allowed per 100 characters of an item; characters of items in a block (about 40
 #: bytes each in every task).
@@ -229,5 +230,5 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows with a null id stay."""
-    leaks = find_contamination(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(leaks, id_col, "left_anti").select(*docs.columns)
+    leaks = materialize(find_contamination(docs, benchmark, id_col, text_col), "leaks")
+    return without_ids(docs, leaks.withColumnRenamed("doc_id", id_col), id_col)

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklayout.llm.common import SPACE
+from sparklayout.llm.common import SPACE, sized
+from sparklayout.sources.work import materialize
 
 #: Rows in the sample that looks for hot texts, and the share of it that makes a text hot. So at most
 #: 1 / HOT_SHARE texts are hot, whatever the size of the input.
@@ -91,8 +92,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The decision is joined back by id and text digest, so that rows that share an id but not a text are
     judged apart.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(key.alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_kept_id")
+    judged = exact_duplicates(docs, id_col, text_col).select(key, F.col("text_sha256").alias("_kept_sha"), "kept")
+    per_key = judged.groupBy("_kept_id", "_kept_sha").agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
+    odd = materialize(per_key.where("not stays or times > 1"), "duplicates")
+    keys = ["_kept_id", "_kept_sha"]
     keyed = docs.withColumns({"_kept_id": key, "_kept_sha": F.sha2(normalised(F.col(text_col)), 256)})
-    stay = keyed.join(kept, ["_kept_id", "_kept_sha"], "left_semi").dropDuplicates(["_kept_id", "_kept_sha"])
-    return stay.select(*docs.columns)
+    once = keyed.join(sized(odd.select(*keys)), keys, "left_anti")
+    repeated = keyed.join(sized(odd.where("stays").select(*keys)), keys, "left_semi").dropDuplicates(keys)
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklayout.llm.common import slices, with_ids
+from sparklayout.llm.common import slices, with_ids, without_ids
 from sparklayout.sources.work import materialize
 
 #: Length of n-grams; quantile and margin of the limit; characters of average text that are added to each
@@ -249,9 +249,6 @@ def judge_quality(
 
 
 def drop_low_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge_quality` keeps, with all their columns.
-
-    Rejected ids are joined away; rows with a null id stay only if no null id is rejected.
-    """
-    bad = judge_quality(docs, trusted, id_col, text_col, lang_col).where("not keep").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that :func:`judge_quality` keeps, with all their columns; null ids stay."""
+    judged = materialize(judge_quality(docs, trusted, id_col, text_col, lang_col), "judged")
+    return without_ids(docs, judged.where("not keep"), id_col)

@@ -12,6 +12,7 @@ from sparklayout.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    html_extract,
     language_id,
     ngram_join,
     quality_model,
@@ -51,6 +52,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact")
 
 
+@_query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents that aren't held out."""
