@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+MODULES = ("geometry_queries",)
 
 
 def query(name: str, sql: str | None = None):
@@ -23,7 +25,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    for name in MODULES:
+        importlib.import_module(f"sparklayout.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
