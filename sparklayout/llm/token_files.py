@@ -108,9 +108,14 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_word(self, word: str) -> bytes:
-        if max(word) >= "\u0250":  # beyond, normalisation may join characters
+        if not word.isascii() and max(word) >= "\u0250":  # beyond, normalisation may join characters
             return self.encode_whole(word)
-        return b"".join(map(self.pieces.__getitem__, self.find(word.lower())))
+        low = word.lower()
+        if low.isalpha():
+            return self.pieces[low]
+        if low[:-1].isalpha() and not low[-1].isalpha():  # a word and a mark
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.find(low)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
