@@ -116,6 +116,14 @@ select o_orderkey%40 as file_id, o_orderkey as line_no,
     when 2 then '  FETs: '||(20+o_custkey) when 3 then 'Warning: skipping unsupported reference' else
     case when o_custkey%9=0 then 'Error: unable to load library' when o_custkey%2=0 then 'Warning: malformed' else 'ok' end end as line
 from orders where o_orderkey<400""",
+    # flat rectangles with made-up nets and trees, a third of them on the rails
+    "flat": """
+select rect_id, layer, x1, y1, x2, y2, case when rect_id%11=0 then -1 when rect_id%3=0 then rect_id%2 else rect_id%997 end as net,
+  case when rect_id%11=0 then -1 when rect_id%3=0 then rect_id%2 else rect_id%997-rect_id%997%4 end as tree,
+  rect_id%5 as file_id, rect_id//64 as inst_id from rects""",
+    "cell_fets": """
+select 'k'||(p_partkey%20) as cell, p_partkey//40 as gate, (p_partkey//20)%5 as term0, (p_partkey//100)%5 as term1, p_partkey%2 as type
+from part where p_partkey<200""",
     "label_points": """
 select rect_id as label_id, layer, x1+rect_id%3 as x, y1 as y, 'L'||(rect_id%97) as text from rects where rect_id%50<2
 union all select rect_id, layer, x1+1000000, y1, 'miss' from rects where rect_id%500=3""",
