@@ -188,7 +188,8 @@ def duck(body: str, recursive: bool = False) -> str:
 
 def _spark_text(text: str) -> str:
     text = re.sub(r"unnest\(range\((\w+)\)\)", r"explode(sequence(0, \1 - 1))", text)
-    return text.replace("//", " div ")
+    parts = text.split("'")  # every second part is a string literal
+    return "'".join(x if i % 2 else x.replace("//", " div ") for i, x in enumerate(parts))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
