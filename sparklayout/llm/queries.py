@@ -62,12 +62,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    marked = docs.withColumn("_held_out", F.coalesce(held_out, F.lit(False)))
-    trained = language_id.train_profiles(marked.where("not _held_out"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    trained = language_id.train_profiles(docs.where(~held_out))
     found = language_id.predict_languages(docs, trained)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 @_query
