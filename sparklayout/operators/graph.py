@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparklayout.sources.work import materialize
@@ -19,7 +19,7 @@ def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         least = least.withColumnRenamed("u", "v")
-        out = edges.join(least, [*keys, "v"]).select(*keys, "u", F.col("m").alias("v"))
+        return edges.join(least, [*keys, "v"]).select(*keys, "u", F.col("m").alias("v"))
     else:
         least = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
         below = edges.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
@@ -27,9 +27,12 @@ def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
-def _stamp(edges: DataFrame, keys: list[str]) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _written(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their count and a sum of hashes that the writing job took along."""
+    seen = Observation()
+    total = F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "cc")
+    return table, (seen.get["n"], seen.get["total"])
 
 
 def connected_components(
@@ -51,11 +54,9 @@ def connected_components(
     pairs = edges.where(F.col(src) != F.col(dst)).select(
         *keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")
     )
-    now = materialize(pairs.distinct(), "cc")
-    before = _stamp(now, keys)
+    now, before = _written(pairs.distinct(), keys)
     while before[0]:
-        now = materialize(_star(_star(now, keys, large=True), keys, large=False), "cc")
-        after = _stamp(now, keys)
+        now, after = _written(_star(_star(now, keys, large=True), keys, large=False), keys)
         if after == before:
             break
         before = after
