@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from sparklayout.sources.work import materialize
 
 
-def _star(edges: DataFrame, keys: list[str], large: bool) -> DataFrame:
+#: Edges that one task of a round takes at least, and tasks of a round at least.
+EDGES_PER_TASK, TASKS = 200_000, 8
+
+
+def _star(edges: DataFrame, keys: list[str], large: bool, tasks: int) -> DataFrame:
     """One star step. ``edges`` holds (keys, u, v) with u > v, each once.
 
     Large: each edge's upper end is linked to the least of the lower end and its neighbours. Small: u and
     its neighbours below are linked to the least of those. The least comes from a partial aggregate and is
-    joined back, so that no vertex's neighbours are gathered in one row.
+    joined back, so that no vertex's neighbours are gathered in one row. ``tasks`` suits the number of
+    edges, which shrinks from round to round: few edges are not worth a task for each shuffle partition.
     """
     if large:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         least = least.withColumnRenamed("u", "v")
-        return edges.join(least, [*keys, "v"]).select(*keys, "u", F.col("m").alias("v"))
-    else:
-        least = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        below = edges.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        out = below.unionByName(least.select(*keys, "u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+        return edges.join(least, [*keys, "v"]).select(*keys, "u", F.col("m").alias("v")).coalesce(tasks)
+    least = edges.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    below = edges.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+    out = below.unionByName(least.select(*keys, "u", F.col("m").alias("v"))).coalesce(tasks)
+    return out.where("u > v").distinct().coalesce(tasks)
 
 
 def _written(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple]:
@@ -56,7 +60,8 @@ def connected_components(
     )
     now, before = _written(pairs.distinct(), keys)
     while before[0]:
-        now, after = _written(_star(_star(now, keys, large=True), keys, large=False), keys)
+        tasks = max(TASKS, before[0] // EDGES_PER_TASK)
+        now, after = _written(_star(_star(now, keys, True, tasks), keys, False, tasks), keys)
         if after == before:
             break
         before = after
