@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute
@@ -17,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _malloc_trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and what one stage has freed
+    would otherwise count beside the executor's heap in the next."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts take about ``most_bytes``, at least one row each."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -28,6 +42,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+    give_back()
 
 
 def lower_ascii(text: Column) -> Column:

@@ -26,7 +26,7 @@ ORDER, QUANTILE, MARGIN, PRIOR_CHARS, BLOCK_ROWS = 4, 0.99, 1.2, 60, 4000
 #: Tables of shorter n-grams up to this many rows are broadcast, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Texts are worked on in runs of about so many bytes.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 #: Stands before the first character and after the last.
 EDGE, SPACE = 2, 32
 
