@@ -200,6 +200,20 @@ def test_near_duplicates_odd_inputs(spark):
     assert kept.columns == df.columns and 5 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_near_pair_met_in_both_orders(spark):
+    """9 (100 words) and 11 (these and 30 rare ones) share three prefix keys; in one bucket 9's component is the
+    largest, in the others it is not, so the last round meets the pair in both orders."""
+    f, d, e = ([f"{x}{i}" for i in range(n)] for x, n in (("f", 100), ("d", 19), ("e", 19)))
+    rows = [(1, [f[0], *f[3:82]]), (2, [f[1], *d]), (3, [f[1], *d[:18]]), (4, [f[2], *e])]
+    rows += [(9, f), (11, [*f, *(f"rare{i}" for i in range(30))])]
+    rows += [(20 + k, [*f[3:], *d, *e, *(f"own{k}_{i}" for i in range(300))]) for k in range(4)]
+    df = docs_of(spark, [(i, " ".join(words)) for i, words in rows])
+    salts = {r[0] for r in df.where("doc_id < 20").select(F.pmod(F.xxhash64("doc_id"), F.lit(ngram_join.SALTS))).collect()}
+    assert len(salts) == 6  # nobody leads another in round 1 but the least of a bucket
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(df, words=1).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 9: 1, 11: 1, **{20 + k: 20 + k for k in range(4)}}
+
+
 def _least_edits(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
