@@ -14,11 +14,15 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklayout.functions.ranking import global_rank
+from sparklayout.llm.common import slices
 from sparklayout.llm.url_filter import host_of, path_of
+from sparklayout.sources.work import materialize
 
 #: A comment or declaration, or a tag with its name and attributes.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -41,6 +45,8 @@ _MARKS = frozenset(
 )
 _HEADER_MARKS = frozenset("header masthead topbar".split())
 
+_KEYS = ("page_id", "url", "host", "path")
+
 
 def _flags(name: str, attributes: str, in_content: bool) -> bool:
     """Whether an element holds something else than the article."""
@@ -149,71 +155,82 @@ def main_text(lines: list[tuple[str, bool, bool]], other: list[tuple[str, bool,
     return " ".join(keep)
 
 
+def _parsed(rows: DataFrame, whole: bool) -> DataFrame:
+    """page_id, url, host, path, keys (a 64-bit hash of each line) and, if ``whole``, marked (whether a content
+    element holds a line that stays) and texts (of the lines that may stay; null for the others)."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html", 1 << 20):
+                keys, marks, texts = [], [], []
+                for page in part.column("html").to_pylist():
+                    lines = lines_of(page)
+                    hashes = [xxhash.xxh3_64_intdigest(x[0].encode("utf-8", "surrogatepass")) for x in lines]
+                    keys.append(np.array(hashes, np.uint64).view(np.int64))
+                    marks.append(any(content and not dropped for _, dropped, content in lines))
+                    if whole:
+                        texts.append([t if not dropped and (content or not marks[-1]) else None for t, dropped, content in lines])
+                columns = [*(part.column(c) for c in _KEYS), pa.array(keys, pa.list_(pa.int64()))]
+                if whole:
+                    columns += [pa.array(marks, pa.bool_()), pa.array(texts, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*_KEYS, "keys", *(("marked", "texts") if whole else ())])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in _KEYS) + ", keys array<bigint>"
+    return rows.mapInArrow(run, schema + (", marked boolean, texts array<string>" if whole else ""))
+
+
+def _partners(rows: DataFrame) -> DataFrame:
+    """(host, path, partner): the hashed lines of the last page (by url, id) of the host's path before this one,
+    or of the first page of the path after it where there is none before; paths without either are left out."""
+    page = F.struct("url", "page_id", "keys")
+    ends = _parsed(rows, False).groupBy("host", "path").agg(F.min(page)["keys"].alias("first"), F.max(page)["keys"].alias("last"))
+    paths = materialize(ends, "paths")
+    ranked = materialize(global_rank(paths.select("host", "path"), ["host", "path"]), "path_ranks")
+    before = ranked.select("host", F.col("path").alias("before"), (F.col("rank") + 1).alias("rank"))
+    after = ranked.select("host", F.col("path").alias("after"), (F.col("rank") - 1).alias("rank"))
+    near = (
+        ranked.join(before, ["host", "rank"], "left")
+        .join(after, ["host", "rank"], "left")
+        .select("host", "path", F.coalesce("before", "after").alias("other"), F.col("before").isNotNull().alias("earlier"))
+    )
+    found = near.join(paths.withColumnRenamed("path", "other"), ["host", "other"])
+    return found.select("host", "path", F.when(F.col("earlier"), F.col("last")).otherwise(F.col("first")).alias("partner"))
+
+
 def extract_main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """page_id, url, text (empty if there is none), n_chars, had_partner for every row.
 
-    A page's partner is the page before it (by host, path, url, id) of the same host and another path, or
-    the first one after it where there is none before. Pages are range-partitioned in that order and the
-    partner is looked for in the same partition; a page without a partner (a host with one path, a null url
-    on its own) loses no lines by comparison. Null html counts as empty. Repeated rows have the same
-    partner. Other columns are not read.
+    All pages of a path have one partner: the last page (by url, id) of the path before it on the same host,
+    or the first page of the path after it where there is none before. It does not depend on partitions. A
+    page without a partner (a host with one path, a null url on its own) loses no lines by comparison. Null
+    html counts as empty. Lines are compared by 64-bit hashes. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    order = ["host", "path", "url", "page_id"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    paired = _parsed(rows, True).join(_partners(rows), ["host", "path"], "left")
     id_type = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, path = None, None
-        before = current = None  # lines of the last page of the path before, and of this path
-        waiting: list[tuple] = []  # pages of a host's first path
-        done: list[tuple] = []
-
-        def settle(other: list | None) -> None:
-            for page_id, url, lines in waiting:
-                done.append((page_id, url, main_text(lines, other), other is not None))
-            waiting.clear()
-
-        def batch_of() -> pa.RecordBatch:
-            ids, urls, texts, partners = zip(*done, strict=True)
-            out = pa.RecordBatch.from_arrays(
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("keys", "marked", "texts", "partner"))
+            for keys, marked, texts, partner in zip(*columns, strict=True):
+                shared = common_lines(keys, partner) if partner is not None and not marked else set()
+                out.append(" ".join(t for i, t in enumerate(texts) if t is not None and i not in shared))
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, ids_type),
-                    pa.array(urls, pa.string()),
-                    pa.array(texts, pa.string()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(partners, pa.bool_()),
+                    batch.column("page_id"),
+                    batch.column("url"),
+                    pa.array(out, pa.string()),
+                    pa.array([len(t) for t in out], pa.int64()),
+                    batch.column("partner").is_valid(),
                 ],
                 ["page_id", "url", "text", "n_chars", "had_partner"],
             )
-            done.clear()
-            return out
 
-        for batch in batches:
-            ids_type = batch.schema.field("page_id").type
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                columns = (part.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "path"))
-                for page_id, url, page, new_host, new_path in zip(*columns, strict=True):
-                    lines = lines_of(page)
-                    if new_host != host:
-                        settle(None)
-                        before = current = None
-                    elif new_path != path:
-                        before = current
-                        settle(lines)
-                    host, path, current = new_host, new_path, lines
-                    if before is None:
-                        waiting.append((page_id, url, lines))
-                    else:
-                        done.append((page_id, url, main_text(lines, before), True))
-                if done:
-                    yield batch_of()
-        settle(None)
-        if done:
-            yield batch_of()
-
-    return placed.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long, had_partner boolean")
+    return paired.select("page_id", "url", "keys", "marked", "texts", "partner").mapInArrow(
+        run, f"page_id {id_type}, url string, text string, n_chars long, had_partner boolean"
+    )

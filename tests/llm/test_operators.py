@@ -337,6 +337,22 @@ def test_pages_lose_what_their_neighbour_has(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_partners_do_not_depend_on_partitions(spark):
+    page = "<p>Shared</p><p>Own {}</p><p>Also shared</p>".format
+    hot = [(i, f"http://h.x/b?q={i:03}", page(i)) for i in range(300)]
+    cut = [(1000 + i, f"http://k.x/{i:03}", page(1000 + i)) for i in range(100)]
+    alone = [(2000 + i, f"http://l.x/only?q={i}", page(i)) for i in range(3)]
+    rows = [*hot, (900, "http://h.x/c", page(900)), *cut, *alone]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["page_id"]: (r["text"], r["had_partner"]) for r in html_extract.extract_main_text(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {i: (f"Own {i}", True) for i, *_ in rows if i < 2000}
+    assert got == want | {2000 + i: (f"Shared Own {i} Also shared", False) for i in range(3)}
+
+
 def test_crc_of_ids_is_of_32_bits(spark):
     index = token_files.write_token_files(docs_of(spark, [(1, "hello there")]), WORDS, 2)
     row = token_files.read_token_files(index).first()
