@@ -1,10 +1,10 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
-Pages are sorted by host and path. Each page is aligned, line by line (a line is one block's text), with its
-neighbour of another path on the same host by their longest common subsequence; lines that both have are
-the site's, not the page's, and go. Two things are settled by markup instead, because differences alone get
-them wrong: blocks in menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles go
-even where they vary from page to page; and where a page marks its article, shared lines inside it stay.
+Each page is aligned, line by line (a line is one block's text), with a page of the path next to its own on the
+same host by their longest common subsequence; lines that both have are the site's, not the page's, and go. Two
+things are settled by markup instead, because differences alone get them wrong: blocks in menus, headers, footers,
+sidebars, notices, adverts, forms, comments, scripts and styles go even where they vary from page to page; and a page
+that marks its article is not aligned: all of the article stays and nothing else.
 """
 
 from __future__ import annotations
