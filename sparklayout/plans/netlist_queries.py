@@ -40,16 +40,6 @@ def flagship(spark, sf):
     return analytics.net_stats(flat).orderBy(F.desc("area"), "net").limit(1000)
 
 
-#: A small set of rectangles on which all layers are joined: every 20th order.
-_SOME = "some as (select * from rects where rect_id // 8 % 400 < 24)"
-_PAIRS = "(b.layer = a.layer or (abs(b.layer - a.layer) = 1))"
-_WIRES = f"""{_SOME}, lab as (select distinct text, r.rect_id from label_points l join some r on r.layer = l.layer and l.x between r.x1 and r.x2 and l.y between r.y1 and r.y2),
-  e as (select a.rect_id as a, b.rect_id as b from some a join some b on {_PAIRS} and a.rect_id <> b.rect_id and {_TOUCH}
-    union select a.rect_id, b.rect_id from lab a join lab b on a.text = b.text and a.rect_id <> b.rect_id),
-  reach as (select rect_id, rect_id as seen from some union select r.rect_id, e.b from reach r join e on e.a = r.seen),
-  comps as (select rect_id, min(seen) as component from reach group by rect_id)"""
-
-
 def _labelled(spark, sf, rects):
     points = view(spark, sf, "label_points")
     side = points.select("layer", "label_id", "text", *(F.col(c).alias(n) for c, n in (("x", "x1"), ("y", "y1"), ("x", "x2"), ("y", "y2"))))
@@ -59,7 +49,7 @@ def _labelled(spark, sf, rects):
 
 @query("c2_cell_wires")
 def c2(spark, sf):
-    """Wires over all layers; the brute-force comparison is in the tests, whose input is smaller."""
+    """Wires over all layers; it has no SQL, tests/test_layouts.py compares it with brute force on small inputs."""
     rects = view(spark, sf, "rects")
     labels = _labelled(spark, sf, rects).select("text", "rect_id").distinct()
     return nets.cell_wires(rects.withColumn("cell", F.lit("top")), labels.withColumn("cell", F.lit("top")), ["cell"])

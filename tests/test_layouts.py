@@ -12,7 +12,7 @@ from sparklayout.functions import layers as L
 from sparklayout.functions.geometry import Affine, Box
 from sparklayout.functions.ranking import global_rank
 from sparklayout.operators import graph, hierarchy, netlist, shapes, spatial, trace
-from sparklayout.plans import extract
+from sparklayout.plans import extract, netlist_queries
 
 RECT = "file_id long, cell string, layer long, x1 long, y1 long, x2 long, y2 long"
 LABEL = "file_id long, cell string, text string, layer long, x long, y long"
@@ -186,3 +186,39 @@ def test_empty_inputs(spark):
     assert shapes.coalesce_rects(none, ["layer"]).count() == 0
     nothing = spark.createDataFrame([], "src long, dst long")
     assert graph.connected_components(spark.createDataFrame([(1,)], "vertex long"), nothing).count() == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cell_wires_equal_brute_force_reachability(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    boxes = []
+    for i in range(150):
+        x, y, layer = rng.randrange(0, 400), rng.randrange(0, 400), rng.choice([L.POLY, L.LICON, L.LI1, L.DIFF, L.MET5, L.NWELL])
+        boxes.append((i, layer, x, y, x + rng.randrange(1, 30), y + rng.randrange(1, 30)))
+    points = [(k, b[1], b[2], b[3], f"L{k % 4}") for k, b in enumerate(rng.sample(boxes, 12))] + [(12, L.LI1, 5000, 0, "L0")]
+    tables = {
+        "rects": spark.createDataFrame(boxes, "rect_id long, layer long, x1 long, y1 long, x2 long, y2 long"),
+        "label_points": spark.createDataFrame(points, "label_id long, layer long, x long, y long, text string"),
+    }
+    monkeypatch.setattr(netlist_queries, "view", lambda spark, sf, name: tables[name])
+    got = {r["rect_id"]: r["component"] for r in netlist_queries.c2(spark, "").collect()}
+
+    conducts = {*spatial.LAYER_PAIRS, *((b, a) for a, b in spatial.LAYER_PAIRS)}
+    touch = lambda a, b: a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5]
+    named = {i: {t for _, layer, x, y, t in points if layer == m and x1 <= x <= x2 and y1 <= y <= y2} for i, m, x1, y1, x2, y2 in boxes}
+
+    def linked(a, b):
+        return (touch(a, b) and (a[1] == b[1] or (a[1], b[1]) in conducts)) or bool(named[a[0]] & named[b[0]])
+
+    want = {}
+    for start in boxes:
+        if start[0] not in want:
+            todo = [start]
+            want[start[0]] = start[0]
+            while todo:
+                a = todo.pop()
+                for b in boxes:
+                    if b[0] not in want and linked(a, b):
+                        want[b[0]] = start[0]
+                        todo.append(b)
+    assert got == want and 1 < len(set(want.values())) < len(boxes)
