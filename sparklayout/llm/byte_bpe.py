@@ -11,18 +11,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparklayout.llm.common import Memo, slices
+from sparklayout.llm.common import Memo, held, slices
 
 #: Where the 256 bytes go: one assigned character each, none of them white space.
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
-#: Distinct pre-tokens in each of the two generations that a worker remembers.
-MEMO = 250_000
+#: What a worker remembers of pre-tokens and their ids.
+MEMO_BYTES = 64 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -70,9 +69,11 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.table = {i: c for i, c in enumerate(BYTE_CHARS)}
         # a pre-token that is itself in the vocabulary is one id, even where the merges don't lead to it
-        known = self.model.encode([self._mapped(t) for t in self.tokens], num_threads=1)
-        self.whole = {t: i for i, (t, ids) in enumerate(zip(self.tokens, known, strict=True)) if ids != [i]}
-        self.memo = Memo(lambda token: ",".join(map(str, self.encode_pretoken(token))), MEMO)
+        self.whole = {}
+        for rank, token in enumerate(self.tokens):
+            if self.model.encode(self._mapped(token), num_threads=1) != [rank]:
+                self.whole[token] = rank
+        self.memo = Memo(MEMO_BYTES, lambda token: ",".join(map(str, self.encode_pretoken(token))))
         self.by_text = {str(i): t for i, t in enumerate(self.tokens)}
 
     def _mapped(self, data: bytes) -> str:
@@ -86,18 +87,13 @@ class Codec:
 
     def encode_joined(self, text: str) -> str:
         """The ids of a text as decimal numbers with commas between."""
+        self.memo.make_room()
         return ",".join(map(self.memo.__getitem__, self.pattern.findall(text)))
 
     def decode_joined(self, ids: str) -> bytes:
         return b"".join(map(self.by_text.__getitem__, ids.split(","))) if ids else b""
 
 
-@lru_cache(maxsize=2)
-def codec(ranks: bytes, pattern: str) -> Codec:
-    """One codec per worker process."""
-    return Codec(ranks, pattern)
-
-
 _IDS = T.StructType(
     [
         T.StructField("n_tokens", T.LongType()),
@@ -124,7 +120,7 @@ def encode_documents(
     schema = T.StructType([rows.schema[id_col], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
+        own = held("byte_bpe", (ranks, pattern), lambda key: Codec(*key))
         for batch in batches:
             for part in slices(batch, text_col, 4 << 20):
                 out: dict[str, list] = {f.name: [] for f in fields}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -72,19 +72,57 @@ def without_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
 
 
 class Memo(dict):
-    """A bounded memo of ``make``: when ``most`` entries are full they become the old generation, and what
-    is asked for again comes back from there. So frequent keys stay and memory is at most 2 * ``most``."""
+    """What ``make`` gives for a key, remembered within ``most_bytes``. ``make_room`` starts a new generation
+    where the present one holds half of them; it is called between texts or runs of texts, so a run finds what it
+    has put in. What is asked for again comes over from the old generation. Keys of more than ``longest``
+    characters are made anew each time."""
 
-    def __init__(self, make: Callable, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
+    #: What an entry takes beside the characters of key and value.
+    ENTRY = 180
 
-    def __missing__(self, key):
-        if len(self) >= self.most:
+    def __init__(self, most_bytes: int, make: Callable | None = None, longest: int = 64):
+        super().__init__()
+        self.most, self.make, self.longest, self.size = most_bytes // 2, make, longest, 0
+        self.old: dict = {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = value
+            self.size += len(key) + len(value) + self.ENTRY
+        return value
+
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        """The keys that aren't remembered; those of the old generation are taken over."""
+        missing = [x for x in keys if x not in self]
+        if self.old and missing:
+            back = [x for x in missing if x in self.old]
+            self.learn(back, [self.old[x] for x in back])
+            missing = [x for x in missing if x not in self]
+        return missing
+
+    def learn(self, keys: list[str], values: list) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.size += sum(map(len, keys)) + sum(map(len, values)) + self.ENTRY * len(keys)
+
+    def make_room(self) -> None:
+        if self.size > self.most:
             self.old = dict(self)
             self.clear()
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        self[key] = found
-        return found
+            self.size = 0
+
+
+_held: dict[str, tuple] = {}
+
+
+def held(name: str, key: object, make: Callable) -> object:
+    """``make(key)``, kept by the worker process until an operator asks for something else under another name
+    or key. Workers outlive their tasks: so one operator's tables never stand beside another's."""
+    if _held.get(name, (None,))[0] != key or name not in _held:
+        _held.clear()
+        give_back()
+        _held[name] = (key, make(key))
+        give_back()
+    return _held[name][1]

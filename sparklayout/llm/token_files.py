@@ -15,7 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklayout.llm.common import Memo, slices
+from sparklayout.llm.common import Memo, held, slices
 from sparklayout.sources.work import materialize, new_path
 
-#: Distinct words in each of the two generations that a worker remembers; twice as many pieces of words.
-MEMO = 200_000
+#: What a worker remembers of words, and again of pieces of words.
+MEMO_BYTES = 96 << 20
+#: Pieces that are encoded in one call.
+CALL = 10_000
 MASK_DELTA = 0xA282EAD8
 
 
@@ -73,61 +75,86 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 #: White space to str.split(), but not to the tokenizer's pattern.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Beyond these characters normalisation may join some, and lower case may depend on what follows.
+_BEYOND = re.compile("[\u0250-\U0010ffff]")
+#: A word that has such characters, or a run of others.
+_RUNS = re.compile(r"\S*[\u0250-\U0010ffff]\S*|[^\u0250-\U0010ffff]+(?=\s|\Z)")
 #: What the tokenizer's pre-tokeniser keeps apart (a fixed value of the tokenizer file).
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 class Encoder:
     """Whole texts by words: the tokenizer drops white space and never merges across it or across the
-    pieces of a word, so words, and in plain Latin words their pieces, are encoded once and remembered."""
+    pieces of a word. So the new words of a run of texts are cut into pieces, the new pieces are encoded in
+    one call, and words and pieces are remembered, within MEMO_BYTES each."""
 
     def __init__(self, config: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.find = regex.compile(_PIECES).findall
         bare = json.loads(config)
+        # texts that hold one of these, or an added token's string, are left to the library as they are
+        self.odd = (*_SEPARATORS, *(x["content"] for x in bare.get("added_tokens") or []))
         steps = (bare.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        known = any(x.get("pattern", {}).get("Regex") == _PIECES for x in steps)
-        if known:  # pieces are normalised and split already
+        self.suffix = (bare.get("model") or {}).get("end_of_word_suffix")
+        self.known = bool(self.suffix) and any(x.get("pattern", {}).get("Regex") == _PIECES for x in steps)
+        if self.known:  # pieces are normalised and split already
             rest = [x for x in steps if x["type"] != "Split"]
             bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": rest}, "added_tokens": []}
             self.bare = Tokenizer.from_str(json.dumps(bare))
-        self.pieces = Memo(self.encode_piece, 2 * MEMO)
-        self.words = Memo(self.encode_word if known else self.encode_whole, MEMO)
+            vocab = self.bare.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for token, i in vocab.items() if token.endswith(self.suffix)]] = True
+        self.pieces, self.words = Memo(MEMO_BYTES), Memo(MEMO_BYTES)
 
     def encode_whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode_piece(self, piece: str) -> bytes:
-        ids = self.bare.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode_word(self, word: str) -> bytes:
-        if not word.isascii() and max(word) >= "\u0250":  # beyond, normalisation may join characters
-            return self.encode_whole(word)
-        low = word.lower()
-        if low.isalpha():
-            return self.pieces[low]
-        if low[:-1].isalpha() and not low[-1].isalpha():  # a word and a mark
-            return self.pieces[low[:-1]] + self.pieces[low[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.find(low)))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if _SEPARATORS.search(text):
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """One call for many: a piece ends where a token has the suffix that ends words."""
+        found = self.bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids
+        ids = np.array(found, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) == len(pieces):
+            data = ids.tobytes()
+            self.pieces.learn(pieces, [data[a:b] for a, b in zip([0, *ends], ends)])
+        else:
+            self.pieces.learn(pieces, [_packed(self.bare.encode(p, add_special_tokens=False).ids) for p in pieces])
+
+    def _learn_words(self, words: list[str]) -> None:
+        """``words`` are in lower case."""
+        cut = [[w] if w.isalpha() else [w[:-1], w[-1]] if w[:-1].isalpha() else self.find(w) for w in words]
+        self.pieces.make_room()
+        fresh = self.pieces.unknown(set(chain.from_iterable(cut)))
+        for at in range(0, len(fresh), CALL):
+            self._learn_pieces(fresh[at : at + CALL])
+        get = self.pieces.__getitem__
+        self.words.learn(words, [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in cut])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        odd = [not self.known or any(x in t for x in self.odd) or (not t.isascii() and bool(_BEYOND.search(t))) for t in texts]
+        cut = [[] if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
+        self.words.make_room()
+        self._learn_words(self.words.unknown(set().union(*cut)))
+        get = self.words.__getitem__
+        return [self._encode_odd(t) if o else b"".join(map(get, words)) for t, o, words in zip(texts, odd, cut, strict=True)]
+
+    def _encode_odd(self, text: str) -> bytes:
+        """Word by word where that is safe, in runs of plain words; else the whole text at once."""
+        if not self.known or any(x in text for x in self.odd):
             return self.encode_whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
-
+        return b"".join(self.encode_whole(w) if _BEYOND.search(w) else self.encode(w) for w in _RUNS.findall(text))
 
-@lru_cache(maxsize=2)
-def encoder(config: str) -> Encoder:
-    """One encoder per worker process."""
-    return Encoder(config)
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _INDEX = "doc_id {id}, file_no int, file string, row_no long, offset long, length long, n_tokens long, start_in_file long"
@@ -142,7 +169,8 @@ def write_token_files(
     Documents are in ascending id order (null ids first, equal ids by text) over the files and inside each
     file. Null text counts as empty: its record holds the end id only. A task writes one file under a new
     name, and only files that the index names count, so repeated tasks do no harm. The index itself is a
-    table in the shared folder. An empty input gives an empty index.
+    table in the shared folder. Ids are those of the tokenizers library with add_special_tokens off: an added
+    token's string inside a text becomes that token. An empty input gives an empty index.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -155,7 +183,7 @@ def write_token_files(
     schema = _INDEX.format(id=rows.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(config).encode
+        encode_all = held("token_files", config, Encoder).encode_all
         number = TaskContext.get().partitionId()
         store, root = file_system(folder)
         name = f"part-{number:06d}-{uuid.uuid4().hex}.bin"
@@ -164,8 +192,8 @@ def write_token_files(
             for batch in batches:
                 for part in slices(batch, "text", 4 << 20):
                     index: list[tuple[int, int, int, int]] = []
-                    for text in part.column("text").to_pylist():
-                        ids = encode(text) + end if text else end
+                    for ids in encode_all([x or "" for x in part.column("text").to_pylist()]):
+                        ids += end
                         record = frame(pack(ids))
                         if out is None:
                             store.create_dir(root, recursive=True)

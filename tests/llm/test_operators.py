@@ -64,11 +64,11 @@ def test_token_files_round_trip_and_damage(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
-    index = token_files.write_token_files(docs_of(spark, ODD), WORDS, 2)
+    odd = [*ODD, (20, "hello <|endoftext|> world<|startoftext|>x <|ENDOFTEXT|>"), (21, "ΣΑΣ. İx ² don't_a's ½"), (22, "\x1ca\x1db")]
+    index = token_files.write_token_files(docs_of(spark, odd), WORDS, 2)
     got = [tuple(r) for r in token_files.read_token_files(index.repartition(3)).orderBy("start").select("doc_id", "start", "n_tokens", "ids").collect()]
     start = 0
-    for (i, s, n, ids), (j, text) in zip(got, sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), strict=True):
+    for (i, s, n, ids), (j, text) in zip(got, sorted(odd, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")), strict=True):
         want = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
         assert (i, s, n, bytes(ids)) == (j, start, len(want), struct.pack(f"<{len(want)}I", *want))
         start += n
