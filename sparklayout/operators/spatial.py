@@ -1,10 +1,13 @@
-"""Spatial joins as equi-joins on grid cells of several sizes.
-
-A rectangle's own level is the least L whose cells (8^L wide) are no smaller than the rectangle, so it
-covers at most four of them. Both sides are put into the cells of every level that occurs, from their own
-level up, and matched where at least one is at its own level: small rectangles meet small ones in small
-cells, and a long strap meets small ones in large cells, without being cut into thousands of pieces. A
-pair that shares several cells is kept in one of them, so nothing has to be made distinct.
+"""Spatial joins as one equi-join on grid cells whose width and height suit the rectangles.
+
+Along each axis a rectangle has a level: the least L whose cells (16^L long) are no shorter than it. A pair meets in
+cells that have, along each axis, the greater of its two levels; there each of the two covers at most two cells an
+axis. Which side's level that is, along x and along y, makes four cases, and the case is part of the key: one side
+stands at its own level, the other is raised to those levels that occur on the other side. So in a cell stand only
+rectangles that belong together at this level: small ones meet small ones in small cells, and a strap of a whole
+chip meets what lies along it in long, flat cells, while those small rectangles don't meet each other there. A pair
+that shares several cells is kept in one of them, so nothing has to be made distinct. Both sides of the join are
+plain exchanges, so a cell that a wide rectangle shares with a whole layer is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from sparklayout.functions import geometry as g
 from sparklayout.functions import layers
 from sparklayout.functions.geometry import Box
 
-GROWTH = 8
+GROWTH = 16
 PREDICATES: dict[str, Callable[[Box, Box], Column]] = {
     "touches": g.touches,
     "overlaps": g.overlaps,
@@ -26,32 +29,71 @@ PREDICATES: dict[str, Callable[[Box, Box], Column]] = {
 }
 
 
-def _level(box: Box) -> Column:
-    extent = F.greatest(box.x2 - box.x1, box.y2 - box.y1, F.lit(1))
-    return F.ceil(F.log(extent.cast("double")) / F.log(F.lit(float(GROWTH)))).cast("int")
+def _level(low: Column, high: Column) -> Column:
+    extent = F.greatest(high - low, F.lit(1)).cast("double")
+    return F.ceil(F.log(extent) / F.log(F.lit(float(GROWTH)))).cast("int")
 
 
-def _levels(*sides: DataFrame) -> list[int]:
-    """The levels that occur: at most some twenty numbers."""
-    found: set[int] = set()
-    for side in sides:
-        found |= {r["level"] for r in side.select(_level(Box.of()).alias("level")).distinct().collect() if r["level"] is not None}
-    return sorted(found)
+def _shapes(a: DataFrame, b: DataFrame) -> tuple[set, set]:
+    """The (x level, y level) that occur on each side, in one job: some dozens at most."""
+    box = Box.of()
+    levels = (_level(box.x1, box.x2).alias("x"), _level(box.y1, box.y2).alias("y"))
+    sides = [a.select(F.lit(0).alias("side"), *levels)] + ([] if a is b else [b.select(F.lit(1).alias("side"), *levels)])
+    rows = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+    found = rows.where("x is not null and y is not null").distinct().collect()
+    left = {(r["x"], r["y"]) for r in found if r["side"] == 0}
+    return left, left if a is b else {(r["x"], r["y"]) for r in found if r["side"] == 1}
 
 
-def _binned(side: DataFrame, suffix: str, keys: list[str], levels: list[int]) -> DataFrame:
-    own = _level(Box.of())
-    known = F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>")
-    placed = side.select(
-        *keys,
-        *(F.col(c).alias(f"{c}{suffix}") for c in side.columns if c not in keys),
-        own.alias(f"_own{suffix}"),
-        F.explode(F.filter(known, lambda x: x >= own)).alias("_level"),
-    )
+def _array(items: list[Column], kind: str) -> Column:
+    return F.array(*items) if items else F.array().cast(f"array<{kind}>")
+
+
+def _binned(side: DataFrame, suffix: str, keys: list[str], others: set, first: bool) -> DataFrame:
+    """Every row once for each case, level and cell in which it can meet rows of the other side."""
     box = Box.of(suffix)
-    width = F.pow(F.lit(float(GROWTH)), F.col("_level"))
-    across = lambda lo, hi: F.sequence(F.floor(lo / width), F.floor(hi / width))
-    return placed.withColumn("_bx", F.explode(across(box.x1, box.x2))).withColumn("_by", F.explode(across(box.y1, box.y2)))
+    x, y = F.col("_x"), F.col("_y")
+    shapes = _array([F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in sorted(others)], "struct<x:int,y:int>")
+    across = _array([F.lit(i) for i in sorted({i for i, _ in others})], "int")
+    along = _array([F.lit(j) for j in sorted({j for _, j in others})], "int")
+    at = lambda case, i, j: F.struct(F.lit(case).alias("_case"), i.alias("_lx"), j.alias("_ly"))
+    if first:  # case 0: own level along both; 1: along x; 2: along y; 3: raised along both
+        places = F.concat(
+            F.array(at(0, x, y)),
+            F.transform(F.filter(along, lambda j: j > y), lambda j: at(1, x, j)),
+            F.transform(F.filter(across, lambda i: i > x), lambda i: at(2, i, y)),
+            F.transform(F.filter(shapes, lambda s: (s["x"] > x) & (s["y"] > y)), lambda s: at(3, s["x"], s["y"])),
+        )
+    else:  # the other way round
+        places = F.concat(
+            F.transform(F.filter(shapes, lambda s: (s["x"] >= x) & (s["y"] >= y)), lambda s: at(0, s["x"], s["y"])),
+            F.transform(F.filter(across, lambda i: i >= x), lambda i: at(1, i, y)),
+            F.transform(F.filter(along, lambda j: j >= y), lambda j: at(2, x, j)),
+            F.array(at(3, x, y)),
+        )
+    named = side.select(*keys, *(F.col(c).alias(f"{c}{suffix}") for c in side.columns if c not in keys))
+    levels = named.withColumns({"_x": _level(box.x1, box.x2), "_y": _level(box.y1, box.y2)})
+    placed = levels.withColumn("_place", F.explode(places)).drop("_x", "_y").select("*", "_place.*").drop("_place")
+    wide = lambda c: F.pow(F.lit(float(GROWTH)), F.col(c))
+    cells = lambda low, high, c: F.explode(F.sequence(F.floor(low / wide(c)), F.floor(high / wide(c))))
+    return placed.withColumn("_bx", cells(box.x1, box.x2, "_lx")).withColumn("_by", cells(box.y1, box.y2, "_ly"))
+
+
+_CELL = ["_case", "_lx", "_ly", "_bx", "_by"]
+
+
+def _whole(side: DataFrame) -> DataFrame:
+    return side.where(" and ".join(f"{c} is not null" for c in ("x1", "y1", "x2", "y2")))
+
+
+def candidates(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The pairs that share a cell, once for each cell that they share."""
+    keys = keys or []
+    self_join = a is b
+    a = _whole(a)
+    b = a if self_join else _whole(b)
+    of_a, of_b = _shapes(a, b)
+    return _binned(a, "_a", keys, of_b, True).join(_binned(b, "_b", keys, of_a, False), [*keys, *_CELL])
 
 
 def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "touches", keys: list[str] | None = None) -> DataFrame:
@@ -60,19 +102,12 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "touches", keys: l
     Both sides have x1, y1, x2, y2 and other columns; in the result those of ``a`` end in ``_a``, those of
     ``b`` in ``_b``, and the keys keep their names. Rectangles with a null side match nothing.
     """
-    keys = keys or []
-    whole = lambda d: d.where(" and ".join(f"{c} is not null" for c in ("x1", "y1", "x2", "y2")))
-    a, b = whole(a), whole(b)
-    levels = _levels(a, b)
-    left, right = _binned(a, "_a", keys, levels), _binned(b, "_b", keys, levels)
     box_a, box_b = Box.of("_a"), Box.of("_b")
-    width = F.pow(F.lit(float(GROWTH)), F.col("_level"))
-    once = (F.col("_bx") == F.floor(F.greatest(box_a.x1, box_b.x1) / width)) & (
-        F.col("_by") == F.floor(F.greatest(box_a.y1, box_b.y1) / width)
+    wide = lambda c: F.pow(F.lit(float(GROWTH)), F.col(c))
+    once = (F.col("_bx") == F.floor(F.greatest(box_a.x1, box_b.x1) / wide("_lx"))) & (
+        F.col("_by") == F.floor(F.greatest(box_a.y1, box_b.y1) / wide("_ly"))
     )
-    own = (F.col("_own_a") == F.col("_level")) | (F.col("_own_b") == F.col("_level"))
-    joined = left.join(right, [*keys, "_level", "_bx", "_by"]).where(own & once & PREDICATES[predicate](box_a, box_b))
-    return joined.drop("_level", "_bx", "_by", "_own_a", "_own_b")
+    return candidates(a, b, keys).where(once & PREDICATES[predicate](box_a, box_b)).drop(*_CELL)
 
 
 def touch_self_join(rects: DataFrame, keys: list[str], id_col: str = "rect_id") -> DataFrame:
@@ -106,17 +141,17 @@ def window_query(rects: DataFrame, boxes: DataFrame, id_col: str = "rect_id", bo
 
 
 def labels_to_rects(labels: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
-    """label_id, rect_id: for each label point the least rectangle that it touches (null if none)."""
+    """keys, label_id, rect_id: for each label point the least rectangle that it touches (null if none)."""
     points = labels.select(*keys, "label_id", *(F.col(c).alias(n) for c, n in (("x", "x1"), ("y", "y1"), ("x", "x2"), ("y", "y2"))))
     hits = spatial_join(points, rects.select(*keys, "rect_id", "x1", "y1", "x2", "y2"), "touches", keys)
-    least = hits.groupBy(F.col("label_id_a").alias("label_id")).agg(F.min("rect_id_b").alias("rect_id"))
-    return labels.select("label_id").join(least, "label_id", "left")
+    least = hits.groupBy(*keys, F.col("label_id_a").alias("label_id")).agg(F.min("rect_id_b").alias("rect_id"))
+    return labels.select(*keys, "label_id").join(least, [*keys, "label_id"], "left")
 
 
 def unmatched_labels(labels: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
     """The labels that touch no rectangle."""
     found = labels_to_rects(labels, rects, keys).where("rect_id is not null")
-    return labels.join(found, "label_id", "left_anti")
+    return labels.join(found, [*keys, "label_id"], "left_anti")
 
 
 def overlaps_any(rects: DataFrame, wells: DataFrame, keys: list[str], id_col: str = "rect_id") -> DataFrame:

@@ -318,13 +318,15 @@ def j4(spark, sf):
       and l.x between r.x1 and r.x2 and l.y between r.y1 and r.y2 group by l.label_id"""),
 )
 def j5(spark, sf):
-    return spatial.labels_to_rects(view(spark, sf, "label_points"), view(spark, sf, "rects"), ["layer"])
+    return spatial.labels_to_rects(view(spark, sf, "label_points"), view(spark, sf, "rects"), ["layer"]).select("label_id", "rect_id")
 
 
 @query(
     "j5_unmatched_labels",
-    duck("""select l.label_id, l.text from label_points l where l.label_id not in (select l2.label_id from label_points l2 join rects r
-      on r.layer = l2.layer and l2.x between r.x1 and r.x2 and l2.y between r.y1 and r.y2)"""),
+    duck("""with rc as (select layer, x1, y1, x2, y2, cx, unnest(range(y1//100, y2//100+1)) as cy from (select *, unnest(range(x1//100, x2//100+1)) as cx from rects)),
+      hit as (select distinct l.label_id from label_points l join rc on rc.layer = l.layer and rc.cx = l.x//100 and rc.cy = l.y//100
+        where l.x between rc.x1 and rc.x2 and l.y between rc.y1 and rc.y2)
+      select l.label_id, l.text from label_points l left join hit using (label_id) where hit.label_id is null"""),
 )
 def j5_unmatched(spark, sf):
     return spatial.unmatched_labels(view(spark, sf, "label_points"), view(spark, sf, "rects"), ["layer"]).select("label_id", "text")

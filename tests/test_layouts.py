@@ -222,3 +222,47 @@ def test_cell_wires_equal_brute_force_reachability(spark, monkeypatch, seed):
                         want[b[0]] = start[0]
                         todo.append(b)
     assert got == want and 1 < len(set(want.values())) < len(boxes)
+
+
+def _grid_with_straps(spark, n, straps):
+    """n small squares in a square grid, and as many straps as asked for along each axis over all of it."""
+    side = int(n**0.5)
+    small = spark.range(n).selectExpr("id as rect_id", f"cast(id % {side} as bigint) * 40 as x1", f"id div {side} * 40 as y1")
+    small = small.selectExpr("0 as layer", "rect_id", "x1", "y1", "x1 + 20 as x2", "y1 + 20 as y2")
+    gap = max(1, side // max(1, straps)) * 40
+    flat = spark.range(straps).selectExpr("0 as layer", f"{n} + id as rect_id", "0L as x1", f"id * {gap} + 8 as y1", f"{side * 40}L as x2", f"id * {gap} + 12 as y2")
+    high = spark.range(straps).selectExpr("0 as layer", f"{n + straps} + id as rect_id", f"id * {gap} + 8 as x1", "0L as y1", f"id * {gap} + 12 as x2", f"{side * 40}L as y2")
+    return small.unionByName(flat).unionByName(high)
+
+
+def test_straps_keep_the_spatial_join_linear(spark):
+    """The rows that share a cell grow with the rectangles and with what touches, not with their square."""
+    made = {}
+    for n in (2500, 10000):
+        rects = _grid_with_straps(spark, n, 5)
+        made[n] = spatial.candidates(rects, rects, ["layer"]).count()
+    assert made[10000] <= 5 * made[2500]
+    plain = _grid_with_straps(spark, 10000, 0)
+    alone = spatial.candidates(plain, plain, ["layer"]).count()
+    assert made[10000] <= 2 * alone + 4 * 10000 * 10
+    rects = _grid_with_straps(spark, 400, 4)
+    got = {(r["a"], r["b"]) for r in spatial.touch_self_join(rects, ["layer"]).collect()}
+    each = [tuple(r) for r in rects.select("rect_id", "x1", "y1", "x2", "y2").collect()]
+    assert got == {(a[0], b[0]) for a in each for b in each if a[0] < b[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
+
+
+@pytest.mark.parametrize("predicate", ["touches", "overlaps", "contains"])
+def test_spatial_join_of_all_sizes_equals_brute_force(spark, predicate):
+    rng = random.Random(11)
+    size = lambda: rng.choice([0, 1, 5, 16, 17, 100, 255, 256, 300, 5000, 70000])
+    make = lambda n: [(i, i % 2, x := rng.randrange(-40000, 40000), y := rng.randrange(-300, 300), x + size(), y + size()) for i in range(n)]
+    left, right = make(150), make(120)
+    schema = "id long, file_id int, x1 long, y1 long, x2 long, y2 long"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame([*right, (900, 0, None, 0, 1, 1)], schema)
+    got = sorted((r["id_a"], r["id_b"]) for r in spatial.spatial_join(a, b, predicate, ["file_id"]).collect())
+    tests = {
+        "touches": lambda p, q: p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5],
+        "overlaps": lambda p, q: p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5],
+        "contains": lambda p, q: p[2] <= q[2] and p[3] <= q[3] and p[4] >= q[4] and p[5] >= q[5],
+    }
+    assert got == sorted((p[0], q[0]) for p in left for q in right if p[1] == q[1] and tests[predicate](p, q)) and got
