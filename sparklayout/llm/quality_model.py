@@ -1,34 +1,43 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, which needs no word list and works for any script. Its n-gram counts are a
-table sharded by n-gram; probabilities come from joins of that table with itself, order by order. To score,
+The model is over characters, which needs no word list and works for any script; a word that repeats the word
+before it is one character of its own, so that the model sees repetition, however long the word. Its n-gram counts
+are a table sharded by n-gram; probabilities come from joins of that table with itself, order by order. To score,
 documents are dealt into blocks, each block's distinct n-grams are joined with the sharded probabilities,
-and every block gets back just its own slice of the model. A document is rejected if its perplexity is
-above its language's limit: a high quantile of the trusted documents' perplexities times a margin.
+and every block gets back just its own slice of the model. Texts travel compressed. The model learns from most of
+the trusted documents; the others set each language's limit: a high quantile of how far their perplexities lie
+above the language's mean, measured against what a text of that length may stray.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sparklayout.llm.common import slices, with_ids, without_ids
+from sparklayout.llm.common import give_back, slices, with_ids, without_ids
 from sparklayout.sources.work import materialize
 
-#: Length of n-grams; quantile and margin of the limit; characters of average text that are added to each
-#: document, so that very short ones are not judged by a few characters; rows in a block.
-ORDER, QUANTILE, MARGIN, PRIOR_CHARS, BLOCK_ROWS = 4, 0.99, 1.2, 60, 4000
+#: Length of n-grams; quantile of the limit; one trusted document in HELD_OUT sets limits, the others are learned from.
+ORDER, QUANTILE, HELD_OUT = 4, 0.995, 5
+#: Beyond so many characters longer texts aren't judged more strictly.
+FULL_CHARS = 5000
+#: Bytes of text in a block, and in what a block takes from one run of rows.
+BLOCK_BYTES, PACK_BYTES = 16 << 20, 16 << 20
 #: Tables of shorter n-grams up to this many rows are broadcast, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Texts are worked on in runs of about so many bytes.
 RUN_BYTES = 1 << 20
-#: Stands before the first character and after the last.
-EDGE, SPACE = 2, 32
+#: Stands before the first character and after the last; stands for a word like the one before.
+EDGE, REPEAT, SPACE = 2, 3, 32
 
 
 @lru_cache(maxsize=1)
@@ -45,14 +54,21 @@ def _folded() -> np.ndarray:
 
 
 def clean(text: str | None) -> np.ndarray:
-    """Folded code points, runs of spaces as one, none at either end."""
+    """Folded code points, runs of spaces as one, none at either end; a word that equals the word before it, and
+    the space between them, become one REPEAT."""
     if not text:
         return np.empty(0, np.uint32)
     x = _folded()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     keep = x != SPACE
     keep[:-1] |= keep[1:]  # a space right before another character stays
     x = x[keep]
-    return x[1:] if len(x) and x[0] == SPACE else x
+    x = x[1:] if len(x) and x[0] == SPACE else x
+    words = x.tobytes().decode("utf-32-le").split(" ")
+    if not any(map(eq, words, islice(words, 1, None))):
+        return x
+    mark = chr(REPEAT)
+    pieces = (mark if now == before else f" {now}" for before, now in zip(words, words[1:]))
+    return np.frombuffer("".join((words[0], *pieces)).encode("utf-32-le"), np.uint32)
 
 
 def _compact(key: np.ndarray, bound: int) -> tuple[np.ndarray, int]:
@@ -165,41 +181,86 @@ class Model:
         return rows.select(*asked.columns, log.alias("logp"))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, lang, text, block) to rows (block, ids, langs, sizes, data): documents of one block that came
+    together, with their texts as one compressed string and their sizes in bytes (-1 for null)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", PACK_BYTES):
+                blocks = part.column("block").to_numpy()
+                order = np.argsort(blocks, kind="stable")
+                starts = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+                ids, langs = part.column("doc_id").to_pylist(), part.column("lang").to_pylist()
+                texts = part.column("text").cast(pa.binary()).to_pylist()
+                rows = []
+                for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+                    at = order[lo:hi].tolist()
+                    own = [texts[i] for i in at]
+                    data = pa.compress(b"".join(x or b"" for x in own), "zstd", asbytes=True)
+                    sizes = [-1 if x is None else len(x) for x in own]
+                    rows.append((int(blocks[at[0]]), [ids[i] for i in at], [langs[i] for i in at], sizes, data))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    id_type = docs.schema["doc_id"].dataType
+    names = ["block", "ids", "langs", "sizes", "data"]
+    kinds = [pa.int32(), pa.list_(to_arrow_type(id_type)), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+    schema = f"block int, ids array<{id_type.simpleString()}>, langs array<string>, sizes array<bigint>, data binary"
+    return docs.select("doc_id", "lang", "text", "block").mapInArrow(pack, schema)
+
+
+def _unpacked(table: pa.Table) -> Iterator[list[str | None]]:
+    """The texts of packed rows, in runs of about RUN_BYTES."""
+    for sizes, data in zip(table.column("sizes"), table.column("data"), strict=True):
+        sizes = sizes.as_py()
+        whole = memoryview(pa.decompress(data.as_buffer(), sum(max(0, n) for n in sizes), "zstd"))
+        run, at, start = [], 0, 0
+        for n in sizes:
+            if run and at + n - start > RUN_BYTES:
+                yield run
+                run, start = [], at
+            run.append(None if n < 0 else str(whole[at : at + n], "utf-8"))
+            at += max(0, n)
+        yield run
+    give_back()
+
+
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_chars (places), nll (sum of -log p) for docs(doc_id, lang, text).
 
-    The blocks' exchange is planned once and read twice: for the n-grams and for the scores.
+    The blocks' exchange is planned once and read twice: for the n-grams and for the scores. A block is named by a
+    hash of its rows, so a repeated task deals them alike.
     """
     order = model.order
-    blocks = max(1, docs.count() // BLOCK_ROWS)
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, size // BLOCK_BYTES)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    placed = _packed(dealt).repartition("block")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def distinct(key: tuple, table: pa.Table) -> pa.Table:
         grams: set[str] = set()
-        for batch in table.select(["text"]).to_batches():
-            for part in slices(batch, "text", RUN_BYTES):
-                grams.update(text_grams(part.column("text").to_pylist(), order)[0])
+        for texts in _unpacked(table):
+            grams.update(text_grams(texts, order)[0])
         return pa.table({"block": pa.array([key[0].as_py()] * len(grams), pa.int32()), "gram": pa.array(list(grams), pa.string())})
 
     asked = placed.groupBy("block").applyInArrow(distinct, "block int, gram string")
     known = model.with_log_probs(asked)
 
-    def score(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
+    def score(key: tuple, packed: pa.Table, table: pa.Table) -> pa.Table:
         logp = dict(zip(table.column("gram").to_pylist(), table.column("logp").to_pylist(), strict=True))
         sizes, sums = [], []
-        for batch in texts.select(["text"]).to_batches():
-            for part in slices(batch, "text", RUN_BYTES):
-                grams, number, per_text = text_grams(part.column("text").to_pylist(), order)
-                each = np.fromiter(map(logp.__getitem__, grams), float, len(grams))[number]
-                total = np.concatenate(([0.0], np.cumsum(each)))
-                ends = np.cumsum(per_text)
-                sizes.append(per_text)
-                sums.append(total[ends - per_text] - total[ends])
+        for texts in _unpacked(packed):
+            grams, number, per_text = text_grams(texts, order)
+            each = np.fromiter(map(logp.__getitem__, grams), float, len(grams))[number]
+            total = np.concatenate(([0.0], np.cumsum(each)))
+            ends = np.cumsum(per_text)
+            sizes.append(per_text)
+            sums.append(total[ends - per_text] - total[ends])
         return pa.table(
             {
-                "doc_id": texts.column("doc_id"),
-                "lang": texts.column("lang"),
+                "doc_id": pc.list_flatten(packed.column("ids")),
+                "lang": pc.list_flatten(packed.column("langs")),
                 "n_chars": pa.array(np.concatenate([*sizes, np.empty(0, np.int64)])),
                 "nll": pa.array(np.concatenate([*sums, np.empty(0)])),
             }
@@ -217,35 +278,46 @@ def judge_quality(
     lang_col: str = "lang",
     order: int = ORDER,
     quantile: float = QUANTILE,
-    margin: float = MARGIN,
 ) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, limit, keep for every row.
-
-    ``trusted`` holds the ids (column ``id_col``) of the documents to learn from. A null language is a
-    language of its own (``und``). Texts without a character to score (null, blank) are rejected and have a
-    null perplexity; a language without trusted documents has a null limit and keeps all its other texts,
-    as does everything where nothing is trusted. Repeated rows are judged alike. Other columns are not read.
+    """doc_id, lang, n_chars, perplexity, excess, limit, keep for every row.
+
+    ``trusted`` holds the ids (column ``id_col``) of documents known to be good. Four in five are learned from, the
+    fifth (by a hash of the id; all of them where that leaves none) sets the limits. ``excess`` is how far a text's mean
+    of -log p lies above its language's, in units of what a text of its length strays: 1 / sqrt(n) for n characters,
+    and not less than that of FULL_CHARS. ``limit`` is the ``quantile`` of the language's held-out excesses, and at
+    least that of all languages together, which also serves languages without trusted documents. A null language
+    is a language of its own (``und``). Texts without a character to score (null, blank) are rejected and have
+    a null perplexity. Where nothing is trusted, limits are null and all other texts are kept. Repeated rows are judged
+    alike. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")
     )
-    ids = materialize(trusted.select(F.col(id_col).alias("doc_id")).distinct(), "trusted")
-    model = Model(count_ngrams(with_ids(rows, ids), order), order)
-    scores = materialize(perplexities(rows, model), "scores")
-    own = scores.where("n_chars > 0").join(ids, "doc_id", "left_semi")
-    means = own.groupBy("lang").agg((F.sum("nll") / F.sum("n_chars")).alias("mean"))
-    smoothed = F.exp((F.col("nll") + PRIOR_CHARS * F.col("mean")) / (F.col("n_chars") + PRIOR_CHARS))
-    limits = (
-        own.join(F.broadcast(means), "lang")
-        .groupBy("lang")
-        .agg((F.percentile_approx(smoothed, quantile, 10_000) * margin).alias("limit"), F.first("mean").alias("mean"))
-    )
-    plain = F.exp(F.col("nll") / F.col("n_chars"))
-    judged = scores.join(F.broadcast(limits), "lang", "left").withColumn(
-        "perplexity", F.when(F.col("n_chars") > 0, F.coalesce(smoothed, plain))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    ids = materialize(trusted.select(F.col(id_col).alias("doc_id")).distinct().withColumn("held", held), "trusted")
+    split = ids.select("held").distinct().count() == 2
+    model = Model(count_ngrams(with_ids(rows, ids.where("not held") if split else ids), order), order)
+    scores = materialize(perplexities(rows, model), "scores").withColumn("mean", F.try_divide("nll", "n_chars"))
+    judged_by = materialize(scores.where("n_chars > 0").join(ids, "doc_id"), "judged_by")
+    judged_by = judged_by if not split or judged_by.where("held").isEmpty() else judged_by.where("held")
+    stray = F.sqrt(F.try_divide(F.lit(1.0), "n_chars") + 1 / F.lit(float(FULL_CHARS)))
+    centre = F.sum("nll") / F.sum("n_chars")
+    by_lang, all_centre = judged_by.groupBy("lang").agg(centre.alias("centre")), judged_by.agg(centre).first()[0]
+    excess = ((F.col("mean") - F.col("centre")) / stray).alias("excess")
+    excesses = judged_by.join(F.broadcast(by_lang), "lang").select("lang", excess)
+    high = F.percentile_approx("excess", quantile, 10_000)
+    limits = by_lang.join(excesses.groupBy("lang").agg(high.alias("limit")), "lang")
+    all_limit = excesses.agg(high).first()[0]
+    limits = limits.withColumn("limit", F.greatest("limit", F.lit(all_limit).cast("double")))
+    judged = scores.join(F.broadcast(limits), "lang", "left").withColumns(
+        {
+            "centre": F.coalesce("centre", F.lit(all_centre).cast("double")),
+            "limit": F.coalesce("limit", F.lit(all_limit).cast("double")),
+        }
     )
-    keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
-    return judged.select(F.col("doc_id").alias(id_col), "lang", "n_chars", "perplexity", "limit", keep.alias("keep"))
+    judged = judged.select("doc_id", "lang", "n_chars", F.when(F.col("n_chars") > 0, F.exp("mean")).alias("perplexity"), excess, "limit")
+    keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("excess") <= F.col("limit"), F.lit(True))
+    return judged.withColumn("keep", keep).withColumnRenamed("doc_id", id_col)
 
 
 def drop_low_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
