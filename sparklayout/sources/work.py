@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -35,3 +36,9 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, tag: str = "table") -> tuple[DataFrame, int]:
+    """:func:`materialize` and the number of rows, which the writing job takes along."""
+    seen = Observation()
+    return materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), tag), seen.get["n"]
