@@ -200,6 +200,25 @@ def test_near_duplicates_odd_inputs(spark):
     assert kept.columns == df.columns and 5 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_repeated_rows_and_ids_with_several_texts_do_not_add_up(spark):
+    """Half of the n-grams in common is no link, however often a row stands in the table."""
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    half = [*a[:40], *b[:20]]
+    rows = [(1, a)] * 30 + [(2, half)] * 30 + [(3, [*half[:59], "end"]), (4, c), (4, b), (5, b)]
+    df = docs_of(spark, [(i, " ".join(words)) for i, words in rows])
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (4, 4), (5, 4)}
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 3000):
+        x = rng.integers(0, 1 << 62, n)
+        y = np.concatenate([x[: n // 2], rng.integers(0, 1 << 62, n // 3)])
+        apart = np.bitwise_count(ngram_join.sketch(x) ^ ngram_join.sketch(y)).sum()
+        assert apart <= n - n // 2 + n // 3 and (n > 50 or apart >= (n - n // 2) * 0.9)
+
+
 def test_near_pair_met_in_both_orders(spark):
     """9 (100 words) and 11 (these and 30 rare ones) share three prefix keys; in one bucket 9's component is the
     largest, in the others it is not, so the last round meets the pair in both orders."""
