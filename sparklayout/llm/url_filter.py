@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklayout.llm.common import lower_ascii
+from sparklayout.sources.work import materialize
 
 
 class Rule(NamedTuple):
@@ -29,9 +30,9 @@ class Rule(NamedTuple):
         return self.host + self.path
 
     @property
-    def pattern(self) -> str:
-        """A regular expression for host + space + path."""
-        return rf"^(?s:[^ ]*\.)?{re.escape(self.host)} {re.escape(self.path)}"
+    def patterns(self) -> tuple[str, str]:
+        """Regular expressions for the host and for the path."""
+        return rf"^(?s:.*\.)?{re.escape(self.host)}\z", rf"^{re.escape(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
@@ -48,6 +49,8 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
+#: The token of rules that have no other; every url has it.
+ANY = "*"
 #: What is broadcast: rules up to this many; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
 
@@ -65,7 +68,7 @@ def path_of(url: Column) -> Column:
 def _tokens(host: Column, path: Column) -> Column:
     labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
     segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("p:"), x))
-    return F.array_distinct(F.concat(labels, segments))
+    return F.array_distinct(F.concat(labels, segments, F.array(F.lit(ANY))))
 
 
 def filter_urls(
@@ -87,8 +90,8 @@ def filter_urls(
     tokens = urls.select("_url", "_host", "_path", F.explode(_tokens(F.col("_host"), F.col("_path"))).alias("_token"))
 
     known = spark.createDataFrame(
-        [(i, r.action, r.text, r.pattern, t) for i, r in enumerate(rules) for t in (r.tokens or [""])],
-        "_rule int, _action string, _text string, _pattern string, _token string",
+        [(i, r.action, r.text, *r.patterns, t) for i, r in enumerate(rules) for t in (r.tokens or [ANY])],
+        "_rule int, _action string, _text string, _of_host string, _of_path string, _token string",
     )
     small = len(rules) <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda x: x)
@@ -96,19 +99,18 @@ def filter_urls(
     held = tokens.join(hint(known.select("_token").distinct()), "_token").groupBy("_token").agg(F.count("*").alias("_n"))
     index = (
         known.join(held, "_token")
-        .groupBy("_rule", "_action", "_text", "_pattern")
+        .groupBy("_rule", "_action", "_text", "_of_host", "_of_path")
         .agg(F.min_by("_token", F.struct("_n", "_token")).alias("_token"))
     )
     # a rule with a token that no url contains fits no url; min over its present tokens keeps it harmless
-    hits = tokens.join(hint(index), "_token").where(
-        F.expr("concat(_host, ' ', _path) rlike _pattern")
-    )
+    hits = tokens.join(hint(index), "_token").where("_host rlike _of_host and _path rlike _of_path")
     best = hits.groupBy("_url").agg(
         F.min_by(
             F.struct("_text", "_action"),
             F.struct(-F.length("_text"), F.when(F.col("_action") == "block", 0).otherwise(1), F.col("_text")),
         ).alias("_best")
     )
+    best = materialize(best, "url_rules")  # so that a url that many rows have, or none, is split by adaptive execution
     return (
         pages.join(best, F.col(url_col) == F.col("_url"), "left")
         .withColumns(parts)

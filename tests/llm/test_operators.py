@@ -120,7 +120,7 @@ def test_chat_states_and_escapes(spark):
 
 
 def test_url_rules_by_brute_force(spark):
-    urls = [None, "", "no scheme", "http://", "http://com", "http://com/", "https://WWW.Example.com/en/x?y#z", "https://a.www.example.com/en/", "https://example.com/en", "https://b.example.com/en/1", "http://x.net/es/", "http://x.net/es", "http://notnet/es/", "a://b://c.com/d", "http://net/fr/#", "http://x.com?q=/en/", "http://u.net/fr/\n2"]
+    urls = [None, "", "no scheme", "http://", "http://com", "http://com/", "https://WWW.Example.com/en/x?y#z", "https://a.www.example.com/en/", "https://example.com/en", "https://b.example.com/en/1", "http://x.net/es/", "http://x.net/es", "http://notnet/es/", "a://b://c.com/d", "http://my host.net/es/1", "http://x\n.net/es/", "http://a.net\n/es/", "http://net /es/", "http://x.net/ es/", "http://net/fr/#", "http://x.com?q=/en/", "http://u.net/fr/\n2"]
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls * 2)], "page_id long, url string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(df).collect()}
     for i, u in enumerate(urls * 2):
@@ -132,6 +132,12 @@ def test_url_rules_by_brute_force(spark):
         best = max(fits, key=lambda r: len(r.text), default=None)
         assert got[i] == (host, path, best.text if best else None, best.action if best else "allow"), u
     assert url_filter.filter_urls(df.limit(0)).count() == 0
+    # rules of equal length: block before allow; a rule without a host fits hosts without a name or that end in a dot
+    rules = [url_filter.Rule("allow", "b.c", "/x/"), url_filter.Rule("block", "c", "/x/y/"), url_filter.Rule("block", "", "/e")]
+    more = [(1, "http://a.b.c/x/y/"), (2, "http:///e"), (3, "http://dot./e"), (4, "http://b.c/x/"), (5, "http://c/" + "x/" * 50_000)]
+    more = spark.createDataFrame([(i, u, i) for i, u in more], "page_id long, url string, rule int")
+    tied = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(more, rules).collect()}
+    assert tied == {1: ("c/x/y/", "block"), 2: ("/e", "block"), 3: ("/e", "block"), 4: ("b.c/x/", "allow"), 5: (None, "allow")}
 
 
 @pytest.mark.parametrize("hot", [0, 400])
