@@ -3,10 +3,12 @@
 A stretch of text within edit distance k of a benchmark item of m characters shares at least
 m - q + 1 - k q of the item's q-grams, and shares them on neighbouring diagonals (text place minus item
 place). So shared q-grams are counted in overlapping bands of diagonals; only bands that reach the bound
-are compared with the item, by an alignment that stays inside the band.
+are compared with the item, by an alignment that stays inside the band. Items shorter than a q-gram are looked
+for word for word.
 
 The items are a stated query set: they are taken in blocks of bounded size, each block sent to all tasks
-and held against all documents. Documents are never shuffled.
+and held against all documents in a scan of its own. All blocks pass through the driver and stay there until the
+query has run. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -106,6 +108,11 @@ class Items:
         self.edits = np.array([k for k, _ in bounds], np.int64)
         self.least = np.array([n for _, n in bounds], np.int64)
         hashes = [grams(t, q) for t in self.texts]
+        # shorter items by length: hash of the whole item to the items that have it
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, t in enumerate(self.texts):
+            if 0 < len(t) < q:
+                self.short.setdefault(len(t), {}).setdefault(int(grams(t, len(t))[0]), []).append(i)
         flat = np.concatenate([*hashes, np.empty(0, np.uint64)])
         owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
         place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)]).astype(np.int64)
@@ -118,18 +125,42 @@ class Items:
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, start, end, distance) for each item that a text holds."""
         parts = [normalise(t) for t in texts]
-        if not len(self.hashes):
-            return []
         gap = np.zeros(self.q, np.uint32)
         starts = np.cumsum([0, *(len(x) + self.q for x, _ in parts)])
         flat = np.concatenate([y for x, _ in parts for y in (x, gap)] or [gap])
+        found = self._near(parts, starts, flat) if len(self.hashes) else {}
+        for length in self.short:
+            for key, start in self._verbatim(length, starts, flat).items():
+                found[key] = (0, start, start + length)
+        rows = []
+        for (d, i), (cost, start, end) in sorted(found.items()):
+            places = parts[d][1]
+            rows.append((d, i, int(places[start]), int(places[end - 1]) + 1, cost))
+        return rows
+
+    def _verbatim(self, length: int, starts: np.ndarray, flat: np.ndarray) -> dict[tuple[int, int], int]:
+        """(text number, item number) to the first place where an item of so many characters stands as whole words."""
+        items = self.short[length]
+        hashed = grams(flat, length)
+        out: dict[tuple[int, int], int] = {}
+        outside = (0, SPACE)
+        for at in np.flatnonzero(np.isin(hashed, np.array(list(items), np.uint64))).tolist():
+            whole = (at == 0 or flat[at - 1] in outside) and flat[at + length] in outside
+            for i in items[int(hashed[at])] if whole else ():
+                d = int(np.searchsorted(starts, at, side="right")) - 1
+                if np.array_equal(flat[at : at + length], self.texts[i]) and (d, i) not in out:
+                    out[d, i] = at - int(starts[d])
+        return out
+
+    def _near(self, parts: list, starts: np.ndarray, flat: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(text number, item number) to distance, start and end, for items with q-grams."""
         hashed = grams(flat, self.q)
         hits = np.flatnonzero(self.maybe[(hashed >> np.uint64(42)).astype(np.int64)])
         found = np.minimum(np.searchsorted(self.hashes, hashed[hits]), len(self.hashes) - 1)
         real = self.hashes[found] == hashed[hits]
         hits, found = hits[real], found[real]
         if not len(hits):
-            return []
+            return {}
         times = self.times[found]
         entry = np.repeat(self.first[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
         text_at = np.repeat(hits, times)
@@ -157,15 +188,11 @@ class Items:
             cost, start, end = align(self.texts[i], x, low - w, low + 2 * w - 1)
             if cost <= self.edits[i] and ((d, i) not in out or (cost, start) < (out[d, i][0], out[d, i][1])):
                 out[d, i] = (cost, start, end)
-        found_rows = []
-        for (d, i), (cost, start, end) in sorted(out.items()):
-            places = parts[d][1]
-            found_rows.append((d, i, int(places[start]), int(places[end - 1]) + 1, cost))
-        return found_rows
+        return out
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of about ``most`` characters; one block at a time is on the driver."""
+    """Items in blocks of about ``most`` characters."""
     block: list[tuple[int, str]] = []
     size = 0
     for row in benchmark.toLocalIterator():
@@ -191,8 +218,10 @@ def find_contamination(
     and item that it holds within the edit budget, with the closest stretch.
 
     Texts and items are compared by letters and digits, lower-cased, with one space for everything between.
-    Null and blank texts, and items with fewer than ``q`` characters, match nothing. Items that are equal
-    are each reported. Without items the result is empty. Other columns are not read.
+    Null and blank texts and items match nothing; items with fewer than ``q`` characters match where they stand as
+    whole words, letter for letter. Of stretches that are equally close the first is reported. Items that are equal
+    are each reported, as is each of repeated rows. Without items or documents the result is empty. Other columns
+    are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")

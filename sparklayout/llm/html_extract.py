@@ -3,8 +3,8 @@
 Each page is aligned, line by line (a line is one block's text), with a page of the path next to its own on the
 same host by their longest common subsequence; lines that both have are the site's, not the page's, and go. Two
 things are settled by markup instead, because differences alone get them wrong: blocks in menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles go even where they vary from page to page; and a page
-that marks its article is not aligned: all of the article stays and nothing else.
+sidebars, notices, adverts, forms, comments, scripts and styles go even where they vary from page to page; and lines
+inside an article or main element stay even where another article says the same.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,11 +111,14 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+#: Pairs of equal lines up to which they are chained one by one; above, rows of bits are used.
+PAIRS = 100_000
+
+
+def common_lines(a: list, b: list) -> set[int]:
     """Places in ``a`` of one longest common subsequence with ``b``.
 
-    Equal ends are taken off first and lines that only one side has are left out; then matches are
-    chained from the last place in ``b`` to the first, keeping for each length the least end.
+    Equal ends are taken off first and lines that only one side has are left out.
     """
     lo, hi_a, hi_b = 0, len(a), len(b)
     while lo < hi_a and lo < hi_b and a[lo] == b[lo]:
@@ -122,13 +126,23 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     while hi_a > lo and hi_b > lo and a[hi_a - 1] == b[hi_b - 1]:
         hi_a, hi_b = hi_a - 1, hi_b - 1
     found = {*range(lo), *range(hi_a, len(a))}
-    places: dict[str, list[int]] = {}
-    for j in range(hi_b - 1, lo - 1, -1):
+    times_a, times_b = Counter(a[lo:hi_a]), Counter(b[lo:hi_b])
+    at = [i for i in range(lo, hi_a) if a[i] in times_b]
+    left, right = [a[i] for i in at], [x for x in b[lo:hi_b] if x in times_a]
+    pairs = sum(n * times_b[x] for x, n in times_a.items())
+    found.update(at[i] for i in (_chained(left, right) if pairs <= PAIRS else _halved(left, right, 0)))
+    return found
+
+
+def _chained(a: list, b: list) -> list[int]:
+    """Matches are chained from the last place in ``b`` to the first, keeping for each length the least end."""
+    places: dict = {}
+    for j in range(len(b) - 1, -1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []
     chains: list[tuple] = []
-    for i in range(lo, hi_a):
-        for j in places.get(a[i], ()):
+    for i, x in enumerate(a):
+        for j in places[x]:
             k = bisect_left(ends, j)
             link = (i, chains[k - 1] if k else None)
             if k == len(ends):
@@ -136,28 +150,51 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
                 chains.append(link)
             elif j < ends[k]:
                 ends[k], chains[k] = j, link
-    link = chains[-1] if chains else None
+    found, link = [], chains[-1] if chains else None
     while link:
-        found.add(link[0])
+        found.append(link[0])
         link = link[1]
     return found
 
 
+def _lengths(a: list, b: list) -> np.ndarray:
+    """For j = 0 .. len(b): how long the longest common subsequence of ``a`` and the first j of ``b`` is.
+
+    One bit a line of ``b`` says where the length doesn't grow; a line of ``a`` updates all bits at once.
+    """
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    flat = whole
+    for x in a:
+        hit = flat & where.get(x, 0)
+        flat = (flat + hit | flat - hit) & whole
+    bits = np.frombuffer(flat.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return np.concatenate(([0], np.cumsum(np.unpackbits(bits, bitorder="little")[: len(b)] == 0)))
+
+
+def _halved(a: list, b: list, first: int) -> list[int]:
+    """The same for many repeats: ``a`` is cut in half and ``b`` where the two halves' lengths add up to the most."""
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [first] if a[0] in b else []
+    middle = len(a) // 2
+    before, after = _lengths(a[:middle], b), _lengths(a[middle:][::-1], b[::-1])[::-1]
+    cut = int(np.argmax(before + after))
+    return _halved(a[:middle], b[:cut], first) + _halved(a[middle:], b[cut:], first + middle)
+
+
 def main_text(lines: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
-    """Blocks that stay, joined by one space."""
+    """Blocks that stay, joined by one space: not dropped by markup, and not the other page's unless in an article."""
     shared = common_lines([x[0] for x in lines], [x[0] for x in other]) if other is not None else set()
-    marked = any(content and not dropped for _, dropped, content in lines)
-    keep = (
-        text
-        for i, (text, dropped, content) in enumerate(lines)
-        if not dropped and (content if marked else i not in shared)
-    )
-    return " ".join(keep)
+    return " ".join(text for i, (text, dropped, content) in enumerate(lines) if not dropped and (content or i not in shared))
 
 
 def _parsed(rows: DataFrame, whole: bool) -> DataFrame:
-    """page_id, url, host, path, keys (a 64-bit hash of each line) and, if ``whole``, marked (whether a content
-    element holds a line that stays) and texts (of the lines that may stay; null for the others)."""
+    """page_id, url, host, path, keys (a 64-bit hash of each line) and, if ``whole``, inside (whether a content element
+    holds the line) and texts (of the lines that markup lets stay; null for the others)."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,16 +205,16 @@ def _parsed(rows: DataFrame, whole: bool) -> DataFrame:
                     lines = lines_of(page)
                     hashes = [xxhash.xxh3_64_intdigest(x[0].encode("utf-8", "surrogatepass")) for x in lines]
                     keys.append(np.array(hashes, np.uint64).view(np.int64))
-                    marks.append(any(content and not dropped for _, dropped, content in lines))
                     if whole:
-                        texts.append([t if not dropped and (content or not marks[-1]) else None for t, dropped, content in lines])
+                        marks.append([content for _, _, content in lines])
+                        texts.append([None if dropped else t for t, dropped, _ in lines])
                 columns = [*(part.column(c) for c in _KEYS), pa.array(keys, pa.list_(pa.int64()))]
                 if whole:
-                    columns += [pa.array(marks, pa.bool_()), pa.array(texts, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, [*_KEYS, "keys", *(("marked", "texts") if whole else ())])
+                    columns += [pa.array(marks, pa.list_(pa.bool_())), pa.array(texts, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*_KEYS, "keys", *(("inside", "texts") if whole else ())])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in _KEYS) + ", keys array<bigint>"
-    return rows.mapInArrow(run, schema + (", marked boolean, texts array<string>" if whole else ""))
+    return rows.mapInArrow(run, schema + (", inside array<boolean>, texts array<string>" if whole else ""))
 
 
 def _partners(rows: DataFrame) -> DataFrame:
@@ -201,12 +238,14 @@ def _partners(rows: DataFrame) -> DataFrame:
 def extract_main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """page_id, url, text (empty if there is none), n_chars, had_partner for every row.
+    """page_id, url, text (empty if there is none), n_chars, had_partner, n_shared (lines that the partner has too),
+    n_differencing (lines that only the comparison removes) and n_markup (lines that only markup removes) for every row.
 
     All pages of a path have one partner: the last page (by url, id) of the path before it on the same host,
     or the first page of the path after it where there is none before. It does not depend on partitions. A
     page without a partner (a host with one path, a null url on its own) loses no lines by comparison. Null
-    html counts as empty. Lines are compared by 64-bit hashes. Other columns are not read.
+    html counts as empty. Lines are compared by 64-bit hashes. Repeated rows each get their row, an empty table
+    gives an empty result, very long pages are worked on whole. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -215,11 +254,15 @@ def extract_main_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("keys", "marked", "texts", "partner"))
-            for keys, marked, texts, partner in zip(*columns, strict=True):
-                shared = common_lines(keys, partner) if partner is not None and not marked else set()
-                out.append(" ".join(t for i, t in enumerate(texts) if t is not None and i not in shared))
+            out, counts = [], []
+            columns = (batch.column(c).to_pylist() for c in ("keys", "inside", "texts", "partner"))
+            for keys, inside, texts, partner in zip(*columns, strict=True):
+                shared = common_lines(keys, partner) if partner is not None else set()
+                gone = {i for i in shared if not inside[i]}
+                out.append(" ".join(t for i, t in enumerate(texts) if t is not None and i not in gone))
+                dropped = {i for i, t in enumerate(texts) if t is None}
+                counts.append((len(shared), len(gone - dropped), len(dropped - gone)))
+            n_shared, by_difference, by_markup = zip(*counts, strict=True) if counts else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("page_id"),
@@ -227,10 +270,12 @@ def extract_main_text(
                     pa.array(out, pa.string()),
                     pa.array([len(t) for t in out], pa.int64()),
                     batch.column("partner").is_valid(),
+                    *(pa.array(x, pa.int32()) for x in (n_shared, by_difference, by_markup)),
                 ],
-                ["page_id", "url", "text", "n_chars", "had_partner"],
+                ["page_id", "url", "text", "n_chars", "had_partner", "n_shared", "n_differencing", "n_markup"],
             )
 
-    return paired.select("page_id", "url", "keys", "marked", "texts", "partner").mapInArrow(
-        run, f"page_id {id_type}, url string, text string, n_chars long, had_partner boolean"
+    return paired.select("page_id", "url", "keys", "inside", "texts", "partner").mapInArrow(
+        run,
+        f"page_id {id_type}, url string, text string, n_chars long, had_partner boolean, n_shared int, n_differencing int, n_markup int",
     )

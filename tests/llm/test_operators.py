@@ -253,8 +253,8 @@ def test_contamination_equals_full_alignment(spark):
     rng = random.Random(4)
     words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta", "lambda", "zeta", "iota", "mu"]
     make = lambda n: " ".join(rng.choices(words, k=n))
-    items = [(i, make(rng.randrange(6, 25))) for i in range(12)] + [(50, None), (51, "tiny"), (52, "")]
-    docs = [(1, None), (2, ""), (3, items[0][1].upper().replace(" ", ",\n ")), (4, make(300))]
+    items = [(i, make(rng.randrange(6, 25))) for i in range(12)] + [(50, None), (51, "tiny"), (52, ""), (53, "Abc, def"), (54, "mu"), (55, "mu")]
+    docs = [(100, "abc def"), (101, "xabc def tiny. TINY"), (102, "abc-def's"), (103, "tin y"), (104, "tiny " + make(60)), (1, None), (2, ""), (3, items[0][1].upper().replace(" ", ",\n ")), (4, make(300))]
     for i in range(5, 60):
         _, text = items[rng.randrange(12)]
         copy = list(text)
@@ -269,6 +269,8 @@ def test_contamination_equals_full_alignment(spark):
     for d, text in docs:
         for i, item in items:
             x = plain(item)
+            if 0 < len(x) < decontaminate.Q and f" {x} " in f" {plain(text)} ":
+                want[d, i] = 0
             if len(x) >= decontaminate.Q and text:
                 edits = _least_edits(x, plain(text))
                 if edits <= decontaminate.budget(len(x))[0]:
@@ -277,6 +279,12 @@ def test_contamination_equals_full_alignment(spark):
     clean = decontaminate.drop_contaminated(docs_of(spark, docs), bench)
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.find_contamination(docs_of(spark, docs), bench.limit(0)).count() == 0
+    assert decontaminate.find_contamination(docs_of(spark, []), bench.withColumn("doc_id", F.lit(1))).count() == 0
+    far = decontaminate.find_contamination(docs_of(spark, [(1, "so it goes " * 50_000 + items[3][1])]), bench)
+    assert (3, 550_000) in {(r["item_id"], r["start_char"]) for r in far.collect()}
+    # the first of two equally close stretches, and each of repeated rows
+    twice = decontaminate.find_contamination(docs_of(spark, [(1, "one. tiny! tiny"), (1, "one. tiny! tiny")]), bench).where("item_id = 51")
+    assert table_of(twice, "doc_id", "start_char", "end_char", "distance") == [(1, 5, 9, 0), (1, 5, 9, 0)]
 
 
 def _kneser_ney(texts, order):
@@ -363,7 +371,9 @@ def test_html_blocks():
     assert html_extract.lines_of(None) == [] and html_extract.lines_of("a < b & c") == [("a < b & c", False, False)]
 
 
-def test_common_lines_is_a_longest_common_subsequence():
+@pytest.mark.parametrize("pairs", [0, 100_000])
+def test_common_lines_is_a_longest_common_subsequence(monkeypatch, pairs):
+    monkeypatch.setattr(html_extract, "PAIRS", pairs)
     rng = random.Random(8)
     for _ in range(200):
         a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 12))] for _ in range(2))
@@ -376,6 +386,21 @@ def test_common_lines_is_a_longest_common_subsequence():
         assert len(picked) == best[-1][-1] and all(x in rest for x in picked)
 
 
+def test_many_equal_lines_take_no_square_of_time():
+    a, b = (["x", "y"][k:] * 15_000 + ["end"] for k in (0, 1))
+    assert len(html_extract.common_lines(a, b)) == 15_001
+
+
+def test_shared_lines_go_outside_articles_only(spark):
+    page = "<div>Site</div><nav>Menu {0}</nav><article><p>Own {0}</p><p>Often said</p></article><div>Note {0}</div><div>Imprint</div>".format
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(4)] + [(9, "http://a.example/9", "<p>" + "long " * 200_000 + "</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_extract.extract_main_text(df).collect()}
+    assert {i: got[i]["text"] for i in range(4)} == {i: f"Own {i} Often said Note {i}" for i in range(4)}
+    assert got[0]["n_shared"] == 3 and got[0]["n_differencing"] == 2 and got[0]["n_markup"] == 1
+    assert got[9]["n_chars"] == 5 * 200_000 - 1
+
+
 def test_pages_lose_what_their_neighbour_has(spark):
     rows = [(i, f"http://site.example/{c}", f"<div>Site name</div><div>Own {c}</div><div>Imprint</div>") for i, c in enumerate("abc")]
     rows += [(10, None, None), (11, "http://alone.example/x", "<p>Only</p>"), (0, "http://site.example/a", "<div>Site name</div><div>Own a</div><div>Imprint</div>")]
@@ -391,14 +416,18 @@ def test_partners_do_not_depend_on_partitions(spark):
     cut = [(1000 + i, f"http://k.x/{i:03}", page(1000 + i)) for i in range(100)]
     alone = [(2000 + i, f"http://l.x/only?q={i}", page(i)) for i in range(3)]
     rows = [*hot, (900, "http://h.x/c", page(900)), *cut, *alone]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: (f"Own {i}", True) for i, *_ in rows if i < 2000}
+    want |= {2000 + i: (f"Shared Own {i} Also shared", False) for i in range(3)}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r["page_id"]: (r["text"], r["had_partner"]) for r in html_extract.extract_main_text(df).collect()}
+        for n in (1, 4, 37):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found = html_extract.extract_main_text(df.repartition(n)).collect()
+            assert {r["page_id"]: (r["text"], r["had_partner"]) for r in found} == want
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    want = {i: (f"Own {i}", True) for i, *_ in rows if i < 2000}
-    assert got == want | {2000 + i: (f"Shared Own {i} Also shared", False) for i in range(3)}
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
 def test_crc_of_ids_is_of_32_bits(spark):
