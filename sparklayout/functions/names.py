@@ -17,6 +17,10 @@ PORT = r"(?i)^(ui_in|uo_out|uio_in|uio_out)(?:\[(\d+)\])?$"
 BUS = r"^(.+)\[(\d+)\]$"
 
 
+#: Numbers in one range of an id list.
+RANGE_MOST = 10_000_000
+
+
 def is_filler(name: Column) -> Column:
     own = F.startswith(name, F.lit("sg13g2_")) & (name.contains("_fill_") | name.contains("_decap_"))
     for part in FILLER_PARTS:
@@ -24,9 +28,10 @@ def is_filler(name: Column) -> Column:
     return own
 
 
-def filler_cells(cells: DataFrame, refs: DataFrame) -> DataFrame:
+def filler_cells(cells: DataFrame, refs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cells with a filler's name that place no other cell."""
-    return cells.where(is_filler(F.col("name"))).join(refs.select(F.col("parent").alias("cell")), "cell", "left_anti")
+    keys = keys or []
+    return cells.where(is_filler(F.col("name"))).join(refs.select(*keys, F.col("parent").alias("cell")), [*keys, "cell"], "left_anti")
 
 
 def is_standard_cell(name: Column) -> Column:
@@ -73,12 +78,14 @@ def port_pins(labels: DataFrame) -> DataFrame:
 
 
 def parse_id_list(texts: DataFrame, key: str = "text_id") -> DataFrame:
-    """text_id, id: the distinct numbers of a text like ``1, 2, 5-10``; ranges may be reversed, junk is ignored."""
+    """text_id, id: the distinct numbers of a text like ``1, 2, 5-10``; ranges may be reversed, junk is ignored, and so
+    is a range of more than RANGE_MOST numbers, which no list of nets has."""
     part = texts.select(key, F.explode(F.split("text", r"[,\s]+")).alias("part"))
     low, high = F.regexp_extract("part", r"^(\d+)", 1), F.regexp_extract("part", r"^\d+-(\d+)", 1)
     dashed = F.col("part").contains("-")
     ends = part.select(key, F.try_to_number(F.nullif(low, F.lit("")), F.lit("999999999999999")).cast("long").alias("a"), F.try_to_number(F.nullif(high, F.lit("")), F.lit("999999999999999")).cast("long").alias("b"), dashed.alias("dashed"))
     ends = ends.where("a is not null and (not dashed or b is not null)").withColumn("b", F.coalesce("b", "a"))
+    ends = ends.where(F.abs(F.col("b") - F.col("a")) < RANGE_MOST)
     return ends.select(key, F.explode(F.sequence(F.least("a", "b"), F.greatest("a", "b"))).alias("id")).distinct()
 
 

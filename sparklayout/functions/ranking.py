@@ -32,3 +32,13 @@ def global_rank(df: DataFrame, order: list[str | Column], name: str = "rank") ->
         .withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(_IN_PARTITION))
         .drop("_part", "_start", "_at")
     )
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "rank") -> DataFrame:
+    """Number the rows of each key 0, 1, 2, ... in ``order``: :func:`global_rank` less the key's least number.
+    However many rows a key has, they are numbered by many tasks."""
+    ranked = global_rank(df, [*keys, *order], name)
+    if not keys:
+        return ranked
+    first = ranked.groupBy(*keys).agg(F.min(name).alias("_least"))
+    return ranked.join(first, keys).withColumn(name, F.col(name) - F.col("_least")).drop("_least").select(*df.columns, name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparklayout.functions import geometry as g
 from sparklayout.functions import layers
 from sparklayout.functions.geometry import Box
+from sparklayout.operators.netlist import inverter_pairs
 
 _BOUNDS = (("x1", F.min), ("y1", F.min), ("x2", F.max), ("y2", F.max))
 
@@ -26,6 +27,11 @@ def tree_stats(flat: DataFrame) -> DataFrame:
     return flat.where("tree >= 0").groupBy("tree").agg(F.sum(g.area(Box.of())).alias("area"), F.count_distinct(F.when(F.col("net") >= 0, F.col("net"))).alias("n_nets"))
 
 
+def tree_nets(flat: DataFrame) -> DataFrame:
+    """tree, net: the set of nets of each tree, a row for each."""
+    return flat.where("tree >= 0 and net >= 0").select("tree", "net").distinct()
+
+
 def extent(flat: DataFrame) -> DataFrame:
     """The bounding box of everything."""
     return flat.agg(*_bounds())
@@ -71,17 +77,27 @@ def netlist_summary(flat: DataFrame) -> DataFrame:
     ).where("file_id is not null")
 
 
+def netlist_totals(segments: DataFrame, fets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, segments, wires (greatest net + 1, at least 2), fets, inverters. ``segments``: keys, segment, net; ``fets``:
+    keys, gate, term0, term1, type."""
+    of_nets = segments.groupBy(*keys).agg(F.count("*").alias("segments"), F.greatest(F.max("net") + 1, F.lit(2)).alias("wires"))
+    of_fets = fets.groupBy(*keys).agg(F.count("*").alias("fets"))
+    of_pairs = inverter_pairs(fets, keys).groupBy(*keys).agg(F.count("*").alias("inverters"))
+    return of_nets.join(of_fets, keys, "left").join(of_pairs, keys, "left").na.fill(0, ["fets", "inverters"])
+
+
 def big_cells(rects: DataFrame, fets: DataFrame, least: int = 1000) -> DataFrame:
     """cell, rects, wires, fets of cells with more than ``least`` rectangles."""
     sizes = rects.groupBy("cell").agg(F.count("*").alias("rects"), F.count_distinct("wire").alias("wires")).where(F.col("rects") > least)
     return sizes.join(fets.groupBy("cell").agg(F.count("*").alias("fets")), "cell", "left").na.fill(0, ["fets"])
 
 
-def cell_output_wires(fets: DataFrame, labels: DataFrame) -> DataFrame:
-    """net: labelled nets that are a terminal of both a P and an N device."""
-    ends = fets.select(F.explode(F.array("term0", "term1")).alias("net"), "type")
-    both = ends.groupBy("net").agg(F.max(F.col("type") == 0).alias("_p"), F.max(F.col("type") == 1).alias("_n")).where("_p and _n")
-    return both.join(labels.select("net"), "net", "left_semi").select("net")
+def cell_output_wires(fets: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, net: labelled nets that are a terminal of both a P and an N device."""
+    keys = keys or []
+    ends = fets.select(*keys, F.explode(F.array("term0", "term1")).alias("net"), "type")
+    both = ends.groupBy(*keys, "net").agg(F.max(F.col("type") == 0).alias("_p"), F.max(F.col("type") == 1).alias("_n")).where("_p and _n")
+    return both.join(labels.select(*keys, "net"), [*keys, "net"], "left_semi").select(*keys, "net")
 
 
 def bus_values(bits: DataFrame, keys: list[str], ports: tuple[str, ...] = ("ui_in", "uo_out", "uio_in", "uio_out", "uo", "ui", "uio")) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sparklayout.functions import geometry as g
 from sparklayout.functions import layers, names
 from sparklayout.functions.geometry import Affine, Box
+from sparklayout.functions.ranking import rank_within
 from sparklayout.operators.spatial import spatial_join
-from sparklayout.sources.work import materialize
+from sparklayout.sources.work import counted
 
 TOLERANCE = 1e-4
 QUARTER = 1.5707963267948966
@@ -45,28 +46,43 @@ def ref_matrix(refs: DataFrame) -> DataFrame:
     return refs.select(*(c for c in refs.columns if c not in ("rotation", "mag", "x_reflection", "ox", "oy")), *matrix.named())
 
 
-def top_cells(refs: DataFrame) -> DataFrame:
-    """Cells that place others and are placed nowhere."""
-    return refs.select(F.col("parent").alias("cell")).distinct().join(refs.select(F.col("child").alias("cell")).distinct(), "cell", "left_anti")
+def top_cells(refs: DataFrame, cells: DataFrame | None = None, name: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """keys, cell: the cells that are placed nowhere.
+
+    Of ``cells`` (cell, name) if given, lone ones too, else of those that place others. ``name``: the cell of that name
+    instead, in files that have one.
+    """
+    keys = keys or []
+    placed = refs.select(*keys, F.col("child").alias("cell")).distinct()
+    every = cells.select(*keys, "cell") if cells is not None else refs.select(*keys, F.col("parent").alias("cell"))
+    found = every.distinct().join(placed, [*keys, "cell"], "left_anti")
+    if name is None or cells is None:
+        return found
+    chosen = cells.where(F.col("name") == name).select(*keys, "cell", F.lit(0).alias("_all"))
+    rest = found.withColumn("_all", F.lit(0)).join(chosen.select(*keys, "_all").distinct(), [*keys, "_all"], "left_anti")
+    return chosen.unionByName(rest).drop("_all")
 
 
-def walk_hierarchy(refs: DataFrame, top: DataFrame, deepest: int = 64) -> DataFrame:
-    """inst_id, cell, depth, matrix: all placements below the top cells, the tops included.
+def walk_hierarchy(refs: DataFrame, top: DataFrame, deepest: int = 64, keys: list[str] | None = None) -> DataFrame:
+    """keys, cell, depth, path, matrix: all placements below the top cells, the tops included.
 
     ``refs`` have the columns of :func:`ref_matrix`; unsupported ones are to be left out before. The walk
-    goes level by level, one join a level, until a level is empty. ``inst_id`` numbers the placements in
-    depth-first pre-order: that of their paths of reference numbers.
+    goes level by level, one join a level, until a level is empty. ``path`` has the reference numbers from the top.
     """
+    keys = keys or []
     unit = {"m00": 1, "m01": 0, "tx": 0, "m10": 0, "m11": 1, "ty": 0}
-    level = top.select("cell", F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("path"), *(F.lit(v).cast("long").alias(k) for k, v in unit.items()))
+    start = F.array().cast("array<bigint>").alias("path")
+    level = top.select(*keys, "cell", F.lit(0).alias("depth"), start, *(F.lit(v).cast("long").alias(k) for k, v in unit.items()))
     found = [level]
-    step = refs.select(F.col("parent").alias("cell"), "child", "ref_idx", *Affine.of().named("_c"))
+    step = refs.select(*keys, F.col("parent").alias("cell"), "child", "ref_idx", *Affine.of().named("_c"))
     for depth in range(1, deepest + 1):
-        joined = found[-1].select("cell", "path", *Affine.of().named("_p")).join(step, "cell")
+        joined = found[-1].select(*keys, "cell", "path", *Affine.of().named("_p")).join(step, [*keys, "cell"])
         moved = g.compose(Affine.of("_p"), Affine.of("_c")).named()
-        level = joined.select(F.col("child").alias("cell"), F.lit(depth).alias("depth"), F.concat("path", F.array("ref_idx")).alias("path"), *moved)
-        level = materialize(level, "level")
-        if level.isEmpty():
+        level, n = counted(
+            joined.select(*keys, F.col("child").alias("cell"), F.lit(depth).alias("depth"), F.concat("path", F.array("ref_idx")).alias("path"), *moved),
+            "level",
+        )
+        if not n:
             break
         found.append(level)
     else:
@@ -77,20 +93,18 @@ def walk_hierarchy(refs: DataFrame, top: DataFrame, deepest: int = 64) -> DataFr
     return out
 
 
-def number_instances(walked: DataFrame) -> DataFrame:
-    """Placements with inst_id in pre-order of their paths, by the exact distributed numbering."""
-    from sparklayout.functions.ranking import global_rank
-
-    return global_rank(walked, ["path", "cell"], "inst_id").drop("path")
+def number_instances(walked: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Placements with inst_id in depth-first pre-order, that of their paths, from 0 on in each file."""
+    return rank_within(walked, keys or [], ["path", "cell"], "inst_id").drop("path")
 
 
-def flatten_rects(instances: DataFrame, cell_rects: DataFrame, cells: DataFrame) -> DataFrame:
-    """inst_id, cell, rect_id, layer, wire, x1..y2 in top coordinates: every placement with every rectangle of
-    its cell, without filler cells and without wells and diffusion."""
+def flatten_rects(instances: DataFrame, cell_rects: DataFrame, fillers: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, inst_id, cell, rect_id, layer, wire, x1..y2 in top coordinates: every placement with every rectangle of
+    its cell, without ``fillers`` (see :func:`names.filler_cells`) and without wells and diffusion."""
+    keys = keys or []
     solid = cell_rects.where(~F.col("layer").isin(layers.NWELL, layers.DIFF))
-    filler = cells.where(names.is_filler(F.col("name"))).select("cell")
-    placed = instances.join(filler, "cell", "left_anti").join(solid, "cell")
-    return placed.select("inst_id", "cell", "rect_id", "layer", "wire", *g.transform(Box.of(), Affine.of()).named())
+    placed = instances.join(fillers.select(*keys, "cell"), [*keys, "cell"], "left_anti").join(solid, [*keys, "cell"])
+    return placed.select(*keys, "inst_id", "cell", "rect_id", "layer", "wire", *g.transform(Box.of(), Affine.of()).named())
 
 
 def cell_bbox(rects: DataFrame, key: str = "cell") -> DataFrame:
@@ -114,51 +128,70 @@ def instance_pairs(boxes: DataFrame) -> DataFrame:
     return pairs.select("layer", F.col("inst_id_a").alias("a"), F.col("inst_id_b").alias("b"))
 
 
-def cross_instance_edges(flat: DataFrame) -> DataFrame:
-    """a_inst, a_wire, b_inst, b_wire: wires of different placements with touching rectangles on one layer.
+def cross_instance_edges(flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, a_inst, a_wire, b_inst, b_wire: wires of different placements with touching rectangles on one layer.
 
     The flat rectangles of a layer are joined directly, which finds the same pairs as going through pairs
     of placements and doesn't depend on how far one placement (the top) reaches.
     """
-    side = flat.where((F.col("layer") >= layers.N_TERM) & F.col("wire").isNotNull()).select("layer", "inst_id", "wire", "x1", "y1", "x2", "y2")
-    pairs = spatial_join(side, side, "touches", ["layer"]).where("inst_id_a < inst_id_b")
+    keys = keys or []
+    side = flat.where((F.col("layer") >= layers.N_TERM) & F.col("wire").isNotNull()).select(*keys, "layer", "inst_id", "wire", "x1", "y1", "x2", "y2")
+    pairs = spatial_join(side, side, "touches", [*keys, "layer"]).where("inst_id_a < inst_id_b")
     return pairs.select(
-        F.col("inst_id_a").alias("a_inst"), F.col("wire_a").alias("a_wire"), F.col("inst_id_b").alias("b_inst"), F.col("wire_b").alias("b_wire")
+        *keys, F.col("inst_id_a").alias("a_inst"), F.col("wire_a").alias("a_wire"), F.col("inst_id_b").alias("b_inst"), F.col("wire_b").alias("b_wire")
     ).distinct()
 
 
-def cell_outline_rects(instances: DataFrame, cell_rects: DataFrame, cells: DataFrame, outputs: DataFrame) -> DataFrame:
-    """inst_id, layer (CELLS), x1..y2, wire: the outline of each standard cell that is no filler, with its
+def cell_outline_rects(
+    instances: DataFrame, cell_rects: DataFrame, cells: DataFrame, fillers: DataFrame, outputs: DataFrame, keys: list[str] | None = None
+) -> DataFrame:
+    """keys, inst_id, layer (CELLS), x1..y2, wire: the outline of each standard cell that is no filler, with its
     least output wire (null if it has none). ``outputs``: cell, wire."""
-    name = F.col("name")
-    wanted = cells.where(names.is_standard_cell(name) & ~names.is_filler(name)).select("cell")
-    boxes = cell_bbox(cell_rects).where("layer is null").drop("layer", "n")
-    least = outputs.groupBy("cell").agg(F.min("wire").alias("wire"))
-    placed = instances.join(wanted, "cell").join(boxes, "cell").join(least, "cell", "left")
-    return placed.select("inst_id", F.lit(layers.CELLS).cast("long").alias("layer"), *g.transform(Box.of(), Affine.of()).named(), "wire")
+    keys = keys or []
+    on = [*keys, "cell"]
+    wanted = cells.where(names.is_standard_cell(F.col("name"))).select(*on).join(fillers.select(*on), on, "left_anti")
+    boxes = cell_rects.groupBy(*on).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    least = outputs.groupBy(*on).agg(F.min("wire").alias("wire"))
+    placed = instances.join(wanted, on).join(boxes, on).join(least, on, "left")
+    return placed.select(*keys, "inst_id", F.lit(layers.CELLS).cast("long").alias("layer"), *g.transform(Box.of(), Affine.of()).named(), "wire")
 
 
-def number_segments(instances: DataFrame, wire_counts: DataFrame) -> DataFrame:
-    """inst_id, first: each placement's first segment number, the running sum of wire counts by inst_id.
+def number_segments(instances: DataFrame, wire_counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, inst_id, first: each placement's first segment number, the running sum of wire counts by inst_id.
 
     Sums are taken within ranges of inst_id and then over the ranges (one row each).
     """
-    rows = instances.select("inst_id", "cell").join(wire_counts, "cell").select("inst_id", "n_wires", F.expr("inst_id div 4096").alias("_range"))
-    inside = Window.partitionBy("_range").orderBy("inst_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_range").agg(F.sum("n_wires").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    keys = keys or []
+    rows = instances.select(*keys, "inst_id", "cell").join(wire_counts, [*keys, "cell"])
+    rows = rows.select(*keys, "inst_id", "n_wires", F.expr("inst_id div 4096").alias("_range"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("inst_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_range").agg(F.sum("n_wires").alias("_n"))
+    totals = totals.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     summed = rows.withColumn("_in", F.coalesce(F.sum("n_wires").over(inside), F.lit(0)))
-    return summed.join(totals, "_range").select("inst_id", (F.col("_start") + F.col("_in")).alias("first"))
+    return summed.join(totals, [*keys, "_range"]).select(*keys, "inst_id", (F.col("_start") + F.col("_in")).alias("first"))
+
 
+def lookup_nets(flat: DataFrame, segments: DataFrame, nets: DataFrame, trees: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """flat rectangles with net and tree: local wire -> segment -> net -> tree, -1 where any is missing.
 
-def lookup_nets(flat: DataFrame, segments: DataFrame, nets: DataFrame, trees: DataFrame) -> DataFrame:
-    """flat rectangles with net and tree: local wire -> segment -> net -> tree, -1 where any is missing."""
-    with_segment = flat.join(segments, "inst_id", "left").withColumn("segment", F.col("first") + F.col("wire"))
-    found = with_segment.join(nets.select("segment", "net"), "segment", "left").join(trees.select("net", "tree"), "net", "left")
+    Trees are joined to the nets' segments first, so the flat rectangles are never dealt out by net: a rail has most
+    of them.
+    """
+    keys = keys or []
+    known = nets.select(*keys, "segment", "net").join(trees.select(*keys, "net", "tree"), [*keys, "net"], "left")
+    found = flat.join(segments, [*keys, "inst_id"], "left").withColumn("segment", F.col("first") + F.col("wire"))
+    found = found.join(known, [*keys, "segment"], "left")
     return found.withColumns({"net": F.coalesce("net", F.lit(-1)), "tree": F.coalesce("tree", F.lit(-1))}).drop("first", "segment")
 
 
-def net_to_instances(flat: DataFrame, net: int) -> DataFrame:
-    """inst_id, wires: placements on a net with their local wires, joined by commas."""
-    rows = flat.where(F.col("net") == net)
-    return rows.groupBy("inst_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("wire").cast("string"))), ",").alias("wires"))
+def net_to_instances(flat: DataFrame, net: int, labels: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """keys, inst_id, wires and, with ``labels`` (cell, text, wire), labels: placements on a net with their local wires
+    and the names that their cells give these, joined by commas; empty where there is no name."""
+    keys = keys or []
+    rows = flat.where(F.col("net") == net).select(*keys, "inst_id", "cell", "wire").distinct()
+    joined = lambda c, by: F.array_join(F.sort_array(F.collect_set(c)), by)
+    if labels is None:
+        return rows.groupBy(*keys, "inst_id").agg(joined(F.col("wire").cast("string"), ",").alias("wires"))
+    rows = rows.join(labels.select(*keys, "cell", "text", "wire"), [*keys, "cell", "wire"], "left")
+    return rows.groupBy(*keys, "inst_id").agg(joined(F.col("wire").cast("string"), ",").alias("wires"), joined("text", ", ").alias("labels"))

@@ -6,31 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparklayout.operators.graph import connected_components
+from sparklayout.sources.work import materialize
 
 
-def inverter_pairs(fets: DataFrame) -> DataFrame:
-    """gate, out: a device from ground and one from power to the same net under the same gate."""
+def inverter_pairs(fets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, gate, out: a device from ground and one from power to the same net under the same gate."""
+    keys = keys or []
     has = lambda rail: F.max(F.col("term0") == rail)
-    pairs = fets.groupBy("gate", F.col("term1").alias("out")).agg(has(0).alias("_low"), has(1).alias("_high"))
-    return pairs.where("_low and _high").select("gate", "out")
+    pairs = fets.groupBy(*keys, "gate", F.col("term1").alias("out")).agg(has(0).alias("_low"), has(1).alias("_high"))
+    return pairs.where("_low and _high").select(*keys, "gate", "out")
 
 
-def inverter_trees(nets: DataFrame, fets: DataFrame) -> DataFrame:
-    """net, tree: nets joined by inverters; a tree is named by the net in it that no inverter drives (the
+def inverter_trees(nets: DataFrame, fets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, net, tree: nets joined by inverters; a tree is named by the net in it that no inverter drives (the
     least such), or by its least net where all are driven. Other nets are trees of their own."""
-    pairs = inverter_pairs(fets)
-    comps = connected_components(nets.select("net"), pairs, vertex="net", src="gate", dst="out")
-    driven = pairs.select(F.col("out").alias("net")).distinct().withColumn("_driven", F.lit(True))
-    marked = comps.join(driven, "net", "left")
-    roots = marked.groupBy("component").agg(F.coalesce(F.min(F.when(F.col("_driven").isNull(), F.col("net"))), F.min("net")).alias("tree"))
-    return comps.join(roots, "component").select("net", "tree")
-
-
-def channel_groups(fets: DataFrame) -> DataFrame:
-    """net, group: nets joined through channels, never through a rail."""
-    nets = fets.select(F.col("term0").alias("net")).unionByName(fets.select(F.col("term1").alias("net"))).where("net >= 2")
-    edges = fets.where("term0 >= 2 and term1 >= 2").select("term0", "term1")
-    return connected_components(nets, edges, vertex="net", src="term0", dst="term1", label="group")
+    keys = keys or []
+    pairs = materialize(inverter_pairs(fets, keys), "inverters")
+    comps = materialize(connected_components(nets.select(*keys, "net"), pairs, vertex="net", src="gate", dst="out", keys=keys), "trees")
+    driven = pairs.select(*keys, F.col("out").alias("net")).distinct().withColumn("_driven", F.lit(True))
+    marked = comps.join(driven, [*keys, "net"], "left")
+    roots = marked.groupBy(*keys, "component").agg(F.coalesce(F.min(F.when(F.col("_driven").isNull(), F.col("net"))), F.min("net")).alias("tree"))
+    return comps.join(roots, [*keys, "component"]).select(*keys, "net", "tree")
+
+
+def channel_groups(fets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, net, group: nets joined through channels, never through a rail."""
+    keys = keys or []
+    nets = fets.select(*keys, F.explode(F.array("term0", "term1")).alias("net")).where("net >= 2")
+    edges = fets.where("term0 >= 2 and term1 >= 2").select(*keys, "term0", "term1")
+    return connected_components(nets, edges, vertex="net", src="term0", dst="term1", label="group", keys=keys)
 
 
 def neighborhood_edges(fets: DataFrame, groups: DataFrame, net: int, states: DataFrame) -> DataFrame:

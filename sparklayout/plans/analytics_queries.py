@@ -163,6 +163,11 @@ def a2(spark, sf):
     return analytics.tree_stats(view(spark, sf, "flat"))
 
 
+@query("a2_tree_nets", duck("select distinct tree, net from flat where tree >= 0 and net >= 0"))
+def a2_nets(spark, sf):
+    return analytics.tree_nets(view(spark, sf, "flat"))
+
+
 @query("a3_extent", duck(f"select {_BOX} from flat"))
 def a3(spark, sf):
     return analytics.extent(view(spark, sf, "flat"))
@@ -191,6 +196,20 @@ def a6(spark, sf):
     return analytics.netlist_summary(view(spark, sf, "flat"))
 
 
+@query(
+    "a6_netlist_totals",
+    duck("""with f as (select *, instance % 5 as file_id from fets), sg as (select distinct file_id, rect_id as segment, net from flat),
+      n as (select file_id, count(*) as segments, greatest(max(net) + 1, 2) as wires from sg group by file_id),
+      i as (select distinct a.file_id, a.gate, a.term1 from f a join f b on a.file_id = b.file_id and a.gate = b.gate and a.term1 = b.term1 and a.term0 = 0 and b.term0 = 1)
+      select n.*, coalesce(k.fets, 0) as fets, coalesce(j.inverters, 0) as inverters from n left join (select file_id, count(*) as fets from f group by file_id) k using (file_id)
+        left join (select file_id, count(*) as inverters from i group by file_id) j using (file_id)"""),
+)
+def a6_totals(spark, sf):
+    segments = view(spark, sf, "flat").select("file_id", F.col("rect_id").alias("segment"), "net").distinct()
+    fets = view(spark, sf, "fets").withColumn("file_id", F.col("instance") % 5)
+    return analytics.netlist_totals(segments, fets, ["file_id"])
+
+
 @query(
     "a7_big_cells",
     duck("""with r as (select inst_id % 50 as cell, count(*) as rects, count(distinct net) as wires from flat group by 1 having count(*) > 900), f as (select instance % 50 as cell, count(*) as fets from fets group by 1)

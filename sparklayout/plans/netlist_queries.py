@@ -18,7 +18,7 @@ _COMPONENTS = f"""e as (select a.rect_id as a, b.rect_id as b from rects a join
 
 
 def _layer_components(spark, sf):
-    rects = view(spark, sf, "rects")
+    rects = materialize(view(spark, sf, "rects"), "rects")
     pairs = spatial.touch_self_join(rects, ["layer"])
     return rects, graph.connected_components(rects, pairs, "rect_id", "a", "b", ["layer"])
 
@@ -47,10 +47,23 @@ def _labelled(spark, sf, rects):
     return hits.select("layer", F.col("text_a").alias("text"), F.col("rect_id_b").alias("rect_id"))
 
 
-@query("c2_cell_wires")
+@query(
+    "c2_cell_wires",
+    duck(f"""with recursive e as materialized (
+        select a.rect_id as a, b.rect_id as b from rects a join rects b on a.layer = b.layer and a.rect_id <> b.rect_id and {_TOUCH}
+        union select a.rect_id, b.rect_id from rects a join rects b on b.layer = a.layer + 1 and a.layer between 6 and 17 and {_TOUCH}
+        union select b.rect_id, a.rect_id from rects a join rects b on b.layer = a.layer + 1 and a.layer between 6 and 17 and {_TOUCH}),
+      lab as materialized (select distinct l.text, r.rect_id from label_points l join rects r on r.layer = l.layer and l.x between r.x1 and r.x2 and l.y between r.y1 and r.y2),
+      hub as materialized (select text, min(rect_id) as hub from lab group by text),
+      all_e as materialized (select a, b from e union select rect_id, hub from lab join hub using (text) where rect_id <> hub union select hub, rect_id from lab join hub using (text) where rect_id <> hub),
+      cc(rect_id, component) using key (rect_id) as (
+        select rect_id, rect_id from rects
+        union (select u.rect_id, min(v.component) from recurring.cc u join all_e on all_e.a = u.rect_id join cc v on v.rect_id = all_e.b where v.component < u.component group by u.rect_id))
+      select 'top' as cell, rect_id, component from cc""", recursive=True),
+)
 def c2(spark, sf):
-    """Wires over all layers; it has no SQL, tests/test_layouts.py compares it with brute force on small inputs."""
-    rects = view(spark, sf, "rects")
+    """Wires over all layers; the SQL passes the least id on from neighbour to neighbour."""
+    rects = materialize(view(spark, sf, "rects"), "rects")
     labels = _labelled(spark, sf, rects).select("text", "rect_id").distinct()
     return nets.cell_wires(rects.withColumn("cell", F.lit("top")), labels.withColumn("cell", F.lit("top")), ["cell"])
 
@@ -104,7 +117,7 @@ _WALK = f"""sup as (select * from refs where not (parent like 'n%' and (ref_idx
     from walk w join t on t.parent = w.cell),
   inst as (select (row_number() over (order by path) - 1)::bigint as inst_id, cell, depth, m00, m01, tx, m10, m11, ty from walk)"""
 _FILLER = """((starts_with(name, 'sg13g2_') and (contains(name, '_fill_') or contains(name, '_decap_'))) or contains(name, '__fill')
-  or contains(name, '__decap') or contains(name, '__tap') or contains(name, '__endcap'))"""
+  or contains(name, '__decap') or contains(name, '__tap') or contains(name, '__endcap')) and cell not in (select parent from refs)"""
 _MOVED = """least(m00*x1+m01*y1, m00*x2+m01*y2)+tx as x1, least(m10*x1+m11*y1, m10*x2+m11*y2)+ty as y1,
   greatest(m00*x1+m01*y1, m00*x2+m01*y2)+tx as x2, greatest(m10*x1+m11*y1, m10*x2+m11*y2)+ty as y2"""
 _FLAT = f"""{_WALK}, pf as (select inst_id, i.cell, rect_id, layer, wire, {_MOVED} from inst i join cell_rects r on r.cell = i.cell
@@ -118,8 +131,12 @@ def _instances(spark, sf):
     return hierarchy.number_instances(walked)
 
 
+def _fillers(spark, sf):
+    return names.filler_cells(view(spark, sf, "cells"), view(spark, sf, "refs"))
+
+
 def _flat(spark, sf):
-    placed = hierarchy.flatten_rects(_instances(spark, sf), view(spark, sf, "cell_rects"), view(spark, sf, "cells"))
+    placed = hierarchy.flatten_rects(_instances(spark, sf), view(spark, sf, "cell_rects"), _fillers(spark, sf))
     return materialize(placed, "flat")
 
 
@@ -143,6 +160,25 @@ def j15(spark, sf):
     return hierarchy.top_cells(view(spark, sf, "refs"))
 
 
+_BY_FILE = """c as (select file_id, cell, name from cells, (select unnest(range(4)) as file_id) where file_id > 0 or cell <> 'k3' union all select f, 'lone', 'lone' from (select unnest(range(4)) as f)),
+  rf as (select file_id, parent, child from refs, (select unnest(range(4)) as file_id) where file_id < 3 or parent like 'n%')"""
+
+
+@query(
+    "j15_top_cells_by_name",
+    duck(f"""with {_BY_FILE}, auto as (select file_id, cell from c where (file_id, cell) not in (select file_id, child from rf)),
+      named as (select file_id, cell from c where name = 'gf180mcu_fd_sc__nand2_3')
+      select file_id::bigint as file_id, cell from named union all select file_id::bigint, cell from auto where file_id not in (select file_id from named)"""),
+)
+def j15_by_name(spark, sf):
+    """Four files; the named cell is in three of them, the first falls back on cells that are placed nowhere."""
+    files = spark.range(4).withColumnRenamed("id", "file_id")
+    cells = view(spark, sf, "cells").join(F.broadcast(files)).where("file_id > 0 or cell <> 'k3'").select("file_id", "cell", "name")
+    cells = cells.unionByName(files.select("file_id", F.lit("lone").alias("cell"), F.lit("lone").alias("name")))
+    refs = view(spark, sf, "refs").join(F.broadcast(files)).where("file_id < 3 or parent like 'n%'").select("file_id", "parent", "child")
+    return hierarchy.top_cells(refs, cells, "gf180mcu_fd_sc__nand2_3", ["file_id"])
+
+
 @query("j14_walk_hierarchy", duck(f"with {_WALK} select * from inst", recursive=True))
 def j14(spark, sf):
     return _instances(spark, sf)
@@ -196,7 +232,7 @@ def _segments(spark, sf, instances):
 )
 def c5(spark, sf):
     instances = materialize(_instances(spark, sf), "instances")
-    flat = materialize(hierarchy.flatten_rects(instances, view(spark, sf, "cell_rects"), view(spark, sf, "cells")), "flat")
+    flat = materialize(hierarchy.flatten_rects(instances, view(spark, sf, "cell_rects"), _fillers(spark, sf)), "flat")
     firsts, counts = _segments(spark, sf, instances)
     firsts = materialize(firsts, "segments")
     wires = instances.select("inst_id", "cell").join(counts, "cell").join(firsts, "inst_id")
@@ -221,23 +257,23 @@ def c6(spark, sf):
 
 @query(
     "j10_cell_outline_rects",
-    duck(f"""with {_WALK}, std as (select cell from cells where regexp_matches(name, '^(sg13g2|sky130|gf180mcu)_') and not {_FILLER}),
+    duck(f"""with {_WALK}, std as (select cell from cells where regexp_matches(name, '^(sg13g2|sky130|gf180mcu)_') and not ({_FILLER})),
       bx as (select cell, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2 from cell_rects group by cell),
       ow as (select cell, min(term1) as wire from cell_fets where term0 < term1 group by cell)
       select inst_id, 19::bigint as layer, {_MOVED}, wire from inst i join std on std.cell = i.cell join bx on bx.cell = i.cell left join ow on ow.cell = i.cell""", recursive=True),
 )
 def j10(spark, sf):
     outputs = view(spark, sf, "cell_fets").where("term0 < term1").select("cell", F.col("term1").alias("wire"))
-    return hierarchy.cell_outline_rects(_instances(spark, sf), view(spark, sf, "cell_rects"), view(spark, sf, "cells"), outputs)
+    return hierarchy.cell_outline_rects(_instances(spark, sf), view(spark, sf, "cell_rects"), view(spark, sf, "cells"), _fillers(spark, sf), outputs)
 
 
-_LOOKUP = f"""{_FLAT}, {_SEGMENTS}, lk as (select pf.inst_id, rect_id, layer, wire, case when (first + wire) % 9 = 0 then -1 else (first + wire) // 3 end as net
+_LOOKUP = f"""{_FLAT}, {_SEGMENTS}, lk as (select pf.inst_id, pf.cell, rect_id, layer, wire, case when (first + wire) % 9 = 0 then -1 else (first + wire) // 3 end as net
   from pf left join sg using (inst_id))"""
 
 
 def _looked_up(spark, sf):
     instances = materialize(_instances(spark, sf), "instances")
-    flat = hierarchy.flatten_rects(instances, view(spark, sf, "cell_rects"), view(spark, sf, "cells"))
+    flat = hierarchy.flatten_rects(instances, view(spark, sf, "cell_rects"), _fillers(spark, sf))
     firsts, counts = _segments(spark, sf, instances)
     firsts = materialize(firsts, "segments")
     wires = instances.select("inst_id", "cell").join(counts, "cell").join(firsts, "inst_id")
@@ -252,9 +288,14 @@ def j11(spark, sf):
     return _looked_up(spark, sf)[0].select("inst_id", "rect_id", "layer", "net", "tree")
 
 
-@query("j12_net_to_instances", duck(f"with {_LOOKUP} select inst_id, string_agg(distinct wire::varchar, ',' order by wire::varchar) as wires from lk where net = 101 group by inst_id", recursive=True))
+@query(
+    "j12_net_to_instances",
+    duck(f"""with {_LOOKUP}, on_net as (select distinct inst_id, cell, wire from lk where net = 101)
+      select inst_id, string_agg(distinct wire::varchar, ',' order by wire::varchar) as wires, coalesce(string_agg(distinct text, ', ' order by text), '') as labels
+      from on_net left join cell_labels using (cell, wire) group by inst_id""", recursive=True),
+)
 def j12(spark, sf):
-    return hierarchy.net_to_instances(_looked_up(spark, sf)[0], 101)
+    return hierarchy.net_to_instances(_looked_up(spark, sf)[0], 101, view(spark, sf, "cell_labels"))
 
 
 @query(

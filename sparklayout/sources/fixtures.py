@@ -40,34 +40,37 @@ from supplier""",
     "poly_points": """
 select poly_id, cast(i as bigint) as pt_idx, cast(x0+10*fx+0.25 as double) as x, cast(y0+fy*(h//2)-0.25 as double) as y
 from (select o_orderkey as poly_id, o_orderkey%3 as shape, 40+2*(o_custkey%10) as h, (o_orderkey%400)*200 as x0,
-        (o_orderkey//400)*200 as y0 from orders where o_orderkey%5=0) o
+        (o_orderkey//400)*200 as y0 from orders) o
 join (select 0 as shape2, 0 as i, 0 as fx, 0 as fy union all select 0,1,6,0 union all select 0,2,6,2 union all select 0,3,0,2
   union all select 1,0,0,0 union all select 1,1,6,0 union all select 1,2,6,1 union all select 1,3,3,1 union all select 1,4,3,2
   union all select 1,5,0,2 union all select 2,0,0,0 union all select 2,1,6,0 union all select 2,2,6,2 union all select 2,3,4,2
   union all select 2,4,4,1 union all select 2,5,2,1 union all select 2,6,2,2 union all select 2,7,0,2) t on o.shape=t.shape2""",
     "polygons_tag": """
 select o_orderkey as poly_id, 64+o_custkey%10 as layer, cast(case when o_orderkey%2=0 then 20 else 44 end as bigint) as datatype,
-  o_orderkey%7 as file_id from orders where o_orderkey%5=0""",
-    # top -> region -> nation -> shared leaf cells
+  o_orderkey%7 as file_id from orders""",
+    # top -> region -> nation -> leaf cells, which come in groups of twenty; the second of a group has a filler's
+    # name and yet places the first
     "refs": """
 select 'top' as parent, cast(r_regionkey as bigint) as ref_idx, 'r'||r_regionkey as child, cast(r_regionkey%4 as bigint) as quad,
   cast(0 as bigint) as refl, cast(r_regionkey as bigint)*2000000 as ox, cast(0 as bigint) as oy from region
 union all select 'r'||n_regionkey, cast(n_nationkey as bigint), 'n'||n_nationkey, cast(n_nationkey%4 as bigint),
   cast(n_nationkey%2 as bigint), cast(n_nationkey as bigint)*50000, cast(n_nationkey as bigint)*1000 from nation
-union all select 'n'||c_nationkey, c_custkey, 'k'||(c_custkey%20), c_custkey%4, (c_custkey//4)%2, (c_custkey%300)*100,
+union all select 'k'||(20*g+1), cast(0 as bigint), 'k'||(20*g), cast(1 as bigint), cast(0 as bigint), cast(30 as bigint), cast(20 as bigint)
+  from (select distinct p_partkey//200 as g from part)
+union all select 'n'||c_nationkey, c_custkey, 'k'||(c_custkey//200*20+c_custkey%20), c_custkey%4, (c_custkey//4)%2, (c_custkey%300)*100,
   (c_custkey//300)*100 from customer""",
     "raw_refs": """
 select parent, ref_idx, child, cast(quad as double)*1.5707963267948966 as rotation,
   cast(case when ref_idx%13=0 and parent like 'n%' then 1.5 else 1.0 end as double) as mag, refl=1 as x_reflection,
   cast(ox as double)+case when ref_idx%17=0 and parent like 'n%' then 0.5 else 0.0 end as ox, cast(oy as double) as oy from refs""",
     "cells": """
-select 'k'||k as cell, case k%6 when 0 then 'sky130_fd_sc_hd__inv_'||k when 1 then 'sky130_fd_sc_hd__fill_'||k
+select distinct 'k'||k as cell, case k%20%6 when 0 then 'sky130_fd_sc_hd__inv_'||k when 1 then 'sky130_fd_sc_hd__fill_'||k
   when 2 then 'sg13g2_decap_'||k when 3 then 'gf180mcu_fd_sc__nand2_'||k when 4 then 'sg13g2_fill_'||k else 'my_macro_'||k end as name
-from (select unnest(range(20)) as k)""",
+from (select p_partkey//200*20+p_partkey%20 as k from part)""",
     "cell_rects": """
-select 'k'||(p_partkey%20) as cell, p_partkey as rect_id, 8+2*(p_partkey%3) as layer,
+select 'k'||(p_partkey//200*20+p_partkey%20) as cell, p_partkey as rect_id, 8+2*(p_partkey%3) as layer,
   ((p_partkey//20)%5)*20 as x1, ((p_partkey//100)%2)*50 as y1, ((p_partkey//20)%5)*20+10+p_size%20 as x2,
-  ((p_partkey//100)%2)*50+30+p_size%20 as y2, p_partkey//40 as wire from part where p_partkey<200""",
+  ((p_partkey//100)%2)*50+30+p_size%20 as y2, p_partkey%200//40 as wire from part""",
     "samples": """
 select cast(0 as bigint) as stream_id, event_id as tick, ts, cast(user_id%32 as bigint) as wire,
   cast(case when event_type in ('click','purchase','signup') then 1 else 0 end as bigint) as value from events""",
@@ -84,7 +87,7 @@ from serial_bytes, (select unnest(range(10)) as j)""",
     "spi_xfers": """
 select o_orderkey as xfer, o_orderkey%16 as stream_id, o_custkey%3 as device,
   cast(case o_orderkey%3 when 0 then 2 when 1 then 3 else 11 end as bigint) as command,
-  (o_orderkey*7919)%16777216 as address, 1+o_custkey%4 as nbytes from orders where o_orderkey%50=0""",
+  (o_orderkey*7919)%16777216 as address, 1+o_custkey%4 as nbytes from orders""",
     "spi_bytes": """
 select x.*, i, case when i=0 then command when i=1 then (address//65536)%256 when i=2 then (address//256)%256
   when i=3 then address%256 else (xfer+(i-4)*37)%256 end as byte
@@ -115,22 +118,24 @@ select o_orderkey%40 as file_id, o_orderkey as line_no,
   case o_orderkey//40 when 0 then 'Total flat rects: '||(1000+o_custkey) when 1 then '  Wires: '||(10+o_custkey)
     when 2 then '  FETs: '||(20+o_custkey) when 3 then 'Warning: skipping unsupported reference' else
     case when o_custkey%9=0 then 'Error: unable to load library' when o_custkey%2=0 then 'Warning: malformed' else 'ok' end end as line
-from orders where o_orderkey<400""",
+from orders""",
     # flat rectangles with made-up nets and trees, a third of them on the rails
     "flat": """
 select rect_id, layer, x1, y1, x2, y2, case when rect_id%11=0 then -1 when rect_id%3=0 then rect_id%2 else rect_id%997 end as net,
   case when rect_id%11=0 then -1 when rect_id%3=0 then rect_id%2 else rect_id%997-rect_id%997%4 end as tree,
   rect_id%5 as file_id, rect_id//64 as inst_id from rects""",
     "cell_fets": """
-select 'k'||(p_partkey%20) as cell, p_partkey//40 as gate, (p_partkey//20)%5 as term0, (p_partkey//100)%5 as term1, p_partkey%2 as type
-from part where p_partkey<200""",
+select 'k'||(p_partkey//200*20+p_partkey%20) as cell, p_partkey%200//40 as gate, (p_partkey//20)%5 as term0, (p_partkey//100)%2 as term1,
+  p_partkey%2 as type from part""",
+    "cell_labels": """
+select distinct 'k'||(p_partkey//200*20+p_partkey%20) as cell, 'P'||(p_partkey%7) as text, p_partkey%200//40 as wire from part""",
     "label_points": """
 select rect_id as label_id, layer, x1+rect_id%3 as x, y1 as y, 'L'||(rect_id%97) as text from rects where rect_id%50<2
 union all select rect_id, layer, x1+1000000, y1, 'miss' from rects where rect_id%500=3""",
     "boxes": """
 select cast(n_nationkey as bigint) as box_id, cast(n_nationkey as bigint)*1500 as x1, cast((n_nationkey*13)%300 as bigint) as y1,
   cast(n_nationkey as bigint)*1500+900 as x2, cast((n_nationkey*13)%300+60 as bigint) as y2 from nation""",
-    "devs": "select o_orderkey as cell, 1+o_custkey%3 as g, o_custkey as c from orders where o_orderkey%20=0",
+    "devs": "select o_orderkey as cell, 1+o_custkey%3 as g, o_custkey as c from orders",
     # one N and one P diffusion, gates across both, a well over the P half
     "dev_rects": """
 select cell, cast(2 as bigint) as layer, cast(0 as bigint) as rect_id, cast(0 as bigint) as x1, cast(0 as bigint) as y1,
@@ -147,13 +152,13 @@ from devs, (select unnest(range(4)) as j), (select unnest(range(2)) as p) where
     "path_points": """
 select o_orderkey as path_id, 2*(1+o_custkey%5) as width, cast(i as bigint) as pt_idx,
   (o_orderkey%400)*200+case when i>=1 then 60 else 0 end as x, (o_orderkey//400)*200+case when i>=2 then 80 else 0 end as y
-from orders, (select unnest(range(3)) as i) where o_orderkey%25=0""",
+from orders, (select unnest(range(3)) as i)""",
     "repeated": """
 select o_orderkey as item_id, o_custkey%100 as x, o_custkey%70 as y, 1+o_custkey%3 as n_cols, 1+o_custkey%4 as n_rows,
-  40+o_custkey%9 as dx, 30+o_custkey%5 as dy from orders where o_orderkey%10=0""",
+  40+o_custkey%9 as dx, 30+o_custkey%5 as dy from orders""",
     "id_texts": """
 select o_orderkey as text_id, o_custkey||', '||(o_custkey%50)||'-'||(o_custkey%60)||' x7 '||(o_orderkey%9) as text
-from orders where o_orderkey%30=0""",
+from orders""",
 }
 
 
