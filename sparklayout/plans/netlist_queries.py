@@ -49,20 +49,20 @@ def _labelled(spark, sf, rects):
 
 @query(
     "c2_cell_wires",
-    duck(f"""with recursive e as materialized (
-        select a.rect_id as a, b.rect_id as b from rects a join rects b on a.layer = b.layer and a.rect_id <> b.rect_id and {_TOUCH}
-        union select a.rect_id, b.rect_id from rects a join rects b on b.layer = a.layer + 1 and a.layer between 6 and 17 and {_TOUCH}
-        union select b.rect_id, a.rect_id from rects a join rects b on b.layer = a.layer + 1 and a.layer between 6 and 17 and {_TOUCH}),
+    duck(f"""with {_COMPONENTS},
       lab as materialized (select distinct l.text, r.rect_id from label_points l join rects r on r.layer = l.layer and l.x between r.x1 and r.x2 and l.y between r.y1 and r.y2),
-      hub as materialized (select text, min(rect_id) as hub from lab group by text),
-      all_e as materialized (select a, b from e union select rect_id, hub from lab join hub using (text) where rect_id <> hub union select hub, rect_id from lab join hub using (text) where rect_id <> hub),
-      cc(rect_id, component) using key (rect_id) as (
-        select rect_id, rect_id from rects
-        union (select u.rect_id, min(v.component) from recurring.cc u join all_e on all_e.a = u.rect_id join cc v on v.rect_id = all_e.b where v.component < u.component group by u.rect_id))
-      select 'top' as cell, rect_id, component from cc""", recursive=True),
+      hub as (select text, min(rect_id) as hub from lab group by text),
+      across as (select a.rect_id as a, b.rect_id as b from rects a join rects b on b.layer = a.layer + 1 and a.layer between 6 and 17 and {_TOUCH}
+        union select rect_id, hub from lab join hub using (text) where rect_id <> hub),
+      parts as materialized (select * from comps),
+      half as (select distinct x.component as a, y.component as b from across join parts x on x.rect_id = a join parts y on y.rect_id = b where x.component <> y.component),
+      ways as materialized (select a, b from half union select b, a from half),
+      whole as (select distinct component as node, component as seen from parts union select w.node, ways.b from whole w join ways on ways.a = w.seen),
+      least as (select node, min(seen) as component from whole group by node)
+      select 'top' as cell, rect_id, least.component from parts join least on least.node = parts.component""", recursive=True),
 )
 def c2(spark, sf):
-    """Wires over all layers; the SQL passes the least id on from neighbour to neighbour."""
+    """Wires over all layers; the SQL first takes what is connected on a layer as one."""
     rects = materialize(view(spark, sf, "rects"), "rects")
     labels = _labelled(spark, sf, rects).select("text", "rect_id").distinct()
     return nets.cell_wires(rects.withColumn("cell", F.lit("top")), labels.withColumn("cell", F.lit("top")), ["cell"])
