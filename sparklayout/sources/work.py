@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 
-    A cluster sets it to a folder that all executors share. Where it is unset (tests, a laptop), a
-    local temporary folder is made and set for this session.
+    A cluster sets it to a folder that all executors share; without it nothing is written there, since executors
+    would each write to a disk of their own. Only where all runs in one process on this machine (tests, a
+    laptop) is a temporary folder made and set for the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparklayout-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
