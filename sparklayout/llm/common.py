@@ -50,14 +50,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Ids that may be sent to every task, 8 bytes each; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+#: Bytes of keys that may be sent to every task; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def sized(keys: DataFrame) -> DataFrame:
-    """``keys`` marked for broadcast if a count finds at most BROADCAST_IDS rows, else as it is, for a join
+    """``keys`` marked for broadcast if they are found to take at most BROADCAST_BYTES, else as they are, for a join
     by shuffle. So long texts stay where they are while the other side is known to be small."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    width = F.lit(16)
+    for field in keys.schema:
+        plain = field.dataType.typeName() not in ("string", "binary")
+        width = width + (F.lit(8) if plain else F.coalesce(F.octet_length(field.name), F.lit(0)))
+    total = keys.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(keys) if total <= BROADCAST_BYTES else keys
 
 
 def with_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from sparklayout.llm.common import SPACE, sized
 from sparklayout.sources.work import materialize
 
-#: Rows in the sample that looks for hot texts, and the share of it that makes a text hot. So at most
-#: 1 / HOT_SHARE texts are hot, whatever the size of the input.
-SAMPLE_ROWS, HOT_SHARE, SALTS = 20_000, 0.002, 64
+#: The sample that looks for hot texts has so many rows, and this share of all rows at least. A text is hot if it is
+#: thought to have HOT_SHARE of all rows, or HOT_ROWS rows: no partition gets many more of one text, at any size.
+SAMPLE_ROWS, SAMPLE_SHARE, HOT_SHARE, HOT_ROWS, SALTS = 20_000, 0.002, 0.002, 50_000, 64
 
 
 def normalised(text: Column) -> Column:
@@ -24,14 +24,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _hot_hashes(rows: DataFrame, total: int) -> list[int]:
-    """Hashes of texts that hold at least HOT_SHARE of a sample: at most 500 numbers."""
-    if not total:
-        return []
-    sampled = rows.select("_hash").sample(min(1.0, SAMPLE_ROWS / total), seed=7)
-    least = max(8, int(HOT_SHARE * min(total, SAMPLE_ROWS)))
-    found = sampled.groupBy("_hash").count().where(F.col("count") >= least)
-    return [r["_hash"] for r in found.orderBy(F.desc("count")).limit(int(1 / HOT_SHARE)).collect()]
+def _hot_hashes(docs: DataFrame, text_col: str, total: int) -> DataFrame:
+    """_hash of each hot text, written to a table."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_ROWS / max(1, total)))
+    sampled = docs.select(text_col).sample(share, seed=7).select(F.xxhash64(normalised(F.col(text_col))).alias("_hash"))
+    least = max(8, min(HOT_SHARE * total, HOT_ROWS) * share)
+    return materialize(sampled.groupBy("_hash").count().where(F.col("count") >= least).select("_hash"), "hot")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,15 +41,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
     rows = rows.withColumn("_hash", F.xxhash64("_norm"))
-    hot = _hot_hashes(rows, docs.select(id_col).count())
-    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")
-    rows = rows.select(
-        "_id",
-        "_norm",
-        "_hash",
-        F.substring("_norm", 1, 16).alias("_head"),
-        (F.when(F.col("_hash").isin(hot), salt).otherwise(-1) if hot else F.lit(-1)).alias("_salt"),
-    )
+    hot = _hot_hashes(docs, text_col, docs.select(id_col).count())
+    any_hot = not hot.isEmpty()
+    salt = F.lit(-1)
+    if any_hot:
+        rows = rows.join(sized(hot.withColumn("_is_hot", F.lit(True))), "_hash", "left")
+        salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).otherwise(-1)
+    rows = rows.select("_id", "_norm", "_hash", F.substring("_norm", 1, 16).alias("_head"), salt.alias("_salt"))
     same = ["_head", "_hash", "_salt", "_norm"]
     group = Window.partitionBy(*same)
     placed = rows.repartitionByRange("_head", "_hash", "_salt").select(
@@ -62,13 +58,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.count("*").over(group).alias("group_size"),
         F.row_number().over(group.orderBy(F.col("_id").asc_nulls_last())).alias("_nth"),
     )
-    if hot:
-        # at most 500 hot texts with SALTS summary rows each; their sha256 stands for the text here
+    if any_hot:
+        # SALTS summary rows for each hot text; their sha256 stands for the text here
         piece = placed.where("_salt >= 0 and _nth = 1")
         merged = piece.groupBy("text_sha256").agg(
             F.min("keep_id").alias("_keep"), F.sum("group_size").alias("_size"), F.min("_salt").alias("_first")
         )
-        placed = placed.join(F.broadcast(merged), "text_sha256", "left")
+        placed = placed.join(sized(materialize(merged, "hot_groups")), "text_sha256", "left")
         keep = F.when(F.col("_size").isNull(), F.col("keep_id")).otherwise(F.col("_keep"))
         # a group of null ids only has no least id; then the first salt's first row stays
         first = F.col("_size").isNull() | F.col("_id").eqNullSafe(F.col("_keep")) & (
@@ -92,12 +88,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The decision is joined back by id and text digest, so that rows that share an id but not a text are
     judged apart.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_kept_id")
-    judged = exact_duplicates(docs, id_col, text_col).select(key, F.col("text_sha256").alias("_kept_sha"), "kept")
-    per_key = judged.groupBy("_kept_id", "_kept_sha").agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
-    odd = materialize(per_key.where("not stays or times > 1"), "duplicates")
-    keys = ["_kept_id", "_kept_sha"]
-    keyed = docs.withColumns({"_kept_id": key, "_kept_sha": F.sha2(normalised(F.col(text_col)), 256)})
-    once = keyed.join(sized(odd.select(*keys)), keys, "left_anti")
-    repeated = keyed.join(sized(odd.where("stays").select(*keys)), keys, "left_semi").dropDuplicates(keys)
+    own = F.unhex("text_sha256").alias("_sha")
+    judged = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_kept_id"), own, "kept")
+    per_key = judged.groupBy("_kept_id", "_sha").agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
+    odd = materialize(per_key.where("not stays or times > 1").withColumnRenamed("_sha", "_kept_sha"), "duplicates")
+    keyed = docs.withColumn("_sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    once = keyed.join(sized(odd.select("_kept_id", "_kept_sha")), same, "left_anti")
+    repeated = keyed.join(sized(odd.where("stays").select("_kept_id", "_kept_sha")), same, "left_semi").dropDuplicates([id_col, "_sha"])
     return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -83,9 +83,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that quotes control strings, digested after reading the output back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    quoting = spark.createDataFrame(
-        [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
-        "conv_id long, turn long, role string, text string",
+    quoting = spark.sql(
+        """select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+        as t(conv_id, turn, role, text)"""
     )
     chats = chat_format.format_chats(turns.unionByName(quoting))
     back = chats.withColumn("_back", chat_format.read_back(F.col("formatted")))
