@@ -30,27 +30,50 @@ def latest_state(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stream_id", "wire").agg(F.max_by("value", "tick").alias("value"), F.max("tick").alias("tick"))
 
 
-def _rising(c: str, line) -> Column:
-    return (F.col(c) == 1) & (F.lag(c, 1, 0).over(line) == 0)
+#: Ticks that are worked on together; what goes over from one run of ticks to the next is carried by a table with a row
+#: for each run, so that one long stream is shared by many tasks.
+RUN_TICKS = 65_536
+
+
+def _by_runs(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_run", F.expr(f"tick div {RUN_TICKS}"))
+
+
+def _carried(rows: DataFrame, **last: Column) -> DataFrame:
+    """stream_id, _run and, for each name, the aggregate of all earlier runs: ``last`` maps names to aggregates of a
+    run; numbers that end in _n are summed, others taken from the latest run that has them."""
+    runs = rows.groupBy("stream_id", "_run").agg(*(c.alias(n) for n, c in last.items()))
+    before = Window.partitionBy("stream_id").orderBy("_run").rowsBetween(*_BEFORE)
+    one = lambda n: F.coalesce(F.sum(n).over(before), F.lit(0)) if n.endswith("_n") else F.last(n, ignorenulls=True).over(before)
+    return runs.select("stream_id", "_run", *(one(n).alias(n) for n in last))
 
 
 def _scanned(ticks: DataFrame) -> DataFrame:
     """ticks with frame, x, y of the pixel at each tick, and h and v, whether a sync rises at it."""
-    line = Window.partitionBy("stream_id").orderBy("tick")
+    key = ["stream_id", "_run"]
+    line = Window.partitionBy(*key).orderBy("tick")
     before = line.rowsBetween(*_BEFORE)
-    rows = ticks.withColumns({"h": _rising("hsync", line), "v": _rising("vsync", line), "_n": F.row_number().over(line)})
+    rows = _by_runs(ticks)
+    carried = _carried(rows, _rows_n=F.count("*"), _hsync=F.max_by("hsync", "tick"), _vsync=F.max_by("vsync", "tick"))
+    rises = lambda c: (F.col(c) == 1) & (F.coalesce(F.lag(c).over(line), F.col(f"_{c}"), F.lit(0)) == 0)
+    rows = rows.join(carried, key).withColumns({"h": rises("hsync"), "v": rises("vsync"), "_n": F.col("_rows_n") + F.row_number().over(line)})
+    of_run = _carried(rows, _h_n=F.sum(F.col("h").cast("long")), _v_n=F.sum(F.col("v").cast("long")), _last_h=F.max(F.when(F.col("h"), F.col("_n"))))
+    rows = rows.drop("_rows_n", "_hsync", "_vsync").join(of_run, key)
     count = lambda c: F.coalesce(F.sum(F.col(c).cast("long")).over(before), F.lit(0))
     rows = rows.withColumns(
         {
-            "frame": count("v"),
-            "_lines": count("h"),
-            "_at": F.max(F.when(F.col("h"), F.col("_n"))).over(before),
+            "frame": F.col("_v_n") + count("v"),
+            "_lines": F.col("_h_n") + count("h"),
+            "_at": F.coalesce(F.max(F.when(F.col("h"), F.col("_n"))).over(before), F.col("_last_h")),
         }
     )
-    rows = rows.withColumn("_upto", F.max(F.when(F.col("v"), F.col("_lines") + F.col("h").cast("long"))).over(before))
+    # the line where the latest vsync before a tick rose
+    upto = F.when(F.col("v"), F.col("_lines") + F.col("h").cast("long"))
+    rows = rows.drop("_h_n", "_v_n", "_last_h").join(_carried(rows, _last_v=F.max(upto)), key)
+    rows = rows.withColumn("_upto", F.coalesce(F.max(upto).over(before), F.col("_last_v")))
     return rows.withColumns(
         {"x": (F.col("_n") - F.coalesce("_at", F.lit(0)) - 1).cast("long"), "y": F.col("_lines") - F.coalesce("_upto", F.lit(0))}
-    ).drop("_n", "_lines", "_at", "_upto")
+    ).drop("_n", "_lines", "_at", "_upto", "_last_v", "_run")
 
 
 def raster_scan(ticks: DataFrame, bits: list[str]) -> DataFrame:
@@ -101,14 +124,28 @@ def serial_bytes(ticks: np.ndarray, levels: np.ndarray, idle_from: int, known_to
 
 
 def serial_decode(levels: DataFrame) -> DataFrame:
-    """stream_id, tick (of the start edge), byte from (stream_id, tick, tx) level changes."""
+    """stream_id, tick (of the start edge), byte from (stream_id, tick, tx) level changes.
+
+    A line that has been at 1 for longer than a byte takes is idle, whatever came before; streams are cut there and the
+    parts decoded apart.
+    """
+    rows = _by_runs(levels.select("stream_id", "tick", "tx"))
+    key = ["stream_id", "_run"]
+    line = Window.partitionBy(*key).orderBy("tick")
+    rows = rows.join(_carried(rows, _tick=F.max("tick"), _tx=F.max_by("tx", "tick")), key)
+    gap = F.col("tick") - F.coalesce(F.lag("tick").over(line), F.col("_tick"))
+    quiet = (F.coalesce(F.lag("tx").over(line), F.col("_tx")) == 1) & (gap > HALF_BIT + 10 * BIT)
+    rows = rows.withColumn("_new", F.coalesce(quiet, F.lit(False)).cast("long"))
+    rows = rows.drop("_tick", "_tx").join(_carried(rows, _parts_n=F.sum("_new")), key)
+    part = F.col("_parts_n") + F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0))
 
     def decode(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("tick")
         found, _ = serial_bytes(rows["tick"].to_numpy(), rows["tx"].to_numpy(), int(rows["tick"].iloc[0]), None)
         return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "tick": [t for t, _ in found], "byte": [b for _, b in found]})
 
-    return levels.select("stream_id", "tick", "tx").groupBy("stream_id").applyInPandas(decode, "stream_id long, tick long, byte long")
+    cut = rows.select("stream_id", "tick", "tx", part.alias("part"))
+    return cut.groupBy("stream_id", "part").applyInPandas(decode, "stream_id long, tick long, byte long")
 
 
 def spi_transactions(samples: DataFrame) -> DataFrame:

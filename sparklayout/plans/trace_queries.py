@@ -144,7 +144,9 @@ def t11(spark, sf):
     path = new_path(spark, "levels")
     levels = view(spark, sf, "serial_levels")
     idle = levels.groupBy("stream_id").agg((F.max("tick") + 1000).alias("tick")).withColumn("tx", F.lit(1).cast("long"))
-    rows = levels.unionByName(idle).coalesce(1)
+    rows, files = levels.unionByName(idle), 4
     for low, high in ((0, 3000), (3000, 6000), (6000, 1 << 62)):  # files are taken in the order of their writing
-        rows.where(F.col("tick").between(low, high - 1)).write.mode("append").parquet(path)
-    return streams.run_available(streams.stream_serial(streams.read_sample_stream(spark, path, "stream_id long, tick long, tx long")))
+        part = rows.where(F.col("tick").between(low, high - 1))
+        part.repartitionByRange(files, "stream_id").write.mode("append").parquet(path)
+    # a stream's rows are in one file of each interval, so no micro-batch has a later interval before an earlier one
+    return streams.run_available(streams.stream_serial(streams.read_sample_stream(spark, path, "stream_id long, tick long, tx long", files)))

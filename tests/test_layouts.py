@@ -310,3 +310,26 @@ def test_spatial_join_of_all_sizes_equals_brute_force(spark, predicate):
         "contains": lambda p, q: p[2] <= q[2] and p[3] <= q[3] and p[4] >= q[4] and p[5] >= q[5],
     }
     assert got == sorted((p[0], q[0]) for p in left for q in right if p[1] == q[1] and tests[predicate](p, q)) and got
+
+
+def test_runs_of_ticks_do_not_change_what_is_decoded(spark, monkeypatch):
+    """Raster and serial results with one run for a whole stream and with runs of few ticks."""
+    rng = random.Random(4)
+    ticks = [(s, t, int(t % 37 < 4), int(t % 400 < 50), t % 64) for s in (1, 2) for t in range(s * 7, 3000) if rng.random() < 0.9]
+    raster = spark.createDataFrame(ticks, "stream_id long, tick long, hsync long, vsync long, rgb long")
+    raster = raster.withColumns({f"bit{k}": F.expr(f"(rgb div {2**k}) % 2") for k in range(6)})
+    levels, t = [], 50
+    for k, byte in enumerate(bytes(range(40))):
+        levels += [(1, t + trace.BIT * j, b) for j, b in enumerate([0, *((byte >> i) & 1 for i in range(8)), 1])]
+        t += trace.BIT * (10 + 7 * (k % 3) * (k % 2))
+    serial = spark.createDataFrame(levels, "stream_id long, tick long, tx long")
+    found = {}
+    for n in (10**9, 97):
+        monkeypatch.setattr(trace, "RUN_TICKS", n)
+        found[n] = [
+            rows(trace.raster_scan(raster, [f"bit{k}" for k in range(6)]), "stream_id", "frame", "y", "x", "r", "g", "b"),
+            rows(trace.raster_size(raster), "stream_id", "width", "height"),
+            rows(trace.serial_decode(serial), "tick", "byte"),
+        ]
+    assert found[97] == found[10**9]
+    assert [b for _, b in found[97][2]] == list(range(40)) and len(found[97][0]) > 1000
