@@ -100,6 +100,42 @@ def test_language_profiles(spark):
     assert np.array_equal(language_id.profiles([text], 256)[0], plain)
 
 
+def test_language_id_equals_brute_force(spark):
+    """Plain dictionaries of n-grams, summed place by place, against the bundled prediction; odd rows."""
+    rng = random.Random(5)
+    alphabet = {"aa": "abcde", "bb": "vwxyz", "cc": "aevwz"}
+    rows = [(i, "".join(rng.choices(alphabet[lang] + " ", k=rng.randrange(5, 40))), lang, "x") for i, lang in enumerate(list(alphabet) * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    dims = 128
+    trained = language_id.train_profiles(df, dimensions=dims)
+
+    def vector(text):
+        words = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        padded = [ord(c) for c in f" {words} "]
+        out = np.zeros(dims)
+        for i in range(len(padded) - 2) if words else ():
+            one = np.ones(dims)
+            for k in range(3):
+                one *= np.roll(language_id.letter_vector(padded[i + k], dims), 2 - k)
+            out += one
+        return out
+
+    for lang, profile in trained.items():
+        assert np.allclose(profile, sum(vector(t) for _, t, x, _ in rows if x == lang))
+    odd = [(100, None, None, ""), (101, "  42", None, ""), (102, "a" * 200_000 + " vw", None, ""), (0, *rows[0][1:]), (0, *rows[0][1:]), (103, "日本", None, "")]
+    got = language_id.predict_languages(df.unionByName(spark.createDataFrame(odd, df.schema)), trained).collect()
+    assert len(got) == len(rows) + len(odd)
+    texts = {i: t for i, t, *_ in [*rows, *odd]}
+    for r in got:
+        v = vector(texts[r["doc_id"]] or "")
+        cosines = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) if v.any() else 0.0 for k, p in trained.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r["lang_pred"] == (best if v.any() else "und") and r["score"] == pytest.approx(max(0.0, cosines[best]), abs=1e-6)
+    twins = {"zz": trained["aa"], "aa": trained["aa"]}  # equal cosines: the first by name
+    assert {r["lang_pred"] for r in language_id.predict_languages(df, twins).collect()} == {"aa"}
+    assert language_id.train_profiles(df.limit(0)) == {} and language_id.predict_languages(df.limit(0), trained).count() == 0
+
+
 def test_chat_states_and_escapes(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\", "\\[INST]", "[\\INST]", "<<SYS>><</SYS>>", "<<s>", "a\\\\b [TEXT] [/ROLE]", "", None, " lead and trail ", "[INST]\\"]
     rows = []
