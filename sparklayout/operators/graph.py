@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sparklayout.sources.work import materialize
+from sparklayout.sources.work import delete, new_path
 
 
 #: Edges that one task of a round takes at least, and tasks of a round at least.
@@ -31,12 +31,14 @@ def _star(edges: DataFrame, keys: list[str], large: bool, tasks: int) -> DataFra
     return out.where("u > v").distinct().coalesce(tasks)
 
 
-def _written(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple]:
-    """The edges as a table, with their count and a sum of hashes that the writing job took along."""
+def _written(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, tuple, str]:
+    """The edges as a table, with their count and a sum of hashes that the writing job took along, and its path."""
     seen = Observation()
     total = F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))
-    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "cc")
-    return table, (seen.get["n"], seen.get["total"])
+    path = new_path(edges.sparkSession, "cc")
+    edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")).write.parquet(path)
+    table = edges.sparkSession.read.schema(edges.schema).parquet(path)
+    return table, (seen.get["n"], seen.get["total"]), path
 
 
 def connected_components(
@@ -58,10 +60,12 @@ def connected_components(
     pairs = edges.where(F.col(src) != F.col(dst)).select(
         *keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")
     )
-    now, before = _written(pairs.distinct(), keys)
+    now, before, path = _written(pairs.distinct(), keys)
     while before[0]:
         tasks = max(TASKS, before[0] // EDGES_PER_TASK)
-        now, after = _written(_star(_star(now, keys, True, tasks), keys, False, tasks), keys)
+        last = path
+        now, after, path = _written(_star(_star(now, keys, True, tasks), keys, False, tasks), keys)
+        delete(now.sparkSession, last)  # a round needs nothing but the round before
         if after == before:
             break
         before = after

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,46 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made since each open :func:`scratch` began, the innermost last.
+_open: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path below :func:`work_dir` that no other run uses."""
-    return f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of ours, in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are written inside are deleted at the end, but for those written by the function that it gives."""
+    made: list[str] = []
+    kept: list[str] = []
+    _open.append(made)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        before = len(made)
+        table = materialize(df, tag)
+        kept.append(made[before])
+        return table
+
+    try:
+        yield keep
+    finally:
+        _open.remove(made)
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+        if _open:
+            _open[-1].extend(kept)
 
 
 def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
