@@ -12,10 +12,12 @@ from sparklayout.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    fingerprints,
     html_extract,
     language_id,
     ngram_join,
     quality_model,
+    token_alignment,
     token_files,
     url_filter,
 )
@@ -196,3 +198,19 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds within the edit budget."""
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned, with how often their pairs are linked in the corpus."""
+    import public_tokenizers
+
+    return token_alignment.align_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
+@_query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the document that follows."""
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
