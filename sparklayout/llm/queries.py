@@ -13,6 +13,7 @@ from sparklayout.llm import (
     decontaminate,
     exact_dedup,
     fingerprints,
+    hard_negatives,
     html_extract,
     language_id,
     ngram_join,
@@ -214,3 +215,30 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the document that follows."""
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh first gets the next label."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", wrong), lambda i: i % 100 == 0)
+
+
+_SQL["op13_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+d as (select vec_id, label, generate_subscripts(q, 1) as k, unnest(q) as x from v),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as alike, sum(a.x * b.x)::bigint as score
+  from d a join d b on a.k = b.k where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id group by a.vec_id, b.vec_id, a.label, b.label),
+p as (
+  select anchor_id, other as positive_id, score as positive_score from s where alike
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, other))::int as rank,
+  other as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other) <= 10"""
