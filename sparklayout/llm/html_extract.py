@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -111,14 +112,11 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-#: Pairs of equal lines up to which they are chained one by one; above, rows of bits are used.
-PAIRS = 100_000
-
-
 def common_lines(a: list, b: list) -> set[int]:
-    """Places in ``a`` of one longest common subsequence with ``b``.
+    """Places in ``a`` of a longest common subsequence with ``b``.
 
-    Equal ends are taken off first and lines that only one side has are left out.
+    Equal ends belong to it; of what is between, lines that only one side has are left out, and of the longest common subsequences of
+    the rest the one with the lexicographically least places in ``a`` is taken, whatever the number of lines.
     """
     lo, hi_a, hi_b = 0, len(a), len(b)
     while lo < hi_a and lo < hi_b and a[lo] == b[lo]:
@@ -129,61 +127,56 @@ def common_lines(a: list, b: list) -> set[int]:
     times_a, times_b = Counter(a[lo:hi_a]), Counter(b[lo:hi_b])
     at = [i for i in range(lo, hi_a) if a[i] in times_b]
     left, right = [a[i] for i in at], [x for x in b[lo:hi_b] if x in times_a]
-    pairs = sum(n * times_b[x] for x, n in times_a.items())
-    found.update(at[i] for i in (_chained(left, right) if pairs <= PAIRS else _halved(left, right, 0)))
-    return found
-
-
-def _chained(a: list, b: list) -> list[int]:
-    """Matches are chained from the last place in ``b`` to the first, keeping for each length the least end."""
-    places: dict = {}
-    for j in range(len(b) - 1, -1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in places[x]:
-            k = bisect_left(ends, j)
-            link = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(link)
-            elif j < ends[k]:
-                ends[k], chains[k] = j, link
-    found, link = [], chains[-1] if chains else None
-    while link:
-        found.append(link[0])
-        link = link[1]
+    found.update(at[i] for i in _least_places(left, right))
     return found
 
 
-def _lengths(a: list, b: list) -> np.ndarray:
-    """For j = 0 .. len(b): how long the longest common subsequence of ``a`` and the first j of ``b`` is.
+def _least_places(a: list, b: list) -> list[int]:
+    """The lexicographically least places in ``a`` of a longest common subsequence of ``a`` and ``b``.
 
-    One bit a line of ``b`` says where the length doesn't grow; a line of ``a`` updates all bits at once.
+    Row i has a bit for each line of ``b``, from the last on: 0 where one more line of ``b`` lengthens what it has in common with
+    a[i:]. A line of ``a`` updates all bits at once. Rows are made from the end, and some of them kept; the others are
+    made again, a stretch at a time, when ``a`` is then gone through from the start.
     """
+    n, m = len(a), len(b)
     where: dict = {}
+    places: dict = {}
     for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    whole = (1 << len(b)) - 1
-    flat = whole
-    for x in a:
-        hit = flat & where.get(x, 0)
-        flat = (flat + hit | flat - hit) & whole
-    bits = np.frombuffer(flat.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
-    return np.concatenate(([0], np.cumsum(np.unpackbits(bits, bitorder="little")[: len(b)] == 0)))
-
-
-def _halved(a: list, b: list, first: int) -> list[int]:
-    """The same for many repeats: ``a`` is cut in half and ``b`` where the two halves' lengths add up to the most."""
-    if not a or not b:
-        return []
-    if len(a) == 1:
-        return [first] if a[0] in b else []
-    middle = len(a) // 2
-    before, after = _lengths(a[:middle], b), _lengths(a[middle:][::-1], b[::-1])[::-1]
-    cut = int(np.argmax(before + after))
-    return _halved(a[:middle], b[:cut], first) + _halved(a[middle:], b[cut:], first + middle)
+        where[x] = where.get(x, 0) | 1 << (m - 1 - j)
+        places.setdefault(x, []).append(j)
+    whole = (1 << m) - 1
+
+    def longer(row: int, x: str) -> int:
+        hit = row & where[x]
+        return (row + hit | row - hit) & whole
+
+    step = isqrt(n) + 1
+    row, kept = whole, {n: whole}
+    for i in range(n - 1, -1, -1):
+        row = longer(row, a[i])
+        if i % step == 0:
+            kept[i] = row
+    left = m - row.bit_count()
+    out: list[int] = []
+    last = -1
+    for start in range(0, n, step):
+        end = min(n, start + step)
+        rows = [kept[end]]
+        for i in range(end - 1, start, -1):
+            rows.append(longer(rows[-1], a[i]))
+        for i in range(start, end):
+            if not left:
+                return out
+            after = rows.pop()
+            at = bisect_right(places[a[i]], last)
+            if at == len(places[a[i]]):
+                continue
+            j = places[a[i]][at]
+            rest = m - 1 - j
+            if rest - (after & ((1 << rest) - 1)).bit_count() + 1 == left:
+                out.append(i)
+                last, left = j, left - 1
+    return out
 
 
 def main_text(lines: list[tuple[str, bool, bool]], other: list[tuple[str, bool, bool]] | None) -> str:
