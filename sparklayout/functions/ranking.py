@@ -42,3 +42,21 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str | Column], name:
         return ranked
     first = ranked.groupBy(*keys).agg(F.min(name).alias("_least"))
     return ranked.join(first, keys).withColumn(name, F.col(name) - F.col("_least")).drop("_least").select(*df.columns, name)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` (never negative) over the rows of the same key that stand before in ``order``.
+
+    Sums are taken within ranges of the sorted rows and then over the ranges (one row each), so a key with most of the rows
+    is summed by many tasks.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in [*keys, *order]]
+    sorted_rows = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(sorted_rows, "sums").withColumn("_part", F.shiftright("_at", 33))
+    before = (Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    starts = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(*before)), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(*before)), F.lit(0))
+    summed = placed.withColumn("_in", inside).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_in"))
+    first = summed.groupBy(*keys).agg(F.min(name).alias("_least"))
+    return summed.join(first, keys).withColumn(name, F.col(name) - F.col("_least")).select(*df.columns, name)

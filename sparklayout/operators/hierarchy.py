@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparklayout.functions import geometry as g
 from sparklayout.functions import layers, names
 from sparklayout.functions.geometry import Affine, Box
-from sparklayout.functions.ranking import rank_within
+from sparklayout.functions.ranking import running_sum
 from sparklayout.operators.spatial import spatial_join
-from sparklayout.sources.work import counted
+from sparklayout.sources.work import counted, materialize
 
 TOLERANCE = 1e-4
 QUARTER = 1.5707963267948966
@@ -46,56 +48,91 @@ def ref_matrix(refs: DataFrame) -> DataFrame:
     return refs.select(*(c for c in refs.columns if c not in ("rotation", "mag", "x_reflection", "ox", "oy")), *matrix.named())
 
 
-def top_cells(refs: DataFrame, cells: DataFrame | None = None, name: str | None = None, keys: list[str] | None = None) -> DataFrame:
-    """keys, cell: the cells that are placed nowhere.
+def subtree_sizes(refs: DataFrame, cells: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """keys, cell, size (placements below it, itself included), height: of every cell of ``refs`` and ``cells``.
 
-    Of ``cells`` (cell, name) if given, lone ones too, else of those that place others. ``name``: the cell of that name
-    instead, in files that have one.
+    Works on definitions, from cells that place nothing upwards, a round for each level: so a whole layout's flat size is known
+    before anything is expanded, and cells that place each other in a circle are found (ValueError) at once.
     """
     keys = keys or []
+    one, zero = F.lit(1).cast("long").alias("size"), F.lit(0).alias("height")
+    every = refs.select(*keys, F.col("parent").alias("cell")).unionByName(refs.select(*keys, F.col("child").alias("cell")))
+    every = every if cells is None else every.unionByName(cells.select(*keys, "cell"))
+    open_, left = counted(refs.groupBy(*keys, "parent", "child").agg(F.count("*").alias("times")), "placements")
+    parents = open_.select(*keys, F.col("parent").alias("cell"))
+    known = materialize(every.distinct().join(parents, [*keys, "cell"], "left_anti").select(*keys, "cell", one, zero), "sizes")
+    while left:
+        below = open_.join(known.withColumnRenamed("cell", "child"), [*keys, "child"], "left")
+        sums = below.groupBy(*keys, F.col("parent").alias("cell")).agg(
+            (F.sum(F.col("times") * F.col("size")) + 1).alias("size"),
+            (F.max("height") + 1).alias("height"),
+            F.count_if(F.col("size").isNull()).alias("_open"),
+        )
+        new, n = counted(sums.where("_open = 0").drop("_open"), "sizes")
+        if not n:
+            some = ", ".join(r[0] for r in open_.select("parent").distinct().orderBy("parent").limit(5).collect())
+            raise ValueError(f"cells place each other in a circle, among them or below: {some}")
+        known = known.unionByName(new)
+        open_, left = counted(open_.join(new.withColumnRenamed("cell", "parent").select(*keys, "parent"), [*keys, "parent"], "left_anti"), "placements")
+    return known
+
+
+def root_cells(refs: DataFrame, cells: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """keys, cell: all cells that are placed nowhere. Of ``cells`` if given, lone ones too, else of those that place others."""
+    keys = keys or []
     placed = refs.select(*keys, F.col("child").alias("cell")).distinct()
     every = cells.select(*keys, "cell") if cells is not None else refs.select(*keys, F.col("parent").alias("cell"))
-    found = every.distinct().join(placed, [*keys, "cell"], "left_anti")
+    return every.distinct().join(placed, [*keys, "cell"], "left_anti")
+
+
+def top_cells(
+    refs: DataFrame, sizes: DataFrame, cells: DataFrame | None = None, name: str | None = None, keys: list[str] | None = None
+) -> DataFrame:
+    """keys, cell: the one cell of each file that a layout is walked from.
+
+    That is the :func:`root_cells` one with the most placements below it (``sizes``: see :func:`subtree_sizes`), the least by name
+    on ties. ``name``: the cell of that name (in ``cells``: cell, name) instead, in files that have one. What other roots hold is
+    no part of the layout: :func:`unused_roots`.
+    """
+    keys = keys or []
+    best = F.min(F.struct((-F.col("size")).alias("size"), "cell")).alias("_best")
+    largest = lambda rows: rows.join(sizes, [*keys, "cell"]).withColumn("_one", F.lit(0)).groupBy(*keys, "_one").agg(best).select(*keys, "_best.cell")
+    found = largest(root_cells(refs, cells, keys))
     if name is None or cells is None:
         return found
-    chosen = cells.where(F.col("name") == name).select(*keys, "cell", F.lit(0).alias("_all"))
-    rest = found.withColumn("_all", F.lit(0)).join(chosen.select(*keys, "_all").distinct(), [*keys, "_all"], "left_anti")
-    return chosen.unionByName(rest).drop("_all")
+    chosen = largest(cells.where(F.col("name") == name).select(*keys, "cell"))
+    zero = lambda rows: rows.withColumn("_one", F.lit(0))
+    rest = zero(found).join(zero(chosen).select(*keys, "_one").distinct(), [*keys, "_one"], "left_anti").drop("_one")
+    return chosen.unionByName(rest)
+
+
+def unused_roots(refs: DataFrame, sizes: DataFrame, top: DataFrame, cells: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """keys, cell, size: roots beside the one that is walked."""
+    keys = keys or []
+    return root_cells(refs, cells, keys).join(top, [*keys, "cell"], "left_anti").join(sizes.drop("height"), [*keys, "cell"])
 
 
-def walk_hierarchy(refs: DataFrame, top: DataFrame, deepest: int = 64, keys: list[str] | None = None) -> DataFrame:
-    """keys, cell, depth, path, matrix: all placements below the top cells, the tops included.
+def place_instances(refs: DataFrame, top: DataFrame, sizes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, inst_id, cell, depth, matrix: all placements below the top cell of each file, itself included.
 
-    ``refs`` have the columns of :func:`ref_matrix`; unsupported ones are to be left out before. The walk
-    goes level by level, one join a level, until a level is empty. ``path`` has the reference numbers from the top.
+    ``refs`` have the columns of :func:`ref_matrix`, ``sizes`` are theirs; unsupported ones are to be left out before. Numbers are
+    those of a depth-first walk in the order of ref_idx: a placement's is its parent's, plus one, plus the sizes
+    of its earlier siblings. So each level is one join with the definitions, and nothing is sorted but these.
     """
     keys = keys or []
+    below = refs.join(sizes.select(*keys, F.col("cell").alias("child"), "size"), [*keys, "child"])
+    step = materialize(running_sum(below, [*keys, "parent"], ["ref_idx", "child"], "size", "_before"), "steps")
+    step = step.select(*keys, F.col("parent").alias("cell"), "child", "_before", *Affine.of().named("_c"))
     unit = {"m00": 1, "m01": 0, "tx": 0, "m10": 0, "m11": 1, "ty": 0}
-    start = F.array().cast("array<bigint>").alias("path")
-    level = top.select(*keys, "cell", F.lit(0).alias("depth"), start, *(F.lit(v).cast("long").alias(k) for k, v in unit.items()))
-    found = [level]
-    step = refs.select(*keys, F.col("parent").alias("cell"), "child", "ref_idx", *Affine.of().named("_c"))
-    for depth in range(1, deepest + 1):
-        joined = found[-1].select(*keys, "cell", "path", *Affine.of().named("_p")).join(step, [*keys, "cell"])
+    first = F.lit(0).cast("long").alias("inst_id")
+    found = [top.select(*keys, first, "cell", F.lit(0).alias("depth"), *(F.lit(v).cast("long").alias(k) for k, v in unit.items()))]
+    height = top.join(sizes, [*keys, "cell"]).agg(F.max("height")).first()[0] or 0
+    for depth in range(1, height + 1):
+        joined = found[-1].select(*keys, "cell", "inst_id", *Affine.of().named("_p")).join(step, [*keys, "cell"])
         moved = g.compose(Affine.of("_p"), Affine.of("_c")).named()
-        level, n = counted(
-            joined.select(*keys, F.col("child").alias("cell"), F.lit(depth).alias("depth"), F.concat("path", F.array("ref_idx")).alias("path"), *moved),
-            "level",
-        )
-        if not n:
-            break
-        found.append(level)
-    else:
-        raise ValueError(f"placements are nested more than {deepest} deep")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def number_instances(walked: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Placements with inst_id in depth-first pre-order, that of their paths, from 0 on in each file."""
-    return rank_within(walked, keys or [], ["path", "cell"], "inst_id").drop("path")
+        inst = (F.col("inst_id") + 1 + F.col("_before")).alias("inst_id")
+        found.append(materialize(joined.select(*keys, inst, F.col("child").alias("cell"), F.lit(depth).alias("depth"), *moved), "level"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def flatten_rects(instances: DataFrame, cell_rects: DataFrame, fillers: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -107,39 +144,97 @@ def flatten_rects(instances: DataFrame, cell_rects: DataFrame, fillers: DataFram
     return placed.select(*keys, "inst_id", "cell", "rect_id", "layer", "wire", *g.transform(Box.of(), Affine.of()).named())
 
 
-def cell_bbox(rects: DataFrame, key: str = "cell") -> DataFrame:
-    """cell, layer (null for the whole cell), x1..y2 and n: both grains by grouping sets."""
-    out = rects.rollup(key, "layer").agg(
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n")
-    )
-    return out.where(F.col(key).isNotNull())
+def cell_bbox(rects: DataFrame, key: str = "cell", keys: list[str] | None = None) -> DataFrame:
+    """keys, cell, layer (null for the whole cell), x1..y2 and n: both grains by grouping sets."""
+    by = [*(keys or []), key]
+    limits = (F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"))
+    columns = [F.col(c) for c in [*by, "layer"]]
+    return rects.groupingSets([columns, columns[:-1]], *columns).agg(*limits).where(F.col(key).isNotNull())
+
+
+def instance_boxes(instances: DataFrame, cell_rects: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, inst_id, cell, layer, x1..y2: each placement's bounding box on each layer, moved to the top."""
+    keys = keys or []
+    boxes = cell_bbox(cell_rects, "cell", keys).where("layer is not null")
+    return instances.join(boxes, [*keys, "cell"]).select(*keys, "inst_id", "cell", "layer", *g.transform(Box.of(), Affine.of()).named())
+
 
+def instance_pairs(boxes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, layer, a, b (a < b): placements whose boxes touch on a layer from the terminals up."""
+    keys = keys or []
+    side = boxes.where(F.col("layer") >= layers.N_TERM).select(*keys, "layer", "inst_id", "x1", "y1", "x2", "y2")
+    pairs = spatial_join(side, side, "touches", [*keys, "layer"]).where("inst_id_a < inst_id_b")
+    return pairs.select(*keys, "layer", F.col("inst_id_a").alias("a"), F.col("inst_id_b").alias("b"))
 
-def instance_boxes(instances: DataFrame, cell_rects: DataFrame) -> DataFrame:
-    """inst_id, cell, layer, x1..y2: each placement's bounding box on each layer, moved to the top."""
-    boxes = cell_bbox(cell_rects).where("layer is not null")
-    return instances.join(boxes, "cell").select("inst_id", "cell", "layer", *g.transform(Box.of(), Affine.of()).named())
 
+_TURNS = ("m00", "m01", "m10", "m11")
 
-def instance_pairs(boxes: DataFrame) -> DataFrame:
-    """layer, a, b (a < b): placements whose boxes touch on a layer from the terminals up."""
-    side = boxes.where(F.col("layer") >= layers.N_TERM).select("layer", "inst_id", "x1", "y1", "x2", "y2")
-    pairs = spatial_join(side, side, "touches", ["layer"]).where("inst_id_a < inst_id_b")
-    return pairs.select("layer", F.col("inst_id_a").alias("a"), F.col("inst_id_b").alias("b"))
 
+def relative_placements(pairs: DataFrame, instances: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """pairs with cell_a, cell_b, the matrices of both as seen from a (m00_a .. ty_b), and ``rel``, which tells them apart.
 
-def cross_instance_edges(flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    Pairs that are moved or, where a isn't magnified, turned or mirrored copies of each other have the same ``rel``.
+    """
+    keys = keys or []
+    side = lambda x: instances.select(*keys, F.col("inst_id").alias(x), F.col("cell").alias(f"cell_{x}"), *Affine.of().named(f"_{x}"))
+    both = pairs.join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
+    a, b = Affine.of("_a"), Affine.of("_b")
+    dx, dy = b.tx - a.tx, b.ty - a.ty
+    plain = a.m00 * a.m00 + a.m10 * a.m10 == 1  # then turning back is the transposed matrix
+    back = Affine(a.m00, a.m10, F.lit(0), a.m01, a.m11, F.lit(0))
+    turned = g.compose(back, Affine(b.m00, b.m01, dx, b.m10, b.m11, dy))
+    zero, unit = F.lit(0).cast("long"), (1, 0, 0, 1)
+    columns = {f"{n}_a": F.when(plain, F.lit(u).cast("long")).otherwise(F.col(f"{n}_a")) for n, u in zip(_TURNS, unit, strict=True)}
+    columns |= {"tx_a": zero, "ty_a": zero}
+    as_is = Affine(b.m00, b.m01, dx, b.m10, b.m11, dy)
+    columns |= {f"{n}_b": F.when(plain, x).otherwise(y) for n, x, y in zip(Affine._fields, turned, as_is, strict=True)}
+    seen = both.withColumns(columns)
+    return seen.withColumn("rel", F.concat_ws(" ", *(f"{n}_{x}" for x in "ab" for n in Affine._fields)))
+
+
+def _meeting(rels: DataFrame, rects: DataFrame, x: str, keys: list[str]) -> DataFrame:
+    """keys, layer, rel, wire, x1..y2 in the pair's frame: rectangles of side ``x`` that reach where both boxes meet."""
+    m = Affine.of(f"_{x}")
+    scale = m.m00 * m.m00 + m.m10 * m.m10
+    # the region in the cell's own frame, rounded outwards where it is magnified
+    xs = [(m.m00 * (F.col(p) - m.tx) + m.m10 * (F.col(q) - m.ty)) / scale for p, q in (("rx1", "ry1"), ("rx2", "ry2"))]
+    ys = [(m.m01 * (F.col(p) - m.tx) + m.m11 * (F.col(q) - m.ty)) / scale for p, q in (("rx1", "ry1"), ("rx2", "ry2"))]
+    low, high = (lambda *c: F.floor(F.least(*c))), (lambda *c: F.ceil(F.greatest(*c)))
+    own = Box(low(*xs), low(*ys), high(*xs), high(*ys)).named()
+    regions = rels.select(*keys, "layer", "cell_a", "cell_b", "rel", F.col(f"cell_{x}").alias("cell"), *m.named(), *own)
+    hits = spatial_join(regions, rects.select(*keys, "layer", "cell", "wire", "x1", "y1", "x2", "y2"), "touches", [*keys, "cell", "layer"])
+    moved = g.transform(Box.of("_b"), Affine.of("_a")).named()
+    names_ = [F.col(f"{c}_a").alias(c) for c in ("cell_a", "cell_b", "rel")]
+    return materialize(hits.select(*keys, "layer", *names_, F.col("wire_b").alias("wire"), *moved).distinct(), "meeting")
+
+
+def cross_instance_edges(instances: DataFrame, cell_rects: DataFrame, fillers: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, a_inst, a_wire, b_inst, b_wire: wires of different placements with touching rectangles on one layer.
 
-    The flat rectangles of a layer are joined directly, which finds the same pairs as going through pairs
-    of placements and doesn't depend on how far one placement (the top) reaches.
+    Placements whose boxes touch are brought down to their :func:`relative_placements`: a dictionary of (cell, cell, how they lie
+    to each other), for which rectangles are compared once however often it occurs, and only those that
+    reach where both boxes meet: so a top cell that overlaps everything costs what lies under each placement. The
+    dictionary's wires are then joined back to the pairs.
     """
     keys = keys or []
-    side = flat.where((F.col("layer") >= layers.N_TERM) & F.col("wire").isNotNull()).select(*keys, "layer", "inst_id", "wire", "x1", "y1", "x2", "y2")
-    pairs = spatial_join(side, side, "touches", [*keys, "layer"]).where("inst_id_a < inst_id_b")
-    return pairs.select(
-        *keys, F.col("inst_id_a").alias("a_inst"), F.col("wire_a").alias("a_wire"), F.col("inst_id_b").alias("b_inst"), F.col("wire_b").alias("b_wire")
-    ).distinct()
+    solid = cell_rects.where((F.col("layer") >= layers.N_TERM) & F.col("wire").isNotNull())
+    solid = materialize(solid.select(*keys, "cell", "layer", "wire", "x1", "y1", "x2", "y2"), "solid")
+    placed = instances.join(fillers.select(*keys, "cell"), [*keys, "cell"], "left_anti")
+    boxes = materialize(instance_boxes(placed, solid, keys), "boxes")
+    uses = materialize(relative_placements(instance_pairs(boxes, keys), instances, keys), "uses")
+    named = [*keys, "layer", "cell_a", "cell_b", "rel"]
+    rels = uses.select(*named, *(f"{n}_{x}" for x in "ab" for n in Affine._fields)).distinct()
+    box = cell_bbox(solid, "cell", keys).where("layer is not null").drop("n")
+    for x in "ab":
+        moved = g.transform(Box.of(), Affine.of(f"_{x}")).named(f"_{x}")
+        rels = rels.join(box.withColumnRenamed("cell", f"cell_{x}"), [*keys, f"cell_{x}", "layer"]).select(*rels.columns, *moved)
+    a, b = Box.of("_a"), Box.of("_b")
+    region = {"rx1": F.greatest(a.x1, b.x1), "ry1": F.greatest(a.y1, b.y1), "rx2": F.least(a.x2, b.x2), "ry2": F.least(a.y2, b.y2)}
+    rels = materialize(rels.withColumns(region), "relative")
+    met = spatial_join(_meeting(rels, solid, "a", keys), _meeting(rels, solid, "b", keys), "touches", named)
+    wires = met.select(*named, F.col("wire_a").alias("a_wire"), F.col("wire_b").alias("b_wire")).distinct()
+    found = uses.select(*named, F.col("a").alias("a_inst"), F.col("b").alias("b_inst")).join(wires, named)
+    return found.select(*keys, "a_inst", "a_wire", "b_inst", "b_wire").distinct()
 
 
 def cell_outline_rects(

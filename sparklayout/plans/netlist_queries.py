@@ -112,7 +112,9 @@ _MATRIX = """(case quad%4 when 0 then 1 when 1 then 0 when 2 then -1 else 0 end)
 _WALK = f"""sup as (select * from refs where not (parent like 'n%' and (ref_idx % 13 = 0 or ref_idx % 17 = 0))),
   m as (select parent, ref_idx, child, ox, oy, refl, {_MATRIX} from sup),
   t as (select parent, ref_idx, child, c as a, case when refl=1 then s else -s end as b, ox as x, s as c, case when refl=1 then -c else c end as d, oy as y from m),
-  walk as (select 'top' as cell, []::bigint[] as path, 0 as depth, 1::bigint as m00, 0::bigint as m01, 0::bigint as tx, 0::bigint as m10, 1::bigint as m11, 0::bigint as ty
+  below as (select distinct parent as root, parent as cell from refs where parent not in (select child from refs) union all select b.root, t.child from below b join t on t.parent = b.cell),
+  root as (select root, count(*) as size from below group by root order by size desc, root limit 1),
+  walk as (select root as cell, []::bigint[] as path, 0 as depth, 1::bigint as m00, 0::bigint as m01, 0::bigint as tx, 0::bigint as m10, 1::bigint as m11, 0::bigint as ty from root
     union all select t.child, list_append(w.path, t.ref_idx), w.depth + 1, m00*t.a+m01*t.c, m00*t.b+m01*t.d, m00*t.x+m01*t.y+tx, m10*t.a+m11*t.c, m10*t.b+m11*t.d, m10*t.x+m11*t.y+ty
     from walk w join t on t.parent = w.cell),
   inst as (select (row_number() over (order by path) - 1)::bigint as inst_id, cell, depth, m00, m01, tx, m10, m11, ty from walk)"""
@@ -124,11 +126,18 @@ _FLAT = f"""{_WALK}, pf as (select inst_id, i.cell, rect_id, layer, wire, {_MOVE
   where i.cell not in (select cell from cells where {_FILLER}) and layer not in (1, 2))"""
 
 
+def _tops(spark, sf, refs):
+    """The placements' sizes, and the root with the most of them."""
+    every = view(spark, sf, "refs")
+    sizes = materialize(hierarchy.subtree_sizes(refs, hierarchy.root_cells(every)), "sizes")
+    return sizes, hierarchy.top_cells(every, sizes)
+
+
 def _instances(spark, sf):
     refs = hierarchy.with_support(view(spark, sf, "raw_refs")).where("supported").drop("supported")
-    matrices = hierarchy.ref_matrix(refs)
-    walked = hierarchy.walk_hierarchy(matrices, hierarchy.top_cells(view(spark, sf, "refs")))
-    return hierarchy.number_instances(walked)
+    matrices = materialize(hierarchy.ref_matrix(refs), "matrices")
+    sizes, tops = _tops(spark, sf, matrices)
+    return hierarchy.place_instances(matrices, tops, sizes)
 
 
 def _fillers(spark, sf):
@@ -155,9 +164,27 @@ def p7(spark, sf):
     return hierarchy.ref_matrix(refs)
 
 
-@query("j15_top_cells", duck("select distinct parent as cell from refs where parent not in (select child from refs)"))
+_ROOTS = """b as (select distinct parent as root, parent as cell from refs where parent not in (select child from refs) union all select b.root, r.child from b join refs r on r.parent = b.cell),
+  n as (select root as cell, count(*) as size from b group by root), k as (select *, row_number() over (order by size desc, cell) as nth from n)"""
+
+
+@query("j15_top_cells", duck(f"with {_ROOTS} select cell from k where nth = 1", recursive=True))
 def j15(spark, sf):
-    return hierarchy.top_cells(view(spark, sf, "refs"))
+    return _tops(spark, sf, view(spark, sf, "refs"))[1]
+
+
+@query("j15_unused_roots", duck(f"with {_ROOTS} select cell, size from k where nth > 1", recursive=True))
+def j15_unused(spark, sf):
+    """Roots that no layout is walked from."""
+    sizes, tops = _tops(spark, sf, view(spark, sf, "refs"))
+    return hierarchy.unused_roots(view(spark, sf, "refs"), sizes, tops)
+
+
+@query("j15_subtree_sizes", duck("""with c as (select parent as cell from refs union select child from refs),
+  b as (select cell as root, cell, 0 as depth from c union all select b.root, r.child, depth + 1 from b join refs r on r.parent = b.cell)
+  select root as cell, count(*) as size, max(depth) as height from b group by root""", recursive=True))
+def j15_sizes(spark, sf):
+    return hierarchy.subtree_sizes(view(spark, sf, "refs"))
 
 
 _BY_FILE = """c as (select file_id, cell, name from cells, (select unnest(range(4)) as file_id) where file_id > 0 or cell <> 'k3' union all select f, 'lone', 'lone' from (select unnest(range(4)) as f)),
@@ -166,17 +193,20 @@ _BY_FILE = """c as (select file_id, cell, name from cells, (select unnest(range(
 
 @query(
     "j15_top_cells_by_name",
-    duck(f"""with {_BY_FILE}, auto as (select file_id, cell from c where (file_id, cell) not in (select file_id, child from rf)),
+    duck(f"""with {_BY_FILE}, roots as (select file_id, cell from c where (file_id, cell) not in (select file_id, child from rf)),
+      b as (select file_id, cell as root, cell from roots union all select b.file_id, b.root, r.child from b join rf r on r.file_id = b.file_id and r.parent = b.cell),
+      n as (select file_id, root as cell, count(*) as size from b group by all), auto as (select *, row_number() over (partition by file_id order by size desc, cell) as nth from n),
       named as (select file_id, cell from c where name = 'gf180mcu_fd_sc__nand2_3')
-      select file_id::bigint as file_id, cell from named union all select file_id::bigint, cell from auto where file_id not in (select file_id from named)"""),
+      select file_id::bigint as file_id, cell from named union all select file_id::bigint, cell from auto where nth = 1 and file_id not in (select file_id from named)""", recursive=True),
 )
 def j15_by_name(spark, sf):
-    """Four files; the named cell is in three of them, the first falls back on cells that are placed nowhere."""
+    """Four files; the named cell is in three of them, the first falls back on the largest of the cells that are placed nowhere."""
     files = spark.range(4).withColumnRenamed("id", "file_id")
     cells = view(spark, sf, "cells").join(F.broadcast(files)).where("file_id > 0 or cell <> 'k3'").select("file_id", "cell", "name")
     cells = cells.unionByName(files.select("file_id", F.lit("lone").alias("cell"), F.lit("lone").alias("name")))
     refs = view(spark, sf, "refs").join(F.broadcast(files)).where("file_id < 3 or parent like 'n%'").select("file_id", "parent", "child")
-    return hierarchy.top_cells(refs, cells, "gf180mcu_fd_sc__nand2_3", ["file_id"])
+    sizes = materialize(hierarchy.subtree_sizes(refs, cells, ["file_id"]), "sizes")
+    return hierarchy.top_cells(refs, sizes, cells, "gf180mcu_fd_sc__nand2_3", ["file_id"])
 
 
 @query("j14_walk_hierarchy", duck(f"with {_WALK} select * from inst", recursive=True))
@@ -195,7 +225,7 @@ _BOXES = f"""{_WALK}, lb as (select cell, layer, min(x1) as x1, min(y1) as y1, m
 
 @query("j7_instance_pairs", duck(f"with {_BOXES} select a.layer, a.inst_id as a, b.inst_id as b from ib a join ib b on a.layer = b.layer and a.layer >= 4 and a.inst_id < b.inst_id and {_TOUCH}", recursive=True))
 def j7(spark, sf):
-    return hierarchy.instance_pairs(hierarchy.instance_boxes(_instances(spark, sf), view(spark, sf, "cell_rects")))
+    return hierarchy.instance_pairs(materialize(hierarchy.instance_boxes(_instances(spark, sf), view(spark, sf, "cell_rects")), "boxes"))
 
 
 _EDGES = f"""{_FLAT}, ce as (select distinct a.inst_id as a_inst, a.wire as a_wire, b.inst_id as b_inst, b.wire as b_wire from pf a join pf b
@@ -204,7 +234,7 @@ _EDGES = f"""{_FLAT}, ce as (select distinct a.inst_id as a_inst, a.wire as a_wi
 
 @query("j8_cross_instance_edges", duck(f"with {_EDGES} select * from ce", recursive=True))
 def j8(spark, sf):
-    return hierarchy.cross_instance_edges(_flat(spark, sf))
+    return hierarchy.cross_instance_edges(materialize(_instances(spark, sf), "instances"), view(spark, sf, "cell_rects"), _fillers(spark, sf))
 
 
 _SEGMENTS = """wc as (select cell, max(wire) + 1 as n_wires from cell_rects group by cell),
@@ -232,12 +262,11 @@ def _segments(spark, sf, instances):
 )
 def c5(spark, sf):
     instances = materialize(_instances(spark, sf), "instances")
-    flat = materialize(hierarchy.flatten_rects(instances, view(spark, sf, "cell_rects"), _fillers(spark, sf)), "flat")
     firsts, counts = _segments(spark, sf, instances)
     firsts = materialize(firsts, "segments")
     wires = instances.select("inst_id", "cell").join(counts, "cell").join(firsts, "inst_id")
     segments = wires.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_wires") - 1)).alias("segment"))
-    edges = hierarchy.cross_instance_edges(flat)
+    edges = hierarchy.cross_instance_edges(instances, view(spark, sf, "cell_rects"), _fillers(spark, sf))
     edges = edges.join(firsts.toDF("a_inst", "a_first"), "a_inst").join(firsts.toDF("b_inst", "b_first"), "b_inst")
     edges = edges.select((F.col("a_first") + F.col("a_wire")).alias("a"), (F.col("b_first") + F.col("b_wire")).alias("b"))
     named = segments.where("segment % 7 = 0 and segment < 70").select("segment", F.expr("segment div 7").alias("rank"))

@@ -200,11 +200,80 @@ def test_compose_is_transform_after_transform(spark):
     assert one == two and len(set(one)) > 10
 
 
-def test_walk_numbers_in_preorder(spark):
-    refs = spark.createDataFrame([("t", 0, "a"), ("t", 1, "b"), ("a", 0, "b"), ("a", 1, "b")], "parent string, ref_idx long, child string")
+def _unit_refs(spark, found, schema="parent string, ref_idx long, child string"):
     unit = {"m00": 1, "m01": 0, "tx": 0, "m10": 0, "m11": 1, "ty": 0}
-    walked = hierarchy.walk_hierarchy(refs.withColumns({k: F.lit(v).cast("long") for k, v in unit.items()}), hierarchy.top_cells(refs))
-    assert [r[1] for r in rows(hierarchy.number_instances(walked), "inst_id", "cell")] == ["t", "a", "b", "b", "b"]
+    return spark.createDataFrame(found, schema).withColumns({k: F.lit(v).cast("long") for k, v in unit.items()})
+
+
+def test_walk_numbers_in_preorder(spark):
+    refs = _unit_refs(spark, [("t", 0, "a"), ("t", 1, "b"), ("a", 0, "b"), ("a", 1, "b"), ("small", 0, "b")])
+    sizes = hierarchy.subtree_sizes(refs)
+    assert rows(sizes, "cell", "size", "height") == [("a", 3, 1), ("b", 1, 0), ("small", 2, 1), ("t", 5, 2)]
+    top = hierarchy.top_cells(refs, sizes)
+    assert rows(top, "cell") == [("t",)] and rows(hierarchy.unused_roots(refs, sizes, top), "cell", "size") == [("small", 2)]
+    placed = hierarchy.place_instances(refs, top, sizes)
+    assert [r[1] for r in rows(placed, "inst_id", "cell")] == ["t", "a", "b", "b", "b"]
+
+
+def test_cells_in_a_circle_are_an_error(spark):
+    refs = _unit_refs(spark, [("t", 0, "a"), ("a", 0, "b"), ("b", 0, "c"), ("c", 0, "a"), ("c", 1, "leaf")])
+    with pytest.raises(ValueError, match="circle.* a, b, c"):
+        hierarchy.subtree_sizes(refs)
+
+
+def test_walk_of_many_siblings_equals_plain_recursion(spark):
+    rng = random.Random(8)
+    cells = [f"c{i}" for i in range(30)]
+    found = [(f, cells[i], k, cells[rng.randrange(i + 1, 30)]) for f in (1, 2) for i in range(24) for k in range(rng.randrange(f, 4))]
+    refs = _unit_refs(spark, found, "file_id long, parent string, ref_idx long, child string").withColumn("tx", F.col("ref_idx"))
+    sizes = hierarchy.subtree_sizes(refs, keys=["file_id"])
+    top = hierarchy.top_cells(refs, sizes, keys=["file_id"])
+    want = []
+    for f in (1, 2):
+        below = {}
+        for g_, p, k, c in found:
+            if g_ == f:
+                below.setdefault(p, []).append((k, c))
+
+        def walk(cell, x, out):
+            out.append((cell, x))
+            for k, c in sorted(below.get(cell, [])):
+                walk(c, x + k, out)
+            return out
+
+        roots = sorted(set(below) - {c for v in below.values() for _, c in v}, key=lambda r: (-len(walk(r, 0, [])), r))
+        assert (f, roots[0]) in rows(top, "file_id", "cell")
+        want += [(f, i, c, x) for i, (c, x) in enumerate(walk(roots[0], 0, []))]
+    got = rows(hierarchy.place_instances(refs, top, sizes, ["file_id"]), "file_id", "inst_id", "cell", "tx")
+    assert got == sorted(want)
+
+
+def test_relative_placements_are_compared_once(spark):
+    """A row of 60 equal cells under a top with a strap, in turned and mirrored copies of the row: the dictionary grows with how
+    cells lie to each other, the edges are those of all flat rectangles."""
+    turns = [(1, 0, 0, 1), (0, -1, 1, 0), (-1, 0, 0, -1), (1, 0, 0, -1), (2, 0, 0, 2)]
+    instances, n = [(0, "top", 1, 0, 0, 0, 1, 0)], 1
+    for t, (a, b, c, d) in enumerate(turns):
+        for k in range(60):
+            instances.append((n, "leaf", a, b, a * 10 * k + 5000 * t, c, d, c * 10 * k))
+            n += 1
+    rects = [("leaf", 8, 0, 0, 0, 10, 4), ("leaf", 8, 1, 2, 5, 12, 8), ("leaf", 10, 2, 0, 0, 3, 3), ("leaf", 2, 0, 0, 0, 90, 90), ("top", 10, 0, 0, 0, 25000, 2), ("top", 8, 1, 33, 3, 47, 6), ("top", 8, None, 0, 0, 99, 99), ("gap", 8, 0, 0, 0, 5, 5)]
+    instances.append((n, "gap", 1, 0, 0, 0, 1, 0))
+    inst = spark.createDataFrame(instances, "inst_id long, cell string, m00 long, m01 long, tx long, m10 long, m11 long, ty long")
+    cell_rects = spark.createDataFrame([(c, i, l, w, *b) for i, (c, l, w, *b) in enumerate(rects)], "cell string, rect_id long, layer long, wire long, x1 long, y1 long, x2 long, y2 long")
+    fillers = spark.createDataFrame([("gap",)], "cell string")
+    got = rows(hierarchy.cross_instance_edges(inst, cell_rects, fillers), "a_inst", "a_wire", "b_inst", "b_wire")
+    flat = []
+    for i, cell, a, b, tx, c, d, ty in instances:
+        for name, layer, w, x1, y1, x2, y2 in rects:
+            if name == cell != "gap" and layer >= 4 and w is not None:
+                xs, ys = zip(*((a * x + b * y + tx, c * x + d * y + ty) for x, y in ((x1, y1), (x2, y2))))
+                flat.append((i, w, layer, min(xs), min(ys), max(xs), max(ys)))
+    touch = lambda r, s: r[2] == s[2] and r[3] <= s[5] and s[3] <= r[5] and r[4] <= s[6] and s[4] <= r[6]
+    want = sorted({(r[0], r[1], s[0], s[1]) for r in flat for s in flat if r[0] < s[0] and touch(r, s)})
+    assert got == want and len(got) > 500
+    of_leaves = rows(hierarchy.relative_placements(hierarchy.instance_pairs(hierarchy.instance_boxes(inst.where("cell = 'leaf'"), cell_rects)), inst).select("rel").distinct(), "rel")
+    assert len(of_leaves) == 2
 
 
 def test_global_rank_counts_from_zero(spark):

@@ -1,4 +1,4 @@
-"""Every registered layout query against DuckDB on the smallest tables."""
+"""Every registered layout query against DuckDB on the smallest tables, and those whose fixture changes with the scale on larger ones."""
 
 from __future__ import annotations
 
@@ -11,15 +11,20 @@ import pytest
 from sparklayout import registry
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+LARGER = "/root/testdata/sf0.01"
 SQL = registry.oracle_sql()
+#: Hierarchies get more roots and levels, devices more cells, buses more bytes.
+BY_SCALE = ("j7", "j8", "j9", "j10", "j11", "j12", "j14", "j15", "c5", "n5", "g8", "n1_", "t6")
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
-    for path in glob.glob(f"{FOLDER}/*.parquet"):
-        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from read_parquet('{path}')")
+    for schema, folder in (("small", FOLDER), ("larger", LARGER)):
+        con.execute(f"create schema {schema}")
+        for path in glob.glob(f"{folder}/*.parquet"):
+            con.execute(f"create view {schema}.{os.path.basename(path)[:-8]} as select * from read_parquet('{path}')")
     return con
 
 
@@ -35,9 +40,19 @@ def _sorted(rows):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    df = registry.queries()[name](spark, FOLDER)
+    _compare(spark, duck, name, "small", FOLDER)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in SQL if n.startswith(BY_SCALE)))
+def test_query_equals_sql_on_larger_tables(spark, duck, name):
+    _compare(spark, duck, name, "larger", LARGER)
+
+
+def _compare(spark, duck, name, schema, folder):
+    df = registry.queries()[name](spark, folder)
     columns = sorted(df.columns)
     got = [tuple(map(_plain, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect()]
+    duck.execute(f"set schema='{schema}'")
     cursor = duck.execute(SQL[name])
     order = [d[0] for d in cursor.description]
     assert sorted(order) == columns
