@@ -1,6 +1,9 @@
 """Decoding of sampled signals: edges, raster frames, serial bytes, bus transactions, activity.
 
-Samples have (stream_id, tick, ...). A stream's order is its ticks; streams (and wires) are worked on apart.
+Samples have (stream_id, tick, ...). A stream's order is its ticks; streams (and wires) are worked on apart. One stream may be
+almost all there is, so none is one sort: its ticks are cut into runs, and each run is summed up as what it makes of the state
+at its start, whatever that is. These summaries, one row a run, are composed in the order of runs, which gives every run its
+state, and then all runs are decoded side by side. Results don't depend on the length of runs.
 """
 
 from __future__ import annotations
@@ -10,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparklayout.sources.work import materialize
+
 #: Largest raster, and the least width and height that are reported.
 MAX_WIDTH, MAX_HEIGHT, WIDTH, HEIGHT = 1440, 720, 720, 480
 #: Ticks from the start edge to the middle of the start bit, and of one bit.
@@ -17,12 +22,37 @@ HALF_BIT, BIT = 116, 233
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
+def _last_before(rows: DataFrame, keys: list[str], column: str) -> Column:
+    """The value of ``column`` in the row before, within runs; null in a run's first row."""
+    return F.lag(column).over(Window.partitionBy(*keys, "_run").orderBy("tick"))
+
+
+def _with_previous(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """rows (with _run, a table) and the value of ``column`` in the row before, across runs; null in the first of all."""
+    on = [*keys, "_run"]
+    runs = rows.groupBy(*on).agg(F.max_by(column, "tick").alias("_end"))
+    carried = runs.select(*on, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_run")).alias("_entry"))
+    first = F.row_number().over(Window.partitionBy(*on).orderBy("tick")) == 1
+    inside = _last_before(rows, keys, column)
+    found = rows.withColumns({name: inside, "_first": first}).join(carried, on)
+    return found.withColumn(name, F.when(F.col("_first"), F.col("_entry")).otherwise(F.col(name))).drop("_entry", "_first")
+
+
+def _runs_of(samples: DataFrame, columns: list[str]) -> DataFrame:
+    return materialize(_by_runs(samples.select(*columns)), "runs")
+
+
+def _changes(samples: DataFrame) -> DataFrame:
+    """stream_id, wire, tick, ts (if there is one), value, _changed: whether a wire, which starts at 0, has another value than before."""
+    columns = ["stream_id", "wire", "tick", "value", *(["ts"] if "ts" in samples.columns else [])]
+    rows = _with_previous(_runs_of(samples, columns), ["stream_id", "wire"], "value", "_was")
+    return rows.select(*columns, (F.col("value") != F.coalesce("_was", F.lit(0))).alias("_changed"))
+
+
 def edges(samples: DataFrame) -> DataFrame:
     """stream_id, wire, tick, edge (rising or falling): changes of a wire, which starts at 0."""
-    line = Window.partitionBy("stream_id", "wire").orderBy("tick")
-    was = F.lag("value", 1, 0).over(line)
-    rows = samples.select("stream_id", "wire", "tick", "value", was.alias("was")).where("value <> was")
-    return rows.select("stream_id", "wire", "tick", F.when(F.col("value") == 1, "rising").otherwise("falling").alias("edge"))
+    edge = F.when(F.col("value") == 1, "rising").otherwise("falling").alias("edge")
+    return _changes(samples).where("_changed").select("stream_id", "wire", "tick", edge)
 
 
 def latest_state(samples: DataFrame) -> DataFrame:
@@ -30,50 +60,67 @@ def latest_state(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stream_id", "wire").agg(F.max_by("value", "tick").alias("value"), F.max("tick").alias("tick"))
 
 
-#: Ticks that are worked on together; what goes over from one run of ticks to the next is carried by a table with a row
-#: for each run, so that one long stream is shared by many tasks.
-RUN_TICKS = 65_536
+#: Ticks of a run, and of a run of a serial line (at least BYTE), for which every state at its start is followed.
+RUN_TICKS, SERIAL_TICKS = 65_536, 1 << 20
 
 
 def _by_runs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_run", F.expr(f"tick div {RUN_TICKS}"))
 
 
-def _carried(rows: DataFrame, **last: Column) -> DataFrame:
-    """stream_id, _run and, for each name, the aggregate of all earlier runs: ``last`` maps names to aggregates of a
-    run; numbers that end in _n are summed, others taken from the latest run that has them."""
-    runs = rows.groupBy("stream_id", "_run").agg(*(c.alias(n) for n, c in last.items()))
-    before = Window.partitionBy("stream_id").orderBy("_run").rowsBetween(*_BEFORE)
-    one = lambda n: F.coalesce(F.sum(n).over(before), F.lit(0)) if n.endswith("_n") else F.last(n, ignorenulls=True).over(before)
-    return runs.select("stream_id", "_run", *(one(n).alias(n) for n in last))
-
-
 def _scanned(ticks: DataFrame) -> DataFrame:
-    """ticks with frame, x, y of the pixel at each tick, and h and v, whether a sync rises at it."""
+    """ticks with frame, x, y of the pixel at each tick, and h and v, whether a sync rises at it.
+
+    Within a run all is known but whether a sync rises at its first tick, and what was before: that is composed from the runs.
+    """
     key = ["stream_id", "_run"]
     line = Window.partitionBy(*key).orderBy("tick")
     before = line.rowsBetween(*_BEFORE)
-    rows = _by_runs(ticks)
-    carried = _carried(rows, _rows_n=F.count("*"), _hsync=F.max_by("hsync", "tick"), _vsync=F.max_by("vsync", "tick"))
-    rises = lambda c: (F.col(c) == 1) & (F.coalesce(F.lag(c).over(line), F.col(f"_{c}"), F.lit(0)) == 0)
-    rows = rows.join(carried, key).withColumns({"h": rises("hsync"), "v": rises("vsync"), "_n": F.col("_rows_n") + F.row_number().over(line)})
-    of_run = _carried(rows, _h_n=F.sum(F.col("h").cast("long")), _v_n=F.sum(F.col("v").cast("long")), _last_h=F.max(F.when(F.col("h"), F.col("_n"))))
-    rows = rows.drop("_rows_n", "_hsync", "_vsync").join(of_run, key)
+    rises = lambda c: F.coalesce((F.col(c) == 1) & (F.lag(c).over(line) == 0), F.lit(False))
+    rows = _by_runs(ticks).withColumns({"_k": F.row_number().over(line), "h": rises("hsync"), "v": rises("vsync")})
     count = lambda c: F.coalesce(F.sum(F.col(c).cast("long")).over(before), F.lit(0))
-    rows = rows.withColumns(
-        {
-            "frame": F.col("_v_n") + count("v"),
-            "_lines": F.col("_h_n") + count("h"),
-            "_at": F.coalesce(F.max(F.when(F.col("h"), F.col("_n"))).over(before), F.col("_last_h")),
-        }
-    )
-    # the line where the latest vsync before a tick rose
+    rows = rows.withColumns({"_lines": count("h"), "_frames": count("v"), "_at": F.max(F.when(F.col("h"), F.col("_k"))).over(before)})
+    # lines up to the latest vsync and with its tick
     upto = F.when(F.col("v"), F.col("_lines") + F.col("h").cast("long"))
-    rows = rows.drop("_h_n", "_v_n", "_last_h").join(_carried(rows, _last_v=F.max(upto)), key)
-    rows = rows.withColumn("_upto", F.coalesce(F.max(upto).over(before), F.col("_last_v")))
-    return rows.withColumns(
-        {"x": (F.col("_n") - F.coalesce("_at", F.lit(0)) - 1).cast("long"), "y": F.col("_lines") - F.coalesce("_upto", F.lit(0))}
-    ).drop("_n", "_lines", "_at", "_upto", "_last_v", "_run")
+    rows = materialize(rows.withColumns({"_upto": F.max(upto).over(before), "_upto_here": upto}), "scan")
+
+    first = lambda c: F.max(F.when(F.col("_k") == 1, F.col(c)))
+    runs = rows.groupBy(*key).agg(
+        F.count("*").alias("n"),
+        F.count_if("h").alias("lines"),
+        F.count_if("v").alias("frames"),
+        F.max(F.when(F.col("h"), F.col("_k"))).alias("at"),
+        F.max("_upto_here").alias("upto"),
+        *(first(c).alias(f"{c}_in") for c in ("hsync", "vsync")),
+        *(F.max_by(c, "tick").alias(f"{c}_out") for c in ("hsync", "vsync")),
+    )
+    order = Window.partitionBy("stream_id").orderBy("_run")
+    earlier = order.rowsBetween(*_BEFORE)
+    enters = lambda c: ((F.col(f"{c}_in") == 1) & (F.coalesce(F.lag(f"{c}_out").over(order), F.lit(0)) == 0)).cast("long")
+    runs = runs.withColumns({"h0": enters("hsync"), "v0": enters("vsync")})
+    total = lambda *c: F.coalesce(F.sum(sum(map(F.col, c), F.lit(0))).over(earlier), F.lit(0))
+    runs = runs.withColumns({"n_in": total("n"), "lines_in": total("lines", "h0"), "frames_in": total("frames", "v0")})
+    at = F.col("n_in") + F.coalesce("at", F.when(F.col("h0") == 1, 1))
+    last_upto = F.col("lines_in") + F.col("h0") + F.coalesce("upto", F.when(F.col("v0") == 1, 0))
+    runs = runs.withColumns({"at_out": at, "upto_out": last_upto})
+    carried = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(earlier), F.lit(0))
+    runs = runs.select(*key, "h0", "v0", "n_in", "lines_in", "frames_in", carried("at_out").alias("at_in"), carried("upto_out").alias("upto_in"))
+
+    rows = rows.join(runs, key)
+    later = (F.col("_k") > 1).cast("long")
+    h0, v0 = F.col("h0") * later, F.col("v0") * later
+    lines = F.col("lines_in") + h0 + F.col("_lines")
+    last = F.coalesce(F.col("n_in") + F.col("_at"), F.when(h0 == 1, F.col("n_in") + 1), F.col("at_in"))
+    upto = F.coalesce(F.col("lines_in") + F.col("h0") + F.col("_upto"), F.when(v0 == 1, F.col("lines_in") + F.col("h0")), F.col("upto_in"))
+    starts = F.col("_k") == 1
+    return rows.select(
+        *ticks.columns,
+        (F.col("h") | (starts & (F.col("h0") == 1))).alias("h"),
+        (F.col("v") | (starts & (F.col("v0") == 1))).alias("v"),
+        (F.col("frames_in") + v0 + F.col("_frames")).alias("frame"),
+        (F.col("n_in") + F.col("_k") - last - 1).cast("long").alias("x"),
+        (lines - upto).alias("y"),
+    )
 
 
 def raster_scan(ticks: DataFrame, bits: list[str]) -> DataFrame:
@@ -98,19 +145,35 @@ def raster_size(ticks: DataFrame) -> DataFrame:
     )
 
 
-def serial_bytes(ticks: np.ndarray, levels: np.ndarray, idle_from: int, known_to: int | None) -> tuple[list[tuple[int, int]], int]:
+#: Ticks from a byte's start edge to the first one at which the next may start.
+BYTE = HALF_BIT + 9 * BIT + 1
+
+
+def serial_bytes(ticks: np.ndarray, levels: np.ndarray, idle_from: int, known_to: int | None, until: int | None = None) -> tuple[list[tuple[int, int]], int]:
     """Bytes (start tick, byte) of a line that keeps each level until the next, and the tick from which it
-    is idle again. ``known_to``: stop at what later levels could still change; None: the last level stays."""
+    is idle again. ``known_to``: stop at what later levels could still change; None: the last level stays. ``until``: leave
+    what starts there or later."""
     at = lambda t: levels[np.searchsorted(ticks, t, "right") - 1]
     found: list[tuple[int, int]] = []
     zeros = ticks[levels == 0]
+    end_of_all = known_to if known_to is not None else np.iinfo(np.int64).max
     while True:
         start = idle_from
         if not len(ticks) or start < ticks[0] or at(start) != 0:
             later = zeros[np.searchsorted(zeros, idle_from) :]
             if not len(later):
-                return found, idle_from
+                return found, idle_from if until is None else max(idle_from, until)
             start = int(later[0])
+        if until is not None and start >= until:
+            return found, max(idle_from, until)
+        # bytes that lie within one stretch of 0 have no stop bit; a line that stays at 0 has no more bytes
+        change = np.searchsorted(ticks, start, "right")
+        if change == len(ticks) and until is None:
+            return found, start
+        skip = (min(int(ticks[change]) if change < len(ticks) else end_of_all, end_of_all if until is None else until) - start - 1) // BYTE
+        if skip > 0:
+            idle_from = start + skip * BYTE
+            continue
         middle = start + HALF_BIT
         end = middle + 9 * BIT
         if known_to is not None and known_to < end:
@@ -123,29 +186,80 @@ def serial_bytes(ticks: np.ndarray, levels: np.ndarray, idle_from: int, known_to
         idle_from = end + 1
 
 
+def serial_exits(ticks: np.ndarray, levels: np.ndarray, start: int, until: int) -> np.ndarray:
+    """For each state that a run can begin with (idle from start, start + 1, ..): from where on the line is idle when ``until`` is
+    reached. All states are followed side by side; those that meet go on as one."""
+    place = np.arange(start, start + BYTE, dtype=np.int64)
+    of_state = np.arange(BYTE)
+    zeros = ticks[levels == 0]
+    at = lambda t: np.where(t >= ticks[0], levels[np.maximum(np.searchsorted(ticks, t, "right") - 1, 0)], 1)
+    far = np.iinfo(np.int64).max // 2
+    while True:
+        later = np.append(zeros, far)[np.searchsorted(zeros, place)]
+        begin = np.where(at(place) == 0, place, later)
+        done = begin >= until
+        if done.all():
+            return np.maximum(place, until)[of_state]
+        stretch = np.append(ticks, far)[np.searchsorted(ticks, begin, "right")]
+        skip = np.maximum((np.minimum(stretch, until) - begin - 1) // BYTE, 0)
+        step = np.where(skip > 0, skip * BYTE, np.where(at(begin + HALF_BIT) != 0, HALF_BIT + 1, BYTE))
+        place, again = np.unique(np.where(done, np.maximum(place, until), begin + step), return_inverse=True)
+        of_state = again[of_state]
+
+
 def serial_decode(levels: DataFrame) -> DataFrame:
     """stream_id, tick (of the start edge), byte from (stream_id, tick, tx) level changes.
 
-    A line that has been at 1 for longer than a byte takes is idle, whatever came before; streams are cut there and the
-    parts decoded apart.
+    A byte belongs to the run of ticks where it starts; a run also gets the levels of a byte's length beyond its end, and the level
+    that it begins with. What a run does to the state (from where on the line is idle) is found for every state, and these
+    functions are composed, a row a run. So a line that is never idle is decoded by many tasks.
     """
-    rows = _by_runs(levels.select("stream_id", "tick", "tx"))
     key = ["stream_id", "_run"]
-    line = Window.partitionBy(*key).orderBy("tick")
-    rows = rows.join(_carried(rows, _tick=F.max("tick"), _tx=F.max_by("tx", "tick")), key)
-    gap = F.col("tick") - F.coalesce(F.lag("tick").over(line), F.col("_tick"))
-    quiet = (F.coalesce(F.lag("tx").over(line), F.col("_tx")) == 1) & (gap > HALF_BIT + 10 * BIT)
-    rows = rows.withColumn("_new", F.coalesce(quiet, F.lit(False)).cast("long"))
-    rows = rows.drop("_tick", "_tx").join(_carried(rows, _parts_n=F.sum("_new")), key)
-    part = F.col("_parts_n") + F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0))
-
-    def decode(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tick")
-        found, _ = serial_bytes(rows["tick"].to_numpy(), rows["tx"].to_numpy(), int(rows["tick"].iloc[0]), None)
-        return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "tick": [t for t, _ in found], "byte": [b for _, b in found]})
-
-    cut = rows.select("stream_id", "tick", "tx", part.alias("part"))
-    return cut.groupBy("stream_id", "part").applyInPandas(decode, "stream_id long, tick long, byte long")
+    run = lambda t: F.floor(t / F.lit(SERIAL_TICKS)).cast("long")
+    rows = materialize(levels.select("stream_id", "tick", "tx", run(F.col("tick")).alias("_run")), "levels")
+    runs = rows.groupBy(*key).agg(F.max_by(F.struct("tick", "tx"), "tick").alias("end"), F.min("tick").alias("low"))
+    order = Window.partitionBy("stream_id").orderBy("_run")
+    begins = F.when(F.lag("_run").over(order).isNull(), F.col("low")).otherwise(F.col("_run") * SERIAL_TICKS)
+    runs = runs.withColumns({"_next": F.lead("_run").over(order), "begins": begins})
+    runs = materialize(
+        runs.select(*key, "begins", (F.col("_next") * SERIAL_TICKS).alias("until"), "_next", F.lag("end").over(order).alias("entry"), F.lag("_run").over(order).alias("_prev"), "end"),
+        "runs",
+    )
+    # levels just after a run's end are looked at by it too: those of the next run that has any, and the level at its start
+    ahead = rows.where(F.col("tick") < F.col("_run") * SERIAL_TICKS + BYTE).join(runs.where("_prev is not null").select(*key, "_prev"), key)
+    entry = runs.where("entry is not null").select("stream_id", "entry.tick", "entry.tx", "_run")
+    dealt = rows.unionByName(ahead.select("stream_id", "tick", "tx", F.col("_prev").alias("_run"))).unionByName(entry)
+    limits = F.struct("begins", "until").alias("limits")
+    dealt = dealt.join(runs.select(*key, limits), key).select(*key, "tick", "tx", "limits.*")
+
+    def arrays(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int | None]:
+        group = group.sort_values("tick")
+        until = group["until"].iloc[0]
+        return group["tick"].to_numpy(), group["tx"].to_numpy(), int(group["begins"].iloc[0]), None if pd.isna(until) else int(until)
+
+    def sum_up(group: pd.DataFrame) -> pd.DataFrame:
+        ticks, tx, begins, until = arrays(group)
+        exits = serial_exits(ticks, tx, begins, until)
+        first = np.flatnonzero(np.diff(exits, prepend=exits[0] - 1))
+        return pd.DataFrame({"stream_id": [group["stream_id"].iloc[0]], "_run": [group["_run"].iloc[0]], "froms": [first + begins], "exits": [exits[first]]})
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_run")
+        state, states = int(group["begins"].iloc[0]), []
+        for froms, exits in zip(group["froms"], group["exits"], strict=True):
+            states.append(state)
+            if froms is not None:
+                state = int(exits[np.searchsorted(froms, state, "right") - 1])
+        return pd.DataFrame({"stream_id": group["stream_id"], "_run": group["_run"], "state": states})
+
+    def decode(group: pd.DataFrame) -> pd.DataFrame:
+        ticks, tx, _, until = arrays(group)
+        found, _ = serial_bytes(ticks, tx, int(group["state"].iloc[0]), None, until)
+        return pd.DataFrame({"stream_id": group["stream_id"].iloc[0], "tick": [t for t, _ in found], "byte": [b for _, b in found]})
+
+    sums = dealt.where("until is not null").groupBy(*key).applyInPandas(sum_up, "stream_id long, _run long, froms array<long>, exits array<long>")
+    states = runs.select(*key, "begins").join(sums, key, "left").groupBy("stream_id").applyInPandas(compose, "stream_id long, _run long, state long")
+    return dealt.join(materialize(states, "states"), key).groupBy(*key).applyInPandas(decode, "stream_id long, tick long, byte long")
 
 
 def spi_transactions(samples: DataFrame) -> DataFrame:
@@ -155,29 +269,21 @@ def spi_transactions(samples: DataFrame) -> DataFrame:
     three counts. Bits come at a rising clock, the highest first: a command, a 24-bit address, then data
     from mosi (write, 2) or miso (read, 3 and 11). Other commands and transfers that don't end give nothing.
     """
-    line = Window.partitionBy("stream_id").orderBy("tick")
-    device = F.when(F.col("cs") == 0, "flash").when(F.col("ram_a") == 0, "psram_a").when(F.col("ram_b") == 0, "psram_b")
-    rows = samples.withColumn("device", device)
-    rows = rows.withColumn("_changed", ~F.col("device").eqNullSafe(F.lag("device").over(line)))
-    rows = rows.withColumn("_session", F.sum(F.col("_changed").cast("long")).over(line))
-    rows = rows.withColumn("_rises", (F.col("sclk") == 1) & (F.coalesce(F.lag("sclk").over(line), F.lit(0)) == 0))
-    starts = rows.where("_changed").select("stream_id", (F.col("_session") - 1).alias("_session"), F.col("tick").alias("end_tick"))
-    bits = rows.where("device is not null and _rises")
-    n = F.row_number().over(Window.partitionBy("stream_id", "_session").orderBy("tick")) - 1
-    bits = bits.withColumn("n", n)
+    bits, starts = _spi_bits(samples)
     part = lambda c: F.sum(F.expr(f"shiftleft(cast({c} as bigint), cast(7 - n % 8 as int))"))
-    by_byte = bits.groupBy("stream_id", "_session", "device", F.expr("n div 8").alias("i")).agg(
+    by_byte = bits.groupBy("stream_id", "session", "device", F.expr("n div 8").alias("i")).agg(
         part("mosi").alias("out_byte"), part("miso").alias("in_byte"), F.count("*").alias("n_bits")
     )
     whole = by_byte.where("n_bits = 8")
     first = lambda i: F.max(F.when(F.col("i") == i, F.col("out_byte")))
-    heads = whole.where("i < 4").groupBy("stream_id", "_session", "device").agg(
-        first(0).alias("command"), (first(1) * 65536 + first(2) * 256 + first(3)).alias("address")
-    )
-    data = whole.where("i >= 4").groupBy("stream_id", "_session").agg(
-        F.count("*").alias("n_bytes"), F.sort_array(F.collect_list(F.when(F.col("i") < 12, F.struct("i", "out_byte", "in_byte")))).alias("_data")
+    kept = F.sort_array(F.collect_list(F.when(F.col("i").between(4, 11), F.struct("i", "out_byte", "in_byte"))))
+    heads = whole.groupBy("stream_id", "session", "device").agg(
+        first(0).alias("command"),
+        (first(1) * 65536 + first(2) * 256 + first(3)).alias("address"),
+        F.count_if(F.col("i") >= 4).alias("n_bytes"),
+        kept.alias("_data"),
     )
-    ended = heads.join(starts, ["stream_id", "_session"]).join(data, ["stream_id", "_session"], "left").where("command in (2, 3, 11)")
+    ended = heads.join(starts, ["stream_id", "session"]).where("command in (2, 3, 11)")
     write = F.col("command") == 2
     text = F.array_join(F.transform("_data", lambda d: F.lower(F.lpad(F.hex(F.when(write, d["out_byte"]).otherwise(d["in_byte"])), 2, "0"))), " ")
     return ended.select(
@@ -186,21 +292,81 @@ def spi_transactions(samples: DataFrame) -> DataFrame:
         "device",
         F.when(write, "write").otherwise("read").alias("op"),
         "address",
-        F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"),
+        "n_bytes",
         F.coalesce(text, F.lit("")).alias("data"),
     )
 
 
-def _changes(samples: DataFrame) -> DataFrame:
-    line = Window.partitionBy("stream_id", "wire").orderBy("tick")
-    rows = samples.withColumn("_changed", F.col("value") != F.lag("value", 1, 0).over(line))
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+def _spi_bits(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bits (stream_id, session, device, n: its number within the session, mosi, miso), and the ticks (stream_id, session,
+    end_tick) at which sessions end.
+
+    In a run all is known but whether its first row changes the device and its clock rises there, which session it begins in
+    and how many bits that has had: these come from composing the runs.
+    """
+    key = ["stream_id", "_run"]
+    line = Window.partitionBy(*key).orderBy("tick")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    device = F.when(F.col("cs") == 0, "flash").when(F.col("ram_a") == 0, "psram_a").when(F.col("ram_b") == 0, "psram_b")
+    rows = _by_runs(samples.withColumn("device", device)).withColumn("_k", F.row_number().over(line))
+    later, selected = F.col("_k") > 1, F.col("device").isNotNull()
+    rows = rows.withColumns(
+        {
+            "_changed": later & ~F.col("device").eqNullSafe(F.lag("device").over(line)),
+            "_bit": selected & later & (F.col("sclk") == 1) & (F.lag("sclk").over(line) == 0),
+        }
+    )
+    number = lambda c, w: F.sum(F.col(c).cast("long")).over(w)
+    rows = rows.withColumn("_part", number("_changed", upto))
+    in_part = Window.partitionBy(*key, "_part").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    kept = ["stream_id", "_run", "tick", "device", "sclk", "mosi", "miso", "_k", "_changed", "_bit", "_part"]
+    rows = materialize(rows.select(*kept, number("_bit", in_part).alias("_nth")), "spi")
+
+    first, last = (lambda c: F.min_by(c, "tick").alias(f"{c}_in")), (lambda c: F.max_by(c, "tick").alias(f"{c}_out"))
+    runs = rows.groupBy(*key).agg(
+        first("device"), first("sclk"), last("device"), last("sclk"),
+        F.max("_part").alias("parts"), F.max_by("_nth", "tick").alias("last_bits"),
+    )
+    order = Window.partitionBy("stream_id").orderBy("_run")
+    earlier = order.rowsBetween(*_BEFORE)
+    entry = lambda c: F.lag(f"{c}_out").over(order)
+    runs = runs.withColumns(
+        {
+            "change0": (~F.col("device_in").eqNullSafe(entry("device"))).cast("long"),
+            "bit0": (F.col("device_in").isNotNull() & (F.col("sclk_in") == 1) & (F.coalesce(entry("sclk"), F.lit(0)) == 0)).cast("long"),
+        }
+    )
+    # bits of a run's last session, which goes on from the run before unless something has changed
+    fresh = (F.col("parts") > 0) | (F.col("change0") == 1)
+    added = F.col("last_bits") + F.when(F.col("parts") > 0, 0).otherwise(F.col("bit0"))
+    runs = runs.withColumns({"added": added, "chain": F.sum(fresh.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    so_far = F.sum("added").over(Window.partitionBy("stream_id", "chain").orderBy("_run").rowsBetween(Window.unboundedPreceding, 0))
+    runs = runs.withColumns({"bits_out": so_far, "sessions": F.coalesce(F.sum(F.col("parts") + F.col("change0")).over(earlier), F.lit(0))})
+    bits_in = F.when(F.col("change0") == 1, 0).otherwise(F.coalesce(F.lag("bits_out").over(order), F.lit(0)))
+    runs = runs.select(*key, "change0", "bit0", "sessions", bits_in.alias("bits_in"))
+
+    rows = rows.join(runs, key).withColumns(
+        {
+            "session": F.col("sessions") + F.col("change0") + F.col("_part"),
+            "_changed": F.col("_changed") | ((F.col("_k") == 1) & (F.col("change0") == 1)),
+            "_bit": F.col("_bit") | ((F.col("_k") == 1) & (F.col("bit0") == 1)),
+        }
+    )
+    n = F.col("_nth") - 1 + F.when(F.col("_part") == 0, F.col("bits_in") + F.col("bit0")).otherwise(0)
+    # _nth doesn't count the first row's bit
+    bits = rows.where("_bit").select("stream_id", "session", "device", n.alias("n"), "mosi", "miso")
+    starts = rows.where("_changed").select("stream_id", (F.col("session") - 1).alias("session"), F.col("tick").alias("end_tick"))
+    return bits, starts
+
+
+def _timed(samples: DataFrame) -> DataFrame:
+    return _changes(samples).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def signal_activity(samples: DataFrame, size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """stream_id, wire, start (epoch seconds), toggles, last_value by tumbling or sliding window."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    grouped = _changes(samples).groupBy("stream_id", "wire", window.alias("w")).agg(
+    grouped = _timed(samples).groupBy("stream_id", "wire", window.alias("w")).agg(
         F.sum(F.col("_changed").cast("long")).alias("toggles"), F.max_by("value", "tick").alias("last_value")
     )
     return grouped.select("stream_id", "wire", F.unix_timestamp("w.start").alias("start"), "toggles", "last_value")
@@ -208,6 +374,6 @@ def signal_activity(samples: DataFrame, size: str = "1 hour", slide: str | None
 
 def bursts(samples: DataFrame, gap: str = "5 minutes") -> DataFrame:
     """stream_id, wire, start, changes: runs of changes that a quiet gap ends."""
-    changed = _changes(samples).where("_changed")
+    changed = _timed(samples).where("_changed")
     runs = changed.groupBy("stream_id", "wire", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("changes"))
     return runs.select("stream_id", "wire", F.unix_micros("w.start").alias("start"), "changes")

@@ -382,23 +382,60 @@ def test_spatial_join_of_all_sizes_equals_brute_force(spark, predicate):
 
 
 def test_runs_of_ticks_do_not_change_what_is_decoded(spark, monkeypatch):
-    """Raster and serial results with one run for a whole stream and with runs of few ticks."""
+    """Edges, raster, serial and bus results with one run for a whole stream and with runs of few ticks."""
     rng = random.Random(4)
     ticks = [(s, t, int(t % 37 < 4), int(t % 400 < 50), t % 64) for s in (1, 2) for t in range(s * 7, 3000) if rng.random() < 0.9]
     raster = spark.createDataFrame(ticks, "stream_id long, tick long, hsync long, vsync long, rgb long")
     raster = raster.withColumns({f"bit{k}": F.expr(f"(rgb div {2**k}) % 2") for k in range(6)})
+    wires = spark.createDataFrame([(s, w, t, rng.randrange(2)) for s in (1, 2) for w in (1, 2) for t in range(0, 2000, 7) if rng.random() < 0.7], "stream_id long, wire long, tick long, value long")
     levels, t = [], 50
     for k, byte in enumerate(bytes(range(40))):
         levels += [(1, t + trace.BIT * j, b) for j, b in enumerate([0, *((byte >> i) & 1 for i in range(8)), 1])]
         t += trace.BIT * (10 + 7 * (k % 3) * (k % 2))
-    serial = spark.createDataFrame(levels, "stream_id long, tick long, tx long")
+    # a line of noise that is never idle, with long breaks at 0 and at 1 and the end at 0
+    at = 13
+    for k in range(2500):
+        levels.append((2, at, k % 2))
+        at += rng.choice((30, 117, 233, 466, 699, 2000)) if k % 500 else 40_000 + k
+    serial = spark.createDataFrame([*levels, (2, at, 0)], "stream_id long, tick long, tx long")
+    bus, clock = [], 0
+    for t in range(6000):
+        clock ^= rng.random() < 0.9
+        session = t // 700 % 3 if t % 700 > 20 else 3
+        bus.append((1, 3 * t, *(int(session != d) for d in range(3)), clock, int(t % 700 in range(110, 126) or rng.random() < 0.05), rng.randrange(2)))
+    bus = spark.createDataFrame(bus, "stream_id long, tick long, cs long, ram_a long, ram_b long, sclk long, mosi long, miso long")
     found = {}
-    for n in (10**9, 97):
+    for n in (10**9, 97, 5000):
         monkeypatch.setattr(trace, "RUN_TICKS", n)
+        monkeypatch.setattr(trace, "SERIAL_TICKS", max(n, trace.BYTE))
+        bits, starts = trace._spi_bits(bus)
         found[n] = [
             rows(trace.raster_scan(raster, [f"bit{k}" for k in range(6)]), "stream_id", "frame", "y", "x", "r", "g", "b"),
             rows(trace.raster_size(raster), "stream_id", "width", "height"),
-            rows(trace.serial_decode(serial), "tick", "byte"),
+            rows(trace.serial_decode(serial), "stream_id", "tick", "byte"),
+            rows(trace.edges(wires), "stream_id", "wire", "tick", "edge"),
+            rows(bits, "stream_id", "session", "device", "n", "mosi", "miso"),
+            rows(starts, "stream_id", "session", "end_tick"),
         ]
-    assert found[97] == found[10**9]
-    assert [b for _, b in found[97][2]] == list(range(40)) and len(found[97][0]) > 1000
+    for k in range(6):
+        assert found[97][k] == found[10**9][k] == found[5000][k], k
+    assert [b for s, _, b in found[97][2] if s == 1] == list(range(40)) and len(found[97][0]) > 1000
+    assert len([1 for s, _, _ in found[97][2] if s == 2]) > 100 and len(found[97][4]) > 1000
+    # the same by plain loops
+    plain, was = [], {}
+    for s, w, t, v in rows(wires, "stream_id", "wire", "tick", "value"):
+        if v != was.get((s, w), 0):
+            plain.append((s, w, t, "rising" if v else "falling"))
+        was[s, w] = v
+    assert found[97][3] == sorted(plain)
+    sessions, last, session, n, plain = [], (None, 0), 0, 0, []
+    for s, t, cs, a, b, clk, mosi, miso in rows(bus, *bus.columns):
+        device = "flash" if cs == 0 else "psram_a" if a == 0 else "psram_b" if b == 0 else None
+        if device != last[0]:
+            sessions.append((s, session, t))
+            session, n = session + 1, 0
+        if device and clk and not last[1]:
+            plain.append((s, session, device, n, mosi, miso))
+            n += 1
+        last = device, clk
+    assert found[97][4] == sorted(plain) and found[97][5] == sessions
