@@ -113,9 +113,43 @@ def s8(spark, sf):
     return got.groupBy("stream_id", "wire").agg(F.count("*").alias("n"), F.sum("value").alias("high"))
 
 
+def _arriving(spark, parts):
+    """A stream that gets each of ``parts`` (rows with ts) as a micro-batch, and last a heartbeat of a stream of its own, a year
+    later, which lets the watermark pass everything."""
+    path = new_path(spark, "arriving")
+    fields = parts[0].schema
+    beat = {"stream_id": F.lit(-1), "ts": F.col("ts") + F.expr("interval 365 days")}
+    last = parts[0].orderBy(F.desc("ts")).limit(1).select(*(beat.get(c, F.col(c) if c == "tick" else F.lit(0)).cast(fields[c].dataType).alias(c) for c in fields.names))
+    for part in (*parts, last):  # files are taken in the order of their writing
+        part.coalesce(1).write.mode("append").parquet(path)
+    return streams.read_sample_stream(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
+
+
+def _timed_samples(spark, sf):
+    return view(spark, sf, "samples").select("stream_id", "tick", F.col("ts").cast("timestamp").alias("ts"), "wire", "value")
+
+
 @query("t9_stream_edges", duck(_EDGES))
 def t9(spark, sf):
-    return streams.run_available(streams.stream_edges(_sample_stream(spark, sf), "365 days"))
+    """Every third sample comes a micro-batch late, but within the delay."""
+    samples = _timed_samples(spark, sf)
+    parts = [samples.where("tick % 3 <> 0"), samples.where("tick % 3 = 0")]
+    return streams.run_available(streams.stream_edges(_arriving(spark, parts), "60 days", 400 * 86_400_000))
+
+
+@query(
+    "t9_late_edges",
+    duck("""with k as (select * from samples where tick % 20 <> 7 or ts > (select max(ts) from samples where tick % 20 <> 7) - interval 10 days),
+      c as (select *, lag(value) over w as was, lag(ts) over w as before from k window w as (partition by stream_id, wire order by tick))
+      select stream_id, wire, tick, case when value = 1 then 'rising' else 'falling' end as edge from c
+      where value <> case when before >= ts - interval 2 hours then was else 0 end"""),
+)
+def t9_late(spark, sf):
+    """Every twentieth sample comes a micro-batch late: those of the last ten days are taken into the order, the others are
+    dropped. A wire without samples for two hours starts anew."""
+    samples = _timed_samples(spark, sf)
+    parts = [samples.where("tick % 20 <> 7"), samples.where("tick % 20 = 7")]
+    return streams.run_available(streams.stream_edges(_arriving(spark, parts), "10 days", 2 * 3_600_000))
 
 
 @query(
@@ -140,13 +174,7 @@ def t10_bursts(spark, sf):
 
 @query("t11_stream_serial", duck("select stream_id, 100 + k * 2500 as tick, byte from serial_bytes"))
 def t11(spark, sf):
-    """The levels in tick order in several files, with an idle level after the last byte."""
-    path = new_path(spark, "levels")
-    levels = view(spark, sf, "serial_levels")
-    idle = levels.groupBy("stream_id").agg((F.max("tick") + 1000).alias("tick")).withColumn("tx", F.lit(1).cast("long"))
-    rows, files = levels.unionByName(idle), 4
-    for low, high in ((0, 3000), (3000, 6000), (6000, 1 << 62)):  # files are taken in the order of their writing
-        part = rows.where(F.col("tick").between(low, high - 1))
-        part.repartitionByRange(files, "stream_id").write.mode("append").parquet(path)
-    # a stream's rows are in one file of each interval, so no micro-batch has a later interval before an earlier one
-    return streams.run_available(streams.stream_serial(streams.read_sample_stream(spark, path, "stream_id long, tick long, tx long", files)))
+    """The levels in three micro-batches whose ticks are mixed, a tick being a second."""
+    levels = view(spark, sf, "serial_levels").withColumn("ts", F.timestamp_seconds("tick")).select("stream_id", "tick", "ts", "tx")
+    parts = [levels.where(f"tick % 3 = {k}") for k in (2, 0, 1)]
+    return streams.run_available(streams.stream_serial(_arriving(spark, parts), "3 hours"))

@@ -1,7 +1,9 @@
 """Structured Streaming forms of the trace operators.
 
-State is dropped by a watermark on ``ts``; rows later than it are dropped. Each function takes and returns a
-streaming DataFrame; :func:`run_available` drives one to the end of the files that are there.
+State is dropped by a watermark on ``ts``; rows later than it are dropped. Edges and serial bytes depend on the order of
+samples, so rows are held until the watermark has passed them, however the micro-batches shuffled them: what comes out is the
+batch operator's result over all rows that weren't too late. Event-time timers release them and drop what a quiet line leaves.
+Each function takes and returns a streaming DataFrame; :func:`run_available` drives one to the end of the files that are there.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from sparklayout.operators.trace import serial_bytes
 from sparklayout.sources.work import new_path
@@ -25,48 +27,146 @@ def read_sample_stream(spark: SparkSession, folder: str, schema: str = SAMPLES,
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is there, write it as Parquet with a checkpoint in the shared folder, and read it."""
+#: State is kept on disk beside the executors and checkpointed as changes; stateful processors need it.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def run_available(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
+    """Process all that is there, write it as Parquet with a checkpoint in the shared folder, and read it. ``progress``: gets what
+    Spark tells of each micro-batch."""
     spark = stream.sparkSession
     out, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:  # a query takes the setting along when it starts
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def stream_edges(samples: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """stream_id, wire, tick, edge: changes against the last value that the state keeps for each wire.
+class _Held(StatefulProcessor):
+    """Rows of a key are held until the watermark has passed them and then go to :meth:`settle` in their order. Where more than
+    ``quiet`` milliseconds lie between two of them, and when the watermark has passed the last by as much, :meth:`end` is called
+    and the key begins anew, without state."""
+
+    #: The column beside tick and ts, the state that is kept, and the columns that come out after the key's.
+    value, kept, out = "value", "value long", ("tick",)
+
+    def __init__(self, quiet: int):
+        self.quiet = quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, tick long, value long")
+        self.state = handle.getValueState("state", self.kept)
+        self.last = handle.getValueState("last", "ms long")
+
+    def settle(self, state: tuple | None, rows: list[tuple[int, int]]) -> tuple[list[tuple], tuple]:
+        """Results of rows (tick, value) after ``state``, and the state after them."""
+        raise NotImplementedError
+
+    def end(self, state: tuple) -> list[tuple]:
+        """Results that only now are sure, since nothing more comes."""
+        return []
+
+    def _due(self, now: int) -> list[tuple]:
+        rows = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        found: list[tuple] = []
+        if due:
+            state, last = (self.state.get(), self.last.get()[0]) if self.last.exists() else (None, due[0][0])
+            starts = [0, *(k for k in range(1, len(due)) if due[k][0] - due[k - 1][0] > self.quiet), len(due)]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                if state and due[lo][0] - last > self.quiet:
+                    found += self.end(state)
+                    state = None
+                more, state = self.settle(state, [r[1:] for r in due[lo:hi]])
+                found += more
+                last = due[hi - 1][0]
+            self.state.update(state)
+            self.last.update((last,))
+            self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.handle.registerTimer(later[0][0])
+        elif self.last.exists():
+            over = self.last.get()[0] + self.quiet
+            if over < now:
+                found += self.end(self.state.get())
+                self.state.clear()
+                self.last.clear()
+            else:
+                self.handle.registerTimer(over + 1)
+        return found
+
+    def _frame(self, key: tuple, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in found], columns=[*self.keys, *self.out])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        for part in rows:  # Spark itself drops only what an earlier micro-batch's watermark had passed
+            ms = part["ts"].astype("datetime64[us, UTC]" if part["ts"].dt.tz is not None else "datetime64[us]").astype("int64") // 1000
+            in_time = [r for r in zip(ms.tolist(), part["tick"].tolist(), part[self.value].tolist(), strict=True) if r[0] > now]
+            if in_time:
+                self.waiting.appendList(in_time)
+        yield self._frame(key, self._due(now))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._frame(key, self._due(timerValues.getCurrentWatermarkInMs()))
+
+    def close(self) -> None:
+        pass
+
+
+class _Edges(_Held):
+    keys, out = ("stream_id", "wire"), ("tick", "edge")
+
+    def settle(self, state: tuple | None, rows: list[tuple[int, int]]) -> tuple[list[tuple], tuple]:
+        was, found = state[0] if state else 0, []
+        for tick, value in rows:
+            if value != was:
+                found.append((tick, "rising" if value == 1 else "falling"))
+            was = value
+        return found, (was,)
+
+
+class _Bytes(_Held):
+    """The state: from which tick the line is idle, and the levels since then, at most one unfinished byte's worth."""
+
+    keys, out, value, kept = ("stream_id",), ("tick", "byte"), "tx", "idle long, ticks array<long>, levels array<long>"
+
+    def settle(self, state: tuple | None, rows: list[tuple[int, int]]) -> tuple[list[tuple], tuple]:
+        idle, ticks, levels = state or (rows[0][0], [], [])
+        ticks, levels = (np.array([*old, *(r[k] for r in rows)], np.int64) for k, old in ((0, ticks), (1, levels)))
+        found, idle = serial_bytes(ticks, levels, int(idle), int(ticks[-1]))
+        keep = max(0, int(np.searchsorted(ticks, idle, "right")) - 1)
+        return found, (int(idle), ticks[keep:].tolist(), levels[keep:].tolist())
 
-    A wire's rows of one micro-batch are taken by tick. Its state is dropped when the watermark passes its
-    last row by an hour; the wire then starts at 0 again.
-    """
+    def end(self, state: tuple) -> list[tuple]:
+        idle, ticks, levels = state
+        return serial_bytes(np.array(ticks, np.int64), np.array(levels, np.int64), int(idle), None)[0]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("tick")
-        was = state.get[0] if state.exists else 0
-        values = rows["value"].to_numpy()
-        before = np.concatenate(([was], values[:-1]))
-        state.update((int(values[-1]),))
-        latest = int(pd.Timestamp(rows["ts"].max()).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 3_600_000)
-        changed = rows[values != before]
-        yield pd.DataFrame(
-            {
-                "stream_id": changed["stream_id"],
-                "wire": changed["wire"],
-                "tick": changed["tick"],
-                "edge": np.where(changed["value"] == 1, "rising", "falling"),
-            }
-        )
-
-    return (
-        samples.withWatermark("ts", delay)
-        .groupBy("stream_id", "wire")
-        .applyInPandasWithState(step, "stream_id long, wire long, tick long, edge string", "value long", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+
+def _processed(rows: DataFrame, processor: _Held, delay: str, schema: str) -> DataFrame:
+    columns = [*processor.keys, "tick", "ts", processor.value]
+    grouped = rows.select(*columns).withWatermark("ts", delay).groupBy(*processor.keys)
+    return grouped.transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+#: Milliseconds of event time after which a line without samples is forgotten.
+QUIET = 24 * 3_600_000
+
+
+def stream_edges(samples: DataFrame, delay: str = "1 hour", quiet: int = QUIET) -> DataFrame:
+    """stream_id, wire, tick, edge: changes of each wire, emitted when the watermark has passed them.
+
+    Samples may come in any order within ``delay``. A wire without samples for ``quiet`` milliseconds is forgotten and then
+    starts at 0 again.
+    """
+    return _processed(samples, _Edges(quiet), delay, "stream_id long, wire long, tick long, edge string")
 
 
 def stream_activity(samples: DataFrame, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -84,23 +184,10 @@ def stream_bursts(samples: DataFrame, gap: str = "5 minutes", delay: str = "10 m
     return grouped.agg(F.count("*").alias("samples")).select("stream_id", "wire", F.unix_micros("w.start").alias("start"), "samples")
 
 
-def stream_serial(levels: DataFrame) -> DataFrame:
-    """stream_id, tick, byte: serial bytes as soon as the levels settle them.
+def stream_serial(levels: DataFrame, delay: str = "1 hour", quiet: int = QUIET) -> DataFrame:
+    """stream_id, tick, byte: serial bytes of levels (stream_id, tick, ts, tx) as soon as settled levels decide them.
 
-    The state keeps from which tick the line is idle and the levels since then, at most one unfinished byte's
-    worth. A byte whose stop bit may still change waits for a later level.
+    Levels may come in any order within ``delay``. A byte whose stop bit may still change waits for a later level, or until
+    ``quiet`` milliseconds are over: then it is decoded as if the level stayed, and the line is forgotten.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("tick")
-        idle, old_ticks, old_levels = state.get if state.exists else (int(rows["tick"].iloc[0]), [], [])
-        ticks = np.concatenate([np.array(old_ticks, np.int64), rows["tick"].to_numpy()])
-        values = np.concatenate([np.array(old_levels, np.int64), rows["tx"].to_numpy()])
-        found, idle = serial_bytes(ticks, values, int(idle), int(ticks[-1]))
-        keep = max(0, int(np.searchsorted(ticks, idle, "right")) - 1)
-        state.update((int(idle), [int(t) for t in ticks[keep:]], [int(v) for v in values[keep:]]))
-        yield pd.DataFrame({"stream_id": key[0], "tick": [t for t, _ in found], "byte": [b for _, b in found]})
-
-    return levels.groupBy("stream_id").applyInPandasWithState(
-        step, "stream_id long, tick long, byte long", "idle long, ticks array<long>, levels array<long>", "append", GroupStateTimeout.NoTimeout
-    )
+    return _processed(levels, _Bytes(quiet), delay, "stream_id long, tick long, byte long")

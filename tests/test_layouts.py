@@ -14,6 +14,7 @@ from sparklayout.functions.ranking import global_rank
 from sparklayout.operators import graph, hierarchy, netlist, shapes, spatial, trace
 from sparklayout.plans import extract, netlist_queries
 from sparklayout.sources import tables as tables_of
+from sparklayout.streaming import streams
 
 RECT = "file_id long, cell string, layer long, x1 long, y1 long, x2 long, y2 long"
 LABEL = "file_id long, cell string, text string, layer long, x long, y long"
@@ -439,3 +440,18 @@ def test_runs_of_ticks_do_not_change_what_is_decoded(spark, monkeypatch):
             n += 1
         last = device, clk
     assert found[97][4] == sorted(plain) and found[97][5] == sessions
+
+
+def test_streams_drop_late_rows_and_leave_no_state(spark, tmp_path):
+    """Rows in three micro-batches: out of order within the delay, too late, and a heartbeat; at the end only the heartbeat is kept."""
+    minute = lambda rows_: spark.createDataFrame(rows_, "stream_id long, wire long, tick long, value long").withColumn("ts", F.timestamp_seconds(F.col("tick") * 60))
+    parts = [[(1, 0, 1, 1), (1, 0, 3, 1), (1, 0, 100, 0), (2, 5, 100, 1)], [(1, 0, 2, 0), (1, 0, 95, 1), (1, 0, 99, 1), (2, 5, 101, 1)], [(9, 9, 10_000, 0)]]
+    for part in parts:
+        minute(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "stream_id long, wire long, tick long, value long, ts timestamp"
+    progress = []
+    stream = streams.read_sample_stream(spark, str(tmp_path / "in"), schema)
+    got = rows(streams.run_available(streams.stream_edges(stream, "10 minutes", 3_600_000), progress=progress), "stream_id", "wire", "tick", "edge")
+    # 2 comes after the watermark (90) and is dropped; 95 and 99 aren't, and the hour since 3 has made the wire start at 0
+    assert got == [(1, 0, 1, "rising"), (1, 0, 95, "rising"), (1, 0, 100, "falling"), (2, 5, 100, "rising")]
+    assert progress[-1].stateOperators[0].numRowsTotal <= 6  # the heartbeat's row and its timer
