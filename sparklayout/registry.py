@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("geometry_queries", "netlist_queries", "analytics_queries", "trace_queries")
+MODULES = ("geometry_queries", "netlist_queries", "analytics_queries", "trace_queries", "extract_queries")
 
 
 def query(name: str, sql: str | None = None):

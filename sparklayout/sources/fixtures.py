@@ -156,6 +156,10 @@ from orders, (select unnest(range(3)) as i)""",
     "repeated": """
 select o_orderkey as item_id, o_custkey%100 as x, o_custkey%70 as y, 1+o_custkey%3 as n_cols, 1+o_custkey%4 as n_rows,
   40+o_custkey%9 as dx, 30+o_custkey%5 as dy from orders""",
+    # two files of inverter chains: sixteen a row, every other row upside down
+    "chip_places": """
+select file_id, k, k//16 as r, k%16 as c, cast((k//16)%2 as bigint) as odd from (
+  select o_orderkey%2 as file_id, cast(row_number() over (partition by o_orderkey%2 order by o_orderkey) as bigint)-1 as k from orders) t""",
     "id_texts": """
 select o_orderkey as text_id, o_custkey||', '||(o_custkey%50)||'-'||(o_custkey%60)||' x7 '||(o_orderkey%9) as text
 from orders""",
