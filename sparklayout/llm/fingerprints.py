@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,15 @@ from sparklayout.sources.work import materialize
 SAMPLES, BYTES = 64, 2
 #: Texts are worked on in runs of about so many bytes; terms are drawn once for so many of their places, and compared so
 #: many at a time.
-RUN_BYTES, TOGETHER, TERMS = 1 << 19, 1 << 17, 1 << 10
+RUN_BYTES, TOGETHER, TERMS = 1 << 20, 1 << 18, 1 << 10
 #: What a worker remembers of words' hashes.
 MEMO_BYTES = 48 << 20
 #: Rows that stand for the ends of a range.
 FIRST, LAST = 1, 2
 #: Bits of a hash that choose r and c; the others are b.
 R_BITS, C_BITS = 16, 18
+#: What is remembered of a term.
+_TERM = np.dtype([("hash", ">u8"), ("length", ">u4")])
 _TERMS = re.compile(r"\w+|[^\w\s]")
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,9 +76,9 @@ def draws(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.n
     of_r, of_c = _gamma()
     seeds = _mixed(np.arange(1, samples + 1, dtype=np.uint64) * _GOLD)
     bits = _mixed(terms[:, None] ^ seeds)
-    r = of_r[bits & np.uint64((1 << R_BITS) - 1)]
+    r = of_r.take((bits & np.uint64((1 << R_BITS) - 1)).view(np.int64))
     bits >>= np.uint64(R_BITS)
-    c = of_c[bits & np.uint64((1 << C_BITS) - 1)]
+    c = of_c.take((bits & np.uint64((1 << C_BITS) - 1)).view(np.int64))
     bits >>= np.uint64(C_BITS)
     return r, c, bits.astype(np.float32) / np.float32(1 << (64 - R_BITS - C_BITS))
 
@@ -85,15 +88,16 @@ class Sampler:
 
     def __init__(self, samples: int):
         self.samples = samples
-        self.hashes = Memo(MEMO_BYTES, lambda w: xxhash.xxh3_64_digest(w.encode()))
+        self.known = Memo(MEMO_BYTES, lambda w: xxhash.xxh3_64_digest(w.encode()) + len(w).to_bytes(4, "big"))
 
     def fingerprints(self, texts: list[str]) -> list[bytes]:
         """BYTES for each draw, for each text; empty for a text without terms."""
         found = [Counter(_TERMS.findall(t.lower())) for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        hashes = np.frombuffer(b"".join(x for own in found for x in map(self.hashes.__getitem__, own)), ">u8").astype(np.uint64)
-        weights = np.fromiter((n * len(w) for own in found for w, n in own.items()), float, len(hashes))
-        self.hashes.make_room()
+        terms = np.frombuffer(b"".join(map(self.known.__getitem__, chain.from_iterable(found))), _TERM)
+        times = np.fromiter(chain.from_iterable(x.values() for x in found), np.int64, len(terms))
+        self.known.make_room()
+        hashes, weights = terms["hash"].astype(np.uint64), times * terms["length"]
         best = np.full((len(texts), self.samples), np.inf, np.float32)
         key = np.zeros((len(texts), self.samples), np.uint64)
         of_text, log_w = np.repeat(np.arange(len(texts)), sizes), np.log(weights).astype(np.float32)
@@ -111,7 +115,7 @@ class Sampler:
         drawn = [np.concatenate(x) for x in zip(*parts, strict=True)]
         for lo in range(0, len(hashes), TERMS):
             at, owner = place[lo : lo + TERMS], of_text[lo : lo + TERMS]
-            r, log_c, b = (x[at] for x in drawn)
+            r, log_c, b = (x.take(at, axis=0) for x in drawn)
             t = np.floor(log_w[lo : lo + TERMS, None] / r + b)
             bid = log_c - r * (t - b + 1)
             first = np.flatnonzero(np.diff(owner, prepend=-1))
