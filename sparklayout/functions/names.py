@@ -16,9 +16,8 @@ IMPORTANT_PREFIX = r"(?i)^(?:io|ui|uo|uio)_"
 PORT = r"(?i)^(ui_in|uo_out|uio_in|uio_out)(?:\[(\d+)\])?$"
 BUS = r"^(.+)\[(\d+)\]$"
 
-
-#: Numbers in one range of an id list.
-RANGE_MOST = 10_000_000
+#: The greatest id, and how many ids one row of an expanded range has.
+ID_MOST, ID_STEP = (1 << 63) - 1, 1 << 16
 
 
 def is_filler(name: Column) -> Column:
@@ -77,16 +76,45 @@ def port_pins(labels: DataFrame) -> DataFrame:
     return labels.withColumn("pin", pin).where("pin is not null").groupBy("pin").agg(F.max("net").alias("net"))
 
 
-def parse_id_list(texts: DataFrame, key: str = "text_id") -> DataFrame:
-    """text_id, id: the distinct numbers of a text like ``1, 2, 5-10``; ranges may be reversed, junk is ignored, and so
-    is a range of more than RANGE_MOST numbers, which no list of nets has."""
+def parse_id_ranges(texts: DataFrame, key: str = "text_id") -> DataFrame:
+    """text_id, low, high: what a text like ``1, 2, 5-10`` names, as ranges that neither overlap nor touch; ranges may be reversed,
+    junk is ignored, and so is what lies beyond the greatest id. A range is one row, however long."""
     part = texts.select(key, F.explode(F.split("text", r"[,\s]+")).alias("part"))
-    low, high = F.regexp_extract("part", r"^(\d+)", 1), F.regexp_extract("part", r"^\d+-(\d+)", 1)
+    number = lambda p: F.coalesce(F.nullif(F.regexp_extract("part", p, 1), F.lit("")).try_cast("decimal(38,0)"), F.when(F.col("part").rlike(p), F.lit(10).cast("decimal(38,0)") * ID_MOST))
     dashed = F.col("part").contains("-")
-    ends = part.select(key, F.try_to_number(F.nullif(low, F.lit("")), F.lit("999999999999999")).cast("long").alias("a"), F.try_to_number(F.nullif(high, F.lit("")), F.lit("999999999999999")).cast("long").alias("b"), dashed.alias("dashed"))
+    ends = part.select(key, number(r"^(\d+)").alias("a"), number(r"^\d+-(\d+)").alias("b"), dashed.alias("dashed"))
     ends = ends.where("a is not null and (not dashed or b is not null)").withColumn("b", F.coalesce("b", "a"))
-    ends = ends.where(F.abs(F.col("b") - F.col("a")) < RANGE_MOST)
-    return ends.select(key, F.explode(F.sequence(F.least("a", "b"), F.greatest("a", "b"))).alias("id")).distinct()
+    ends = ends.where(F.least("a", "b") <= ID_MOST)
+    most = F.least(F.greatest("a", "b"), F.lit(ID_MOST - 1).cast("decimal(38,0)") + 1)
+    ranges = ends.select(key, F.least("a", "b").cast("long").alias("low"), most.cast("long").alias("high"))
+    # 5 and 6 touch: each range reaches to the number after it while they are merged
+    line = Window.partitionBy(key).orderBy("low")
+    before = F.max("high").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(before.isNull() | (F.col("low") - 1 > before), F.col("low"))
+    merged = ranges.withColumn("_starts", starts).withColumn("_island", F.max("_starts").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return merged.groupBy(key, F.col("_island").alias("low")).agg(F.max("high").alias("high"))
+
+
+def parse_id_list(texts: DataFrame, key: str = "text_id") -> DataFrame:
+    """text_id, id: the distinct numbers of :func:`parse_id_ranges`, a step of a range at a time. To select known ids, however long
+    the ranges are, use :func:`ids_in_ranges`."""
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(high - low) div {ID_STEP}"))).alias("_step")
+    rows = parse_id_ranges(texts, key).select(key, "low", "high", steps).withColumn("low", F.col("low") + F.col("_step") * ID_STEP)
+    upto = F.when(F.col("high") - F.col("low") >= ID_STEP, F.col("low") + (ID_STEP - 1)).otherwise(F.col("high"))
+    return rows.select(key, F.explode(F.sequence("low", upto)).alias("id"))
+
+
+def ids_in_ranges(ids: DataFrame, ranges: DataFrame, key: str = "text_id", id_col: str = "net") -> DataFrame:
+    """text_id, net: the ``ids`` that lie in a text's ranges. A range join in bands of ids: no range is expanded but into the bands that
+    it covers within the ids that there are."""
+    low, high = ids.agg(F.min(id_col), F.max(id_col)).first()
+    if low is None:
+        return ranges.select(key, F.lit(None).cast("long").alias(id_col)).limit(0)
+    met = ranges.where((F.col("high") >= low) & (F.col("low") <= high))
+    bands = F.sequence(F.floor(F.greatest("low", F.lit(low)) / ID_STEP), F.floor(F.least("high", F.lit(high)) / ID_STEP))
+    placed = met.select(key, "low", "high", F.explode(bands).alias("_band"))
+    known = ids.select(id_col).distinct().withColumn("_band", F.floor(F.col(id_col) / ID_STEP))
+    return placed.join(known, "_band").where(F.col(id_col).between(F.col("low"), F.col("high"))).select(key, id_col)
 
 
 def natural_order(labels: DataFrame) -> DataFrame:

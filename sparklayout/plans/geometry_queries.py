@@ -115,6 +115,21 @@ def p14(spark, sf):
     return names.parse_id_list(view(spark, sf, "id_texts"))
 
 
+_RANGES = r"""p as (select text_id, unnest(regexp_split_to_array(text, '[,\s]+')) as part from id_texts),
+  e as (select text_id, part like '%-%' as dashed, try_cast(nullif(regexp_extract(part, '^(\d+)', 1), '') as bigint) as a,
+    try_cast(nullif(regexp_extract(part, '^\d+-(\d+)', 1), '') as bigint) as b from p)"""
+
+
+@query(
+    "p14_nets_in_id_list",
+    duck(f"""with {_RANGES} select distinct text_id, net from e join (select distinct net from net_labels) n on net between least(a, coalesce(b, a)) and greatest(a, coalesce(b, a))
+      where a is not null and (not dashed or b is not null)"""),
+)
+def p14_nets(spark, sf):
+    """The nets that each list names, found by ranges."""
+    return names.ids_in_ranges(view(spark, sf, "net_labels"), names.parse_id_ranges(view(spark, sf, "id_texts")))
+
+
 _NEAR = "a.layer = b.layer and a.rect_id < b.rect_id and a.x1 <= b.x2 + 40 and b.x1 <= a.x2 + 40 and a.y1 <= b.y2 + 40 and b.y1 <= a.y2 + 40"
 
 

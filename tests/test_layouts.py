@@ -455,3 +455,37 @@ def test_streams_drop_late_rows_and_leave_no_state(spark, tmp_path):
     # 2 comes after the watermark (90) and is dropped; 95 and 99 aren't, and the hour since 3 has made the wire start at 0
     assert got == [(1, 0, 1, "rising"), (1, 0, 95, "rising"), (1, 0, 100, "falling"), (2, 5, 100, "rising")]
     assert progress[-1].stateOperators[0].numRowsTotal <= 6  # the heartbeat's row and its timer
+
+
+def test_id_ranges_have_no_limit(spark):
+    from sparklayout.functions import names
+
+    texts = [(1, "1-999999999999999 7"), (2, "9-5, 4 11 x 3-"), (3, "9223372036854775806-99999999999999999999999999999999999999999"), (4, "99999999999999999999"), (5, "5-140000")]
+    df = spark.createDataFrame(texts, "text_id long, text string")
+    got = rows(names.parse_id_ranges(df), "text_id", "low", "high")
+    assert got == [(1, 1, 999999999999999), (2, 4, 9), (2, 11, 11), (3, (1 << 63) - 2, (1 << 63) - 1), (5, 5, 140000)]
+    nets = spark.createDataFrame([(n,) for n in (0, 5, 5, 10, 123456789012345, (1 << 63) - 1)], "net long")
+    found = rows(names.ids_in_ranges(nets, names.parse_id_ranges(df.where("text_id > 1"))), "text_id", "net")
+    assert found == [(2, 5), (3, (1 << 63) - 1), (5, 5), (5, 10)]
+    assert rows(names.parse_id_list(df.where("text_id in (2, 3)")), "text_id", "id") == [(2, k) for k in (4, 5, 6, 7, 8, 9, 11)] + [(3, (1 << 63) - 2), (3, (1 << 63) - 1)]
+    assert [i for _, i in rows(names.parse_id_list(df.where("text_id = 5")), "text_id", "id")] == list(range(5, 140001))
+
+
+def test_intervals_of_one_line_are_merged_by_many_tasks(spark, monkeypatch):
+    """A fill of one extent, with long intervals over many stretches, gaps, copies and negative places."""
+    rng = random.Random(6)
+    lines = [(k, at, at + rng.choice((0, 1, 5, 9, 400))) for k in (1, 2) for at in rng.sample(range(-3000, 3000), 700)]
+    lines += lines[:300] + [(3, 10 * i, 10 * i + 10) for i in range(900)] + [(4, 10 * i, 10 * i + 9) for i in range(900)]
+    df = spark.createDataFrame(lines, "k long, low long, high long").repartition(5)
+    want = []
+    for k in (1, 2, 3, 4):
+        open_ = None
+        for low, high in sorted((a, b) for n, a, b in lines if n == k):
+            if open_ and low <= open_[1]:
+                open_[1] = max(open_[1], high)
+            else:
+                open_ = [low, high]
+                want.append((k, open_))
+    for stretch in (16, 1 << 16):
+        monkeypatch.setattr(shapes, "STRETCH", stretch)
+        assert rows(shapes.merge_intervals(df, ["k"]), "k", "low", "high") == sorted((k, *x) for k, x in want)
