@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +32,17 @@ from sparklayout.sources.work import materialize
 #: Merge steps of a piece.
 PIECE = 128
 #: Bytes of text that are merged as one, and that share one list of distinct pairs.
-RUN_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
+RUN_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
 #: Groups of more links than this are counted by distinct ids instead of being written out.
 WIDE = 1024
 #: Bits of a pair of ids; a text's number within its run stands above them.
 CODE_BITS = 40
 #: What a worker remembers of chunks of text.
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 64 << 20
 #: Chunks start at a space or a line feed that follows something else than white space (see :class:`Pair`).
 _CHUNKS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+#: What stands before chunks that are laid end to end; how many of those make a text, and texts a call.
+_FIRST, JOINED, CALL = " a", 200, 100
 _JOINS = re.compile(r"[^\s▁][ \n▁]|\n|▁ ")
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 _END = np.iinfo(np.int64).max
@@ -86,6 +90,11 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
+@lru_cache(maxsize=1024)
+def _number(n: int) -> bytes:
+    return np.uint32(n).tobytes()
+
+
 class Pair:
     """Two tokenizers over chunks of text.
 
@@ -112,6 +121,7 @@ class Pair:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [self._b_token(x) for x in pieces]
+        self.a_length, self.b_length = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         self.whole = any(map(_JOINS.search, (x for i, x in enumerate(pieces) if not self.b.is_control(i))))
         self.space = self.b.piece_to_id("▁")
         of_a = [f"{i}{x}" for i in range(len(self.a_bytes)) for x in ",|"]
@@ -127,25 +137,54 @@ class Pair:
         return [text] if self.whole else _CHUNKS.findall(text)
 
     def learn(self, chunks: list[str]) -> None:
-        """Ids and byte lengths of new chunks by both tokenizers; None where the tokens' bytes aren't the chunk's."""
+        """New chunks by both tokenizers: 32-bit numbers, how many ids A has, then A's ids and B's; nothing where the tokens'
+        bytes aren't the chunk's.
+
+        Chunks are laid end to end for a call and their ids cut apart again at the chunks' ends; those that white space ends, or
+        that B may not spell, are encoded alone.
+        """
         new = self.memo.unknown(chunks)
-        if not new:
+        joined = [] if self.whole else [c for c in new if c[0] in " \n" and not c[-1].isspace() and "▁" not in c]
+        alone = new if not joined else list(set(new).difference(joined)) if len(joined) < len(new) else []
+        for at in range(0, len(joined), CALL * JOINED):
+            lists = [joined[k : k + JOINED] for k in range(at, min(at + CALL * JOINED, len(joined)), JOINED)]
+            texts = [_FIRST + "".join(x) for x in lists]
+            found_a = self.a.encode_batch_fast(texts, add_special_tokens=False)
+            found_b = self.b.encode([t[1:] for t in texts], num_threads=1)  # B puts the space there again
+            for own, text, a, b in zip(lists, texts, found_a, found_b, strict=True):
+                ends = np.cumsum([len(_FIRST), *(map(len, own) if text.isascii() else (len(c.encode()) for c in own))])
+                cut_a, cut_b = self._cut(a.ids, self.a_bytes, text, ends), self._cut(b, self.b_bytes, text, ends)
+                if cut_a and cut_b:
+                    made = [_number(len(x) // 4) + x + y for x, y in zip(cut_a, cut_b, strict=True)]
+                    self.memo.learn(own, made)
+                else:
+                    alone += own
+        if not alone:
             return
-        found_a = [x.ids for x in self.a.encode_batch(new, add_special_tokens=False)]
-        # B puts a space before a text: that is the chunk's own, or it is taken off again
-        found_b = self.b.encode([x[1:] if x[0] == " " else x for x in new], num_threads=1)
-        out = []
-        for chunk, a, b in zip(new, found_a, found_b, strict=True):
+        found_a = [x.ids for x in self.a.encode_batch_fast(alone, add_special_tokens=False)]
+        found_b = self.b.encode([x[1:] if x[0] == " " else x for x in alone], num_threads=1)
+        out, a_of, b_of = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        for chunk, a, b in zip(alone, found_a, found_b, strict=True):
             if chunk == " ":
                 b = [self.space]  # an empty text gets no space
             elif chunk[0] != " ":
                 b = b[1:] if b and b[0] == self.space else [0, *b]
-            whole, a_parts, b_parts = chunk.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-                out.append(())
-            else:
-                out.append(tuple(np.array(x, "<u4").tobytes() for x in (a, [*map(len, a_parts)], b, [*map(len, b_parts)])))
-        self.memo.learn(new, out)
+            good = b"".join(map(a_of, a)) == chunk.encode() == b"".join(map(b_of, b))
+            out.append(np.array([len(a), *a, *b], np.uint32).tobytes() if good else b"")
+        self.memo.learn(alone, out)
+
+    @staticmethod
+    def _cut(ids: list[int], tokens: list[bytes], text: str, ends: np.ndarray) -> list[bytes] | None:
+        """The ids between two ``ends`` (bytes of ``text``) as 32-bit numbers; None if no token ends at one, or the text is another."""
+        parts = [tokens[i] for i in ids]
+        if b"".join(parts) != text.encode():
+            return None
+        at = np.cumsum(list(map(len, parts)))
+        place = np.searchsorted(at, ends)
+        if not np.array_equal(at[place], ends):
+            return None
+        data, place = np.array(ids, np.uint32).tobytes(), ((place + 1) * 4).tolist()
+        return [data[i:j] for i, j in zip(place, place[1:], strict=False)]
 
     def align(self, texts: list[str]) -> dict[str, np.ndarray | list]:
         """For each text (with a space put before it): n_a, n_b, n_groups, n_links, digest of its groups; and the
@@ -153,23 +192,27 @@ class Pair:
         index = _Numbered()
         lists = [self.chunks(" " + t) for t in texts]
         per_text = np.fromiter(map(len, lists), np.int64, len(lists))
-        number = np.fromiter((n for x in lists for n in map(index.__getitem__, x)), np.int64, int(per_text.sum()))
+        number = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, int(per_text.sum()))
         known = list(index)
         self.learn(known)
-        found = [self.memo[x] for x in known]
-        good = np.fromiter(map(bool, found), bool, len(found))
+        found = list(map(self.memo.__getitem__, known))
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        good = sizes > 0
+        of_a = np.zeros(len(found), np.int64)
+        of_a[good] = flat[starts[good]]
+        of_b = np.maximum(sizes - 1 - of_a, 0)
         text_of = np.repeat(np.arange(len(texts)), per_text)
         bad = np.zeros(len(texts), bool)
         bad[text_of[~good[number]]] = True
         keep = ~bad[text_of]
         number, text_of = number[keep], text_of[keep]
         sides = []
-        for k in (0, 2):
-            counts = np.fromiter((len(x[k]) // 4 if x else 0 for x in found), np.int64, len(found))
-            ids, sizes = (np.frombuffer(b"".join(x[m] for x in found if x), "<u4").astype(np.int64) for m in (k, k + 1))
-            places = spread((np.cumsum(counts) - counts)[number], counts[number])
+        for at, counts, lengths in ((starts + 1, of_a, self.a_length), (starts + 1 + of_a, of_b, self.b_length)):
+            ids = flat[spread(at[number], counts[number])].astype(np.int64)
             of_text = np.repeat(text_of, counts[number])
-            sides.append((ids[places], np.cumsum(sizes[places]), np.bincount(of_text, minlength=len(texts))))
+            sides.append((ids, np.cumsum(lengths[ids]), np.bincount(of_text, minlength=len(texts))))
         (a, a_ends, n_a), (b, b_ends, n_b) = sides
         to_a, to_b = common_ends(a_ends, b_ends)
         from_a, from_b = np.append(0, to_a)[:-1], np.append(0, to_b)[:-1]
