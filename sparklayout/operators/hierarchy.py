@@ -11,7 +11,7 @@ from sparklayout.functions import geometry as g
 from sparklayout.functions import layers, names
 from sparklayout.functions.geometry import Affine, Box
 from sparklayout.functions.ranking import running_sum
-from sparklayout.operators.spatial import spatial_join
+from sparklayout.operators.spatial import leveled, like, spatial_join
 from sparklayout.sources.work import counted, materialize
 
 TOLERANCE = 1e-4
@@ -162,7 +162,7 @@ def instance_boxes(instances: DataFrame, cell_rects: DataFrame, keys: list[str]
 def instance_pairs(boxes: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """keys, layer, a, b (a < b): placements whose boxes touch on a layer from the terminals up."""
     keys = keys or []
-    side = boxes.where(F.col("layer") >= layers.N_TERM).select(*keys, "layer", "inst_id", "x1", "y1", "x2", "y2")
+    side = like(boxes.where(F.col("layer") >= layers.N_TERM).select(*keys, "layer", "inst_id", "x1", "y1", "x2", "y2"), boxes)
     pairs = spatial_join(side, side, "touches", [*keys, "layer"]).where("inst_id_a < inst_id_b")
     return pairs.select(*keys, "layer", F.col("inst_id_a").alias("a"), F.col("inst_id_b").alias("b"))
 
@@ -202,10 +202,11 @@ def _meeting(rels: DataFrame, rects: DataFrame, x: str, keys: list[str]) -> Data
     low, high = (lambda *c: F.floor(F.least(*c))), (lambda *c: F.ceil(F.greatest(*c)))
     own = Box(low(*xs), low(*ys), high(*xs), high(*ys)).named()
     regions = rels.select(*keys, "layer", "cell_a", "cell_b", "rel", F.col(f"cell_{x}").alias("cell"), *m.named(), *own)
-    hits = spatial_join(regions, rects.select(*keys, "layer", "cell", "wire", "x1", "y1", "x2", "y2"), "touches", [*keys, "cell", "layer"])
+    sides = like(rects.select(*keys, "layer", "cell", "wire", "x1", "y1", "x2", "y2"), rects)
+    hits = spatial_join(regions, sides, "touches", [*keys, "cell", "layer"])
     moved = g.transform(Box.of("_b"), Affine.of("_a")).named()
     names_ = [F.col(f"{c}_a").alias(c) for c in ("cell_a", "cell_b", "rel")]
-    return materialize(hits.select(*keys, "layer", *names_, F.col("wire_b").alias("wire"), *moved).distinct(), "meeting")
+    return leveled(hits.select(*keys, "layer", *names_, F.col("wire_b").alias("wire"), *moved).distinct(), "meeting")
 
 
 def cross_instance_edges(instances: DataFrame, cell_rects: DataFrame, fillers: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -218,9 +219,9 @@ def cross_instance_edges(instances: DataFrame, cell_rects: DataFrame, fillers: D
     """
     keys = keys or []
     solid = cell_rects.where((F.col("layer") >= layers.N_TERM) & F.col("wire").isNotNull())
-    solid = materialize(solid.select(*keys, "cell", "layer", "wire", "x1", "y1", "x2", "y2"), "solid")
+    solid = leveled(solid.select(*keys, "cell", "layer", "wire", "x1", "y1", "x2", "y2"), "solid")
     placed = instances.join(fillers.select(*keys, "cell"), [*keys, "cell"], "left_anti")
-    boxes = materialize(instance_boxes(placed, solid, keys), "boxes")
+    boxes = leveled(instance_boxes(placed, solid, keys), "boxes")
     uses = materialize(relative_placements(instance_pairs(boxes, keys), instances, keys), "uses")
     named = [*keys, "layer", "cell_a", "cell_b", "rel"]
     rels = uses.select(*named, *(f"{n}_{x}" for x in "ab" for n in Affine._fields)).distinct()

@@ -13,13 +13,15 @@ plain exchanges, so a cell that a wide rectangle shares with a whole layer is sp
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparklayout.functions import geometry as g
 from sparklayout.functions import layers
 from sparklayout.functions.geometry import Box
+from sparklayout.sources.work import materialize
 
 GROWTH = 16
 PREDICATES: dict[str, Callable[[Box, Box], Column]] = {
@@ -34,15 +36,39 @@ def _level(low: Column, high: Column) -> Column:
     return F.ceil(F.log(extent) / F.log(F.lit(float(GROWTH)))).cast("int")
 
 
-def _shapes(a: DataFrame, b: DataFrame) -> tuple[set, set]:
-    """The (x level, y level) that occur on each side, in one job: some dozens at most."""
+#: Levels that a 64-bit extent can have.
+_MOST = 17
+
+
+def leveled(rects: DataFrame, tag: str = "rects") -> DataFrame:
+    """``rects`` as a table that knows the levels of its rectangles: the job that writes it takes them along, so spatial joins of
+    it need none of their own for that."""
+    seen, box = Observation(), Box.of()
+    x, y = _level(box.x1, box.x2), _level(box.y1, box.y2)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), y)
+    masks = [F.coalesce(F.bit_or(F.when(x == i, bit)), F.lit(0)).cast("long").alias(f"x{i}") for i in range(_MOST)]
+    table = materialize(rects.observe(seen, *masks), tag)
+    found = seen.get
+    table.rect_levels = {(i, j) for i in range(_MOST) for j in range(_MOST) if found[f"x{i}"] >> j & 1}
+    return table
+
+
+def like(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows``, a selection of ``source``'s, with what is known of the levels of those."""
+    known = getattr(source, "rect_levels", None)
+    if known is not None:
+        rows.rect_levels = known
+    return rows
+
+
+def _shapes(*sides: DataFrame) -> list[set]:
+    """The (x level, y level) that occur on each side, some dozens at most; one job for those that don't know (:func:`leveled`)."""
     box = Box.of()
     levels = (_level(box.x1, box.x2).alias("x"), _level(box.y1, box.y2).alias("y"))
-    sides = [a.select(F.lit(0).alias("side"), *levels)] + ([] if a is b else [b.select(F.lit(1).alias("side"), *levels)])
-    rows = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
-    found = rows.where("x is not null and y is not null").distinct().collect()
-    left = {(r["x"], r["y"]) for r in found if r["side"] == 0}
-    return left, left if a is b else {(r["x"], r["y"]) for r in found if r["side"] == 1}
+    known = {k: side.rect_levels for k, side in enumerate(sides) if hasattr(side, "rect_levels")}
+    asked = [side.select(F.lit(k).alias("side"), *levels) for k, side in enumerate(sides) if k not in known]
+    found = reduce(DataFrame.unionByName, asked).where("x is not null and y is not null").distinct().collect() if asked else []
+    return [known[k] if k in known else {(r["x"], r["y"]) for r in found if r["side"] == k} for k in range(len(sides))]
 
 
 def _array(items: list[Column], kind: str) -> Column:
@@ -83,7 +109,7 @@ _CELL = ["_case", "_lx", "_ly", "_bx", "_by"]
 
 
 def _whole(side: DataFrame) -> DataFrame:
-    return side.where(" and ".join(f"{c} is not null" for c in ("x1", "y1", "x2", "y2")))
+    return like(side.where(" and ".join(f"{c} is not null" for c in ("x1", "y1", "x2", "y2"))), side)
 
 
 def candidates(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -92,7 +118,7 @@ def candidates(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> Dat
     self_join = a is b
     a = _whole(a)
     b = a if self_join else _whole(b)
-    of_a, of_b = _shapes(a, b)
+    of_a, of_b = _shapes(a) * 2 if self_join else _shapes(a, b)
     return _binned(a, "_a", keys, of_b, True).join(_binned(b, "_b", keys, of_a, False), [*keys, *_CELL])
 
 
@@ -112,7 +138,7 @@ def spatial_join(a: DataFrame, b: DataFrame, predicate: str = "touches", keys: l
 
 def touch_self_join(rects: DataFrame, keys: list[str], id_col: str = "rect_id") -> DataFrame:
     """keys, a, b: unordered pairs (a < b) of touching rectangles with equal keys."""
-    side = rects.select(*keys, id_col, "x1", "y1", "x2", "y2")
+    side = like(rects.select(*keys, id_col, "x1", "y1", "x2", "y2"), rects)
     pairs = spatial_join(side, side, "touches", keys).where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
     return pairs.select(*keys, F.col(f"{id_col}_a").alias("a"), F.col(f"{id_col}_b").alias("b"))
 
@@ -130,20 +156,21 @@ def interlayer_touch(rects: DataFrame, keys: list[str], id_col: str = "rect_id")
     side = rects.select(*keys, id_col, F.col("layer").cast("long").alias("layer"), "x1", "y1", "x2", "y2")
     low = side.join(F.broadcast(pairs.select("_pair", F.col("low").alias("layer"))), "layer")
     high = side.join(F.broadcast(pairs.select("_pair", F.col("high").alias("layer"))), "layer")
-    found = spatial_join(low, high, "touches", [*keys, "_pair"])
+    found = spatial_join(like(low, rects), like(high, rects), "touches", [*keys, "_pair"])
     return found.select(*keys, "layer_a", "layer_b", F.col(f"{id_col}_a").alias("a"), F.col(f"{id_col}_b").alias("b"))
 
 
 def window_query(rects: DataFrame, boxes: DataFrame, id_col: str = "rect_id", box_col: str = "box_id") -> DataFrame:
     """box_id, rect_id for every rectangle that meets a query box, edges included."""
-    found = spatial_join(boxes.select(box_col, "x1", "y1", "x2", "y2"), rects.select(id_col, "x1", "y1", "x2", "y2"))
+    found = spatial_join(like(boxes.select(box_col, "x1", "y1", "x2", "y2"), boxes), like(rects.select(id_col, "x1", "y1", "x2", "y2"), rects))
     return found.select(F.col(f"{box_col}_a").alias(box_col), F.col(f"{id_col}_b").alias(id_col))
 
 
 def labels_to_rects(labels: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
     """keys, label_id, rect_id: for each label point the least rectangle that it touches (null if none)."""
     points = labels.select(*keys, "label_id", *(F.col(c).alias(n) for c, n in (("x", "x1"), ("y", "y1"), ("x", "x2"), ("y", "y2"))))
-    hits = spatial_join(points, rects.select(*keys, "rect_id", "x1", "y1", "x2", "y2"), "touches", keys)
+    points.rect_levels = {(0, 0)}
+    hits = spatial_join(points, like(rects.select(*keys, "rect_id", "x1", "y1", "x2", "y2"), rects), "touches", keys)
     least = hits.groupBy(*keys, F.col("label_id_a").alias("label_id")).agg(F.min("rect_id_b").alias("rect_id"))
     return labels.select(*keys, "label_id").join(least, [*keys, "label_id"], "left")
 
@@ -156,5 +183,5 @@ def unmatched_labels(labels: DataFrame, rects: DataFrame, keys: list[str]) -> Da
 
 def overlaps_any(rects: DataFrame, wells: DataFrame, keys: list[str], id_col: str = "rect_id") -> DataFrame:
     """The rectangles whose inside meets any well (left semi)."""
-    hits = spatial_join(rects.select(*keys, id_col, "x1", "y1", "x2", "y2"), wells.select(*keys, "x1", "y1", "x2", "y2"), "overlaps", keys)
+    hits = spatial_join(like(rects.select(*keys, id_col, "x1", "y1", "x2", "y2"), rects), like(wells.select(*keys, "x1", "y1", "x2", "y2"), wells), "overlaps", keys)
     return rects.join(hits.select(*keys, F.col(f"{id_col}_a").alias(id_col)).distinct(), [*keys, id_col], "left_semi")

@@ -297,9 +297,13 @@ def g14(spark, sf):
 _TOUCH = "a.x1 <= b.x2 and b.x1 <= a.x2 and a.y1 <= b.y2 and b.y1 <= a.y2"
 
 
+def _rects(spark, sf):
+    return spatial.leveled(view(spark, sf, "rects"))
+
+
 @query("j1_touch_self_join", duck(f"select a.layer, a.rect_id as a, b.rect_id as b from rects a join rects b on a.layer = b.layer and a.rect_id < b.rect_id and {_TOUCH}"))
 def j1(spark, sf):
-    return spatial.touch_self_join(view(spark, sf, "rects"), ["layer"])
+    return spatial.touch_self_join(_rects(spark, sf), ["layer"])
 
 
 @query(
@@ -308,7 +312,8 @@ def j1(spark, sf):
       on a.rect_id <> b.rect_id and a.x1 <= b.x1 and a.y1 <= b.y1 and a.x2 >= b.x2 and a.y2 >= b.y2"""),
 )
 def j2(spark, sf):
-    r = view(spark, sf, "rects").select("rect_id", "x1", "y1", "x2", "y2")
+    rects = _rects(spark, sf)
+    r = spatial.like(rects.select("rect_id", "x1", "y1", "x2", "y2"), rects)
     pairs = spatial.spatial_join(r, r, "contains").where("rect_id_a <> rect_id_b")
     return pairs.select(F.col("rect_id_a").alias("outer_id"), F.col("rect_id_b").alias("inner_id"))
 
@@ -319,12 +324,12 @@ def j2(spark, sf):
       on b.layer = a.layer + 1 and a.layer between 6 and 17 and {_TOUCH}"""),
 )
 def j3(spark, sf):
-    return spatial.interlayer_touch(view(spark, sf, "rects"), [])
+    return spatial.interlayer_touch(_rects(spark, sf), [])
 
 
 @query("j4_window_query", duck(f"select box_id, rect_id from boxes a join rects b on {_TOUCH}"))
 def j4(spark, sf):
-    return spatial.window_query(view(spark, sf, "rects"), view(spark, sf, "boxes"))
+    return spatial.window_query(_rects(spark, sf), view(spark, sf, "boxes"))
 
 
 @query(
@@ -333,7 +338,7 @@ def j4(spark, sf):
       and l.x between r.x1 and r.x2 and l.y between r.y1 and r.y2 group by l.label_id"""),
 )
 def j5(spark, sf):
-    return spatial.labels_to_rects(view(spark, sf, "label_points"), view(spark, sf, "rects"), ["layer"]).select("label_id", "rect_id")
+    return spatial.labels_to_rects(view(spark, sf, "label_points"), _rects(spark, sf), ["layer"]).select("label_id", "rect_id")
 
 
 @query(
@@ -344,7 +349,7 @@ def j5(spark, sf):
       select l.label_id, l.text from label_points l left join hit using (label_id) where hit.label_id is null"""),
 )
 def j5_unmatched(spark, sf):
-    return spatial.unmatched_labels(view(spark, sf, "label_points"), view(spark, sf, "rects"), ["layer"]).select("label_id", "text")
+    return spatial.unmatched_labels(view(spark, sf, "label_points"), _rects(spark, sf), ["layer"]).select("label_id", "text")
 
 
 @query(
@@ -353,5 +358,6 @@ def j5_unmatched(spark, sf):
       and w.x1 < d.x2 and d.x1 < w.x2 and w.y1 < d.y2 and d.y1 < w.y2)"""),
 )
 def j6(spark, sf):
-    rects = view(spark, sf, "dev_rects")
-    return spatial.overlaps_any(rects.where("layer = 2"), rects.where("layer = 1"), ["cell"]).select("cell", "rect_id")
+    rects = spatial.leveled(view(spark, sf, "dev_rects"), "dev-rects")
+    wells = spatial.like(rects.where("layer = 1"), rects)
+    return spatial.overlaps_any(spatial.like(rects.where("layer = 2"), rects), wells, ["cell"]).select("cell", "rect_id")

@@ -18,7 +18,7 @@ _COMPONENTS = f"""e as (select a.rect_id as a, b.rect_id as b from rects a join
 
 
 def _layer_components(spark, sf):
-    rects = materialize(view(spark, sf, "rects"), "rects")
+    rects = spatial.leveled(view(spark, sf, "rects"))
     pairs = spatial.touch_self_join(rects, ["layer"])
     return rects, graph.connected_components(rects, pairs, "rect_id", "a", "b", ["layer"])
 
@@ -43,7 +43,8 @@ def flagship(spark, sf):
 def _labelled(spark, sf, rects):
     points = view(spark, sf, "label_points")
     side = points.select("layer", "label_id", "text", *(F.col(c).alias(n) for c, n in (("x", "x1"), ("y", "y1"), ("x", "x2"), ("y", "y2"))))
-    hits = spatial.spatial_join(side, rects.select("layer", "rect_id", "x1", "y1", "x2", "y2"), "touches", ["layer"])
+    side.rect_levels = {(0, 0)}  # points
+    hits = spatial.spatial_join(side, spatial.like(rects.select("layer", "rect_id", "x1", "y1", "x2", "y2"), rects), "touches", ["layer"])
     return hits.select("layer", F.col("text_a").alias("text"), F.col("rect_id_b").alias("rect_id"))
 
 
@@ -63,9 +64,9 @@ def _labelled(spark, sf, rects):
 )
 def c2(spark, sf):
     """Wires over all layers; the SQL first takes what is connected on a layer as one."""
-    rects = materialize(view(spark, sf, "rects"), "rects")
+    rects = spatial.leveled(view(spark, sf, "rects"))
     labels = _labelled(spark, sf, rects).select("text", "rect_id").distinct()
-    return nets.cell_wires(rects.withColumn("cell", F.lit("top")), labels.withColumn("cell", F.lit("top")), ["cell"])
+    return nets.cell_wires(spatial.like(rects.withColumn("cell", F.lit("top")), rects), labels.withColumn("cell", F.lit("top")), ["cell"])
 
 
 _LABELS = """lab as (select l.layer, case l.text when 'L0' then 'VGND' when 'L1' then 'VPWR' when 'L2' then 'VPWR' else l.text end as text, r.rect_id
@@ -347,18 +348,22 @@ _DEVICES = f"""{_CHANNELS}, ty as (select a.*, case when exists (select 1 from d
     left join dev_terms b on b.cell = a.cell and (b.layer = 5) = (a.type = 0) and {_TOUCH} group by all)"""
 
 
+def _dev_rects(spark, sf):
+    return spatial.leveled(view(spark, sf, "dev_rects"), "dev-rects")
+
+
 def _devices(spark, sf):
-    return devices.channel_devices(view(spark, sf, "dev_rects"), view(spark, sf, "dev_terms"), ["cell"])
+    return devices.channel_devices(_dev_rects(spark, sf), spatial.leveled(view(spark, sf, "dev_terms"), "terminals"), ["cell"])
 
 
 @query("n1_derive_channels", duck(f"with {_CHANNELS} select * from ch"))
 def n1(spark, sf):
-    return devices.derive_channels(view(spark, sf, "dev_rects"), ["cell"])
+    return devices.derive_channels(_dev_rects(spark, sf), ["cell"])
 
 
 @query("n2_derive_terminals", duck("select t.cell, t.layer - 4 as rect_id, t.layer, t.x1, t.y1, t.x2, t.y2 from dev_terms t union select cell, 0, 4, 0, 0, 20, 20 from devs where c % 7 = 0"))
 def n2(spark, sf):
-    return devices.derive_terminals(view(spark, sf, "dev_rects"), ["cell"])
+    return devices.derive_terminals(_dev_rects(spark, sf), ["cell"])
 
 
 @query("n3_extract_cell_fets", duck(f"with {_DEVICES} select distinct cell, gate, term0, term1, type::bigint as type from de where n_terms = 2"))
