@@ -52,13 +52,14 @@ def is_important_signal(name: Column) -> Column:
     return name.rlike(IMPORTANT) | name.rlike(IMPORTANT_PREFIX)
 
 
-def net_display_names(labels: DataFrame, order: str = "name") -> DataFrame:
-    """net, name: the last power-style name by ``order`` if there is one, else the first name."""
+def net_display_names(labels: DataFrame, order: str = "name", keys: list[str] | None = None) -> DataFrame:
+    """keys, net, name: the last power-style name by ``order`` if there is one, else the first name."""
+    keys = keys or []
     power = F.col("name").rlike(POWER_STYLE)
-    nets = labels.groupBy("net").agg(
+    nets = labels.groupBy(*keys, "net").agg(
         F.max_by("name", F.when(power, F.col(order))).alias("_power"), F.min_by("name", order).alias("_first")
     )
-    return nets.select("net", F.coalesce("_power", "_first").alias("name"))
+    return nets.select(*keys, "net", F.coalesce("_power", "_first").alias("name"))
 
 
 def parse_bus(labels: DataFrame) -> DataFrame:

@@ -17,24 +17,26 @@ def _bounds() -> list[Column]:
     return [f(c).alias(c) for c, f in _BOUNDS]
 
 
-def net_stats(flat: DataFrame, key: str = "net") -> DataFrame:
-    """net, area (overlaps count twice), x1..y2, n; rectangles without a net (-1 or null) don't count."""
-    return flat.where(F.col(key) >= 0).groupBy(key).agg(F.sum(g.area(Box.of())).alias("area"), *_bounds(), F.count("*").alias("n"))
+def net_stats(flat: DataFrame, key: str = "net", keys: list[str] | None = None) -> DataFrame:
+    """keys, net, area (overlaps count twice), x1..y2, n; rectangles without a net (-1 or null) don't count."""
+    rows = flat.where(F.col(key) >= 0).groupBy(*(keys or []), key)
+    return rows.agg(F.sum(g.area(Box.of())).alias("area"), *_bounds(), F.count("*").alias("n"))
 
 
-def tree_stats(flat: DataFrame) -> DataFrame:
-    """tree, area, n_nets."""
-    return flat.where("tree >= 0").groupBy("tree").agg(F.sum(g.area(Box.of())).alias("area"), F.count_distinct(F.when(F.col("net") >= 0, F.col("net"))).alias("n_nets"))
+def tree_stats(flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, tree, area, n_nets."""
+    n_nets = F.count_distinct(F.when(F.col("net") >= 0, F.col("net"))).alias("n_nets")
+    return flat.where("tree >= 0").groupBy(*(keys or []), "tree").agg(F.sum(g.area(Box.of())).alias("area"), n_nets)
 
 
-def tree_nets(flat: DataFrame) -> DataFrame:
-    """tree, net: the set of nets of each tree, a row for each."""
-    return flat.where("tree >= 0 and net >= 0").select("tree", "net").distinct()
+def tree_nets(flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, tree, net: the set of nets of each tree, a row for each."""
+    return flat.where("tree >= 0 and net >= 0").select(*(keys or []), "tree", "net").distinct()
 
 
-def extent(flat: DataFrame) -> DataFrame:
-    """The bounding box of everything."""
-    return flat.agg(*_bounds())
+def extent(flat: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, x1..y2: the bounding box of everything."""
+    return flat.groupBy(*(keys or [])).agg(*_bounds())
 
 
 def visible_rects(
@@ -121,12 +123,16 @@ def status_counts(shuttles: DataFrame, projects: DataFrame) -> DataFrame:
     return joined.rollup("pdk", "status", "id").agg(F.count("macro").alias("projects")).withColumnRenamed("id", "shuttle_id")
 
 
-def top_trees(stats: DataFrame, names: DataFrame, text: str = "", n: int = 1000) -> DataFrame:
-    """tree, area, label: the n largest trees whose label holds ``text`` in any case; ties by tree."""
-    named = stats.join(names.select(F.col("net").alias("tree"), "name"), "tree", "left")
+def top_trees(stats: DataFrame, names: DataFrame, text: str = "", n: int = 1000, keys: list[str] | None = None) -> DataFrame:
+    """keys, tree, area, label: the n largest trees (of each file) whose label holds ``text`` in any case; ties by tree."""
+    keys = keys or []
+    named = stats.join(names.select(*keys, F.col("net").alias("tree"), "name"), [*keys, "tree"], "left")
     label = F.concat(F.when(F.col("name").isNotNull(), F.concat("name", F.lit(" (Tree "), F.col("tree").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("Tree "), F.col("tree").cast("string"))), F.lit(" (Area: "), F.col("area").cast("string"), F.lit(")"))
-    rows = named.select("tree", "area", label.alias("label"))
-    return rows.where(F.lower("label").contains(text.lower())).orderBy(F.desc("area"), "tree").limit(n)
+    rows = named.select(*keys, "tree", "area", label.alias("label")).where(F.lower("label").contains(text.lower()))
+    if not keys:
+        return rows.orderBy(F.desc("area"), "tree").limit(n)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area"), "tree"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def trees_to_nets(flat: DataFrame, trees: list[int]) -> DataFrame:

@@ -37,75 +37,83 @@ def channel_groups(fets: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return connected_components(nets, edges, vertex="net", src="term0", dst="term1", label="group", keys=keys)
 
 
-def neighborhood_edges(fets: DataFrame, groups: DataFrame, net: int, states: DataFrame) -> DataFrame:
-    """gate, term0, term1, type, instance, open: the devices that touch the channel group of ``net`` by a
+def neighborhood_edges(fets: DataFrame, groups: DataFrame, net: int, states: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, gate, term0, term1, type, instance, open: the devices that touch the channel group of ``net`` (in each file) by a
     terminal or the gate. Open: null where the gate's value isn't known."""
-    members = groups.join(groups.where(F.col("net") == net).select("group"), "group", "left_semi").select("net")
-    alone = members.sparkSession.createDataFrame([(net,)], "net long")
+    keys = keys or []
+    members = groups.join(groups.where(F.col("net") == net).select(*keys, "group"), [*keys, "group"], "left_semi").select(*keys, "net")
+    alone = fets.select(*keys, F.lit(net).cast("long").alias("net")).distinct()
     inside = members.unionByName(alone).distinct()
     ends = fets.select("*", F.explode(F.array("gate", "term0", "term1")).alias("net"))
-    touching = ends.join(inside, "net", "left_semi").select(*fets.columns).distinct()
-    known = states.where("known").select(F.col("wire").alias("gate"), "value")
-    return touching.join(known, "gate", "left").select(*fets.columns, (F.col("value") == F.col("type")).alias("open"))
+    touching = ends.join(inside, [*keys, "net"], "left_semi").select(*fets.columns).distinct()
+    known = states.where("known").select(*keys, F.col("wire").alias("gate"), "value")
+    return touching.join(known, [*keys, "gate"], "left").select(*fets.columns, (F.col("value") == F.col("type")).alias("open"))
 
 
-def neighborhood_nodes(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """net, name: all nets of the edges, with a display name where there is one."""
-    nets = edges.select(F.explode(F.array("gate", "term0", "term1")).alias("net")).distinct()
-    return nets.join(labels.select("net", "name"), "net", "left")
+def neighborhood_nodes(edges: DataFrame, labels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, net, name: all nets of the edges, with a display name where there is one."""
+    keys = keys or []
+    nets = edges.select(*keys, F.explode(F.array("gate", "term0", "term1")).alias("net")).distinct()
+    return nets.join(labels.select(*keys, "net", "name"), [*keys, "net"], "left")
 
 
-def fanout(fets: DataFrame) -> DataFrame:
-    """gate, net: the nets (no rails) that a gate's devices connect."""
-    return fets.select("gate", F.explode(F.array("term0", "term1")).alias("net")).where("net >= 2").distinct()
+def fanout(fets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, gate, net: the nets (no rails) that a gate's devices connect."""
+    return fets.select(*(keys or []), "gate", F.explode(F.array("term0", "term1")).alias("net")).where("net >= 2").distinct()
 
 
-def net_adjacency(fets: DataFrame) -> DataFrame:
-    """net, other, gate, type: both directions of every channel whose first end is no rail."""
-    there = fets.select(F.col("term0").alias("net"), F.col("term1").alias("other"), "gate", "type")
-    back = fets.select(F.col("term1").alias("net"), F.col("term0").alias("other"), "gate", "type")
+def net_adjacency(fets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, net, other, gate, type: both directions of every channel whose first end is no rail."""
+    keys = keys or []
+    there = fets.select(*keys, F.col("term0").alias("net"), F.col("term1").alias("other"), "gate", "type")
+    back = fets.select(*keys, F.col("term1").alias("net"), F.col("term0").alias("other"), "gate", "type")
     return there.unionByName(back).where("net >= 2").distinct()
 
 
-def affected_nets(changed: DataFrame, fan: DataFrame) -> DataFrame:
-    """net: what has to be looked at again after the gates ``changed`` (net) changed."""
-    return fan.join(changed.select(F.col("net").alias("gate")), "gate", "left_semi").select("net").distinct()
+def affected_nets(changed: DataFrame, fan: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, net: what has to be looked at again after the gates ``changed`` (keys, net) changed."""
+    keys = keys or []
+    return fan.join(changed.select(*keys, F.col("net").alias("gate")), [*keys, "gate"], "left_semi").select(*keys, "net").distinct()
 
 
-def conducting_fets(fets: DataFrame, states: DataFrame) -> DataFrame:
+def conducting_fets(fets: DataFrame, states: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The devices that are open: a gate at 1 for N, at 0 for P."""
-    return fets.join(states.select(F.col("wire").alias("gate"), "value"), "gate").where("value = type").select(*fets.columns)
+    keys = keys or []
+    return fets.join(states.select(*keys, F.col("wire").alias("gate"), "value"), [*keys, "gate"]).where("value = type").select(*fets.columns)
 
 
-def resolve_drive(fets: DataFrame, states: DataFrame) -> DataFrame:
-    """net, grp, mask, value, unknown: one static pass over all nets from 2 on.
+def resolve_drive(fets: DataFrame, states: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, net, grp, mask, value, unknown: one static pass over all nets from 2 on.
 
     Nets joined by open devices are a group. The mask has bit 1 for ground and bit 2 for power; a group on
     power alone is 1, on ground or both 0, on neither keeps its nets' values. Unknown: some device at one of
     the group's nets has a gate of unknown value.
     """
-    nets = states.where("wire >= 2").select(F.col("wire").alias("net"))
-    known = states.where("known").select("wire", "value")
-    opened = conducting_fets(fets, known)
-    inner = opened.where("term0 >= 2 and term1 >= 2").select("term0", "term1")
-    comps = connected_components(nets, inner, vertex="net", src="term0", dst="term1", label="grp")
-    rails = opened.where("term0 < 2 and term1 >= 2").select(F.col("term1").alias("net"), (F.col("term0") + 1).alias("bit"))
-    masks = comps.join(rails, "net").groupBy("grp").agg(F.bit_or("bit").alias("mask"))
-    shut = fets.join(known.select(F.col("wire").alias("gate")), "gate", "left_anti")
-    unsure = shut.select(F.explode(F.array("term0", "term1")).alias("net")).where("net >= 2").join(comps, "net").select("grp").distinct()
-    rows = comps.join(masks, "grp", "left").join(unsure.withColumn("_unsure", F.lit(True)), "grp", "left")
-    rows = rows.join(states.select(F.col("wire").alias("net"), F.col("value").alias("_was")), "net")
+    keys = keys or []
+    by_net, by_group = [*keys, "net"], [*keys, "grp"]
+    nets = states.where("wire >= 2").select(*keys, F.col("wire").alias("net"))
+    known = states.where("known").select(*keys, "wire", "value")
+    opened = conducting_fets(fets, known, keys)
+    inner = opened.where("term0 >= 2 and term1 >= 2").select(*keys, "term0", "term1")
+    comps = connected_components(nets, inner, vertex="net", src="term0", dst="term1", label="grp", keys=keys)
+    rails = opened.where("term0 < 2 and term1 >= 2").select(*keys, F.col("term1").alias("net"), (F.col("term0") + 1).alias("bit"))
+    masks = comps.join(rails, by_net).groupBy(*by_group).agg(F.bit_or("bit").alias("mask"))
+    shut = fets.join(known.select(*keys, F.col("wire").alias("gate")), [*keys, "gate"], "left_anti")
+    unsure = shut.select(*keys, F.explode(F.array("term0", "term1")).alias("net")).where("net >= 2").join(comps, by_net).select(*by_group).distinct()
+    rows = comps.join(masks, by_group, "left").join(unsure.withColumn("_unsure", F.lit(True)), by_group, "left")
+    rows = rows.join(states.select(*keys, F.col("wire").alias("net"), F.col("value").alias("_was")), by_net)
     mask = F.coalesce("mask", F.lit(0)).cast("long")
     value = F.when(mask == 2, 1).when(mask == 0, F.col("_was")).otherwise(0).cast("long")
-    return rows.select("net", "grp", mask.alias("mask"), value.alias("value"), F.coalesce("_unsure", F.lit(False)).alias("unknown"))
+    return rows.select(*by_net, "grp", mask.alias("mask"), value.alias("value"), F.coalesce("_unsure", F.lit(False)).alias("unknown"))
 
 
-def short_report(drives: DataFrame) -> DataFrame:
-    """grp, nets: groups on both rails and how many nets they have."""
-    return drives.where("mask = 3").groupBy("grp").agg(F.count("*").alias("nets"))
+def short_report(drives: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, grp, nets: groups on both rails and how many nets they have."""
+    return drives.where("mask = 3").groupBy(*(keys or []), "grp").agg(F.count("*").alias("nets"))
 
 
-def state_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """wire, before, after, flipped: full outer; a wire that only one side has counts as flipped."""
-    b, a = before.select("wire", F.col("value").alias("before")), after.select("wire", F.col("value").alias("after"))
-    return b.join(a, "wire", "full").withColumn("flipped", ~F.col("before").eqNullSafe(F.col("after")))
+def state_diff(before: DataFrame, after: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, wire, before, after, flipped: full outer; a wire that only one side has counts as flipped."""
+    on = [*(keys or []), "wire"]
+    b, a = before.select(*on, F.col("value").alias("before")), after.select(*on, F.col("value").alias("after"))
+    return b.join(a, on, "full").withColumn("flipped", ~F.col("before").eqNullSafe(F.col("after")))

@@ -155,6 +155,21 @@ def a1(spark, sf):
     return analytics.net_stats(view(spark, sf, "flat"))
 
 
+@query("a1_net_stats_by_file", duck(f"select file_id, net, sum({_AREA})::bigint as area, {_BOX}, count(*) as n from flat where net >= 0 group by file_id, net"))
+def a1_files(spark, sf):
+    return analytics.net_stats(view(spark, sf, "flat"), keys=["file_id"])
+
+
+@query("a2_tree_stats_by_file", duck(f"select file_id, tree, sum({_AREA})::bigint as area, count(distinct net) as n_nets from flat where tree >= 0 group by file_id, tree"))
+def a2_files(spark, sf):
+    return analytics.tree_stats(view(spark, sf, "flat"), ["file_id"])
+
+
+@query("a3_extent_by_file", duck(f"select file_id, {_BOX} from flat group by file_id"))
+def a3_files(spark, sf):
+    return analytics.extent(view(spark, sf, "flat"), ["file_id"])
+
+
 _TREES = f"st as (select tree, sum({_AREA})::bigint as area, count(distinct net) as n_nets from flat where tree >= 0 group by tree)"
 
 
@@ -251,6 +266,18 @@ def a10(spark, sf):
     return analytics.status_counts(view(spark, sf, "shuttles"), view(spark, sf, "projects"))
 
 
+@query(
+    "w1_top_trees_by_file",
+    duck(f"""with st as (select file_id, tree, sum({_AREA})::bigint as area from flat where tree >= 0 group by file_id, tree),
+      l as (select file_id, tree, area, coalesce(name || ' (Tree ' || tree || ')', 'Tree ' || tree) || ' (Area: ' || area || ')' as label from st left join net_labels on net = tree and file_id = net % 5)
+      select file_id, tree, area, label from (select *, row_number() over (partition by file_id order by area desc, tree) as nth from l where contains(lower(label), 'tree 1')) where nth <= 20"""),
+)
+def w1_files(spark, sf):
+    labels = view(spark, sf, "net_labels").withColumn("file_id", F.col("net") % 5)
+    named = names.net_display_names(labels, keys=["file_id"])
+    return analytics.top_trees(analytics.tree_stats(view(spark, sf, "flat"), ["file_id"]), named, "Tree 1", 20, ["file_id"])
+
+
 @query(
     "w1_top_trees",
     duck(f"""with {_TREES}, l as (select tree, area, coalesce(name || ' (Tree ' || tree || ')', 'Tree ' || tree) || ' (Area: ' || area || ')' as label from st left join net_labels on net = tree)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from sparklayout.functions import names
@@ -460,9 +462,20 @@ def n9(spark, sf):
     return netlist.resolve_drive(view(spark, sf, "fets"), view(spark, sf, "wire_states"))
 
 
-@query("n10_short_report", duck(f"with {_DRIVE} select grp, count(*) as nets from dr where mask = 3 group by grp", recursive=True))
+_SHORTS = re.sub(r"\bfets\b", "shorted_fets", _DRIVE)
+
+
+@query("n10_short_report", duck(f"with {_SHORTS} select grp, count(*) as nets from dr where mask = 3 group by grp", recursive=True))
 def n10(spark, sf):
-    return netlist.short_report(netlist.resolve_drive(view(spark, sf, "fets"), view(spark, sf, "wire_states")))
+    return netlist.short_report(netlist.resolve_drive(view(spark, sf, "shorted_fets"), view(spark, sf, "wire_states")))
+
+
+@query("n10_short_report_by_file", duck(f"with {_SHORTS}, x as (select grp, count(*) as nets from dr where mask = 3 group by grp) select unnest([0, 1])::bigint as file_id, grp, nets from x", recursive=True))
+def n10_files(spark, sf):
+    """Two files of the same nets: what happens in one doesn't show in the other."""
+    files = spark.sql("select explode(array(0L, 1L)) as file_id")
+    both = lambda name: view(spark, sf, name).join(F.broadcast(files), F.col("file_id") >= 0)
+    return netlist.short_report(netlist.resolve_drive(both("shorted_fets"), both("wire_states"), ["file_id"]), ["file_id"])
 
 
 @query(

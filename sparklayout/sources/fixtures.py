@@ -27,6 +27,11 @@ select 2+(o_custkey*10)%o_orderkey as gate, cast(0 as bigint) as term0, 2+o_orde
 union all
 select 2+(o_custkey*10)%o_orderkey, case when o_orderstatus='P' then 2+o_orderkey//2 else 1 end, 2+o_orderkey,
   cast(0 as bigint), o_orderkey from orders where o_orderkey>0""",
+    # some nets are on both rails at once
+    "shorted_fets": """
+select * from fets union all
+select t as gate, cast(1-t as bigint) as term0, 2+o_orderkey as term1, t as type, o_orderkey as instance
+from orders, (select cast(0 as bigint) as t union all select 1) x where o_orderkey%50=7""",
     "wire_states": """
 select cast(0 as bigint) as wire, cast(0 as bigint) as value, true as known union all select 1, 1, true
 union all select 2+o_orderkey, o_custkey%2, o_orderpriority<>'5-LOW' from orders""",
