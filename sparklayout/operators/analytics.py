@@ -9,6 +9,7 @@ from sparklayout.functions import geometry as g
 from sparklayout.functions import layers
 from sparklayout.functions.geometry import Box
 from sparklayout.operators.netlist import inverter_pairs
+from sparklayout.sources.work import materialize
 
 _BOUNDS = (("x1", F.min), ("y1", F.min), ("x2", F.max), ("y2", F.max))
 
@@ -159,3 +160,37 @@ def layer_set_ops(before: DataFrame, after: DataFrame) -> DataFrame:
         .unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))
         .unionByName(before.intersect(after).withColumn("change", F.lit("kept")))
     )
+
+
+#: Edge of a tile whose digest is compared.
+TILE = 4096
+
+
+def _digests(rects: DataFrame, side: str) -> DataFrame:
+    """layer, tile, n and an order-free digest of each tile's rows: sums, which tasks add up for themselves first."""
+    total = F.sum(F.xxhash64(*rects.columns).cast("decimal(38,0)"))
+    return _tiled(rects).groupBy("layer", "_tx", "_ty").agg(F.count("*").alias(f"n_{side}"), total.alias(f"sum_{side}"))
+
+
+def _tiled(rects: DataFrame) -> DataFrame:
+    return rects.withColumns({"_tx": F.floor(F.col("x1") / TILE), "_ty": F.floor(F.col("y1") / TILE)})
+
+
+def changed_tiles(before: DataFrame, after: DataFrame) -> DataFrame:
+    """layer, _tx, _ty: tiles whose rows differ between two extractions (equal columns, x1, y1 and layer among them)."""
+    both = _digests(before, "a").join(_digests(after.select(before.columns), "b"), ["layer", "_tx", "_ty"], "full")
+    return both.where("not (n_a <=> n_b and sum_a <=> sum_b)").select("layer", "_tx", "_ty")
+
+
+def layout_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows that only one of two extractions has, with ``change``: added or removed. Rows are sets.
+
+    Tiles are compared by digests first, so of an unchanged tile nothing but these is exchanged; only rows of tiles that
+    differ are compared one by one.
+    """
+    after = after.select(before.columns)
+    tiles = materialize(changed_tiles(before, after), "tiles")
+    rows = lambda side: _tiled(side).join(tiles, ["layer", "_tx", "_ty"], "left_semi").select(before.columns)
+    old, new = rows(before).distinct(), rows(after).distinct()
+    added = new.exceptAll(old).withColumn("change", F.lit("added"))
+    return added.unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))

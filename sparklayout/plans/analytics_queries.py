@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparklayout.functions import layers, names
-from sparklayout.operators import analytics, hierarchy, netlist, shapes
+from sparklayout.operators import analytics, hierarchy, netlist, shapes, spatial
 from sparklayout.registry import query
 from sparklayout.sources import catalog, tables
 from sparklayout.sources.fixtures import duck, view
@@ -60,6 +60,15 @@ def s4(spark, sf):
     return tables.read_layer(spark, path, 9).select("rect_id", "x1", "y1", "x2", "y2", "net")
 
 
+@query("s4_window_tiles", duck("select box_id, rect_id, layer::bigint as layer from boxes a join flat b on b.layer in (9, 11) and a.x1 <= b.x2 and b.x1 <= a.x2 and a.y1 <= b.y2 and b.y1 <= a.y2"))
+def s4_windows(spark, sf):
+    """Two layers' rectangles in some windows, from the files that these meet."""
+    path, boxes = new_path(spark, "tiles"), view(spark, sf, "boxes")
+    tables.write_tiles(view(spark, sf, "flat"), path, 32)
+    near = tables.read_windows(spark, path, boxes, [9, 11])
+    return spatial.window_query(near, boxes).join(near.select("rect_id", F.col("layer").cast("long").alias("layer")), "rect_id").select("box_id", "rect_id", "layer")
+
+
 @query(
     "s5_layer_offsets",
     duck(f"""with {_SPECS}, n as (select specs.layer::bigint as layer, count(flat.rect_id) as n from specs left join flat on flat.layer = specs.layer group by specs.layer)
@@ -341,3 +350,19 @@ def inverter_fanout(spark, sf):
     """The gates that drive most inverters."""
     pairs = netlist.inverter_pairs(view(spark, sf, "fets"))
     return pairs.groupBy("gate").agg(F.count("*").alias("outs")).orderBy(F.desc("outs"), "gate").limit(100)
+
+
+_MOVED = "select layer, x1 + case when rect_id % 1000 = 5 then 3 else 0 end as x1, y1, x2, y2, net from flat where rect_id % 900 <> 7"
+
+
+@query(
+    "w6_layout_diff",
+    duck(f"""with a as (select layer, x1, y1, x2, y2, net from flat), b as ({_MOVED})
+      select *, 'added' as change from (select * from b except select * from a) union all select *, 'removed' from (select * from a except select * from b)"""),
+)
+def w6_diff(spark, sf):
+    """Some rectangles are moved, some are gone."""
+    flat = view(spark, sf, "flat")
+    columns = ["layer", "x1", "y1", "x2", "y2", "net"]
+    moved = flat.where("rect_id % 900 <> 7").withColumn("x1", F.col("x1") + F.when(F.expr("rect_id % 1000 = 5"), 3).otherwise(0))
+    return analytics.layout_diff(flat.select(columns), moved.select(columns))

@@ -489,3 +489,28 @@ def test_intervals_of_one_line_are_merged_by_many_tasks(spark, monkeypatch):
     for stretch in (16, 1 << 16):
         monkeypatch.setattr(shapes, "STRETCH", stretch)
         assert rows(shapes.merge_intervals(df, ["k"]), "k", "low", "high") == sorted((k, *x) for k, x in want)
+
+
+def test_windows_open_only_the_files_that_they_meet(spark, tmp_path):
+    places = spark.range(20_000).selectExpr("id as rect_id", "id % 2 + 8 as layer", "(id div 2 % 100) * 50 as x1", "(id div 200) * 50 as y1")
+    rects = places.selectExpr("*", "x1 + 40 as x2", "y1 + 40 as y2")
+    tables_of.write_tiles(rects, str(tmp_path), 40)
+    written = spark.read.parquet(str(tmp_path / "rects")).inputFiles()
+    box = spark.createDataFrame([(1, 1000, 1000, 1100, 1100)], "box_id long, x1 long, y1 long, x2 long, y2 long")
+    near = tables_of.read_windows(spark, str(tmp_path), box, [9])
+    assert len(written) >= 40 and len(near.inputFiles()) <= 4
+    want = rows(rects.where("layer = 9 and x1 <= 1100 and x2 >= 1000 and y1 <= 1100 and y2 >= 1000"), "rect_id")
+    assert [(r,) for _, r in rows(spatial.window_query(near, box), "box_id", "rect_id")] == want and len(want) == 9
+    far = spark.createDataFrame([(1, -900, -900, -800, -800)], "box_id long, x1 long, y1 long, x2 long, y2 long")
+    assert tables_of.read_windows(spark, str(tmp_path), far).count() == 0
+
+
+def test_only_tiles_that_differ_are_compared(spark):
+    from sparklayout.operators import analytics
+
+    before = spark.range(5000).selectExpr("id % 3 as layer", "id * 10 as x1", "id % 7 as y1", "id * 10 + 5 as x2", "9L as y2")
+    after = before.where("x1 <> 20000").unionByName(before.where("x1 = 40").selectExpr("layer", "x1 + 1 as x1", "y1", "x2", "y2")).repartition(7)
+    tiles = rows(analytics.changed_tiles(before, after), "layer", "_tx", "_ty")
+    assert tiles == [(1, 0, 0), (2, 4, 0)]
+    got = rows(analytics.layout_diff(before, after), "layer", "x1", "change")
+    assert got == [(1, 41, "added"), (2, 20000, "removed")]
