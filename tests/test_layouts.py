@@ -514,3 +514,14 @@ def test_only_tiles_that_differ_are_compared(spark):
     assert tiles == [(1, 0, 0), (2, 4, 0)]
     got = rows(analytics.layout_diff(before, after), "layer", "x1", "change")
     assert got == [(1, 41, "added"), (2, 20000, "removed")]
+
+
+def test_a_net_is_read_from_one_bucket(spark, tmp_path):
+    flat = spark.range(3000).selectExpr("id div 3 as inst_id", "'c' as cell", "id % 3 as wire", "case when id % 3 < 2 then id % 3 else id div 30 end as net", "id as rect_id")
+    tables_of.write_net_index(flat, str(tmp_path / "nets"), 16)
+    got = tables_of.read_net(spark, str(tmp_path / "nets"), 35, 16)
+    assert rows(got, "inst_id", "wire", "net") == [(k, 2, 35) for k in range(350, 360)]
+    files = got.select(F.input_file_name()).distinct().collect()
+    assert len(files) == 1 and "bucket=3" in files[0][0]
+    rail = tables_of.read_net(spark, str(tmp_path / "nets"), 1, 16)
+    assert rail.where("wire = 1").count() == 1000
