@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sparklayout.llm.common import Memo, held, slices
+from sparklayout.llm.common import Memo, held, slices, small_batches
 
 #: Where the 256 bytes go: one assigned character each, none of them white space.
 BYTE_CHARS = [chr(0x100 + b) for b in range(256)]
@@ -114,6 +114,7 @@ def encode_documents(
     Null text counts as empty: no tokens, digests of nothing. Other columns are not read. The rank file is
     read once on the driver and sent along; ``pattern`` needs the ``regex`` syntax.
     """
+    small_batches(docs.sparkSession)
     ranks = read_ranks(ranks_path)
     rows = docs.select(id_col, text_col)
     fields = [f for f in _IDS.fields if ids or f.name != "ids"]

@@ -31,6 +31,17 @@ def give_back() -> None:
     _malloc_trim()(0)
 
 
+#: Bytes of rows that go to a Python worker at once, where the session has Spark's own default.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of some megabytes: an executor and its workers each hold a batch for every task,
+    and with Spark's 64 MB those would be much of their memory. A setting of the session's own is left as it is."""
+    if spark.conf.get(BATCH[0], "64m").lower() in ("64m", "64mb", "67108864", "67108864b"):
+        spark.conf.set(*BATCH)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts take about ``most_bytes``, at least one row each."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -126,8 +137,14 @@ def held(name: str, key: object, make: Callable) -> object:
     """``make(key)``, kept by the worker process until an operator asks for something else under another name
     or key. Workers outlive their tasks: so one operator's tables never stand beside another's."""
     if _held.get(name, (None,))[0] != key or name not in _held:
-        _held.clear()
-        give_back()
+        settle()
         _held[name] = (key, make(key))
         give_back()
     return _held[name][1]
+
+
+def settle() -> None:
+    """Let go what another operator holds in this worker; for tasks that hold nothing themselves."""
+    if _held:
+        _held.clear()
+        give_back()

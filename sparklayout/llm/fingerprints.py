@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sparklayout.llm.common import Memo, held, slices
+from sparklayout.llm.common import Memo, held, slices, small_batches
 from sparklayout.sources.work import materialize
 
 #: Draws of a fingerprint; bytes that a sample takes in it.
@@ -176,6 +176,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts are exchanged once, into ranges. A range gives back the texts of its first and last row, and these few
     are matched with those of the ranges beside them.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "edge", "text"]
     kinds = [to_arrow_type(id_type), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparklayout.llm.common import small_batches
 from sparklayout.sources.work import counted, materialize
 
 #: Rows of a block and anchors of a group, on average; dimensions that are read between two looks at the bounds.
@@ -244,6 +245,7 @@ def mine_hard_negatives(
     without another row of its label, or a positive without such negatives (always so below 0), gives no rows.
     Components so large that scores could leave 64 bits raise an error. Other columns aren't read.
     """
+    small_batches(rows.sparkSession)
     whole = quantised(rows, id_col, label_col, vector_col, scale)
     blocks = materialize(column_blocks(whole, is_anchor), "blocks")
     anchors, n = counted(anchors_of(blocks), "anchors")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sparklayout.llm.common import Memo, give_back, held, sized, slices
+from sparklayout.llm.common import Memo, give_back, held, sized, slices, small_batches
 from sparklayout.sources.work import materialize
 
 #: Merge steps of a piece.
@@ -354,6 +354,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_i
     """
     import sentencepiece
 
+    small_batches(docs.sparkSession)
     b_size = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
     blocks = materialize(aligned_blocks(docs, a_path, b_path, id_col, text_col), "aligned")
     known = materialize(pair_counts(blocks, b_size), "known")
