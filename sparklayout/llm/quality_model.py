@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sparklayout.llm.common import give_back, slices, with_ids, without_ids
+from sparklayout.llm.common import give_back, settle, slices, small_batches, with_ids, without_ids
 from sparklayout.sources.work import materialize
 
 #: Length of n-grams; quantile of the limit; one trusted document in HELD_OUT sets limits, the others are learned from.
 ORDER, QUANTILE, HELD_OUT = 4, 0.995, 5
+#: A language's quantile weighs as many held-out documents as it has, that of all languages together as many as this.
+PRIOR = 100
 #: Beyond so many characters longer texts aren't judged more strictly.
 FULL_CHARS = 5000
 #: Bytes of text in a block, and in what a block takes from one run of rows.
@@ -118,6 +120,7 @@ def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) over the column ``text`` of all of ``docs``; each task adds up its own texts first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part in slices(batch, "text", RUN_BYTES):
                 grams, number, _ = text_grams(part.column("text").to_pylist(), order)
@@ -186,6 +189,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     together, with their texts as one compressed string and their sizes in bytes (-1 for null)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for part in slices(batch, "text", PACK_BYTES):
                 blocks = part.column("block").to_numpy()
@@ -284,12 +288,13 @@ def judge_quality(
     ``trusted`` holds the ids (column ``id_col``) of documents known to be good. Four in five are learned from, the
     fifth (by a hash of the id; all of them where that leaves none) sets the limits. ``excess`` is how far a text's mean
     of -log p lies above its language's, in units of what a text of its length strays: 1 / sqrt(n) for n characters,
-    and not less than that of FULL_CHARS. ``limit`` is the ``quantile`` of the language's held-out excesses, and at
-    least that of all languages together, which also serves languages without trusted documents. A null language
+    and not less than that of FULL_CHARS. ``limit`` is the ``quantile`` of the language's held-out excesses, drawn towards that of
+    all languages together as far as it rests on few documents (PRIOR); the latter alone serves languages without trusted documents. A null language
     is a language of its own (``und``). Texts without a character to score (null, blank) are rejected and have
     a null perplexity. Where nothing is trusted, limits are null and all other texts are kept. Repeated rows are judged
     alike. An empty table gives an empty result. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")
     )
@@ -306,9 +311,10 @@ def judge_quality(
     excess = ((F.col("mean") - F.col("centre")) / stray).alias("excess")
     excesses = judged_by.join(F.broadcast(by_lang), "lang").select("lang", excess)
     high = F.percentile_approx("excess", quantile, 10_000)
-    limits = by_lang.join(excesses.groupBy("lang").agg(high.alias("limit")), "lang")
+    own = excesses.groupBy("lang").agg(high.alias("own"), F.count("*").alias("n"))
     all_limit = excesses.agg(high).first()[0]
-    limits = limits.withColumn("limit", F.greatest("limit", F.lit(all_limit).cast("double")))
+    shrunk = (F.col("n") * F.col("own") + PRIOR * F.lit(all_limit).cast("double")) / (F.col("n") + PRIOR)
+    limits = by_lang.join(own, "lang").select("lang", "centre", shrunk.alias("limit"))
     judged = scores.join(F.broadcast(limits), "lang", "left").withColumns(
         {
             "centre": F.coalesce("centre", F.lit(all_centre).cast("double")),
