@@ -3,8 +3,8 @@
 A stretch of text within edit distance k of a benchmark item of m characters shares at least
 m - q + 1 - k q of the item's q-grams, and shares them on neighbouring diagonals (text place minus item
 place). So shared q-grams are counted in overlapping bands of diagonals; only bands that reach the bound
-are compared with the item, by an alignment that stays inside the band. Items shorter than a q-gram are looked
-for word for word.
+are compared with the item, by an alignment that stays inside the band. An item shorter than a q-gram has nothing to count and is
+too common within sentences to tell a leak: it is found where it makes a whole line, by all its own characters.
 
 The items are a stated query set: they are taken in blocks of bounded size, each block sent to all tasks
 and held against all documents in a scan of its own. All blocks pass through the driver and stay there until the
@@ -13,6 +13,7 @@ query has run. Documents are never shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklayout.llm.common import slices, without_ids
+from sparklayout.llm.common import settle, slices, small_batches, without_ids
 from sparklayout.sources.work import materialize
 
 #: q-gram length; edits allowed per 100 characters of an item; characters of items in a block (about 40
 #: bytes each in every task).
 Q, EDITS, BLOCK_CHARS = 8, 8, 1_000_000
 SPACE = 32
+#: What stands on a line, from its first character to its last.
+_LINE = re.compile(r"\S(?:[^\n]*\S)?")
 _FACTORS = np.random.Generator(np.random.PCG64(4)).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -108,11 +111,11 @@ class Items:
         self.edits = np.array([k for k, _ in bounds], np.int64)
         self.least = np.array([n for _, n in bounds], np.int64)
         hashes = [grams(t, q) for t in self.texts]
-        # shorter items by length: hash of the whole item to the items that have it
-        self.short: dict[int, dict[int, list[int]]] = {}
+        self.short: dict[str, list[int]] = {}
         for i, t in enumerate(self.texts):
-            if 0 < len(t) < q:
-                self.short.setdefault(len(t), {}).setdefault(int(grams(t, len(t))[0]), []).append(i)
+            whole = " ".join((items[i][1] or "").split()).lower()
+            if whole and len(t) < q:
+                self.short.setdefault(whole, []).append(i)
         flat = np.concatenate([*hashes, np.empty(0, np.uint64)])
         owner = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
         place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.empty(0, np.int64)]).astype(np.int64)
@@ -129,27 +132,20 @@ class Items:
         starts = np.cumsum([0, *(len(x) + self.q for x, _ in parts)])
         flat = np.concatenate([y for x, _ in parts for y in (x, gap)] or [gap])
         found = self._near(parts, starts, flat) if len(self.hashes) else {}
-        for length in self.short:
-            for key, start in self._verbatim(length, starts, flat).items():
-                found[key] = (0, start, start + length)
         rows = []
-        for (d, i), (cost, start, end) in sorted(found.items()):
+        for (d, i), (cost, start, end) in found.items():
             places = parts[d][1]
             rows.append((d, i, int(places[start]), int(places[end - 1]) + 1, cost))
-        return rows
-
-    def _verbatim(self, length: int, starts: np.ndarray, flat: np.ndarray) -> dict[tuple[int, int], int]:
-        """(text number, item number) to the first place where an item of so many characters stands as whole words."""
-        items = self.short[length]
-        hashed = grams(flat, length)
-        out: dict[tuple[int, int], int] = {}
-        outside = (0, SPACE)
-        for at in np.flatnonzero(np.isin(hashed, np.array(list(items), np.uint64))).tolist():
-            whole = (at == 0 or flat[at - 1] in outside) and flat[at + length] in outside
-            for i in items[int(hashed[at])] if whole else ():
-                d = int(np.searchsorted(starts, at, side="right")) - 1
-                if np.array_equal(flat[at : at + length], self.texts[i]) and (d, i) not in out:
-                    out[d, i] = at - int(starts[d])
+        if self.short:
+            rows += [(d, i, *span, 0) for d, t in enumerate(texts) if t for i, span in self._lines(t).items()]
+        return sorted(rows)
+
+    def _lines(self, text: str) -> dict[int, tuple[int, int]]:
+        """Item number to start and end of the first line that is such an item, but for white space and case."""
+        out: dict[int, tuple[int, int]] = {}
+        for line in _LINE.finditer(text):
+            for i in self.short.get(" ".join(line[0].split()).lower(), ()):
+                out.setdefault(i, line.span())
         return out
 
     def _near(self, parts: list, starts: np.ndarray, flat: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -218,12 +214,13 @@ def find_contamination(
     and item that it holds within the edit budget, with the closest stretch.
 
     Texts and items are compared by letters and digits, lower-cased, with one space for everything between.
-    Null and blank texts and items match nothing; items with fewer than ``q`` characters match where they stand as
-    whole words, letter for letter. Of stretches that are equally close the first is reported. Items that are equal
+    Null and blank texts and items match nothing; items with fewer than ``q`` letters, digits and spaces between
+    match where they make a whole line, character for character but for case and white space. Of stretches that are equally close the first is reported. Items that are equal
     are each reported, as is each of repeated rows. Without items or documents the result is empty. Other columns
     are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     schema = (
@@ -233,6 +230,7 @@ def find_contamination(
     for block in _blocks(items, block_chars):
 
         def match(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            settle()
             index = Items(block, q, edits)
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
