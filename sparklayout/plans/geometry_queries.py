@@ -189,8 +189,8 @@ def g6(spark, sf):
       where s.x2 is not null and not exists (select 1 from p where p.cell = s.cell and p.x1 < s.x2 and s.x1 < p.x2)"""),
 )
 def g7(spark, sf):
-    rects = view(spark, sf, "dev_rects")
-    return shapes.subtract_all(rects.where("layer = 2"), rects.where("layer = 6"), ["cell"])
+    rects = spatial.leveled(view(spark, sf, "dev_rects"), "dev-rects")
+    return shapes.subtract_all(spatial.like(rects.where("layer = 2"), rects), spatial.like(rects.where("layer = 6"), rects), ["cell"])
 
 
 @query(

@@ -365,6 +365,33 @@ def test_straps_keep_the_spatial_join_linear(spark):
     assert got == {(a[0], b[0]) for a in each for b in each if a[0] < b[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
 
 
+def test_spatial_joins_are_broadcast_by_rows_only(spark):
+    """Regular rectangles take few bytes in a file, however many they are: their guessed size doesn't send them to the driver."""
+    many = spatial.leveled(_grid_with_straps(spark, 10000, 2))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    cut = shapes.subtract_all(spatial.like(many.where("rect_id % 2 = 0"), many), spatial.like(many.where("rect_id % 2 = 1"), many), ["layer"])
+    for df in (cut, spatial.touch_self_join(many, ["layer"]), spatial.spatial_join(many, many, "contains", ["layer"])):
+        assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
+    boxes = spark.createDataFrame([(0, 0, 0, 100, 100)], "box_id long, x1 long, y1 long, x2 long, y2 long")
+    assert "BroadcastHashJoin" in plan(spatial.window_query(many, boxes))
+    assert spatial.window_query(many, boxes).count() == sum(x <= 100 and y <= 100 for x in range(0, 4000, 40) for y in range(0, 4000, 40)) + 2
+
+
+def test_self_join_and_contains_of_all_sizes_equal_brute_force(spark):
+    """Each unordered pair once, whatever the two sizes; fewer rows are placed than for pairs in either order."""
+    rng = random.Random(12)
+    size = lambda: rng.choice([0, 1, 5, 16, 17, 100, 255, 256, 300, 5000, 70000])
+    each = [(i, i % 2, x := rng.randrange(-40000, 40000), y := rng.randrange(-300, 300), x + size(), y + size()) for i in range(200)]
+    rects = spark.createDataFrame(each, "rect_id long, layer int, x1 long, y1 long, x2 long, y2 long")
+    meets = lambda p, q: p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5]
+    got = [tuple(r) for r in spatial.spatial_self_join(rects, ["layer"]).collect()]
+    want = [(p[1], p[0], *p[2:], q[0], *q[2:]) for p in each for q in each if p[0] < q[0] and p[1] == q[1] and meets(p, q)]
+    assert sorted(got) == sorted(want) and got
+    small = _grid_with_straps(spark, 2500, 0)
+    placed = spatial.candidates(small, small, ["layer"], spatial._ONE_ORDER)
+    assert placed.count() <= spatial.candidates(small, small, ["layer"]).count()
+
+
 @pytest.mark.parametrize("predicate", ["touches", "overlaps", "contains"])
 def test_spatial_join_of_all_sizes_equals_brute_force(spark, predicate):
     rng = random.Random(11)
