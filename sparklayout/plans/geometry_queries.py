@@ -136,12 +136,11 @@ _NEAR = "a.layer = b.layer and a.rect_id < b.rect_id and a.x1 <= b.x2 + 40 and b
 def _near_pairs(spark, sf):
     """Pairs of rectangles at most 40 apart on one layer: the input of the row-local operators."""
     rects = view(spark, sf, "rects")
-    wide = rects.select("layer", "rect_id", "x1", "y1", F.col("x2"), F.col("y2"))
-    grown = wide.select("layer", "rect_id", (F.col("x1") - 20).alias("x1"), (F.col("y1") - 20).alias("y1"), (F.col("x2") + 20).alias("x2"), (F.col("y2") + 20).alias("y2"))
-    pairs = spatial.touch_self_join(grown, ["layer"])
-    one = rects.select("rect_id", "x1", "y1", "x2", "y2")
-    with_a = pairs.join(one.toDF("a", "x1_a", "y1_a", "x2_a", "y2_a"), "a")
-    return with_a.join(one.toDF("b", "x1_b", "y1_b", "x2_b", "y2_b"), "b")
+    by = {"x1": -20, "y1": -20, "x2": 20, "y2": 20}
+    grown = spatial.leveled(rects.select("layer", "rect_id", *((F.col(c) + d).alias(c) for c, d in by.items())), "grown")
+    pairs = spatial.spatial_self_join(grown, ["layer"])
+    own = ((F.col(f"{c}_{x}") - d).alias(f"{c}_{x}") for x in "ab" for c, d in by.items())
+    return pairs.select(F.col("rect_id_a").alias("a"), F.col("rect_id_b").alias("b"), *own)
 
 
 @query(
