@@ -338,6 +338,22 @@ def test_cell_wires_equal_brute_force_reachability(spark, monkeypatch, seed):
     assert got == want and 1 < len(set(want.values())) < len(boxes)
 
 
+def test_rounds_of_components_go_on_with_what_is_open_only(spark, monkeypatch):
+    """A chain in the order of its numbers, a hub and many pairs: all rounds together have a few times the edges."""
+    counts = []
+    kept = graph.counted
+    monkeypatch.setattr(graph, "counted", lambda df, tag: counts.append(kept(df, tag)) or counts[-1])
+    chain, hub = [(i, i + 1) for i in range(1500)], [(2000, i) for i in range(2001, 3000)]
+    pairs = [(2**40 + 2 * i, 2**40 + 2 * i + 1) for i in range(2000)] + [(-5, 7000), (-5, -5)]
+    edges = spark.createDataFrame(chain + hub + pairs, "src long, dst long")
+    vertices = spark.createDataFrame([(i,) for i in (*range(0, 3000, 7), 5000, 7000, *(b for _, b in pairs))], "vertex long")
+    got = dict(map(tuple, graph.connected_components(vertices, edges).collect()))
+    least = lambda v: v - v % 2 if v >= 2**40 else -5 if v == 7000 else 0 if 0 <= v <= 1500 else 2000 if 2000 <= v < 3000 else v
+    assert got == {v: least(v) for (v,) in vertices.collect()}
+    n = [n for _, n in counts]
+    assert n[0] == 1500 + 999 + 2001 and n[-1] == 0 and sum(n) <= 3 * n[0] and len(n) <= 20
+
+
 def _grid_with_straps(spark, n, straps):
     """n small squares in a square grid, and as many straps as asked for along each axis over all of it."""
     side = int(n**0.5)
