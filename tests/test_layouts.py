@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparklayout.functions import geometry as g
 from sparklayout.functions import layers as L
+from sparklayout.functions import names
 from sparklayout.functions.geometry import Affine, Box
 from sparklayout.functions.ranking import global_rank
 from sparklayout.operators import graph, hierarchy, netlist, shapes, spatial, trace
@@ -568,3 +569,16 @@ def test_a_net_is_read_from_one_bucket(spark, tmp_path):
     assert len(files) == 1 and "bucket=3" in files[0][0]
     rail = tables_of.read_net(spark, str(tmp_path / "nets"), 1, 16)
     assert rail.where("wire = 1").count() == 1000
+
+
+def test_ids_in_ranges_equal_brute_force_without_pairs_in_vain(spark):
+    """Ranges of all lengths over dense and far ids; only what is in a range is joined."""
+    rng = random.Random(5)
+    ids = sorted({*range(0, 700), 2**63 - 1, 2**62, 2**40 + 3, *(rng.randrange(2**20) for _ in range(300))})
+    ranges = [(t, low, min(2**63 - 1, low + rng.choice([0, 1, 6, 100, 2**19, 2**62]))) for t in range(300) for low in [rng.choice([rng.randrange(800), rng.randrange(2**63)])]]
+    ranges += [(900, 0, 2**63 - 1), (901, 2**63 - 1, 2**63 - 1), (902, 701, 702)]
+    nets = spark.createDataFrame([(i,) for i in [-1, *ids]], "net long")
+    found = names.ids_in_ranges(nets, spark.createDataFrame(ranges, "text_id long, low long, high long"))
+    want = sorted((t, i) for t, low, high in ranges for i in ids if low <= i <= high)
+    assert rows(found, "text_id", "net") == want
+    assert "BETWEEN" not in (plan := found._jdf.queryExecution().executedPlan().toString().upper()) and plan.count("JOIN") == 1 and "CONDITION" not in plan
