@@ -9,7 +9,7 @@ from sparklayout.functions import geometry as g
 from sparklayout.functions import layers
 from sparklayout.functions.geometry import Box
 from sparklayout.operators.netlist import inverter_pairs
-from sparklayout.sources.work import materialize
+from sparklayout.sources.work import counted, materialize
 
 _BOUNDS = (("x1", F.min), ("y1", F.min), ("x2", F.max), ("y2", F.max))
 
@@ -152,14 +152,23 @@ def latest_shuttles(shuttles: DataFrame) -> DataFrame:
     return shuttles.orderBy(F.desc("pos"))
 
 
+#: Rows that one task compares at most, more or less: sizes in bytes of what is exchanged are those of compressed rows, tasks
+#: that are dealt by them need far more memory.
+ROWS_PER_TASK = 250_000
+
+
 def layer_set_ops(before: DataFrame, after: DataFrame) -> DataFrame:
-    """All rows of either side with ``change``: added, removed or kept. Rows are sets."""
-    before, after = before.distinct(), after.distinct()
-    return (
-        after.exceptAll(before).withColumn("change", F.lit("added"))
-        .unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))
-        .unionByName(before.intersect(after).withColumn("change", F.lit("kept")))
-    )
+    """All rows of either side with ``change``: added, removed or kept. Rows are sets.
+
+    One grouping tells all three. The rows are counted as they are written, and dealt to as many tasks as that takes.
+    """
+    columns = before.columns
+    side = lambda rows, old: rows.select(*columns, F.lit(old).alias("_old"), F.lit(not old).alias("_new"))
+    both, n = counted(side(before, True).unionByName(side(after, False)), "sides")
+    dealt = both.repartition(n // ROWS_PER_TASK + 1, *columns)
+    found = dealt.groupBy(*columns).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    change = F.when(F.col("_old") & F.col("_new"), "kept").when(F.col("_old"), "removed").otherwise("added")
+    return found.select(*columns, change.alias("change"))
 
 
 #: Edge of a tile whose digest is compared.
@@ -191,6 +200,4 @@ def layout_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     after = after.select(before.columns)
     tiles = materialize(changed_tiles(before, after), "tiles")
     rows = lambda side: _tiled(side).join(tiles, ["layer", "_tx", "_ty"], "left_semi").select(before.columns)
-    old, new = rows(before).distinct(), rows(after).distinct()
-    added = new.exceptAll(old).withColumn("change", F.lit("added"))
-    return added.unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
+    return layer_set_ops(rows(before), rows(after)).where("change <> 'kept'")

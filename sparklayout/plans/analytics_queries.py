@@ -9,7 +9,7 @@ from sparklayout.operators import analytics, hierarchy, netlist, shapes, spatial
 from sparklayout.registry import query
 from sparklayout.sources import catalog, tables
 from sparklayout.sources.fixtures import duck, view
-from sparklayout.sources.work import new_path
+from sparklayout.sources.work import materialize, new_path
 
 _SPECS = f"specs(layer, layer_name, z_rank, exempt) as (values {layers.specs_sql()})"
 _TAGS = f"tags(pdk, layer, datatype, layer_id) as (values {layers.tags_sql()})"
@@ -362,7 +362,7 @@ _MOVED = "select layer, x1 + case when rect_id % 1000 = 5 then 3 else 0 end as x
 )
 def w6_diff(spark, sf):
     """Some rectangles are moved, some are gone."""
-    flat = view(spark, sf, "flat")
+    flat = materialize(view(spark, sf, "flat").select("rect_id", "layer", "x1", "y1", "x2", "y2", "net"), "flat")
     columns = ["layer", "x1", "y1", "x2", "y2", "net"]
     moved = flat.where("rect_id % 900 <> 7").withColumn("x1", F.col("x1") + F.when(F.expr("rect_id % 1000 = 5"), 3).otherwise(0))
     return analytics.layout_diff(flat.select(columns), moved.select(columns))

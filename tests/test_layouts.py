@@ -12,7 +12,7 @@ from sparklayout.functions import layers as L
 from sparklayout.functions import names
 from sparklayout.functions.geometry import Affine, Box
 from sparklayout.functions.ranking import global_rank
-from sparklayout.operators import graph, hierarchy, netlist, shapes, spatial, trace
+from sparklayout.operators import analytics, graph, hierarchy, netlist, shapes, spatial, trace
 from sparklayout.plans import extract, netlist_queries
 from sparklayout.sources import tables as tables_of
 from sparklayout.streaming import streams
@@ -582,3 +582,17 @@ def test_ids_in_ranges_equal_brute_force_without_pairs_in_vain(spark):
     want = sorted((t, i) for t, low, high in ranges for i in ids if low <= i <= high)
     assert rows(found, "text_id", "net") == want
     assert "BETWEEN" not in (plan := found._jdf.queryExecution().executedPlan().toString().upper()) and plan.count("JOIN") == 1 and "CONDITION" not in plan
+
+
+def test_set_operations_deal_rows_by_their_number(spark, monkeypatch):
+    """As many tasks as the rows need, however small they are when they are exchanged; nulls are equal, repeated rows are one."""
+    monkeypatch.setattr(analytics, "ROWS_PER_TASK", 100)
+    make = lambda *parts: spark.createDataFrame([(i % 2, None if i % 7 == 0 else i) for r in parts for i in r], "a int, b long")
+    before, after = make(range(0, 800), range(5)), make(range(400, 1200))
+    found = analytics.layer_set_ops(before, after)
+    assert found.rdd.getNumPartitions() >= 16
+    own = [{(i % 2, None if i % 7 == 0 else i) for i in r} for r in (range(800), range(400, 1200))]
+    change = {True: "kept", False: "removed"}
+    want = {(*x, change[x in own[1]]) for x in own[0]} | {(*x, "added") for x in own[1] - own[0]}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
