@@ -384,14 +384,14 @@ def test_straps_keep_the_spatial_join_linear(spark):
 
 def test_spatial_joins_are_broadcast_by_rows_only(spark):
     """Regular rectangles take few bytes in a file, however many they are: their guessed size doesn't send them to the driver."""
-    many = spatial.leveled(_grid_with_straps(spark, 10000, 2))
+    many = spatial.leveled(_grid_with_straps(spark, 22500, 2))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     cut = shapes.subtract_all(spatial.like(many.where("rect_id % 2 = 0"), many), spatial.like(many.where("rect_id % 2 = 1"), many), ["layer"])
     for df in (cut, spatial.touch_self_join(many, ["layer"]), spatial.spatial_join(many, many, "contains", ["layer"])):
         assert "Broadcast" not in plan(df) and "SortMergeJoin" in plan(df)
     boxes = spark.createDataFrame([(0, 0, 0, 100, 100)], "box_id long, x1 long, y1 long, x2 long, y2 long")
     assert "BroadcastHashJoin" in plan(spatial.window_query(many, boxes))
-    assert spatial.window_query(many, boxes).count() == sum(x <= 100 and y <= 100 for x in range(0, 4000, 40) for y in range(0, 4000, 40)) + 2
+    assert spatial.window_query(many, boxes).count() == sum(x <= 100 and y <= 100 for x in range(0, 6000, 40) for y in range(0, 6000, 40)) + 2
 
 
 def test_self_join_and_contains_of_all_sizes_equal_brute_force(spark):
@@ -596,3 +596,27 @@ def test_set_operations_deal_rows_by_their_number(spark, monkeypatch):
     want = {(*x, change[x in own[1]]) for x in own[0]} | {(*x, "added") for x in own[1] - own[0]}
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_intervals_of_common_and_of_crowded_keys_are_merged_alike(spark, monkeypatch):
+    """Keys with few rows take one exchange; those with many are still cut into stretches, in the same call."""
+    rng = random.Random(9)
+    data = [(k, low, low + rng.choice([0, 3, 40, 900])) for k in range(30) for low in (rng.randrange(6000) for _ in range(200 if k == 3 else 12))]
+    df = spark.createDataFrame([*data, (None, 0, 1), (1, None, 4)], "k long, low long, high long")
+    at_once = shapes.merge_intervals(df, ["k"])
+    assert at_once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    stretches = []
+    kept = shapes._merged_by_stretches
+    monkeypatch.setattr(shapes, "_merged_by_stretches", lambda rows, *a: stretches.append(rows) or kept(rows, *a))
+    monkeypatch.setattr(shapes, "STRETCH", 64)
+    monkeypatch.setattr(shapes, "KEY_ROWS", 100)
+    both = shapes.merge_intervals(df, ["k"])
+    assert {r[0] for r in stretches[0].select("k").distinct().collect()} == {3}
+    want = []
+    for k, low, high in sorted(data):
+        if want and want[-1][0] == k and low <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], high)
+        else:
+            want.append([k, low, high])
+    for found in (at_once, both):
+        assert rows(found, "k", "low", "high") == [tuple(w) for w in want]
