@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,6 +263,12 @@ def serial_decode(levels: DataFrame) -> DataFrame:
     return dealt.join(materialize(states, "states"), key).groupBy(*key).applyInPandas(decode, "stream_id long, tick long, byte long")
 
 
+#: Bits that a transaction shows: a command, an address and eight bytes of data.
+SPI_BITS = 96
+_DEVICES = ("flash", "psram_a", "psram_b")
+_SPI_WORD = ("present", *_DEVICES, "high", "low", "mosi", "miso")
+
+
 def spi_transactions(samples: DataFrame) -> DataFrame:
     """stream_id, tick (of the deselect), device, op, address, n_bytes, data (hex of at most eight bytes).
 
@@ -269,94 +276,122 @@ def spi_transactions(samples: DataFrame) -> DataFrame:
     three counts. Bits come at a rising clock, the highest first: a command, a 24-bit address, then data
     from mosi (write, 2) or miso (read, 3 and 11). Other commands and transfers that don't end give nothing.
     """
-    bits, starts = _spi_bits(samples)
-    part = lambda c: F.sum(F.expr(f"shiftleft(cast({c} as bigint), cast(7 - n % 8 as int))"))
-    by_byte = bits.groupBy("stream_id", "session", "device", F.expr("n div 8").alias("i")).agg(
-        part("mosi").alias("out_byte"), part("miso").alias("in_byte"), F.count("*").alias("n_bits")
-    )
-    whole = by_byte.where("n_bits = 8")
-    first = lambda i: F.max(F.when(F.col("i") == i, F.col("out_byte")))
-    kept = F.sort_array(F.collect_list(F.when(F.col("i").between(4, 11), F.struct("i", "out_byte", "in_byte"))))
-    heads = whole.groupBy("stream_id", "session", "device").agg(
-        first(0).alias("command"),
-        (first(1) * 65536 + first(2) * 256 + first(3)).alias("address"),
-        F.count_if(F.col("i") >= 4).alias("n_bytes"),
-        kept.alias("_data"),
-    )
-    ended = heads.join(starts, ["stream_id", "session"]).where("command in (2, 3, 11)")
+    pieces = _spi_pieces(samples)
+    columns = ["stream_id", "end_tick", "device", "n", "out_bits", "in_bits"]
+    # most sessions begin and end within a run; the others' pieces are laid end to end
+    bits = F.sort_array(F.collect_list(F.when(F.length("out_bits") > 0, F.struct("_run", "out_bits", "in_bits"))))
+    across = pieces.where("not closed").groupBy("stream_id", "session").agg(F.max("end_tick").alias("end_tick"), F.max("device").alias("device"), F.sum("n").alias("n"), bits.alias("_bits"))
+    across = across.select(*columns[:4], *(F.array_join(F.col(f"_bits.{c}"), "").alias(c) for c in columns[4:]))
+    whole = pieces.where("closed").select(*columns).unionByName(across).withColumnRenamed("end_tick", "tick")
+    number = lambda c, at, size: F.conv(F.substring(c, at, size), 2, 10).cast("long")
+    ended = whole.where("tick is not null and n >= 8").withColumn("command", number("out_bits", 1, 8)).where("command in (2, 3, 11)")
     write = F.col("command") == 2
-    text = F.array_join(F.transform("_data", lambda d: F.lower(F.lpad(F.hex(F.when(write, d["out_byte"]).otherwise(d["in_byte"])), 2, "0"))), " ")
+    n_bytes = F.greatest(F.expr("n div 8") - 4, F.lit(0).cast("long"))
+    shown = F.least(n_bytes, F.lit((SPI_BITS - 32) // 8)).cast("int")
+    data = F.substring(F.when(write, F.col("out_bits")).otherwise(F.col("in_bits")), F.lit(33), 8 * shown)
+    pairs = F.regexp_replace(F.lpad(F.lower(F.conv(data, 2, 16)), 2 * shown, "0"), "(..)(?!$)", "$1 ")
     return ended.select(
         "stream_id",
-        F.col("end_tick").alias("tick"),
-        "device",
+        "tick",
+        _device_name().alias("device"),
         F.when(write, "write").otherwise("read").alias("op"),
-        "address",
-        "n_bytes",
-        F.coalesce(text, F.lit("")).alias("data"),
+        F.when(F.col("n") >= 32, number("out_bits", 9, 24)).alias("address"),
+        n_bytes.alias("n_bytes"),
+        F.when(shown > 0, pairs).otherwise("").alias("data"),
     )
 
 
+def _spi_words(samples: DataFrame) -> DataFrame:
+    """stream_id, _run, word and, for each of _SPI_WORD, a number whose bit k tells of the sample at tick 64 * word + k. So samples
+    are added up before they are exchanged."""
+    selects = [F.coalesce(F.col(c) == 0, F.lit(False)) for c in ("cs", "ram_a", "ram_b")]
+    holds = [F.lit(True), selects[0], ~selects[0] & selects[1], ~selects[0] & ~selects[1] & selects[2], F.col("sclk") == 1, F.col("sclk") == 0, F.col("mosi") == 1, F.col("miso") == 1]
+    bit = F.expr("shiftleft(1L, cast(tick & 63 as int))")
+    masks = [F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("long"))).alias(n) for c, n in zip(holds, _SPI_WORD, strict=True)]
+    words = samples.where("tick is not null").groupBy("stream_id", F.expr("shiftright(tick, 6)").alias("word")).agg(*masks)
+    return words.withColumn("_run", F.floor(F.col("word") / F.lit(RUN_TICKS)).cast("long"))
+
+
+def _spi_parts(group: pa.Table, limit: int) -> pa.Table:
+    """What a run holds of sessions: a row for each stretch of one device or none, with its bits but for the first sample's, and on
+    that of the first stretch what the runs before and after need to know."""
+    group = group.sort_by("word")
+    column = lambda c: group.column(c).to_numpy()
+    bits = {c: np.unpackbits(column(c).astype("<i8").view(np.uint8), bitorder="little") for c in _SPI_WORD}
+    at = np.flatnonzero(bits["present"])
+    ticks = column("word")[at >> 6] * 64 + (at & 63)
+    device = sum(bits[c][at].astype(np.int64) * k for k, c in enumerate(_DEVICES, 1))
+    high, low = bits["high"][at] == 1, bits["low"][at] == 1
+    starts = np.flatnonzero(np.diff(device, prepend=device[0]))
+    begins = np.append(0, starts)
+    rises = 1 + np.flatnonzero((device[1:] > 0) & high[1:] & low[:-1])
+    n_bits = np.bincount(np.searchsorted(begins, rises, "right") - 1, minlength=len(begins))
+    shown = [slice(lo, lo + min(n, limit)) for lo, n in zip((np.cumsum(n_bits) - n_bits).tolist(), n_bits.tolist(), strict=True)]
+    text = {name: (bits[c][at[rises]] + ord("0")).tobytes().decode("ascii") for c, name in (("mosi", "out_bits"), ("miso", "in_bits"))}
+    size = len(begins)
+    found = {c: pa.repeat(pa.scalar(group.column(c)[0].as_py(), pa.int64()), size) for c in ("stream_id", "_run")}
+    found |= {"part": pa.array(np.arange(size)), "device": pa.array(device[begins]), "n": pa.array(n_bits)}
+    found |= {name: pa.array([t[x] for x in shown], pa.string()) for name, t in text.items()}
+    found["end_tick"] = pa.array([*ticks[starts].tolist(), None], pa.int64())
+    of_run = (ticks[0], high[0], bits["mosi"][at[0]], bits["miso"][at[0]], device[-1], low[-1], len(starts), n_bits[-1])
+    return pa.table(found | {c: pa.array([int(v), *[None] * (size - 1)], pa.int64()) for c, v in zip(_SPI_RUN, of_run, strict=True)})
+
+
+_SPI_RUN = ("tick", "high", "mosi", "miso", "last_device", "last_low", "parts", "last_bits")
+
+
 def _spi_bits(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bits (stream_id, session, device, n: its number within the session, mosi, miso), and the ticks (stream_id, session,
-    end_tick) at which sessions end.
+    end_tick) at which sessions end."""
+    pieces = materialize(_spi_pieces(samples, np.iinfo(np.int32).max), "spi-pieces")
+    chars = F.arrays_zip(F.split("out_bits", "").alias("mosi"), F.split("in_bits", "").alias("miso"))
+    bits = pieces.where("length(out_bits) > 0").select("stream_id", "session", _device_name().alias("device"), "start", F.posexplode(chars).alias("pos", "bit"))
+    bits = bits.select("stream_id", "session", "device", (F.col("start") + F.col("pos")).alias("n"), *(F.col(f"bit.{c}").cast("long").alias(c) for c in ("mosi", "miso")))
+    return bits, pieces.where("end_tick is not null").select("stream_id", "session", "end_tick")
+
+
+def _device_name() -> Column:
+    return F.get(F.array(F.lit(None), *map(F.lit, _DEVICES)), F.col("device").cast("int"))
+
 
-    In a run all is known but whether its first row changes the device and its clock rises there, which session it begins in
+def _spi_pieces(samples: DataFrame, limit: int = SPI_BITS) -> DataFrame:
+    """stream_id, session, _run, device (1 to 3), start (bits of the session in earlier runs), n, out_bits, in_bits (of the session's first
+    ``limit`` bits, as text), end_tick (where the session ends, on one row of each; also of those without a device),
+    closed (whether the session begins and ends in this run).
+
+    In a run all is known but whether its first sample changes the device and its clock rises there, which session it begins in
     and how many bits that has had: these come from composing the runs.
     """
     key = ["stream_id", "_run"]
-    line = Window.partitionBy(*key).orderBy("tick")
-    upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    device = F.when(F.col("cs") == 0, "flash").when(F.col("ram_a") == 0, "psram_a").when(F.col("ram_b") == 0, "psram_b")
-    rows = _by_runs(samples.withColumn("device", device)).withColumn("_k", F.row_number().over(line))
-    later, selected = F.col("_k") > 1, F.col("device").isNotNull()
-    rows = rows.withColumns(
-        {
-            "_changed": later & ~F.col("device").eqNullSafe(F.lag("device").over(line)),
-            "_bit": selected & later & (F.col("sclk") == 1) & (F.lag("sclk").over(line) == 0),
-        }
-    )
-    number = lambda c, w: F.sum(F.col(c).cast("long")).over(w)
-    rows = rows.withColumn("_part", number("_changed", upto))
-    in_part = Window.partitionBy(*key, "_part").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    kept = ["stream_id", "_run", "tick", "device", "sclk", "mosi", "miso", "_k", "_changed", "_bit", "_part"]
-    rows = materialize(rows.select(*kept, number("_bit", in_part).alias("_nth")), "spi")
+    schema = f"stream_id long, _run long, part long, device long, n long, out_bits string, in_bits string, end_tick long, {', '.join(f'{c} long' for c in _SPI_RUN)}"
+    rows = materialize(_spi_words(samples).withColumn("stream_id", F.col("stream_id").cast("long")).groupBy(*key).applyInArrow(lambda group: _spi_parts(group, limit), schema), "spi")
 
-    first, last = (lambda c: F.min_by(c, "tick").alias(f"{c}_in")), (lambda c: F.max_by(c, "tick").alias(f"{c}_out"))
-    runs = rows.groupBy(*key).agg(
-        first("device"), first("sclk"), last("device"), last("sclk"),
-        F.max("_part").alias("parts"), F.max_by("_nth", "tick").alias("last_bits"),
-    )
     order = Window.partitionBy("stream_id").orderBy("_run")
-    earlier = order.rowsBetween(*_BEFORE)
-    entry = lambda c: F.lag(f"{c}_out").over(order)
-    runs = runs.withColumns(
-        {
-            "change0": (~F.col("device_in").eqNullSafe(entry("device"))).cast("long"),
-            "bit0": (F.col("device_in").isNotNull() & (F.col("sclk_in") == 1) & (F.coalesce(entry("sclk"), F.lit(0)) == 0)).cast("long"),
-        }
-    )
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.where("part = 0").withColumns({"_device": F.coalesce(F.lag("last_device").over(order), F.lit(0)), "_low": F.coalesce(F.lag("last_low").over(order), F.lit(1))})
+    runs = runs.withColumns({"change0": (F.col("device") != F.col("_device")).cast("long"), "bit0": F.expr("cast(device > 0 and high = 1 and _low = 1 as long)")})
     # bits of a run's last session, which goes on from the run before unless something has changed
     fresh = (F.col("parts") > 0) | (F.col("change0") == 1)
     added = F.col("last_bits") + F.when(F.col("parts") > 0, 0).otherwise(F.col("bit0"))
-    runs = runs.withColumns({"added": added, "chain": F.sum(fresh.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    so_far = F.sum("added").over(Window.partitionBy("stream_id", "chain").orderBy("_run").rowsBetween(Window.unboundedPreceding, 0))
-    runs = runs.withColumns({"bits_out": so_far, "sessions": F.coalesce(F.sum(F.col("parts") + F.col("change0")).over(earlier), F.lit(0))})
+    runs = runs.withColumns({"added": added, "chain": F.sum(fresh.cast("long")).over(upto(order))})
+    so_far = F.sum("added").over(upto(Window.partitionBy("stream_id", "chain").orderBy("_run")))
+    runs = runs.withColumns({"bits_out": so_far, "sessions": F.coalesce(F.sum(F.col("parts") + F.col("change0")).over(order.rowsBetween(*_BEFORE)), F.lit(0))})
     bits_in = F.when(F.col("change0") == 1, 0).otherwise(F.coalesce(F.lag("bits_out").over(order), F.lit(0)))
-    runs = runs.select(*key, "change0", "bit0", "sessions", bits_in.alias("bits_in"))
-
-    rows = rows.join(runs, key).withColumns(
-        {
-            "session": F.col("sessions") + F.col("change0") + F.col("_part"),
-            "_changed": F.col("_changed") | ((F.col("_k") == 1) & (F.col("change0") == 1)),
-            "_bit": F.col("_bit") | ((F.col("_k") == 1) & (F.col("bit0") == 1)),
-        }
-    )
-    n = F.col("_nth") - 1 + F.when(F.col("_part") == 0, F.col("bits_in") + F.col("bit0")).otherwise(0)
-    # _nth doesn't count the first row's bit
-    bits = rows.where("_bit").select("stream_id", "session", "device", n.alias("n"), "mosi", "miso")
-    starts = rows.where("_changed").select("stream_id", (F.col("session") - 1).alias("session"), F.col("tick").alias("end_tick"))
-    return bits, starts
+    runs = materialize(runs.select(*key, "change0", "bit0", "sessions", bits_in.alias("bits_in"), *(F.col(c).alias(f"_{c}") for c in ("tick", "mosi", "miso"))), "spi-runs")
+
+    first = F.col("part") == 0
+    had = F.when(first, F.col("bits_in")).otherwise(0)
+    own = F.when(first & (F.col("bit0") == 1), 1).otherwise(0)
+    shown = lambda c, b: F.when(had >= limit, "").otherwise(F.substring(F.concat(F.when(own == 1, F.col(b).cast("string")).otherwise(""), c), F.lit(1), (F.lit(limit) - had).cast("int")))
+    session = F.col("sessions") + F.col("change0")
+    found = rows.drop(*_SPI_RUN).join(runs, key).select(
+        "stream_id", (session + F.col("part")).alias("session"), "_run", "device", had.cast("long").alias("start"), (F.col("n") + own).alias("n"),
+        shown("out_bits", "_mosi").alias("out_bits"), shown("in_bits", "_miso").alias("in_bits"), "end_tick",
+        (~first & F.col("end_tick").isNotNull()).alias("closed"),
+    )
+    none = F.lit(None).cast("string")
+    ends = runs.where("change0 = 1").select("stream_id", (session - 1).alias("session"), "_run", F.lit(0).cast("long").alias("device"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n"), none.alias("out_bits"), none.alias("in_bits"), F.col("_tick").alias("end_tick"), F.lit(False).alias("closed"))
+    return found.unionByName(ends)
 
 
 def _timed(samples: DataFrame) -> DataFrame:

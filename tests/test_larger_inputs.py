@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sparklayout.functions import layers as L
-from sparklayout.operators import hierarchy
+from sparklayout.operators import hierarchy, trace
 from sparklayout.plans import extract
 from sparklayout.sources import work
 
@@ -32,3 +34,31 @@ def test_parts_of_an_extraction_are_made_when_asked_for(spark, monkeypatch, tmp_
     assert out["flat"].where("wire is null and net = -1").count() == 1
     wires = [*extract.KEYS, "inst_id", "wire", "net"]
     assert rows(out["wire_nets"], *wires) == rows(looked_up.where("net >= 0").select(*wires).distinct(), *wires)
+
+
+def test_bus_samples_are_added_up_before_they_are_exchanged(spark, tmp_path):
+    """A long write and a read over many runs, with gaps; rows that are exchanged are words of 64 ticks, not samples."""
+    sent = {0: (2, bytes([2, 0x12, 0x34, 0x56, *range(200)])), 2: (11, bytes([11, 0, 0, 9, 1, 0x80]))}
+    samples, tick = [], -5000
+    for device, (command, data) in sent.items():
+        select = [int(d != device) for d in range(3)]
+        for k, byte in enumerate(data):
+            for i in range(8):
+                bit = byte >> (7 - i) & 1
+                for clock in (0, 1):
+                    samples.append((7, tick, *select, clock, bit if k < 4 or command == 2 else 0, bit if k >= 4 and command != 2 else 1))
+                    tick += 1 if k % 3 else 90
+        samples.append((7, tick, 1, 1, 1, 0, 0, 1))
+        tick += 3
+    bus = spark.createDataFrame(samples, "stream_id long, tick long, cs long, ram_a long, ram_b long, sclk long, mosi long, miso long").coalesce(1)
+    text = " ".join(f"{b:02x}" for b in range(8))
+    for n in (1, 5, 1 << 16):
+        with_runs = trace.RUN_TICKS
+        trace.RUN_TICKS = n
+        try:
+            found = rows(trace.spi_transactions(bus), "device", "op", "address", "n_bytes", "data")
+        finally:
+            trace.RUN_TICKS = with_runs
+        assert found == [("flash", "write", 0x123456, 200, text), ("psram_b", "read", 9, 2, "01 80")], n
+    words = trace._spi_words(bus.where("tick > 0"))
+    assert words.count() == bus.where("tick > 0").select(F.expr("shiftright(tick, 6)")).distinct().count()
