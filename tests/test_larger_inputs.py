@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparklayout.functions import layers as L
-from sparklayout.operators import hierarchy, trace
+from sparklayout.operators import devices, hierarchy, spatial, trace
 from sparklayout.plans import extract
 from sparklayout.sources import work
 
@@ -62,3 +62,22 @@ def test_bus_samples_are_added_up_before_they_are_exchanged(spark, tmp_path):
         assert found == [("flash", "write", 0x123456, 200, text), ("psram_b", "read", 9, 2, "01 80")], n
     words = trace._spi_words(bus.where("tick > 0"))
     assert words.count() == bus.where("tick > 0").select(F.expr("shiftright(tick, 6)")).distinct().count()
+
+
+def test_a_channel_meets_wells_and_terminals_in_one_join(spark):
+    """One channel each: in a well, beside it (its edge only touches), with one wire on both sides, and without any terminal."""
+    cells = {
+        "p": [(L.DIFF, 0, 0, 100, 20), (L.POLY, 40, -5, 50, 25), (L.NWELL, -5, -5, 105, 25)],
+        "n": [(L.DIFF, 0, 0, 100, 20), (L.POLY, 40, -5, 50, 25), (L.NWELL, 50, -5, 105, 25)],
+        "one": [(L.DIFF, 0, 0, 100, 20), (L.POLY, 40, -5, 50, 25)],
+        "bare": [(L.DIFF, 0, 0, 100, 20), (L.POLY, 40, -5, 50, 25)],
+    }
+    rects = spatial.leveled(rects_of(spark, cells).selectExpr("cell", "layer", "row_number() over (partition by cell order by layer desc) as rect_id", "x1", "y1", "x2", "y2", "7L as wire"))
+    sides = [("p", L.P_TERM, 3, 4), ("p", L.N_TERM, 5, 6), ("n", L.N_TERM, 9, 8), ("n", L.P_TERM, 1, 1), ("one", L.N_TERM, 2, 2)]
+    terms = [(c, layer, w, x, 0, y, 20) for c, layer, *ws in sides for w, x, y in zip(ws, (0, 50), (40, 100), strict=True)]
+    terminals = spatial.leveled(spark.createDataFrame(terms, "cell string, layer long, wire long, x1 long, y1 long, x2 long, y2 long"))
+    found = devices.channel_devices(rects, terminals, ["cell"])
+    got = [tuple(r) for r in found.select("cell", "gate", "type", "n_terms", "term0", "term1").orderBy("cell").collect()]
+    assert got == [("bare", 7, 1, 0, None, None), ("n", 7, 1, 2, 8, 9), ("one", 7, 1, 1, 2, 2), ("p", 7, 0, 2, 3, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Join" in x]) == 1, plan
