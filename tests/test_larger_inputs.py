@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparklayout.functions import layers as L
 from sparklayout.operators import devices, hierarchy, spatial, trace
 from sparklayout.plans import extract
 from sparklayout.sources import work
+from sparklayout.streaming import streams
 
 from test_layouts import INVERTER, NAMES, labels_of, rects_of, rows
 
@@ -81,3 +83,11 @@ def test_a_channel_meets_wells_and_terminals_in_one_join(spark):
     assert got == [("bare", 7, 1, 0, None, None), ("n", 7, 1, 2, 8, 9), ("one", 7, 1, 1, 2, 2), ("p", 7, 0, 2, 3, 4)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len([x for x in plan.splitlines() if "Join" in x]) == 1, plan
+
+
+def test_held_rows_are_entries_of_many():
+    """State is kept by columns, a few thousand rows in an entry, in their order."""
+    held = np.arange(3 * 10_000).reshape(3, 10_000)
+    entries = streams._Held._entries(held)
+    assert len(entries) == 3 and max(len(e[0]) for e in entries) == streams.HELD_ROWS
+    assert (np.concatenate([np.array(e) for e in entries], axis=1) == held).all()
