@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from sparklayout.functions import dealing
 from sparklayout.functions import layers as L
 from sparklayout.operators import devices, hierarchy, spatial, trace
 from sparklayout.plans import extract
@@ -91,3 +92,36 @@ def test_held_rows_are_entries_of_many():
     entries = streams._Held._entries(held)
     assert len(entries) == 3 and max(len(e[0]) for e in entries) == streams.HELD_ROWS
     assert (np.concatenate([np.array(e) for e in entries], axis=1) == held).all()
+
+
+def test_joins_are_dealt_by_counted_rows_but_for_crowded_keys(spark, monkeypatch):
+    """As many tasks as the rows need, each with few of them; a key with most of the rows goes by a plain exchange. Null keys meet nothing."""
+    left = spark.range(6000).selectExpr("if(id % 3 = 0, 7, if(id % 50 = 1, null, id)) as k", "id as a")
+    right = spark.range(900).selectExpr("id % 300 + 5 as k", "id as b")
+    keys = right.select("k")
+    plain = [rows(dealing.join(left, right, ["k"], n=6900), "a", "b"), rows(dealing.join(left, keys, ["k"], "left_semi"), "a")]
+    monkeypatch.setattr(dealing, "FEW_ROWS", 1000)
+    monkeypatch.setattr(dealing, "ROWS_PER_TASK", 100)
+    pairs, some = dealing.join(left, right, ["k"], n=6900), dealing.join(left, keys, ["k"], "left_semi")
+    assert [rows(pairs, "a", "b"), rows(some, "a")] == plain
+    for found in (pairs, some):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(k" in plan and ", 70), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" in plan and "Union" in plan and "LeftSemi" not in plan
+        assert max(r["count"] for r in found.where("k <> 7").groupBy(F.spark_partition_id()).count().collect()) <= 100
+    even = dealing.join(left.where("a % 3 > 0"), right, ["k"])
+    assert "Union" not in even._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terminals_of_many_devices_are_gathered_in_one_dealt_grouping(spark, monkeypatch):
+    """With and without wells, without gates in the cell, with gates elsewhere in it; tasks follow the rows, results don't."""
+    monkeypatch.setattr(dealing, "FEW_ROWS", 100)
+    monkeypatch.setattr(dealing, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 10)
+    cells = {f"c{k}": [(L.DIFF, 0, 0, 100, 20), (L.POLY, 40, -5, 50, 25), (L.POLY, 40, -5, 50, 25), (L.DIFF, 0, 50, 100, 60), (L.NWELL, *((-5, -5, 105, 25), (100, 0, 200, 20))[k % 2])] for k in range(100)}
+    cells |= {"bare": [(L.DIFF, 0, 0, 9, 9), (L.NWELL, 0, 0, 9, 9)]}
+    numbered = rects_of(spark, cells).selectExpr("cell", "layer", "row_number() over (partition by cell order by layer, y1) as rect_id", "x1", "y1", "x2", "y2", "7L as wire")
+    found = devices.derive_terminals(spatial.leveled(numbered), ["cell"])
+    assert found.rdd.getNumPartitions() >= 10
+    kind = lambda k: L.N_TERM if k % 2 else L.P_TERM
+    want = [(f"c{k}", layer, x1, y1, x2, y2) for k in range(100) for layer, x1, y1, x2, y2 in ((kind(k), 0, 0, 40, 20), (kind(k), 50, 0, 100, 20), (L.N_TERM, 0, 50, 100, 60))]
+    assert rows(found, "cell", "layer", "x1", "y1", "x2", "y2") == sorted(want)
