@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparklayout.functions import dealing, layers
 from sparklayout.functions import geometry as g
-from sparklayout.functions import layers
 from sparklayout.functions.geometry import Box
 from sparklayout.operators.netlist import inverter_pairs
 from sparklayout.sources.work import counted, materialize
@@ -73,11 +73,32 @@ def layers_by_z(present: DataFrame, flipped: bool = False) -> DataFrame:
     return present.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
+#: Parts in which rectangles are first added up where an instance has very many of them.
+SPREAD = 16
+
+
 def netlist_summary(flat: DataFrame) -> DataFrame:
-    """file_id, layer (null: all), rects, instances, wires (greatest net + 1, at least 2)."""
-    return flat.rollup("file_id", "layer").agg(
-        F.count("*").alias("rects"), F.count_distinct("inst_id").alias("instances"), F.greatest(F.max("net") + 1, F.lit(2)).alias("wires")
-    ).where("file_id is not null")
+    """file_id, layer (null: all), rects, instances, wires (greatest net + 1, at least 2).
+
+    Rows are counted as they are written, and dealt by instance to as many tasks as that takes. If a crowded instance is among them (a top
+    cell with most of a file's rectangles), they are added up in parts before. An instance counts for its file in the first of its
+    layers, so nothing has to be made distinct over all.
+    """
+    ids = ["file_id", "inst_id"]
+    rows, n = counted(flat.where("file_id is not null").select(*ids, "layer", "net"), "flat-ids")
+    rows = rows.withColumn("rects", F.lit(1).cast("long"))
+    adds = [F.sum("rects").alias("rects"), F.max("net").alias("net")]
+    if n > dealing.FEW_ROWS and dealing.crowded(ids, rows)[1]:
+        parts = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+        rows = dealing.grouped(parts, [*ids, "layer", "_part"], n).agg(*adds).drop("_part")
+    each = dealing.dealt(rows, ids, n).groupBy(*ids, "layer").agg(*adds)
+    known = F.col("inst_id").isNotNull()
+    first = known & (F.row_number().over(Window.partitionBy(*ids).orderBy("layer")) == 1)
+    each = each.select("file_id", "layer", "rects", "net", known.cast("long").alias("_here"), first.cast("long").alias("_first"))
+    of_all = each.groupingSets([["file_id", "layer"], ["file_id"]], "file_id", "layer").agg(
+        F.sum("rects").alias("rects"), F.sum("_here").alias("_here"), F.sum("_first").alias("_first"), F.greatest(F.max("net") + 1, F.lit(2)).alias("wires"), F.grouping("layer").alias("_all")
+    )
+    return of_all.select("file_id", "layer", "rects", F.when(F.col("_all") == 1, F.col("_first")).otherwise(F.col("_here")).alias("instances"), "wires")
 
 
 def netlist_totals(segments: DataFrame, fets: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparklayout.functions import dealing
 from sparklayout.functions import layers as L
-from sparklayout.operators import devices, hierarchy, spatial, trace
+from sparklayout.operators import analytics, devices, hierarchy, spatial, trace
 from sparklayout.plans import extract
 from sparklayout.sources import work
 from sparklayout.streaming import streams
@@ -125,3 +125,31 @@ def test_terminals_of_many_devices_are_gathered_in_one_dealt_grouping(spark, mon
     kind = lambda k: L.N_TERM if k % 2 else L.P_TERM
     want = [(f"c{k}", layer, x1, y1, x2, y2) for k in range(100) for layer, x1, y1, x2, y2 in ((kind(k), 0, 0, 40, 20), (kind(k), 50, 0, 100, 20), (L.N_TERM, 0, 50, 100, 60))]
     assert rows(found, "cell", "layer", "x1", "y1", "x2", "y2") == sorted(want)
+
+
+def test_summaries_of_files_are_added_up_in_dealt_tasks(spark, monkeypatch):
+    """Instances over several layers and files, null ids, layers and nets; with and without an instance that has most of the rows."""
+    def data(n_top):
+        each = [(k % 3 if k % 97 else None, k % 5 if k % 31 else None, k // 7 if k % 11 else None, k % 400 - 1 if k % 13 else None) for k in range(3000)]
+        return each + [(1, k % 4, 5, k) for k in range(n_top)] + [(8, 2, None, None), (9, 3, 1, -1), (9, 4, 1, -1)]
+
+    def want(made):
+        out = []
+        for f in {r[0] for r in made} - {None}:
+            for layer in [("all",), *((x,) for x in {r[1] for r in made if r[0] == f})]:
+                own = [r for r in made if r[0] == f and (layer == ("all",) or r[1] == layer[0])]
+                wires = max([2, *(r[3] + 1 for r in own if r[3] is not None)])
+                out.append((f, None if layer == ("all",) else layer[0], len(own), len({r[2] for r in own} - {None}), wires))
+        return sorted(out, key=str)
+
+    kept, spread = dealing.grouped, []
+    for n_top, few in ((0, 1_000_000), (0, 1000), (4000, 1000)):
+        monkeypatch.setattr(dealing, "FEW_ROWS", few)
+        monkeypatch.setattr(dealing, "ROWS_PER_TASK", 300)
+        monkeypatch.setattr(dealing, "grouped", lambda rows, by, n: spread.append(by) or kept(rows, by, n))
+        made = data(n_top)
+        found = analytics.netlist_summary(spark.createDataFrame(made, "file_id long, layer long, inst_id long, net long"))
+        assert sorted((tuple(r) for r in found.select("file_id", "layer", "rects", "instances", "wires").collect()), key=str) == want(made)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("REPARTITION_BY_NUM" in plan) == (few == 1000) and plan.count("Expand") == 1
+        assert bool(spread) == (n_top > 0)
