@@ -110,6 +110,8 @@ def test_joins_are_dealt_by_counted_rows_but_for_crowded_keys(spark, monkeypatch
         assert max(r["count"] for r in found.where("k <> 7").groupBy(F.spark_partition_id()).count().collect()) <= 100
     even = dealing.join(left.where("a % 3 > 0"), right, ["k"])
     assert "Union" not in even._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(dealing, "ROWS_PER_TASK", 5)  # more parts than that are not written without holding rows
+    assert ", 200), REPARTITION_BY_NUM" in dealing.join(left, right, ["k"])._jdf.queryExecution().executedPlan().toString()
 
 
 def test_terminals_of_many_devices_are_gathered_in_one_dealt_grouping(spark, monkeypatch):
