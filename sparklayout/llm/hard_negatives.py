@@ -14,6 +14,7 @@ Scores, limits and ties are whole numbers, so nothing depends on the order in wh
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from sparklayout.sources.work import counted, materialize
 
 #: Rows of a block and anchors of a group, on average; dimensions that are read between two looks at the bounds.
 BLOCK_ROWS, GROUP_ROWS, STEP = 4096, 128, 8
+#: Anchors that one task holds at most, on average.
+TASK_ANCHORS = 65_536
 #: Components are floor(SCALE x); positives of an anchor; negatives of a positive; least and greatest negative score, in
 #: hundredths of the positive's.
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 10, 30, 90
@@ -47,6 +50,21 @@ def _matrix(vectors: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+#: Whole numbers of a column or a vector are stored in the least of these that holds them all; its width is the first byte.
+_WIDTHS = (np.int16, np.int32, np.int64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    low, high = (x.min(), x.max()) if len(x) else (0, 0)
+    kind = next(t for t in _WIDTHS if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def _unpacked(data: memoryview | bytes | pa.Buffer) -> np.ndarray:
+    data = memoryview(data)
+    return np.frombuffer(data[1:], f"<i{data[0]}").astype(np.int64)
+
+
 def _least_of_each(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple]) -> list[int]:
     """Places of one row for each id, the least by label and vector, in the order of labels and ids."""
     order = sorted(range(len(ids)), key=lambda i: (ids[i], labels[i], vectors[i]))
@@ -68,7 +86,7 @@ def column_blocks(rows: DataFrame, is_anchor: Callable[[Column], Column]) -> Dat
     """block, ids, labels, starts, anchors, dims, least, greatest of ``rows`` (id, label, vector).
 
     A block's rows are in the order of labels and ids; ``labels`` and ``starts``: where each label begins; ``dims``:
-    a dimension's values as 64-bit integers. ``anchors``: places of anchors. Of rows that share an id the one
+    a dimension's values (:func:`_packed`). ``anchors``: places of anchors. Of rows that share an id the one
     with the least label, then the least vector, is taken.
     """
     many = rows.count() // BLOCK_ROWS + 1
@@ -86,7 +104,7 @@ def column_blocks(rows: DataFrame, is_anchor: Callable[[Column], Column]) -> Dat
             "labels": [found[starts]],
             "starts": [starts],
             "anchors": [[k for k, i in enumerate(keep) if wanted[i]]],
-            "dims": [[x.tobytes() for x in matrix.T.copy()]],
+            "dims": [[_packed(x) for x in matrix.T]],
             "least": [matrix.min(0) if matrix.size else []],
             "greatest": [matrix.max(0) if matrix.size else []],
         }
@@ -101,7 +119,7 @@ def column_blocks(rows: DataFrame, is_anchor: Callable[[Column], Column]) -> Dat
 
 
 def anchors_of(blocks: DataFrame) -> DataFrame:
-    """id, label, vector (64-bit integers) of the anchors in some blocks."""
+    """id, label, vector (:func:`_packed`) of the anchors in some blocks."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +127,7 @@ def anchors_of(blocks: DataFrame) -> DataFrame:
                 block = _Block(batch, k)
                 at = batch.column("anchors")[k].values.to_numpy()
                 rows = np.stack([d[at] for d in block.dims], 1) if block.dims else np.empty((len(at), 0), np.int64)
-                data = [block.ids[at], block.label_at(at), [x.tobytes() for x in rows]]
+                data = [block.ids[at], block.label_at(at), [_packed(x) for x in rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "label", "vector"])
 
     return blocks.mapInArrow(take, "id long, label long, vector binary")
@@ -129,7 +147,7 @@ class _Block:
         of = lambda name: batch.column(name)[k].values.to_numpy()
         self.ids, self.labels = of("ids"), of("labels")
         self.starts = np.append(of("starts"), len(self.ids))
-        self.dims = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("dims")[k]]
+        self.dims = [_unpacked(x.as_buffer()) for x in batch.column("dims")[k]]
         self.least, self.greatest = of("least"), of("greatest")
 
     def label_at(self, places: np.ndarray) -> np.ndarray:
@@ -198,13 +216,21 @@ def _first(ids: np.ndarray, scores: np.ndarray, n: int) -> list[tuple[int, int]]
     return list(zip(ids[order].tolist(), scores[order].tolist(), strict=True))
 
 
-def _met(blocks: DataFrame, groups: DataFrame, find: Callable, schema: str) -> DataFrame:
-    """What ``find`` (anchor's id, label, vector, scores; block) yields for every anchor and block. Blocks are dealt over
-    shards and each shard gets all groups; no row is made of less than a whole block and a whole group."""
-    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, min(partitions, blocks.count()))
-    left = blocks.withColumn("shard", F.pmod("block", F.lit(shards)))
-    right = groups.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+def _grid(partitions: int, blocks: int, anchors: int) -> tuple[int, int]:
+    """Shards that blocks and parts that anchors are dealt over, about ``partitions`` together: every shard gets all anchors and every
+    part all blocks, so that both sides are repeated to about the same size. A part has TASK_ANCHORS at most."""
+    shards = max(1, min(partitions, blocks, ceil(sqrt(partitions * blocks * BLOCK_ROWS / max(1, anchors)))))
+    return shards, max(1, min(ceil(partitions / shards), anchors // GROUP_ROWS + 1), ceil(anchors / TASK_ANCHORS))
+
+
+def _met(blocks: DataFrame, groups: DataFrame, n: int, find: Callable, schema: str) -> DataFrame:
+    """What ``find`` (anchor's id, label, vector, scores; block) yields for every block and each of ``n`` anchors in groups. Both are dealt
+    over a grid of shards and parts; no row is made of less than a whole block and a whole group. Neither side is ever
+    broadcast: Spark would guess a side's bytes from the rows before they are repeated, and the driver gets them after that."""
+    shards, parts = _grid(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count(), n)
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = blocks.withColumns({"shard": F.pmod("block", F.lit(shards)), "part": each(parts)})
+    right = groups.withColumns({"part": F.pmod("group", F.lit(parts)), "shard": each(shards)})
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +240,11 @@ def _met(blocks: DataFrame, groups: DataFrame, find: Callable, schema: str) -> D
                 ids, labels, vectors, scores = (batch.column(f"a_{c}")[k].as_py() for c in ("id", "label", "vector", "scores"))
                 rows = []
                 for i, label, data, own in zip(ids, labels, vectors, scores, strict=True):
-                    rows += find(i, label, np.frombuffer(data, np.int64), own, block)
+                    rows += find(i, label, _unpacked(data), own, block)
                 columns = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
-    return left.join(right, "shard").drop("shard", "anchors").mapInArrow(run, schema)
+    return left.join(right.hint("merge"), ["shard", "part"]).drop("shard", "part", "anchors").mapInArrow(run, schema)
 
 
 def mine_hard_negatives(
@@ -257,7 +283,7 @@ def mine_hard_negatives(
         return [(i, other, s) for other, s in _first(block.ids[places], score, positives)]
 
     none = F.array().cast("array<bigint>")
-    found = _met(blocks, _groups(anchors.withColumn("scores", none), n), best, "anchor_id long, positive_id long, positive_score long")
+    found = _met(blocks, _groups(anchors.withColumn("scores", none), n), n, best, "anchor_id long, positive_id long, positive_score long")
     first = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     chosen = found.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= positives).drop("_nth")
     chosen = materialize(chosen, "positives")
@@ -277,7 +303,7 @@ def mine_hard_negatives(
         return out
 
     windows = chosen.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_set("positive_score").alias("scores"))
-    found = _met(blocks, _groups(anchors.join(windows, "id"), n), below, "anchor_id long, positive_score long, negative_id long, negative_score long")
+    found = _met(blocks, _groups(anchors.join(windows.hint("merge"), "id"), n), n, below, "anchor_id long, positive_score long, negative_id long, negative_score long")
     first = Window.partitionBy("anchor_id", "positive_score").orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= negatives)
-    return chosen.join(ranked, ["anchor_id", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return chosen.join(ranked.hint("merge"), ["anchor_id", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -219,3 +219,21 @@ def test_bounds_rule_candidates_out_before_the_last_dimension():
     places, scores = hard_negatives.scan(anchor, block, np.arange(500), lambda low, high: sizes.append(len(low)) or keep(low, high))
     assert sizes[0] == 500 and sizes[1] == 5 and sorted(places.tolist()) == [0, 1, 2, 3, 4]
     assert np.array_equal(scores, matrix[places] @ anchor)
+
+
+def test_hard_negatives_send_nothing_through_the_driver(spark):
+    """Groups of anchors, repeated for every shard, were broadcast, since Spark guesses their size before they are repeated."""
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, rng.normal(size=4).tolist()) for i in range(300)]
+    found = hard_negatives.mine_hard_negatives(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), lambda i: i % 10 == 0)
+    assert found.count() > 100
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_of_blocks_and_anchors():
+    assert hard_negatives._grid(48, 76, 3077) == (48, 1)
+    shards, parts = hard_negatives._grid(600, 3662, 150_000)
+    assert (shards, parts) == (245, 3) and hard_negatives._grid(600, 3662, 1_500_000)[1] == 23  # 65,536 anchors a part
+    assert hard_negatives._grid(8, 0, 0) == (1, 1)
+    for x in (np.array([], np.int64), np.array([-3, 5]), np.array([40_000]), np.array([-(1 << 40), 7])):
+        assert hard_negatives._unpacked(hard_negatives._packed(x)).tolist() == x.tolist()
