@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from sparklayout.functions import dealing
 from sparklayout.functions import layers as L
-from sparklayout.operators import analytics, devices, hierarchy, spatial, trace
-from sparklayout.plans import extract
+from sparklayout.operators import analytics, devices, hierarchy, shapes, spatial, trace
+from sparklayout.plans import extract, extract_queries
 from sparklayout.sources import work
+from sparklayout.sources.fixtures import view
 from sparklayout.streaming import streams
 
 from test_layouts import INVERTER, NAMES, labels_of, rects_of, rows
@@ -155,3 +158,35 @@ def test_summaries_of_files_are_added_up_in_dealt_tasks(spark, monkeypatch):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert ("REPARTITION_BY_NUM" in plan) == (few == 1000) and plan.count("Expand") == 1
         assert bool(spread) == (n_top > 0)
+
+
+def test_keys_with_few_rectangles_meet_no_join(spark, monkeypatch):
+    """Nets have a few rectangles on a layer each; all of them were exchanged three times and met in one spatial join."""
+    rng = random.Random(3)
+    boxes = set()
+    for key, n in ((0, 400), *((k, 6) for k in range(1, 80))):
+        for _ in range(n):
+            x, y = rng.randrange(0, 60, 5), rng.randrange(0, 60, 5)
+            boxes.add((key, x, y, x + rng.choice((5, 10, 30)), y + rng.choice((5, 10, 30))))
+    df = spark.createDataFrame(sorted(boxes), "net long, x1 long, y1 long, x2 long, y2 long")
+    joined, join = [], shapes.spatial_join
+    monkeypatch.setattr(shapes, "spatial_join", lambda a, b, *rest: joined.append(a.where("net > 0").count()) or join(a, b, *rest))
+    found = {}
+    for most, few in ((20_000, 32), (50, 32), (20_000, 1), (1, 1)):  # by lists, crowded by lines, all in a join
+        monkeypatch.setattr(shapes, "KEY_RECTS", most)
+        monkeypatch.setattr(shapes, "FEW_RECTS", few)
+        found[most, few] = sorted(map(tuple, shapes.coalesce_rects(df, ["net"]).select("net", "x1", "y1", "x2", "y2").collect()))
+    assert len({tuple(x) for x in found.values()}) == 1 and joined[:2] == [0, 0] and joined[2] > 50
+    left = found[20_000, 32]
+    assert not any(a != b and a[0] == b[0] and a[1] <= b[1] and a[2] <= b[2] and a[3] >= b[3] and a[4] >= b[4] for a in left for b in left)
+    cells = lambda rows: {(k, x, y) for k, x1, y1, x2, y2 in rows for x in range(x1, x2, 5) for y in range(y1, y2, 5)}
+    assert cells(left) == cells(boxes)
+
+
+def test_places_are_numbered_by_many_tasks(spark):
+    """The view's window has all rows of a file in one task."""
+    folder = "/root/testdata/sf0.001"
+    columns = ["file_id", "k", "r", "c", "odd"]
+    places = extract_queries._places(spark, folder).select(*columns)
+    assert sorted(places.collect()) == sorted(view(spark, folder, "chip_places").select(*columns).collect())
+    assert "Window" not in places._jdf.queryExecution().executedPlan().toString()
