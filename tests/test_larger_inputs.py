@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparklayout.functions import dealing
 from sparklayout.functions import layers as L
 from sparklayout.operators import analytics, devices, hierarchy, shapes, spatial, trace
-from sparklayout.plans import extract, extract_queries
+from sparklayout.plans import extract, extract_queries, netlist_queries
 from sparklayout.sources import work
 from sparklayout.sources.fixtures import view
 from sparklayout.streaming import streams
@@ -190,3 +190,20 @@ def test_places_are_numbered_by_many_tasks(spark):
     places = extract_queries._places(spark, folder).select(*columns)
     assert sorted(places.collect()) == sorted(view(spark, folder, "chip_places").select(*columns).collect())
     assert "Window" not in places._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cell_wires_exchange_each_side_once(spark, monkeypatch):
+    """A literal among the keys left the join but not the dealing, so all rows were exchanged twice."""
+    plans, join = [], dealing.join
+
+    def seen(left, right, on, how="inner", n=None):
+        found = join(left, right, on, how)
+        if "text_a" not in left.columns:  # label points come from exchanges of their own
+            plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(dealing, "join", seen)
+    monkeypatch.setattr(dealing, "FEW_ROWS", 100)
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 10)
+    assert netlist_queries.c2(spark, "/root/testdata/sf0.001").count() > 1000
+    assert [(p.count("REPARTITION_BY_NUM"), p.count("ENSURE_REQUIREMENTS")) for p in plans] == [(2, 0), (2, 0)]
